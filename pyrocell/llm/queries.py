@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pyrocell.llm import bpe
+from pyrocell.llm import bpe, simhash
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,8 +20,12 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip,)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op8_simhash_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
