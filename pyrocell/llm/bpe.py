@@ -34,7 +34,9 @@ RUNS = tuple(regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+
 HOLD = 2
 CHUNK = 1 << 16
 LONG = 1 << 12
-CACHE = 1 << 18
+#: No rule joins the pair; above every rank.
+NONE = 1 << 62
+CACHE = 1 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -63,10 +65,12 @@ class Model:
         for s, i in vocab.items():
             if len(s) == 1:
                 self.of_byte[letters[s]] = i
-        self.rule: dict[tuple[int, int], tuple[int, int]] = {}
+        self.shift = size.bit_length()
+        self.mask = (1 << self.shift) - 1
+        self.rule: dict[int, int] = {}  # the pair in one number -> rank and new token in one number
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.rule.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.rule.setdefault(vocab[a] << self.shift | vocab[b], rank << self.shift | vocab[a + b])
         self.lookahead = self._lookahead()
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.cache = Cache(self)
@@ -77,7 +81,8 @@ class Model:
         best: dict[int, int] = {}  # token -> longest chain of earlier rules starting with it on the left
         longest = max(map(len, self.token))
         most = 0
-        for (a, b), (_, made) in sorted(self.rule.items(), key=lambda x: x[1][0]):
+        for pair, ranked in sorted(self.rule.items(), key=lambda x: x[1]):
+            a, b, made = pair >> self.shift, pair & self.mask, ranked & self.mask
             reach, t = best.get(b, 0), b
             while t in right:
                 t = right[t]
@@ -91,30 +96,28 @@ class Model:
     def merge(self, piece: bytes) -> list[int]:
         """The tokens of a byte string: always the lowest-ranked pair, leftmost first."""
         ids = [self.of_byte[b] for b in piece]
-        rule = self.rule
         if len(ids) > 48:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            found = [rule.get(p) for p in zip(ids, ids[1:])]
-            low = min((r for r in found if r), default=None)
-            if low is None:
+        get, shift, mask = self.rule.get, self.shift, self.mask
+        found = [get(a << shift | b, NONE) for a, b in zip(ids, ids[1:])]
+        while found:
+            low = min(found)
+            if low == NONE:
                 break
-            out, i = [], 0
-            while i < len(ids):
-                if i < len(found) and found[i] == low:
-                    out.append(low[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = found.index(low)
+            ids[i] = new = low & mask
+            del ids[i + 1], found[i]
+            if i:
+                found[i - 1] = get(ids[i - 1] << shift | new, NONE)
+            if i < len(found):
+                found[i] = get(new << shift | ids[i + 1], NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap over a linked list, for windows of long runs."""
         n, rule = len(ids), self.rule
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r[0], i, r[1], ids[i], ids[i + 1]) for i in range(n - 1) if (r := rule.get((ids[i], ids[i + 1])))]
+        heap = [(r >> self.shift, i, r & self.mask, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rule.get(ids[i] << self.shift | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             _, i, new, a, b = heapq.heappop(heap)
@@ -126,8 +129,8 @@ class Model:
             if after[i] >= 0:
                 before[after[i]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (r := rule.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (r[0], x, r[1], ids[x], ids[y]))
+                if x >= 0 and y >= 0 and (r := rule.get(ids[x] << self.shift | ids[y])) is not None:
+                    heapq.heappush(heap, (r >> self.shift, x, r & self.mask, ids[x], ids[y]))
         return [t for t in ids if t >= 0]
 
     def encode(self, text: str) -> bytes:
