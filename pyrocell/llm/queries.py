@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pyrocell.llm import bpe, simhash
+from pyrocell.llm import bpe, html_text, langid, quality_rules, simhash, zstd_quality
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,12 +20,28 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out_predictions(documents(spark, sf_dir))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir))
+
+
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zstd_quality.held_out_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op8_simhash_groups)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op3_html_text, op4_language_id, op5_quality_rules, op8_simhash_groups, op10_zstd_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
