@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pyrocell.llm import bpe, html_text, langid, quality_rules, simhash, zstd_quality
+from pyrocell.llm import bpe, decontaminate, html_text, langid, quality_rules, simhash, substring_dedup, zstd_quality
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -32,16 +32,24 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(documents(spark, sf_dir), digest=True)
+
+
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_quality.held_out_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op3_html_text, op4_language_id, op5_quality_rules, op8_simhash_groups, op10_zstd_quality)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op3_html_text, op4_language_id, op5_quality_rules, op7_substring_dedup, op8_simhash_groups, op9_decontamination, op10_zstd_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
