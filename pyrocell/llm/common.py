@@ -28,15 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch(spark: SparkSession, name: str = "tables") -> str:
+    """A new path under the shared folder, deleted when the session ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def materialise(df: DataFrame, *by: str) -> DataFrame:
-    """Cuts lineage: writes df under the shared folder (deleted when the session ends), reads it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+    """Cuts lineage: writes df under the shared folder, reads it again."""
+    path = scratch(df.sparkSession)
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def crc_mod(doc_id: Column, m: int) -> Column:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyrocell.llm import bpe, decontaminate, html_text, langid, quality_rules, simhash, substring_dedup, zstd_quality
+from pyrocell.llm import bpe, common, decontaminate, html_text, katz, langid, quality_rules, simhash, substring_dedup, token_files, zstd_quality
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,6 +21,12 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.scratch(spark, "tokens")
+    token_files.write(documents(spark, sf_dir), path, public_tokenizers.path(TOKENIZER))
+    return token_files.read(spark.read.parquet(path)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -32,6 +39,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
 
+def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(documents(spark, sf_dir))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(documents(spark, sf_dir), digest=True)
 
@@ -49,7 +60,11 @@ def op10_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op3_html_text, op4_language_id, op5_quality_rules, op7_substring_dedup, op8_simhash_groups, op9_decontamination, op10_zstd_quality)}
+    ops = (
+        op1_bpe_round_trip, op2_token_files, op3_html_text, op4_language_id, op5_quality_rules, op6_katz_scores, op7_substring_dedup, op8_simhash_groups,
+        op9_decontamination, op10_zstd_quality,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -223,3 +223,44 @@ def near_duplicates(docs: DataFrame, radius: int = 2, k: int = 3, id_col: str =
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     labels = named.select("fp", "root").join(lows, "root").select("fp", "component_id")
     return rows.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def jaccard_at_least(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+    """Of the pairs (a, b), those whose texts (fp, text) share at least ``least`` of their distinct k-word shingles."""
+    sides = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+
+    @F.arrow_udf("binary")
+    def shingles(rows: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes((t or b"").lower().split(), k)).tobytes() for t in as_bytes(rows)], pa.binary())
+
+    @F.arrow_udf("double")
+    def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / max(1, len(x) + len(y) - both))
+        return pa.array(out, pa.float64())
+
+    sets = materialise(texts.join(sides, "fp", "left_semi").select("fp", shingles(F.col("text")).alias("s")))
+    joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+    return joined.where(jaccard(F.col("sa"), F.col("sb")) >= least).select("a", "b")
+
+
+def deduplicate(docs: DataFrame, radius: int = 12, sure: int = 4, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near copies, the one of least id; all columns of docs.
+
+    Texts are near copies if they share ``similarity`` of their five-word shingles. Their three-word fingerprints
+    then differ in few bits: links of at most ``sure`` bits are taken as they are (unrelated texts differ in
+    four bits or fewer with probability under 1e-13), wider ones up to ``radius`` are verified on the texts. At
+    this radius the population counts rule out little, so the comparison is quadratic in distinct fingerprints.
+    """
+    rows = materialise(docs.withColumns({"__fp": fingerprint_column(F.col(text_col)), "__row": F.monotonically_increasing_id()}))
+    nodes = materialise(rows.groupBy("__fp").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("low")).withColumnRenamed("__fp", "fp"))
+    found = materialise(links(nodes.select("fp"), radius, sure, parts=1, block=8192).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").distinct())
+    first = rows.join(nodes.select(F.col("low.row").alias("__row"), F.col("fp").alias("__node")), "__row").select(F.col("__node").alias("fp"), F.col(text_col).alias("text"))
+    verified = jaccard_at_least(found.where(F.col("bits") > sure).select("a", "b"), first, shingle, similarity)
+    groups = components(found.where(F.col("bits") <= sure).select("a", "b").union(verified))
+    roots = nodes.join(groups, nodes.fp == groups.node, "left").select("low", F.coalesce("root", "fp").alias("root"))
+    kept = roots.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
