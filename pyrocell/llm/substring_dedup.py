@@ -230,7 +230,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     answers = sent_keys.groupBy("bucket").applyInArrow(resolve, "chunk bigint, bucket bigint, later binary")
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "later")).alias("answers"))
     both = chunks.join(answers, "chunk", "left").select("payload", "answers")
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" if digest else StructType(docs.schema.fields).add("n_words", "long").add("n_removed", "long")
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" if digest else StructType([*docs.schema.fields]).add("n_words", "long").add("n_removed", "long")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
