@@ -36,7 +36,7 @@ CHUNK = 1 << 16
 LONG = 1 << 12
 #: No rule joins the pair; above every rank.
 NONE = 1 << 62
-CACHE = 1 << 20
+CACHE = 1 << 18
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -124,8 +124,7 @@ def sketch(chunks: DataFrame, text_col: str, bits: int) -> list[np.ndarray]:
     part = (1 << bits) // 8 // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = [np.zeros(1 << bits, bool) for _ in range(DEPTH)]
-        two = [np.zeros(1 << bits, bool) for _ in range(DEPTH)]
+        counts = [np.zeros(1 << bits, np.uint8) for _ in range(DEPTH)]
         for batch in batches:
             for payload in batch.column("payload"):
                 w = Words(as_bytes(from_ipc(payload.as_py()).column(text_col).combine_chunks()))
@@ -136,13 +135,12 @@ def sketch(chunks: DataFrame, text_col: str, bits: int) -> list[np.ndarray]:
                 anchor = anchor[np.unique(place, return_index=True)[1]]
                 for row, c in enumerate(counters(anchor, bits)):
                     seen, n = np.unique(c, return_counts=True)
-                    two[row][seen[(n > 1) | one[row][seen]]] = True
-                    one[row][seen] = True
+                    counts[row][seen] = np.minimum(2, counts[row][seen] + np.minimum(n, 2))
         task = TaskContext.get().partitionId()
         for row in range(DEPTH):
-            a, b = np.packbits(one[row]), np.packbits(two[row])
             for s in range(SLICES):
-                x, y = a[s * part : (s + 1) * part], b[s * part : (s + 1) * part]
+                c = counts[row][8 * s * part : 8 * (s + 1) * part]
+                x, y = np.packbits(c > 0), np.packbits(c > 1)
                 yield pa.RecordBatch.from_arrays([pa.array([row * SLICES + s]), pa.array([task]), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], names)
 
     def merge(key: tuple, t: pa.Table) -> pa.Table:

@@ -41,7 +41,7 @@ SLOTS = 1 << 11
 FULL, TOP, BOTTOM = np.uint64((1 << 48) - 1), np.uint64(1 << 32), np.uint64(1 << 20)
 SHIFT = np.uint32(32 - 11)
 MOST, REFRESH = 1 << 14, 16
-CACHE = 1 << 20
+CACHE = 1 << 18
 
 
 class LaneModel:
