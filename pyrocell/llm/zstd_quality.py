@@ -122,6 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> QualityM
     """docs (id, text), labels (id, label): learns from a bounded sample of the labelled rows."""
     cut = F.when(F.octet_length("text") > MOST_BYTES, F.concat(*(F.substring("text", 1, 1 << 13), *(F.expr(f"substring(text, cast(length(text) * {k} / 8 as int), 8192)") for k in range(1, 8))))).otherwise(F.col("text"))
     rows = sample(labels.where("id IS NOT NULL AND label IN (0, 1)"), "label", per_label)
+    rows = F.broadcast(rows)  # the bounded sample: about 2 * per_label rows
     got = docs.join(rows, "id").select("id", "label", cut.cast("binary").alias("text")).collect()
     got.sort(key=lambda r: (hash_order(r.id), r.label, bytes(r.text or b"")))
     return fit([(r.label, bytes(r.text or b"")) for r in got])
