@@ -102,8 +102,9 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 128) -> Itera
 def links(fps: DataFrame, radius: int = 2, sure: int | None = None, parts: int = 4, block: int = 512) -> DataFrame:
     """Links (a, b, bits), a and b distinct fingerprints, over a column ``fp`` of distinct fingerprints.
 
-    Links of at most ``sure`` bits (all by default) come as a spanning forest of each block pair. For wider
-    links, which a caller verifies, every fingerprint is linked to its nearest in each tree of that forest.
+    Each block pair gives a spanning forest of its links, the closest first. Of links wider than ``sure`` bits
+    (none by default), which a caller verifies and may reject, every fingerprint also keeps its eight nearest in
+    each block pair, so a group of n near copies gives links in proportion to n.
     """
     sure = radius if sure is None else sure
     width = 64 // parts
@@ -165,32 +166,18 @@ def _moved(blocks: DataFrame, parts: int, radius: int, base: int) -> DataFrame:
     return out.where(inside).select((F.col("tile") + move).alias("tile"), F.col("tile").alias("from"), F.col("blk").alias("blk_b"), F.col("fps").alias("fps_b"))
 
 
-def _thin(x: np.ndarray, y: np.ndarray, d: np.ndarray, n: int, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A spanning forest of the sure links; of the others, each end's nearest in each tree it is not in."""
-    near = d <= sure
-    sx, sy, sd = x[near], y[near], d[near]
-    keep = _forest(np.stack([sx, sy], 1), n) if len(sx) else np.zeros(0, bool)
-    sx, sy, sd = sx[keep], sy[keep], sd[keep]
-    if near.all():
-        return sx, sy, sd
-    tree = np.arange(n)
-    for _ in range(64):  # labels sink to the least index of a tree; a forest's depth halves each round
-        low = tree.copy()
-        np.minimum.at(low, sx, tree[sy])
-        np.minimum.at(low, sy, tree[sx])
-        low = low[low]
-        if (low == tree).all():
-            break
-        tree = low
-    x, y, d = x[~near], y[~near], d[~near]
-    apart = tree[x] != tree[y]
-    x, y, d = x[apart], y[apart], d[apart]
-    ends, others = np.concatenate([x, y]), np.concatenate([y, x])
-    order = np.lexsort((others, np.concatenate([d, d]), tree[others], ends))
-    ends, others, dd = ends[order], others[order], np.concatenate([d, d])[order]
-    first = np.ones(len(ends), bool)
-    first[1:] = (ends[1:] != ends[:-1]) | (tree[others[1:]] != tree[others[:-1]])
-    return np.concatenate([sx, ends[first]]), np.concatenate([sy, others[first]]), np.concatenate([sd, dd[first]])
+def _thin(x: np.ndarray, y: np.ndarray, d: np.ndarray, n: int, sure: int, nearest: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the links, the closest first; besides, of the links wider than sure each end's nearest."""
+    order = np.argsort(d, kind="stable")
+    x, y, d = x[order], y[order], d[order]
+    keep = _forest(np.stack([x, y], 1), n)
+    wide = np.flatnonzero(d > sure)
+    if len(wide):
+        ends, link = np.concatenate([x[wide], y[wide]]), np.concatenate([wide, wide])
+        by = np.lexsort((link, ends))  # links are ordered by distance already
+        ends, link = ends[by], link[by]
+        keep[link[np.arange(len(ends)) - np.searchsorted(ends, ends) < nearest]] = True
+    return x[keep], y[keep], d[keep]
 
 
 def components(edges: DataFrame) -> DataFrame:
