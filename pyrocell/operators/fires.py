@@ -87,9 +87,9 @@ def make_fire_ids(fires: DataFrame, grid: GridSpec, radius: float) -> DataFrame:
     return patches(grown, grid, 4, ["year"]).join(fires.select("year", "pixelID").distinct(), ["year", "pixelID"], "left_semi").select("year", "pixelID", F.col("patch").alias("ids"))
 
 
-def raster_fire_buffers(fires: DataFrame, grid: GridSpec, radius: float, mask: DataFrame, min_size: float = 5000) -> DataFrame:
+def raster_fire_buffers(fires: DataFrame, grid: GridSpec, radius: float, mask: DataFrame, min_size: float = 5000, area: Callable[[Column], Column] = multiplier) -> DataFrame:
     """Ids from connection, then growth through the mask, all years at once."""
-    return buffer_to_area(make_fire_ids(fires, grid, radius), grid, min_size=min_size, mask=mask, resolve=False)
+    return buffer_to_area(make_fire_ids(fires, grid, radius), grid, area, min_size, mask, resolve=False)
 
 
 def buffer_ignition_points(points: DataFrame, radius: float, grid: GridSpec) -> DataFrame:

@@ -159,10 +159,10 @@ def score_ad(values: DataFrame) -> DataFrame:
     """Two-sample Anderson-Darling statistic x 50 of values (value, sample 0/1), over the pooled distinct values."""
     per = values.groupBy("value").agg(F.count("*").alias("l"), F.sum((F.col("sample") == 0).cast("int")).alias("f"))
     w = W.orderBy("value").rowsBetween(W.unboundedPreceding, 0)  # one row per distinct value
-    run = per.withColumns({"H": F.sum("l").over(w), "M": F.sum("f").over(w)})
-    tot = per.agg(F.sum("l").alias("N"), F.sum("f").alias("n"))
-    z = run.crossJoin(F.broadcast(tot)).where("H < N").withColumn("m", F.col("N") - F.col("n"))
-    term = F.col("l") / F.col("N") * F.pow(F.col("N") * F.col("M") - F.col("n") * F.col("H"), F.lit(2.0)) / (F.col("H") * (F.col("N") - F.col("H")))
+    run = per.withColumns({"H": F.sum("l").over(w), "first": F.sum("f").over(w)})
+    tot = per.agg(F.sum("l").alias("total"), F.sum("f").alias("n"))
+    z = run.crossJoin(F.broadcast(tot)).where("H < total").withColumn("m", F.col("total") - F.col("n"))
+    term = F.col("l") / F.col("total") * F.pow(F.col("total") * F.col("first") - F.col("n") * F.col("H"), F.lit(2.0)) / (F.col("H") * (F.col("total") - F.col("H")))
     return z.agg((F.sum(term) * F.max(1 / F.col("n") + 1 / F.col("m")) * 50).alias("ad"))
 
 
