@@ -432,7 +432,7 @@ def nearest_cell_same_fire(v):
 
 @query("""WITH b AS (SELECT f.year, f.ids, f.pixelID, (c.c + 0.5) * 250.0 AS x, -(c.r + 0.5) * 250.0 AS y FROM fire_buffered f JOIN cell c USING (pixelID) WHERE buffer = 1),
  m AS (SELECT year, ids, avg(x) mx, avg(y) my, count(*) n FROM b GROUP BY year, ids), d AS (SELECT b.*, m.n AS k, round(sqrt((x - mx) * (x - mx) + (y - my) * (y - my)), 6) dist FROM b JOIN m USING (year, ids))
- SELECT year, ids AS FIRE_ID, pixelID, k AS size, k * 6.25 AS POLY_HA FROM (SELECT *, row_number() OVER (PARTITION BY year, ids ORDER BY dist, pixelID) o FROM d) WHERE o = 1""")
+ SELECT year, ids AS FIRE_ID, pixelID, k AS size, CAST(k * 6.25 AS DOUBLE) AS POLY_HA FROM (SELECT *, row_number() OVER (PARTITION BY year, ids ORDER BY dist, pixelID) o FROM d) WHERE o = 1""")
 def raster_fire_spread_points(v):
     return N.raster_fire_spread_points(v.fire_buffered, grid_of(v))
 
@@ -688,10 +688,10 @@ def cumulative_burn(v):
     return E.cumulative_burn(v.burn_year.withColumn("burned", F.lit(1)), 5, v.landcover)
 
 
-@query("""SELECT iter, variable, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi, round(var_samp(value), 4) AS variance,
+@query("""SELECT iter, variable, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi, round(var_samp(value), 2) AS variance,
  round(quantile_cont(value, 0.975) - quantile_cont(value, 0.025), 6) AS width FROM population GROUP BY iter, variable""")
 def population_summary(v):
-    return E.population_summary(v.population).withColumns({c: r6(c) for c in ("mean", "lo", "hi", "width")} | {"variance": F.round("variance", 4)})
+    return E.population_summary(v.population).withColumns({c: r6(c) for c in ("mean", "lo", "hi", "width")} | {"variance": F.round("variance", 2)})
 
 
 @query("""WITH b AS (SELECT iter, min(value) AS value FROM population GROUP BY iter), s AS (SELECT CAST(k AS BIGINT) AS segment, b.* FROM b JOIN range(0, 100000) t(k) ON b.iter BETWEEN k * 25 AND k * 25 + 174)
