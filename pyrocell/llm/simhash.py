@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from pyrocell.llm.common import as_bytes, materialise, shared_dir
 
@@ -99,18 +100,12 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 128) -> Itera
             yield x + i, y, d[x, y]
 
 
-def links(fps: DataFrame, radius: int = 2, sure: int | None = None, parts: int = 4, block: int = 512) -> DataFrame:
-    """Links (a, b, bits), a and b distinct fingerprints, over a column ``fp`` of distinct fingerprints.
-
-    Each block pair gives a spanning forest of its links, the closest first. Of links wider than ``sure`` bits
-    (none by default), which a caller verifies and may reject, every fingerprint also keeps its eight nearest in
-    each block pair, so a group of n near copies gives links in proportion to n.
-    """
-    sure = radius if sure is None else sure
+def block_pairs(fps: DataFrame, radius: int, parts: int, block: int, item: Column) -> DataFrame:
+    """Pairs of blocks (fps_a, fps_b: arrays of item, same: is it one block?) that may hold fingerprints within radius."""
     width = 64 // parts
     base = width + 1
     field = lambda i: F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1)) if parts > 1 else F.col("fp"))
-    tiled = fps.select("fp", *(field(i).alias(f"p{i}") for i in range(parts)))
+    tiled = fps.withColumns({f"p{i}": field(i) for i in range(parts)})
     code = lambda cols: sum((c.cast("long") * base**i for i, c in enumerate(cols)), F.lit(0).cast("long"))
     tiled = tiled.withColumn("tile", code([F.col(f"p{i}") for i in range(parts)]))
     # one row per tile: at most base ** parts (83,521 for four parts), so it may be broadcast
@@ -119,20 +114,26 @@ def links(fps: DataFrame, radius: int = 2, sure: int | None = None, parts: int =
         tiled.join(F.broadcast(sizes), "tile")
         .withColumn("blk", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / block)).cast("int"))
         .groupBy("tile", *(f"p{i}" for i in range(parts)), "blk")
-        .agg(F.collect_list("fp").alias("fps"))
+        .agg(F.collect_list(item).alias("fps"))
     )
     blocks = materialise(blocks)
     other = _moved(blocks, parts, radius, base)
-    pairs = (
+    return (
         blocks.select("tile", F.col("blk").alias("blk_a"), F.col("fps").alias("fps_a"))
         .join(other, "tile")
         .where((F.col("tile") != F.col("from")) | (F.col("blk_a") <= F.col("blk_b")))
         .select("fps_a", "fps_b", ((F.col("tile") == F.col("from")) & (F.col("blk_a") == F.col("blk_b"))).alias("same"))
     )
 
+
+def links(fps: DataFrame, radius: int = 2, parts: int = 4, block: int = 512) -> DataFrame:
+    """Links (a, b), a and b distinct fingerprints, over a column ``fp`` of distinct fingerprints: of each block
+    pair a spanning forest of its links, which joins the same fingerprints as all of them."""
+    pairs = block_pairs(fps, radius, parts, block, F.col("fp"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, ys, ds = [], [], []
+            xs, ys = [], []
             for row in range(batch.num_rows):
                 a = batch.column(0)[row].values.to_numpy().view(np.uint64)
                 b = batch.column(1)[row].values.to_numpy().view(np.uint64)
@@ -140,17 +141,55 @@ def links(fps: DataFrame, radius: int = 2, sure: int | None = None, parts: int =
                 found = [*compare(a, b, radius)]
                 if not found:
                     continue
-                x, y, d = (np.concatenate(z) for z in zip(*found))
+                x, y = (np.concatenate(z) for z in list(zip(*found))[:2])
                 if same:
-                    x, y, d = (z[x < y] for z in (x, y, d))
-                x, y, d = _thin(x, y if same else y + len(a), d, len(a) + (0 if same else len(b)), sure)
+                    x, y = x[x < y], y[x < y]
+                ends = np.stack([x, y if same else y + len(a)], 1)
+                x, y = ends[_forest(ends, len(a) + len(b))].T
                 both = a if same else np.concatenate([a, b])
-                xs.append(both[x]), ys.append(both[y]), ds.append(d)
+                xs.append(both[x]), ys.append(both[y])
             if xs:
-                x, y, d = (np.concatenate(z) for z in (xs, ys, ds))
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(d.astype(np.int32))], ["a", "b", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).view(np.int64)) for z in (xs, ys)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a bigint, b bigint")
+
+
+def nearest_links(fps: DataFrame, radius: int, nearest: int, block: int = 4096) -> DataFrame:
+    """Links (a, b, bits, more), a below b, between fingerprints of different groups, over distinct fingerprints
+    (fp, grp): each fingerprint keeps its ``nearest`` links of each block pair; ``more`` says that others went."""
+    pairs = block_pairs(fps, radius, 1, block, F.struct("fp", "grp"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (a, ga), (b, gb) = ([batch.column(i)[row].values.field(f).to_numpy() for f in (0, 1)] for i in (0, 1))
+                same, more, found = batch.column(2)[row].as_py(), False, []
+                for x, y, d in compare(a.view(np.uint64), b.view(np.uint64), radius):
+                    at = ga[x] != gb[y]
+                    if same:
+                        at &= x < y
+                    x, y, d = x[at], y[at], d[at]
+                    keep = _closest(x, d, nearest) | _closest(y, d, nearest)
+                    more |= not keep.all()
+                    found.append((x[keep], y[keep], d[keep]))
+                if not sum(len(x) for x, _, _ in found):
+                    continue
+                x, y, d = (np.concatenate(z) for z in zip(*found))
+                keep = _closest(x, d, nearest) | _closest(y, d, nearest)
+                more |= not keep.all()
+                x, y = a[x[keep]], b[y[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d[keep].astype(np.int32)), pa.array(np.full(len(x), more))], ["a", "b", "bits", "more"])
 
-    return pairs.mapInArrow(run, "a bigint, b bigint, bits int")
+    return pairs.mapInArrow(run, "a bigint, b bigint, bits int, more boolean")
+
+
+def _closest(end: np.ndarray, d: np.ndarray, nearest: int) -> np.ndarray:
+    """Which links are among the nearest ones of their end."""
+    by = np.lexsort((d, end))
+    keep = np.zeros(len(end), bool)
+    sorted_ = end[by]
+    keep[by[np.arange(len(by)) - np.searchsorted(sorted_, sorted_) < nearest]] = True
+    return keep
 
 
 def _moved(blocks: DataFrame, parts: int, radius: int, base: int) -> DataFrame:
@@ -166,20 +205,6 @@ def _moved(blocks: DataFrame, parts: int, radius: int, base: int) -> DataFrame:
     return out.where(inside).select((F.col("tile") + move).alias("tile"), F.col("tile").alias("from"), F.col("blk").alias("blk_b"), F.col("fps").alias("fps_b"))
 
 
-def _thin(x: np.ndarray, y: np.ndarray, d: np.ndarray, n: int, sure: int, nearest: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A spanning forest of the links, the closest first; besides, of the links wider than sure each end's nearest."""
-    order = np.argsort(d, kind="stable")
-    x, y, d = x[order], y[order], d[order]
-    keep = _forest(np.stack([x, y], 1), n)
-    wide = np.flatnonzero(d > sure)
-    if len(wide):
-        ends, link = np.concatenate([x[wide], y[wide]]), np.concatenate([wide, wide])
-        by = np.lexsort((link, ends))  # links are ordered by distance already
-        ends, link = ends[by], link[by]
-        keep[link[np.arange(len(ends)) - np.searchsorted(ends, ends) < nearest]] = True
-    return x[keep], y[keep], d[keep]
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of an undirected graph (a, b) of long nodes: root is the least node of the component."""
     shared_dir(edges.sparkSession)
@@ -212,8 +237,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, k: int = 3, id_col: str =
     return rows.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def jaccard_at_least(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
-    """Of the pairs (a, b), those whose texts (fp, text) share at least ``least`` of their distinct k-word shingles."""
+def verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+    """(a, b, near): do the texts (fp, text) of a pair share at least ``least`` of their distinct k-word shingles?"""
     sides = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
 
     @F.arrow_udf("binary")
@@ -231,23 +256,45 @@ def jaccard_at_least(pairs: DataFrame, texts: DataFrame, k: int, least: float) -
 
     sets = materialise(texts.join(sides, "fp", "left_semi").select("fp", shingles(F.col("text")).alias("s")))
     joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
-    return joined.where(jaccard(F.col("sa"), F.col("sb")) >= least).select("a", "b")
+    return joined.select("a", "b", (jaccard(F.col("sa"), F.col("sb")) >= least).alias("near"))
 
 
 def deduplicate(docs: DataFrame, radius: int = 12, sure: int = 4, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies, the one of least id; all columns of docs.
 
     Texts are near copies if they share ``similarity`` of their five-word shingles. Their three-word fingerprints
-    then differ in few bits: links of at most ``sure`` bits are taken as they are (unrelated texts differ in
-    four bits or fewer with probability under 1e-13), wider ones up to ``radius`` are verified on the texts. At
-    this radius the population counts rule out little, so the comparison is quadratic in distinct fingerprints.
+    then differ in few bits. Links of at most ``sure`` bits are taken as they are (unrelated texts differ in four
+    bits or fewer with probability under 1e-13) and give the first groups. Wider links, up to ``radius``, are
+    verified on the texts, in rounds: each fingerprint proposes its nearest links into other groups (one, then
+    eight, 64, ...), accepted ones merge groups, and the next round takes only fingerprints that still had links.
+    The last round is the one that left no link out, so every link between two final groups was verified and
+    rejected; a group of n near copies needs about n verifications, as its links fall inside it once it merged.
+    At this radius the population counts rule out little, so the comparison is quadratic in distinct fingerprints.
     """
     rows = materialise(docs.withColumns({"__fp": fingerprint_column(F.col(text_col)), "__row": F.monotonically_increasing_id()}))
     nodes = materialise(rows.groupBy("__fp").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("low")).withColumnRenamed("__fp", "fp"))
-    found = materialise(links(nodes.select("fp"), radius, sure, parts=1, block=8192).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").distinct())
     first = rows.join(nodes.select(F.col("low.row").alias("__row"), F.col("fp").alias("__node")), "__row").select(F.col("__node").alias("fp"), F.col(text_col).alias("text"))
-    verified = jaccard_at_least(found.where(F.col("bits") > sure).select("a", "b"), first, shingle, similarity)
-    groups = components(found.where(F.col("bits") <= sure).select("a", "b").union(verified))
-    roots = nodes.join(groups, nodes.fp == groups.node, "left").select("low", F.coalesce("root", "fp").alias("root"))
-    kept = roots.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("__row"))
+    grouped = _regroup(nodes.select("fp", F.col("fp").alias("grp")), links(nodes.select("fp"), sure, parts=2, block=1024))
+    active, tried, nearest = grouped, None, 1
+    while True:
+        found = materialise(nearest_links(active, radius, nearest))
+        ends = found.select("a", "b", "bits", F.explode(F.array("a", "b")).alias("end"))
+        rank = F.row_number().over(W.partitionBy("end").orderBy("bits", "a", "b"))
+        picked = materialise(ends.withColumn("n", rank).where(F.col("n") <= nearest).select("a", "b").distinct())
+        rest = not found.where("more").isEmpty() or picked.count() < found.count()
+        verdicts = materialise(verify(picked if tried is None else picked.join(tried, ["a", "b"], "left_anti"), first, shingle, similarity))
+        grouped = _regroup(grouped, verdicts.where("near").select("a", "b"))
+        if not rest:
+            break
+        tried = verdicts.select("a", "b") if tried is None else tried.union(verdicts.select("a", "b"))
+        active, nearest = grouped.join(ends.select(F.col("end").alias("fp")).distinct(), "fp", "left_semi"), nearest * 8
+    kept = nodes.join(grouped, "fp").groupBy("grp").agg(F.min("low").alias("low")).select(F.col("low.row").alias("__row"))
     return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+
+
+def _regroup(grouped: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, grp) with the groups merged that edges (a, b) of fingerprints join."""
+    ga, gb = (grouped.select(F.col("fp").alias(c), F.col("grp").alias(f"g{c}")) for c in "ab")
+    between = edges.join(ga, "a").join(gb, "b").where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+    merged = components(between).select(F.col("node").alias("grp"), "root")
+    return materialise(grouped.join(merged, "grp", "left").select("fp", F.coalesce("root", "grp").alias("grp")))

@@ -36,6 +36,31 @@ def test_simhash_groups(spark):
     assert got[1].fingerprint == "0" * 16
 
 
+def test_near_copies_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    texts = [None, "", "one two"]
+    for group in range(6):
+        base = [f"g{group}w{i}" for i in rng.integers(0, 10**6, 150)]
+        for _ in range(12):
+            copy = list(base)
+            for at in rng.integers(0, 150, rng.integers(0, 4)):
+                copy[at] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(copy))
+    sets = [np.unique(simhash.shingle_hashes((t or "").encode().lower().split(), 5)) for t in texts]
+    bits = [simhash.fingerprint((t or "").encode()) for t in texts]
+    low = list(range(len(texts)))
+    for _ in texts:  # labels sink to the least of each group
+        for i in range(len(texts)):
+            for j in range(i):
+                apart = bin((bits[i] ^ bits[j]) & (2**64 - 1)).count("1")
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if apart <= 4 or (apart <= 12 and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)):
+                    low[i] = low[j] = min(low[i], low[j])
+    got = sorted(r.doc_id for r in simhash.deduplicate(docs(spark, texts)).collect())
+    assert got == sorted(set(low)) and len(got) < 20
+    assert simhash.deduplicate(docs(spark, texts).limit(0)).count() == 0
+
+
 def test_substring_dedup_against_brute_force(spark):
     words = [f"w{i}" for i in range(60)]
     texts = [" ".join(words), " ".join(["x", *words[10:40], "y"]), None, "", " ".join(words[:19])]
