@@ -154,18 +154,31 @@ def links(fps: DataFrame, radius: int = 2, parts: int = 4, block: int = 512) ->
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
-def nearest_links(fps: DataFrame, radius: int, nearest: int, block: int = 4096) -> DataFrame:
+def nearest_links(fps: DataFrame, radius: int, nearest: int, least: float, block: int = 4096) -> DataFrame:
     """Links (a, b, bits, more), a below b, between fingerprints of different groups, over distinct fingerprints
-    (fp, grp): each fingerprint keeps its ``nearest`` links of each block pair; ``more`` says that others went."""
-    pairs = block_pairs(fps, radius, 1, block, F.struct("fp", "grp"))
+    (fp, grp): each fingerprint keeps its ``nearest`` links of each block pair; ``more`` says that others went. With a column
+    ``counts`` (of ``shingle_counts``) links whose texts can't share ``least`` of their shingles are no links: two
+    texts share at most the sum of the lesser counts."""
+    counted = "counts" in fps.columns
+    pairs = block_pairs(fps, radius, 1, block, F.struct("fp", "grp", *["counts"] * counted))
+
+    def table(items: pa.StructArray) -> np.ndarray:
+        return np.frombuffer(b"".join(items.field(2).to_pylist()), "<u4").reshape(len(items), -1).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 (a, ga), (b, gb) = ([batch.column(i)[row].values.field(f).to_numpy() for f in (0, 1)] for i in (0, 1))
                 same, more, found = batch.column(2)[row].as_py(), False, []
-                for x, y, d in compare(a.view(np.uint64), b.view(np.uint64), radius):
+                if counted:
+                    ca, cb = (table(batch.column(i)[row].values) for i in (0, 1))
+                    na, nb = ca.sum(1), cb.sum(1)
+                for x, y, d in compare(a.view(np.uint64), b.view(np.uint64), radius, 16 if counted else 128):
                     at = ga[x] != gb[y]
+                    if counted:
+                        x, y, d = x[at], y[at], d[at]
+                        most = np.minimum(ca[x], cb[y]).sum(1)
+                        at = most / np.maximum(1, na[x] + nb[y] - most) >= least
                     if same:
                         at &= x < y
                     x, y, d = x[at], y[at], d[at]
@@ -237,6 +250,16 @@ def near_duplicates(docs: DataFrame, radius: int = 2, k: int = 3, id_col: str =
     return rows.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_counts(text: Column, k: int, cells: int = 64) -> Column:
+    """How many distinct k-word shingles hash to each cell, as little-endian unsigned 32-bit integers."""
+
+    @F.arrow_udf("binary")
+    def of(rows: pa.Array) -> pa.Array:
+        return pa.array([np.bincount((np.unique(shingle_hashes((t or b"").lower().split(), k)) % np.uint64(cells)).astype(np.int64), minlength=cells).astype("<u4").tobytes() for t in as_bytes(rows)], pa.binary())
+
+    return of(text)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
     """(a, b, near): do the texts (fp, text) of a pair share at least ``least`` of their distinct k-word shingles?"""
     sides = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
@@ -266,7 +289,8 @@ def deduplicate(docs: DataFrame, radius: int = 12, sure: int = 4, shingle: int =
     then differ in few bits. Links of at most ``sure`` bits are taken as they are (unrelated texts differ in four
     bits or fewer with probability under 1e-13) and give the first groups. Wider links, up to ``radius``, are
     verified on the texts, in rounds: each fingerprint proposes its nearest links into other groups (one, then
-    eight, 64, ...), accepted ones merge groups, and the next round takes only fingerprints that still had links.
+    eight, 64, ...), accepted ones merge groups, and the next round takes only fingerprints that still had links,
+    and of these only links that the counts of their shingles leave possible.
     The last round is the one that left no link out, so every link between two final groups was verified and
     rejected; a group of n near copies needs about n verifications, as its links fall inside it once it merged.
     At this radius the population counts rule out little, so the comparison is quadratic in distinct fingerprints.
@@ -275,9 +299,9 @@ def deduplicate(docs: DataFrame, radius: int = 12, sure: int = 4, shingle: int =
     nodes = materialise(rows.groupBy("__fp").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("low")).withColumnRenamed("__fp", "fp"))
     first = rows.join(nodes.select(F.col("low.row").alias("__row"), F.col("fp").alias("__node")), "__row").select(F.col("__node").alias("fp"), F.col(text_col).alias("text"))
     grouped = _regroup(nodes.select("fp", F.col("fp").alias("grp")), links(nodes.select("fp"), sure, parts=2, block=1024))
-    active, tried, nearest = grouped, None, 1
+    active, tried, counts, nearest = grouped, None, None, 1
     while True:
-        found = materialise(nearest_links(active, radius, nearest))
+        found = materialise(nearest_links(active, radius, nearest, similarity))
         ends = found.select("a", "b", "bits", F.explode(F.array("a", "b")).alias("end"))
         rank = F.row_number().over(W.partitionBy("end").orderBy("bits", "a", "b"))
         picked = materialise(ends.withColumn("n", rank).where(F.col("n") <= nearest).select("a", "b").distinct())
@@ -287,7 +311,10 @@ def deduplicate(docs: DataFrame, radius: int = 12, sure: int = 4, shingle: int =
         if not rest:
             break
         tried = verdicts.select("a", "b") if tried is None else tried.union(verdicts.select("a", "b"))
-        active, nearest = grouped.join(ends.select(F.col("end").alias("fp")).distinct(), "fp", "left_semi"), nearest * 8
+        nodes_left = ends.select(F.col("end").alias("fp")).distinct()
+        if counts is None:
+            counts = materialise(first.join(nodes_left, "fp", "left_semi").select("fp", shingle_counts(F.col("text"), shingle).alias("counts")))
+        active, nearest = grouped.join(nodes_left, "fp", "left_semi").join(counts, "fp"), nearest * 8
     kept = nodes.join(grouped, "fp").groupBy("grp").agg(F.min("low").alias("low")).select(F.col("low.row").alias("__row"))
     return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
