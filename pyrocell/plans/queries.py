@@ -14,6 +14,7 @@ from pyrocell.operators import fires as N
 from pyrocell.operators import spatial as D
 from pyrocell.operators import summaries as E
 from pyrocell.operators import tables as T
+from pyrocell.operators import zones as Z
 from pyrocell.plans.views import Views, with_views
 from pyrocell.sources import tables as A
 from pyrocell.storage import scratch
@@ -774,3 +775,59 @@ def ignition_nll(v):
 def auc(v):
     b = v.burn_year.select("pixelID").distinct().withColumn("y", F.lit(1))
     return E.auc(v.cell.where("age IS NOT NULL").join(b, "pixelID", "left").na.fill(0, ["y"]), "age", "y").withColumn("auc", r6("auc"))
+
+
+# zones and spread scores
+
+
+@query("""SELECT pixelID, CAST(coalesce(max(CASE WHEN v = 2 THEN zone + 1 END), max(CASE WHEN v = 1 THEN zone + 1 END), 0) AS INT) AS code
+ FROM zone WHERE pixelID IN (SELECT pixelID FROM cell WHERE flammable = 1) GROUP BY pixelID""")
+def zones_in_study_area(v):
+    return Z.zones_in_study_area(v.zone, v.cell.where("flammable = 1"), F.col("zone") + 1)
+
+
+@query('SELECT zone AS "ID", pixelID, CASE WHEN v = 1 THEN 1 ELSE 0 END AS buffer FROM zone WHERE v > 0')
+def zone_polygons(v):
+    return Z.zone_polygons(v.zone)
+
+
+def zone_ids(v: Views) -> DataFrame:
+    return v.zone.select(F.concat(F.col("zone").cast("string"), F.lit("."), (F.col("pixelID") % 3).cast("string")).alias("ID"))
+
+
+def zone_fits(v: Views) -> DataFrame:
+    return v.nation.select(F.concat((F.col("n_nationkey") % 4).cast("string"), F.lit("."), (F.col("n_regionkey") % 2).cast("string")).alias("ID"))
+
+
+ZONE_IDS = """i AS (SELECT DISTINCT concat(CAST(zone AS VARCHAR), '.', CAST(pixelID % 3 AS VARCHAR)) AS "ID" FROM zone),
+ f AS (SELECT DISTINCT concat(CAST(n_nationkey % 4 AS VARCHAR), '.', CAST(n_regionkey % 2 AS VARCHAR)) AS "ID" FROM nation)"""
+
+
+@query(f"""WITH {ZONE_IDS} SELECT "ID", CASE WHEN "ID" IN (SELECT "ID" FROM f) THEN 2 ELSE 1 END AS status FROM i""")
+def zone_status(v):
+    return Z.zone_status(zone_ids(v), zone_fits(v))
+
+
+@query(f"""WITH {ZONE_IDS} SELECT "ID" FROM i WHERE "ID" IN (SELECT "ID" FROM f) AND "ID" NOT LIKE '1.%' AND "ID" NOT LIKE '2.%'""")
+def fitted_names(v):
+    return Z.fitted_names(zone_ids(v), zone_fits(v))
+
+
+@query("""WITH p AS (SELECT CASE WHEN buffer = 1 THEN ln(0.25 + (pixelID % 10) / 20.0) ELSE ln(0.75 - (pixelID % 10) / 20.0) END AS l FROM fire_buffered)
+ SELECT round(-sum(l) / 6e4, 6) AS snll FROM p""")
+def score_snll(v):
+    step = (F.col("pixelID") % 10) / 20.0
+    p = v.fire_buffered.select(F.when(F.col("buffer") == 1, F.log(0.25 + step)).otherwise(F.log(0.75 - step)).alias("logLik"))
+    return E.score_snll(p).withColumn("snll", r6("snll"))
+
+
+@query("""WITH g AS (SELECT CAST(user_id % 7 AS INT) AS param_id, CAST(1995 + event_id % 5 AS INT) AS year, median(p) AS med, median(o) AS m,
+  quantile_cont(o, 0.1) AS q10, quantile_cont(o, 0.9) AS q90, quantile_cont(o, 0.25) AS q25 FROM
+  (SELECT *, CASE WHEN p > 0.205 OR p > 0.297 THEN p END AS o FROM (SELECT user_id, event_id, CAST(0.2 AS DOUBLE) + (event_id % 97) * (user_id % 7) / CAST(1000 AS DOUBLE) AS p FROM events)) GROUP BY 1, 2),
+ k AS (SELECT *, coalesce((q90 - q10) / m, 0.0) AS spread FROM g), r AS (SELECT *, coalesce(med BETWEEN 0.2 AND 0.5 AND spread > 0.025 AND q25 < 0.265, false) AS ok FROM k)
+ SELECT param_id, year, round(med, 6) AS med, round(spread, 6) AS spread, CASE WHEN ok THEN 1 ELSE 0 END AS pass, CASE WHEN NOT ok THEN CAST(200.324903 AS DOUBLE) END AS score FROM r""")
+def landscape_gate(v):
+    prob = F.lit(0.2) + (F.col("event_id") % 97) * (F.col("user_id") % 7) / F.lit(1000.0)
+    p = v.events.select((F.col("user_id") % 7).cast("int").alias("param_id"), (1995 + F.col("event_id") % 5).cast("int").alias("year"), prob.alias("spreadProb"), F.lit(3).alias("n_fires"))
+    out = E.landscape_gate(p, 0.2, 0.5, 0.3)
+    return out.withColumns({c: r6(c) for c in ("med", "spread", "score")})

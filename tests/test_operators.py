@@ -7,6 +7,7 @@ from pyrocell.operators import covariates as H
 from pyrocell.operators import fires as N
 from pyrocell.operators import spatial as D
 from pyrocell.operators import tables as T
+from pyrocell.operators import zones as Z
 
 GRID = GridSpec(0, 0, 1, 1, 10, 10)
 
@@ -55,3 +56,14 @@ def test_young_age_equals_the_year_loop(spark):
     burned = spark.createDataFrame([(3, 1995)], "pixelID long, year int")
     got = {(r.pixelID, r.year): r.youngAge for r in H.calc_young_age([1995, 1996, 1997], cells, burned).collect()}
     assert [got[1, y] for y in (1995, 1996, 1997)] == [1, 1, 0] and got[2, 1997] == 1 and [got[3, y] for y in (1995, 1996)] == [0, 1]
+
+
+def test_zones(spark):
+    zone = spark.createDataFrame([(1, 1, 2), (2, 1, 2), (3, 1, 1), (3, 2, 1), (1, 3, 0), (1, 4, None), (1, 9, 2)], "zone int, pixelID long, v int")
+    got = Z.zones_in_study_area(zone, spark.range(1, 6).withColumnRenamed("id", "pixelID"), F.col("zone")).collect()
+    assert {r.pixelID: r.code for r in got} == {1: 2, 2: 3, 3: 0}
+    assert Z.zone_polygons(zone).count() == 5
+    ids, fits = (spark.createDataFrame([(x,) for x in xs], "ID string") for xs in (["1.2", "3.1", "4.1", "4.1", None], ["3.1", "1.2", "3.1", None]))
+    assert {r.ID: r.status for r in Z.zone_status(ids, fits).collect()} == {"1.2": 2, "3.1": 2, "4.1": 1, None: 1}
+    assert [r.ID for r in Z.fitted_names(ids, fits).collect()] == ["3.1"]
+    assert Z.zone_status(ids.limit(0), fits).count() == 0
