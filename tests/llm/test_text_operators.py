@@ -84,3 +84,19 @@ def test_counts_and_main_text():
 
 def test_compression_model_without_labels():
     assert zstd_quality.fit([]).score(None) == 0.5
+
+
+def test_simhash_groups_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: (r.text or "").encode() for r in rows.collect()}
+    bits = {i: simhash.fingerprint(t) & (2**64 - 1) for i, t in texts.items()}
+    low = {i: i for i in texts}
+    changed = True
+    while changed:
+        changed = False
+        for i in texts:
+            least = min(low[j] for j in texts if (bits[i] ^ bits[j]).bit_count() <= 2)
+            changed |= least < low[i]
+            low[i] = min(low[i], least)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(rows).collect()}
+    assert got == {i: (f"{bits[i]:016x}", low[i]) for i in texts}
