@@ -11,7 +11,8 @@ into blocks of bounded size and block pairs are compared by numpy exclusive-or a
 to one fingerprint first, and within a block pair only a spanning forest of the sure links leaves the task, so
 a group of n copies or near copies gives n links, not n squared.
 
-Groups. Connected components by alternating large-star and small-star rounds, each cut by a checkpoint.
+Groups. Connected components: tasks contract the links they hold, then large-star and small-star rounds, each
+written to the shared folder, join the rest.
 
 Ties and repeated ids: every row gets its own output row. A null id never becomes the name of a group; a group
 of null ids alone has a null component_id. Extra columns are ignored, whatever their names.
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pyrocell.llm.common import as_bytes, materialise, shared_dir
+from pyrocell.llm.common import as_bytes, materialise
 
 SEED = 42
 
@@ -218,23 +219,59 @@ def _moved(blocks: DataFrame, parts: int, radius: int, base: int) -> DataFrame:
     return out.where(inside).select((F.col("tile") + move).alias("tile"), F.col("tile").alias("from"), F.col("blk").alias("blk_b"), F.col("fps").alias("fps_b"))
 
 
+def contract(edges: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """Edges (u, v), v below u, that join the same nodes: each run of at most ``block`` edges of a task becomes one
+    star for each of its components. No shuffle; memory is bounded by the block."""
+
+    def stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        parent = list(range(len(nodes)))
+        for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist()):
+            while parent[a] != a:
+                parent[a] = a = parent[parent[a]]
+            while parent[b] != b:
+                parent[b] = b = parent[parent[b]]
+            parent[max(a, b)] = min(a, b)
+        root = np.array(parent, np.int64)
+        while (above := root[root]).tolist() != root.tolist():
+            root = above
+        child = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root[child]])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, block):
+                part = batch.slice(i, block)
+                if n and n + part.num_rows > block:
+                    yield stars(*(np.concatenate(x) for x in zip(*held)))
+                    held, n = [], 0
+                held.append([c.to_numpy() for c in part.columns])
+                n += part.num_rows
+        if n:
+            yield stars(*(np.concatenate(x) for x in zip(*held)))
+
+    return edges.mapInArrow(run, "u bigint, v bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of an undirected graph (a, b) of long nodes: root is the least node of the component."""
-    shared_dir(edges.sparkSession)
+    """(node, root) of an undirected graph (a, b) of long nodes: root is the least node of the component; nodes
+    that are their own root are left out. Tasks contract the edges they hold first; large-star and small-star
+    rounds join what is left, until each node has one neighbour below it and that one has none."""
     down = lambda df: df.where(F.col("u") > F.col("v")).distinct()
-    e = down(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))).checkpoint()
-    mark = None
+    e = materialise(contract(materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))))
     while True:
+        seen = e.union(e.select(F.col("v").alias("u"), "v")).groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+        if seen.where("low <> high").isEmpty():
+            return e.distinct().select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = down(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        e = down(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))).checkpoint()
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = now
+        # the two sides of small's edges need no distinct: contraction drops repeated edges
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u > v")
+        e = materialise(contract(materialise(small)))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

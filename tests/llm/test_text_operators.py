@@ -100,3 +100,22 @@ def test_simhash_groups_against_brute_force(spark):
             low[i] = min(low[i], least)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(rows).collect()}
     assert got == {i: (f"{bits[i]:016x}", low[i]) for i in texts}
+
+
+def test_components_against_search(spark):
+    rng = np.random.default_rng(3)
+    chain = [(i, i + 1) for i in range(1000, 1300)]
+    edges = [*chain, (5, 5), *((int(a), int(b)) for a, b in rng.integers(-200, 200, (150, 2))), (7, 3), (3, 7)]
+    edges = [edges[i] for i in rng.permutation(len(edges))]
+    low = {x: x for e in edges for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            least = min(low[a], low[b])
+            changed |= low[a] != least or low[b] != least
+            low[a] = low[b] = least
+    table = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    got = {r.node: r.root for r in simhash.components(table).collect()}
+    assert got == {x: r for x, r in low.items() if x != r}
+    assert simhash.components(table.limit(0)).count() == 0
