@@ -11,6 +11,7 @@ from pyrocell.functions import columns as C
 from pyrocell.grid import GridSpec, densify
 from pyrocell.operators import covariates as H
 from pyrocell.operators import fires as N
+from pyrocell.operators import fits as M
 from pyrocell.operators import spatial as D
 from pyrocell.operators import summaries as E
 from pyrocell.operators import tables as T
@@ -831,3 +832,21 @@ def landscape_gate(v):
     p = v.events.select((F.col("user_id") % 7).cast("int").alias("param_id"), (1995 + F.col("event_id") % 5).cast("int").alias("year"), prob.alias("spreadProb"), F.lit(3).alias("n_fires"))
     out = E.landscape_gate(p, 0.2, 0.5, 0.3)
     return out.withColumns({c: r6(c) for c in ("med", "spread", "score")})
+
+
+# fits
+
+
+@query("""WITH m AS (SELECT zone AS f, pixelID, v FROM zone WHERE v > 0 AND zone = 5), z AS (SELECT * FROM zone WHERE v > 0 AND zone <> 5),
+ o AS (SELECT m.f, z.zone, count(*) AS n FROM m JOIN z ON z.pixelID = m.pixelID AND z.v = 2 GROUP BY m.f, z.zone),
+ t AS (SELECT f, zone FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY n DESC, zone) AS k FROM o) WHERE k = 1),
+ b AS (SELECT zone, pixelID, v, CAST(NULL AS INT) AS f FROM z UNION ALL SELECT t.zone, m.pixelID, m.v, m.f FROM m JOIN t ON t.f = m.f)
+ SELECT zone, pixelID, max(v) AS v, max(f) AS lost_by FROM b GROUP BY zone, pixelID""")
+def slivers_reassigned(v):
+    cells = v.zone.where("v > 0")
+    return M.slivers_reassigned(cells.where("zone <> 5"), cells.where("zone = 5"))
+
+
+@query()
+def fit_fuel_glm(v):
+    return M.fit_fuel_glm(H.fuel_class_prep(v.cohort, v.cell, v.burn_year, (0, 8), (1, 2), 1995, 1997), SPECIES)
