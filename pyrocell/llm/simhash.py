@@ -101,8 +101,9 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 128) -> Itera
             yield x + i, y, d[x, y]
 
 
-def block_pairs(fps: DataFrame, radius: int, parts: int, block: int, item: Column) -> DataFrame:
-    """Pairs of blocks (fps_a, fps_b: arrays of item, same: is it one block?) that may hold fingerprints within radius."""
+def block_pairs(fps: DataFrame, radius: int, parts: int, block: int, item: Column, name: str = "fp") -> DataFrame:
+    """Pairs of blocks (fps_a, fps_b: arrays of item, same: is it one block?) that may hold fingerprints within radius.
+    Rows are dealt to blocks by the column ``name``, which is distinct."""
     width = 64 // parts
     base = width + 1
     field = lambda i: F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1)) if parts > 1 else F.col("fp"))
@@ -113,7 +114,7 @@ def block_pairs(fps: DataFrame, radius: int, parts: int, block: int, item: Colum
     sizes = tiled.groupBy("tile").agg(F.count("*").alias("n"))
     blocks = (
         tiled.join(F.broadcast(sizes), "tile")
-        .withColumn("blk", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / block)).cast("int"))
+        .withColumn("blk", F.pmod(F.xxhash64(name), F.ceil(F.col("n") / block)).cast("int"))
         .groupBy("tile", *(f"p{i}" for i in range(parts)), "blk")
         .agg(F.collect_list(item).alias("fps"))
     )
@@ -156,20 +157,20 @@ def links(fps: DataFrame, radius: int = 2, parts: int = 4, block: int = 512) ->
 
 
 def nearest_links(fps: DataFrame, radius: int, nearest: int, least: float, block: int = 4096) -> DataFrame:
-    """Links (a, b, bits, more), a below b, between fingerprints of different groups, over distinct fingerprints
-    (fp, grp): each fingerprint keeps its ``nearest`` links of each block pair; ``more`` says that others went. With a column
+    """Links (a, b, bits, more), a below b, between nodes of different groups, over nodes (key, fp, grp) of distinct
+    keys: each node keeps its ``nearest`` links of each block pair; ``more`` says that others went. With a column
     ``counts`` (of ``shingle_counts``) links whose texts can't share ``least`` of their shingles are no links: two
     texts share at most the sum of the lesser counts."""
     counted = "counts" in fps.columns
-    pairs = block_pairs(fps, radius, 1, block, F.struct("fp", "grp", *["counts"] * counted))
+    pairs = block_pairs(fps, radius, 1, block, F.struct("key", "fp", "grp", *["counts"] * counted), "key")
 
     def table(items: pa.StructArray) -> np.ndarray:
-        return np.frombuffer(b"".join(items.field(2).to_pylist()), "<u4").reshape(len(items), -1).astype(np.int64)
+        return np.frombuffer(b"".join(items.field(3).to_pylist()), "<u4").reshape(len(items), -1).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                (a, ga), (b, gb) = ([batch.column(i)[row].values.field(f).to_numpy() for f in (0, 1)] for i in (0, 1))
+                (ka, a, ga), (kb, b, gb) = ([batch.column(i)[row].values.field(f).to_numpy() for f in (0, 1, 2)] for i in (0, 1))
                 same, more, found = batch.column(2)[row].as_py(), False, []
                 if counted:
                     ca, cb = (table(batch.column(i)[row].values) for i in (0, 1))
@@ -183,23 +184,23 @@ def nearest_links(fps: DataFrame, radius: int, nearest: int, least: float, block
                     if same:
                         at &= x < y
                     x, y, d = x[at], y[at], d[at]
-                    keep = _closest(x, d, nearest) | _closest(y, d, nearest)
+                    keep = _closest(x, y, d, nearest) | _closest(y, x, d, nearest)
                     more |= not keep.all()
                     found.append((x[keep], y[keep], d[keep]))
                 if not sum(len(x) for x, _, _ in found):
                     continue
                 x, y, d = (np.concatenate(z) for z in zip(*found))
-                keep = _closest(x, d, nearest) | _closest(y, d, nearest)
+                keep = _closest(x, y, d, nearest) | _closest(y, x, d, nearest)
                 more |= not keep.all()
-                x, y = a[x[keep]], b[y[keep]]
+                x, y = ka[x[keep]], kb[y[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d[keep].astype(np.int32)), pa.array(np.full(len(x), more))], ["a", "b", "bits", "more"])
 
     return pairs.mapInArrow(run, "a bigint, b bigint, bits int, more boolean")
 
 
-def _closest(end: np.ndarray, d: np.ndarray, nearest: int) -> np.ndarray:
-    """Which links are among the nearest ones of their end."""
-    by = np.lexsort((d, end))
+def _closest(end: np.ndarray, other: np.ndarray, d: np.ndarray, nearest: int) -> np.ndarray:
+    """Which links are among the nearest ones of their end; ties fall to different others for different ends."""
+    by = np.lexsort(((other - end) & 0xFFFF, d, end))
     keep = np.zeros(len(end), bool)
     sorted_ = end[by]
     keep[by[np.arange(len(by)) - np.searchsorted(sorted_, sorted_) < nearest]] = True
@@ -297,9 +298,20 @@ def shingle_counts(text: Column, k: int, cells: int = 64) -> Column:
     return of(text)
 
 
+def set_key_column(text: Column, k: int) -> Column:
+    """XXH64 of the distinct k-word shingles' sorted hashes: equal for equal sets."""
+
+    @F.arrow_udf("bigint")
+    def of(rows: pa.Array) -> pa.Array:
+        keys = [xxhash.xxh64_intdigest(np.unique(shingle_hashes((t or b"").lower().split(), k)).tobytes(), SEED) for t in as_bytes(rows)]
+        return pa.array(np.array(keys, np.uint64).view(np.int64))
+
+    return of(text)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
-    """(a, b, near): do the texts (fp, text) of a pair share at least ``least`` of their distinct k-word shingles?"""
-    sides = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    """(a, b, near): do the texts (key, text) of a pair share at least ``least`` of their distinct k-word shingles?"""
+    sides = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
 
     @F.arrow_udf("binary")
     def shingles(rows: pa.Array) -> pa.Array:
@@ -314,33 +326,33 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFram
             out.append(both / max(1, len(x) + len(y) - both))
         return pa.array(out, pa.float64())
 
-    sets = materialise(texts.join(sides, "fp", "left_semi").select("fp", shingles(F.col("text")).alias("s")))
-    joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+    sets = materialise(texts.join(sides, "key", "left_semi").select("key", shingles(F.col("text")).alias("s")))
+    joined = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
     return joined.select("a", "b", (jaccard(F.col("sa"), F.col("sb")) >= least).alias("near"))
 
 
-def deduplicate(docs: DataFrame, radius: int = 12, sure: int = 4, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, radius: int = 12, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies, the one of least id; all columns of docs.
 
-    Texts are near copies if they share ``similarity`` of their five-word shingles. Their three-word fingerprints
-    then differ in few bits. Links of at most ``sure`` bits are taken as they are (unrelated texts differ in four
-    bits or fewer with probability under 1e-13) and give the first groups. Wider links, up to ``radius``, are
-    verified on the texts, in rounds: each fingerprint proposes its nearest links into other groups (one, then
-    eight, 64, ...), accepted ones merge groups, and the next round takes only fingerprints that still had links,
-    and of these only links that the counts of their shingles leave possible.
+    Texts are near copies if they share ``similarity`` of their five-word shingles. Texts of equal shingle sets are
+    one node, named by a hash of the set; no other texts are joined unverified. Nodes whose three-word fingerprints
+    differ in at most ``radius`` bits are verified on the texts, in rounds: each node proposes its nearest links into
+    other groups (two, then 16, 128, ...; ties at random, so that two join a dense group), accepted ones merge
+    groups, and the next round takes only nodes that still had links, and of these only links that the counts of
+    their shingles leave possible.
     The last round is the one that left no link out, so every link between two final groups was verified and
-    rejected; a group of n near copies needs about n verifications, as its links fall inside it once it merged.
-    At this radius the population counts rule out little, so the comparison is quadratic in distinct fingerprints.
+    rejected; a group of n near copies needs about 2 n verifications, as its links fall inside it once it merged.
+    At this radius the population counts rule out little, so the comparison is quadratic in distinct nodes.
     """
-    rows = materialise(docs.withColumns({"__fp": fingerprint_column(F.col(text_col)), "__row": F.monotonically_increasing_id()}))
-    nodes = materialise(rows.groupBy("__fp").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("low")).withColumnRenamed("__fp", "fp"))
-    first = rows.join(nodes.select(F.col("low.row").alias("__row"), F.col("fp").alias("__node")), "__row").select(F.col("__node").alias("fp"), F.col(text_col).alias("text"))
-    grouped = _regroup(nodes.select("fp", F.col("fp").alias("grp")), links(nodes.select("fp"), sure, parts=2, block=1024))
-    active, tried, counts, nearest = grouped, None, None, 1
+    rows = materialise(docs.withColumns({"__fp": fingerprint_column(F.col(text_col)), "__key": set_key_column(F.col(text_col), shingle), "__row": F.monotonically_increasing_id()}))
+    nodes = materialise(rows.groupBy(F.col("__key").alias("key")).agg(F.min("__fp").alias("fp"), F.min(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("low")))
+    first = rows.join(nodes.select(F.col("low.row").alias("__row"), "key"), "__row").select("key", F.col(text_col).alias("text"))
+    grouped = nodes.select("key", "fp", F.col("key").alias("grp"))
+    active, tried, counts, nearest = grouped, None, None, 2
     while True:
         found = materialise(nearest_links(active, radius, nearest, similarity))
         ends = found.select("a", "b", "bits", F.explode(F.array("a", "b")).alias("end"))
-        rank = F.row_number().over(W.partitionBy("end").orderBy("bits", "a", "b"))
+        rank = F.row_number().over(W.partitionBy("end").orderBy("bits", F.xxhash64("a", "b"), "a", "b"))
         picked = materialise(ends.withColumn("n", rank).where(F.col("n") <= nearest).select("a", "b").distinct())
         rest = not found.where("more").isEmpty() or picked.count() < found.count()
         verdicts = materialise(verify(picked if tried is None else picked.join(tried, ["a", "b"], "left_anti"), first, shingle, similarity))
@@ -348,17 +360,17 @@ def deduplicate(docs: DataFrame, radius: int = 12, sure: int = 4, shingle: int =
         if not rest:
             break
         tried = verdicts.select("a", "b") if tried is None else tried.union(verdicts.select("a", "b"))
-        nodes_left = ends.select(F.col("end").alias("fp")).distinct()
+        nodes_left = ends.select(F.col("end").alias("key")).distinct()
         if counts is None:
-            counts = materialise(first.join(nodes_left, "fp", "left_semi").select("fp", shingle_counts(F.col("text"), shingle).alias("counts")))
-        active, nearest = grouped.join(nodes_left, "fp", "left_semi").join(counts, "fp"), nearest * 8
-    kept = nodes.join(grouped, "fp").groupBy("grp").agg(F.min("low").alias("low")).select(F.col("low.row").alias("__row"))
+            counts = materialise(first.join(nodes_left, "key", "left_semi").select("key", shingle_counts(F.col("text"), shingle).alias("counts")))
+        active, nearest = grouped.join(nodes_left, "key", "left_semi").join(counts, "key"), nearest * 8
+    kept = nodes.join(grouped.select("key", "grp"), "key").groupBy("grp").agg(F.min("low").alias("low")).select(F.col("low.row").alias("__row"))
     return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def _regroup(grouped: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, grp) with the groups merged that edges (a, b) of fingerprints join."""
-    ga, gb = (grouped.select(F.col("fp").alias(c), F.col("grp").alias(f"g{c}")) for c in "ab")
+    """(key, fp, grp) with the groups merged that edges (a, b) of nodes join."""
+    ga, gb = (grouped.select(F.col("key").alias(c), F.col("grp").alias(f"g{c}")) for c in "ab")
     between = edges.join(ga, "a").join(gb, "b").where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
     merged = components(between).select(F.col("node").alias("grp"), "root")
-    return materialise(grouped.join(merged, "grp", "left").select("fp", F.coalesce("root", "grp").alias("grp")))
+    return materialise(grouped.join(merged, "grp", "left").withColumn("grp", F.coalesce("root", "grp")).drop("root"))

@@ -119,3 +119,12 @@ def test_components_against_search(spark):
     got = {r.node: r.root for r in simhash.components(table).collect()}
     assert got == {x: r for x, r in low.items() if x != r}
     assert simhash.components(table.limit(0)).count() == 0
+
+
+def test_close_fingerprints_are_verified(spark):
+    """Texts under the limit stay, even if their fingerprints are equal; texts of one shingle set are one."""
+    common = " ".join(["same old words"] * 60)
+    texts = [f"{common} " + " ".join(f"{c}{i}" for i in range(40)) for c in "pq"]
+    texts += [" ".join(["again and over"] * 9), " ".join(["again and over"] * 20)]
+    assert simhash.fingerprint(texts[0].encode()) == simhash.fingerprint(texts[1].encode())
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs(spark, texts)).collect()) == [0, 1, 2]
