@@ -21,6 +21,7 @@ of null ids alone has a null component_id. Extra columns are ignored, whatever t
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pyrocell.llm.common import as_bytes, materialise
+from pyrocell.llm.substring_dedup import FACTORS, mix
 
 SEED = 42
 
@@ -156,27 +158,29 @@ def links(fps: DataFrame, radius: int = 2, parts: int = 4, block: int = 512) ->
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
-def nearest_links(fps: DataFrame, radius: int, nearest: int, least: float, block: int = 4096) -> DataFrame:
-    """Links (a, b, bits, more), a below b, between nodes of different groups, over nodes (key, fp, grp) of distinct
-    keys: each node keeps its ``nearest`` links of each block pair; ``more`` says that others went. With a column
+def nearest_links(fps: DataFrame, radius: int, wide: int, nearest: int, least: float, block: int = 4096) -> DataFrame:
+    """Links (a, b, bits, more), a below b, between nodes of different groups, over nodes (key, fp, grp, w1, w2, w3)
+    of distinct keys: fp differs in at most ``radius`` bits, fp and the other words in ``wide``. Each node keeps its ``nearest`` links of each block pair; ``more`` says that others went. With a column
     ``counts`` (of ``shingle_counts``) links whose texts can't share ``least`` of their shingles are no links: two
     texts share at most the sum of the lesser counts."""
     counted = "counts" in fps.columns
-    pairs = block_pairs(fps, radius, 1, block, F.struct("key", "fp", "grp", *["counts"] * counted), "key")
+    pairs = block_pairs(fps, radius, 1, block, F.struct("key", "fp", "grp", "w1", "w2", "w3", *["counts"] * counted), "key")
 
     def table(items: pa.StructArray) -> np.ndarray:
-        return np.frombuffer(b"".join(items.field(3).to_pylist()), "<u4").reshape(len(items), -1).astype(np.int64)
+        return np.frombuffer(b"".join(items.field(6).to_pylist()), "<u4").reshape(len(items), -1).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 (ka, a, ga), (kb, b, gb) = ([batch.column(i)[row].values.field(f).to_numpy() for f in (0, 1, 2)] for i in (0, 1))
                 same, more, found = batch.column(2)[row].as_py(), False, []
+                wa, wb = (np.stack([batch.column(i)[row].values.field(f).to_numpy() for f in (3, 4, 5)]).view(np.uint64) for i in (0, 1))
                 if counted:
                     ca, cb = (table(batch.column(i)[row].values) for i in (0, 1))
                     na, nb = ca.sum(1), cb.sum(1)
                 for x, y, d in compare(a.view(np.uint64), b.view(np.uint64), radius, 16 if counted else 128):
-                    at = ga[x] != gb[y]
+                    d = d + np.bitwise_count(wa[:, x] ^ wb[:, y]).sum(0)
+                    at = (d <= wide) & (ga[x] != gb[y])
                     if counted:
                         x, y, d = x[at], y[at], d[at]
                         most = np.minimum(ca[x], cb[y]).sum(1)
@@ -298,17 +302,34 @@ def shingle_counts(text: Column, k: int, cells: int = 64) -> Column:
     return of(text)
 
 
-def set_key_column(text: Column, k: int) -> Column:
-    """XXH64 of the distinct k-word shingles' sorted hashes: equal for equal sets."""
+def set_sketch(h: np.ndarray) -> tuple[int, ...]:
+    """(key, fp, w1, w2, w3) of shingle hashes as a set: XXH64 of the sorted set, equal for equal sets, and a SimHash
+    of 256 bits, whose first 64 are ``fp``."""
+    h = np.unique(h)
+    ones = np.zeros(256, np.int64)
+    for i in range(0, len(h), 1 << 14):  # bounded memory on very long texts
+        x = h[i : i + (1 << 14)]
+        more = [mix(x ^ np.uint64(w << 32), FACTORS[0]) for w in (1, 2, 3)]
+        ones += np.unpackbits(np.stack([x, *more], 1).view(np.uint8).reshape(-1, 32), axis=1).sum(0, dtype=np.int64)
+    return (xxhash.xxh64_intdigest(h.tobytes(), SEED), *np.packbits(ones * 2 > len(h)).view(np.uint64).tolist())
 
-    @F.arrow_udf("bigint")
+
+def set_sketch_column(text: Column, k: int) -> Column:
+    @F.arrow_udf("struct<key:bigint,fp:bigint,w1:bigint,w2:bigint,w3:bigint>")
     def of(rows: pa.Array) -> pa.Array:
-        keys = [xxhash.xxh64_intdigest(np.unique(shingle_hashes((t or b"").lower().split(), k)).tobytes(), SEED) for t in as_bytes(rows)]
-        return pa.array(np.array(keys, np.uint64).view(np.int64))
+        all_ = np.array([set_sketch(shingle_hashes((t or b"").lower().split(), k)) for t in as_bytes(rows)], np.uint64).reshape(-1, 5).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in all_.T], ["key", "fp", "w1", "w2", "w3"])
 
     return of(text)
 
 
+def radius_of(similarity: float, bits: int, deviations: float) -> int:
+    """How many of ``bits`` SimHash bits sets of this Jaccard similarity differ in at most, that many standard
+    deviations above the mean. The cosine of two sets is least if they are of one size: 2 s / (1 + s)."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
     """(a, b, near): do the texts (key, text) of a pair share at least ``least`` of their distinct k-word shingles?"""
     sides = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
@@ -331,12 +352,15 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFram
     return joined.select("a", "b", (jaccard(F.col("sa"), F.col("sb")) >= least).alias("near"))
 
 
-def deduplicate(docs: DataFrame, radius: int = 12, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies, the one of least id; all columns of docs.
 
     Texts are near copies if they share ``similarity`` of their five-word shingles. Texts of equal shingle sets are
-    one node, named by a hash of the set; no other texts are joined unverified. Nodes whose three-word fingerprints
-    differ in at most ``radius`` bits are verified on the texts, in rounds: each node proposes its nearest links into
+    one node, named by a hash of the set; no other texts are joined unverified. Nodes are candidates by the distance of
+    a 256-bit SimHash of the set. At the limit of 0.8 a bit differs with probability 0.15, so 72 bits are six standard
+    deviations above the mean and unrelated texts lie seven below theirs; the first 64 bits are tried before the rest,
+    at 22 bits (4.5 deviations). Simulated, pairs at the limit pass both with probability over 0.999, the least (four
+    shingles and one more) included. Candidates are verified on the texts, in rounds: each node proposes its nearest links into
     other groups (two, then 16, 128, ...; ties at random, so that two join a dense group), accepted ones merge
     groups, and the next round takes only nodes that still had links, and of these only links that the counts of
     their shingles leave possible.
@@ -344,13 +368,14 @@ def deduplicate(docs: DataFrame, radius: int = 12, shingle: int = 5, similarity:
     rejected; a group of n near copies needs about 2 n verifications, as its links fall inside it once it merged.
     At this radius the population counts rule out little, so the comparison is quadratic in distinct nodes.
     """
-    rows = materialise(docs.withColumns({"__fp": fingerprint_column(F.col(text_col)), "__key": set_key_column(F.col(text_col), shingle), "__row": F.monotonically_increasing_id()}))
-    nodes = materialise(rows.groupBy(F.col("__key").alias("key")).agg(F.min("__fp").alias("fp"), F.min(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("low")))
+    rows = materialise(docs.withColumns({"__set": set_sketch_column(F.col(text_col), shingle), "__row": F.monotonically_increasing_id()}))
+    nodes = materialise(rows.groupBy("__set").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("low")).select("__set.*", "low"))
     first = rows.join(nodes.select(F.col("low.row").alias("__row"), "key"), "__row").select("key", F.col(text_col).alias("text"))
-    grouped = nodes.select("key", "fp", F.col("key").alias("grp"))
+    grouped = nodes.select("key", "fp", "w1", "w2", "w3", F.col("key").alias("grp"))
+    radius, wide = radius_of(similarity, 64, 4.5), radius_of(similarity, 256, 6)
     active, tried, counts, nearest = grouped, None, None, 2
     while True:
-        found = materialise(nearest_links(active, radius, nearest, similarity))
+        found = materialise(nearest_links(active, radius, wide, nearest, similarity))
         ends = found.select("a", "b", "bits", F.explode(F.array("a", "b")).alias("end"))
         rank = F.row_number().over(W.partitionBy("end").orderBy("bits", F.xxhash64("a", "b"), "a", "b"))
         picked = materialise(ends.withColumn("n", rank).where(F.col("n") <= nearest).select("a", "b").distinct())
@@ -369,7 +394,7 @@ def deduplicate(docs: DataFrame, radius: int = 12, shingle: int = 5, similarity:
 
 
 def _regroup(grouped: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, fp, grp) with the groups merged that edges (a, b) of nodes join."""
+    """``grouped`` (key, grp and more) with the groups merged that edges (a, b) of nodes join."""
     ga, gb = (grouped.select(F.col("key").alias(c), F.col("grp").alias(f"g{c}")) for c in "ab")
     between = edges.join(ga, "a").join(gb, "b").where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
     merged = components(between).select(F.col("node").alias("grp"), "root")

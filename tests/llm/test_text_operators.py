@@ -128,3 +128,35 @@ def test_close_fingerprints_are_verified(spark):
     texts += [" ".join(["again and over"] * 9), " ".join(["again and over"] * 20)]
     assert simhash.fingerprint(texts[0].encode()) == simhash.fingerprint(texts[1].encode())
     assert sorted(r.doc_id for r in simhash.deduplicate(docs(spark, texts)).collect()) == [0, 1, 2]
+
+
+def test_near_copies_equal_plain_jaccard(spark):
+    """Texts at the limit, by appended words or a replaced block, are found whatever their fingerprints' distance."""
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    texts = []
+    for n in (8, 20, 60, 300, 300, 300, 300, 2000):
+        for share in (0.19, 0.22, 0.24, 0.27):
+            base = words(n)
+            texts += [" ".join(base), " ".join(base + words(int(share * n)))]
+        for share in (0.08, 0.1, 0.13):
+            base, block = words(n), max(1, int(share * n))
+            texts += [" ".join(base), " ".join(base[: n // 2] + words(block) + base[n // 2 + block :])]
+    sets = [set(simhash.shingle_hashes(t.encode().split(), 5).tolist()) for t in texts]
+    copies = {i for i in range(1, len(texts), 2) if len(sets[i] & sets[i - 1]) >= 0.8 * len(sets[i] | sets[i - 1])}
+    far = [i for i in copies if ((simhash.fingerprint(texts[i].encode()) ^ simhash.fingerprint(texts[i - 1].encode())) & (2**64 - 1)).bit_count() > 12]
+    got = {r.doc_id for r in simhash.deduplicate(docs(spark, texts)).collect()}
+    assert got == set(range(len(texts))) - copies and far and len(copies) < len(texts) // 2
+
+
+def test_recall_at_the_limit():
+    rng = np.random.default_rng(5)
+    radius, wide = simhash.radius_of(0.8, 64, 4.5), simhash.radius_of(0.8, 256, 6)
+    for n in (4, 5, 9, 20, 100, 600):
+        missed = 0
+        for _ in range(300):
+            h = rng.integers(0, 2**64, n + n // 4, np.uint64)
+            a, b = (np.array(simhash.set_sketch(x)[1:], np.uint64) for x in (h[:n], h))
+            apart = np.bitwise_count(a ^ b)
+            missed += apart[0] > radius or apart.sum() > wide
+        assert missed <= 2
