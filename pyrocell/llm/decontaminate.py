@@ -1,21 +1,15 @@
-"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
+"""Benchmark decontamination by shared word runs and exact edit verification, without loss.
 
 Texts and items are compared as words: A-Z lowered, ASCII punctuation read as a space. A document leaks an item
-of L words if some run of its words is within floor((1 - SIMILARITY) * L) word edits of it.
+of L words if some run of its words is within k = floor((1 - SIMILARITY) * L) word edits of it.
 
-Embedding. A random walk reads a sequence: at each of 3 L steps it writes the word under its pointer, and the
-pointer moves on if a random bit of (step, word) is set. After an edit, two walks fall into step again, so edit
-distance becomes Hamming distance. WALKS independent walks are sampled at BITS places, TABLES times over; a window
-and an item that agree in one whole sample are a candidate pair. Recall per window: with p the share of equal
-embedded places, 1 - (1 - p ** BITS) ** (WALKS * TABLES); at the median p of pairs at the edit limit (about 0.5)
-it is over 0.98, and a leak offers a window for each of its shared word triples.
+Candidates. By the q-gram lemma such a run holds at least L - 2 - 3 k of the item's word triples, at places of their
+own. A triple at offset o of an item places the item o words before, within k words. A place with fewer triples of
+that item in reach has no leak; every other one is verified, so no leak of any length is missed. Items of five words
+have no triple left when the middle word is changed: they are found by word pairs, of which L - 1 - 2 k = 2 stay.
 
-Windows. Item-sized windows are laid where the q-gram lemma leaves room for a match: L words with k edits share
-at least L - 2 - 3 k word triples with the item, so a stretch with fewer triples of any item has no leak and is
-not embedded. A triple at offset o of an item places the window o words before it.
-
-Verification. Candidate pairs are checked exactly: least edit distance between the item and any run of words
-around the window. Items of under three words are compared as they stand.
+Verification. Places of an item that overlap are one stretch of text, which is checked exactly: least edit distance
+between the item and any run of its words. Items of under three words are compared as they stand.
 
 Null texts and items have no words; items without words match nothing. Repeated ids and items give a row each
 pair of ids once. Extra columns are ignored. Items are broadcast in blocks of at most BLOCK_WORDS words, so what
@@ -35,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pyrocell.llm.common import as_bytes, materialise
-from pyrocell.llm.substring_dedup import FACTORS, mix, runs
+from pyrocell.llm.substring_dedup import FACTORS, runs
 
 SIMILARITY = 0.8
-WALKS, TABLES, BITS, SEED = 4, 16, 4, 42
+SEED = 42
 BLOCK_WORDS = 2_000_000
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 48 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 127 else b for b in range(256))
 
@@ -52,39 +46,6 @@ def word_hashes(ws: list[bytes]) -> np.ndarray:
     return np.fromiter((h(w, SEED) for w in ws), np.uint64, len(ws))
 
 
-def walk(seq: np.ndarray, at: np.ndarray, length: int, number: int) -> np.ndarray:
-    """CGK embedding of the windows of ``length`` words at the places: (windows, 3 * length) words."""
-    i = np.zeros(len(at), np.int64)
-    out = np.zeros((3 * length, len(at)), np.uint64)
-    for j in range(3 * length):
-        inside = i < length
-        word = np.where(inside, seq[np.minimum(at + i, len(seq) - 1)], np.uint64(0))
-        out[j] = word
-        bit = mix(word ^ np.uint64((number << 32) | (j + 1)), FACTORS[0]) >> np.uint64(63)
-        i += bit.astype(np.int64)
-    return out
-
-
-def samples(length: int, number: int) -> np.ndarray:
-    """The places each table samples of a walk: (TABLES, BITS)."""
-    rng = np.random.default_rng([SEED, length, number])
-    # a walk has read its window after 2 L steps on average: later places are padding
-    return rng.integers(0, 2 * length, (TABLES, BITS))
-
-
-def signatures(seq: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """(WALKS * TABLES, windows) hashes of the sampled places."""
-    out = []
-    for number in range(WALKS):
-        e = walk(seq, at, length, number)
-        for t, places in enumerate(samples(length, number)):
-            h = np.full(len(at), number * TABLES + t, np.uint64)
-            for p in places:
-                h = mix(h ^ e[p], FACTORS[1])
-            out.append(h)
-    return np.stack(out) if out else np.zeros((0, len(at)), np.uint64)
-
-
 def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Least edits between item and any run of text, and that run's bounds."""
     n = len(text)
@@ -102,6 +63,35 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
+class Grams:
+    """The runs of q words of some items, sorted by hash."""
+
+    def __init__(self, seqs: dict[int, np.ndarray], q: int):
+        self.q = q
+        keys, owner, offset = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, s in seqs.items():
+            g = runs(s, q, FACTORS[0])
+            keys.append(g), owner.append(np.full(len(g), k)), offset.append(np.arange(len(g)))
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        self.key, self.owner, self.offset = key[order], np.concatenate(owner)[order], np.concatenate(offset)[order]
+        self.bits = max(16, len(key).bit_length() + 6)
+        self.filter = np.zeros(1 << self.bits, bool)
+        self.filter[(self.key >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+
+    def hits(self, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(item, text number, place, offset) of each run of the texts' words that an item has too."""
+        g = runs(h, self.q, FACTORS[0])
+        hit = np.flatnonzero(self.filter[(g >> np.uint64(64 - self.bits)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.key, g[hit], "left"), np.searchsorted(self.key, g[hit], "right")
+        doc = np.searchsorted(ends, hit, "right")
+        at = (hi > lo) & (hit + self.q <= ends[np.minimum(doc, len(ends) - 1)])
+        hit, lo, n, doc = hit[at], lo[at], (hi - lo)[at], doc[at]
+        which = np.repeat(np.arange(len(hit)), n)
+        entry = np.repeat(lo, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        return self.owner[entry], doc[which], hit[which], self.offset[entry]
+
+
 class Items:
     """Benchmark items ready for matching."""
 
@@ -115,34 +105,15 @@ class Items:
                 self.seqs.append(h)
         self.lengths = np.array([len(s) for s in self.seqs], np.int64)
         self.edits = np.floor((1 - SIMILARITY) * self.lengths + 1e-9).astype(np.int64)
-        keys, owner, offset = [], [], []
+        of = {3: {}, 2: {}}
         for k, s in enumerate(self.seqs):
-            g = runs(s, min(3, len(s)), FACTORS[0])
-            keys.append(g), owner.append(np.full(len(g), k)), offset.append(np.arange(len(g)))
-        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(key, kind="stable")
-        self.key = key[order]
-        self.owner = np.concatenate(owner)[order] if keys else np.zeros(0, np.int64)
-        self.offset = np.concatenate(offset)[order] if keys else np.zeros(0, np.int64)
-        self.short = {int(runs(s, len(s), FACTORS[0])[0]): [] for s in self.seqs if len(s) < 3}
+            if len(s) >= 3:
+                of[3 if len(s) - 2 - 3 * int(self.edits[k]) > 0 else 2][k] = s
+        self.grams = [Grams(seqs, q) for q, seqs in of.items() if seqs]
+        self.short: dict[int, list[int]] = {}
         for k, s in enumerate(self.seqs):
             if len(s) < 3:
-                self.short[int(runs(s, len(s), FACTORS[0])[0])].append(k)
-        self.bits = max(16, int(len(self.key)).bit_length() + 6)
-        self.filter = np.zeros(1 << self.bits, bool)
-        self.filter[(self.key >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-        self.table: dict[int, dict[int, list[int]]] = {}
-        for length in set(self.lengths.tolist()):
-            if length >= 3:
-                mine = np.flatnonzero(self.lengths == length)
-                seq = np.concatenate([self.seqs[k] for k in mine])
-                sig = signatures(seq, np.arange(len(mine)) * length, length)
-                table: dict[int, list[int]] = {}
-                for row in sig.tolist():
-                    for k, s in zip(mine.tolist(), row):
-                        if k not in (got := table.setdefault(s, [])):
-                            got.append(k)
-                self.table[length] = table
+                self.short.setdefault(int(runs(s, len(s), FACTORS[0])[0]), []).append(k)
 
     def leaks(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text number, item number, first word, end, edits) of every leak, best place of each pair."""
@@ -151,47 +122,39 @@ class Items:
         ends = np.cumsum(sizes)
         starts = ends - sizes
         h = word_hashes([w for ws in split for w in ws])
-        if not len(h) or not len(self.key):
+        if not len(h) or not len(self.seqs):
             return
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        g = runs(h, 3, FACTORS[0])
-        hit = np.flatnonzero(self.filter[(g >> np.uint64(64 - self.bits)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.key, g[hit], "left"), np.searchsorted(self.key, g[hit], "right")
-        hit, lo, hi = hit[hi > lo], lo[hi > lo], hi[hi > lo]
-        doc = np.searchsorted(ends, hit, "right")
-        same = hit + 3 <= ends[doc]
-        hit, lo, hi, doc = hit[same], lo[same], hi[same], doc[same]
         for k in range(len(self.short) and len(h)):
             for n in (1, 2):
                 d = int(np.searchsorted(ends, k, "right"))
                 if k + n <= ends[d]:
                     for item in self.short.get(int(runs(h[k : k + n], n, FACTORS[0])[0]), ()):
                         best.setdefault((d, item), (0, k - int(starts[d]), k + n - int(starts[d])))
-        # windows: a triple at offset o of an item of L words starts one o words before
-        n = hi - lo
-        which = np.repeat(np.arange(len(hit)), n)
-        entry = np.repeat(lo, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        item = self.owner[entry]
-        length, edits, d = self.lengths[item], self.edits[item], doc[which]
-        at = hit[which] - self.offset[entry]
-        at = np.clip(at, starts[d], np.maximum(starts[d], ends[d] - length))
-        shared = np.searchsorted(hit, np.minimum(at + length + edits, ends[d])) - np.searchsorted(hit, np.maximum(at - edits, starts[d]))
-        enough = (shared >= np.maximum(1, length - 2 - 3 * edits)) & (ends[d] - starts[d] >= length - edits)
-        windows = np.unique(np.stack([length[enough], at[enough], d[enough]], 1), axis=0)
-        padded = np.append(h, np.zeros(int(self.lengths.max()), np.uint64))
-        for length_ in np.unique(windows[:, 0]).tolist():
-            mine = windows[windows[:, 0] == length_]
-            table = self.table[length_]
-            sig = signatures(padded, mine[:, 1], length_)
-            pairs = {(r, k) for row in sig.tolist() for r, s in enumerate(row) for k in table.get(s, ())}
-            for r, k in sorted(pairs):
-                _, p, dd = mine[r].tolist()
-                e = int(self.edits[k])
-                a, b = max(int(starts[dd]), p - 2 * e), min(int(ends[dd]), p + length_ + 2 * e)
-                cost, x, y = edit_distance(self.seqs[k], h[a:b])
-                found = (cost, a + x - int(starts[dd]), a + y - int(starts[dd]))
-                if cost <= e and found < best.get((dd, k), (1 << 60, 0, 0)):
-                    best[dd, k] = found
+        for grams in self.grams:
+            item, d, place, offset = grams.hits(h, ends)
+            length, edits = self.lengths[item], self.edits[item]
+            at = np.clip(place - offset, starts[d], np.maximum(starts[d], ends[d] - length))
+            # places of an item's runs, in order: those of one item are a stretch of one number line
+            line = len(h) + 1
+            places = np.unique(item * line + place)
+            reach = lambda x: np.searchsorted(places, item * line + x)
+            shared = reach(np.minimum(at + length + edits, ends[d])) - reach(np.maximum(at - edits, starts[d]))
+            enough = (shared >= length - (grams.q - 1) - grams.q * edits) & (ends[d] - starts[d] >= length - edits)
+            windows = np.unique(np.stack([item[enough], d[enough], at[enough]], 1), axis=0)
+            k, d, at = windows.T
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (at[1:] - at[:-1] > self.lengths[k[1:]])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(k)) - 1
+            for i, j in zip(first.tolist(), last.tolist()):
+                kk, dd = int(k[i]), int(d[i])
+                e, begin = int(self.edits[kk]), int(starts[dd])
+                a, b = max(begin, int(at[i]) - 2 * e), min(int(ends[dd]), int(at[j]) + int(self.lengths[kk]) + 2 * e)
+                cost, x, y = edit_distance(self.seqs[kk], h[a:b])
+                found = (cost, a + x - begin, a + y - begin)
+                if cost <= e and found < best.get((dd, kk), (1 << 60, 0, 0)):
+                    best[dd, kk] = found
         for (dd, k), (cost, a, b) in sorted(best.items()):
             yield dd, k, a, b, cost
 

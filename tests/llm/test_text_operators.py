@@ -160,3 +160,23 @@ def test_recall_at_the_limit():
             apart = np.bitwise_count(a ^ b)
             missed += apart[0] > radius or apart.sum() > wide
         assert missed <= 2
+
+
+def test_leaks_at_the_edit_limit_by_length():
+    rng = np.random.default_rng(2)
+    items = [(n, [f"i{n}x{i}" for i in range(n)]) for n in (3, 4, 5, 6, 7, 9, 10, 14, 15, 20, 50, 100, 300)]
+    found = decontaminate.Items([(n, " ".join(ws).encode()) for n, ws in items])
+    for spread in range(4):
+        texts, want = [], []
+        for n, ws in items:
+            for over in (0, 1):
+                copy, k = list(ws), n // 5 + over
+                places = np.linspace(n // 2 if k == 1 else 1, n - 2, k).astype(int) if spread == 0 else rng.choice(n, k, replace=False)
+                for at in sorted(places.tolist(), reverse=True):
+                    copy[at : at + 1] = [["other"], ["other"], [], [copy[at], "new"]][rng.integers(4) if spread else 0]
+                text = ["before"] * int(rng.integers(9)) + copy + ["after"] * int(rng.integers(9))
+                e = decontaminate.edit_distance(found.seqs[found.ids.index(n)], decontaminate.word_hashes([w.encode() for w in text]))[0]
+                if e <= n // 5:
+                    want.append((len(texts), n))
+                texts.append(" ".join(text).encode())
+        assert [(d, found.ids[k]) for d, k, *_ in found.leaks(texts)] == want and len(want) >= len(items)
