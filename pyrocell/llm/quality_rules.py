@@ -7,9 +7,11 @@ which is what the partial aggregation before the shuffle does; a hot source ther
 per task. Sketches of one language's sources, and of all languages, merge the same way: a group of fewer than
 MIN_ROWS rows takes its thresholds from its language, failing that from all rows.
 
-A signal fails if it lies outside median -/+ SPREAD times the larger quartile distance, widened by SLACK so
-that a signal which is constant in a group does not reject on rounding. No share of the rows is rejected by
-construction: rows that are alike are all kept.
+word_length fails outside median -/+ SPREAD times the larger quartile distance. Most texts have none of what the
+shares count, so their quartiles are zero: a share fails above median + TAIL_SPREAD times the distance from the median
+to the 0.9 quantile (on normal values both rules are near four standard deviations). Limits are widened by a slack so
+that a signal which is constant in a group does not reject on rounding. Texts that fail the base rule set no limits.
+No share of the rows is rejected by construction: rows that are alike are all kept.
 
 Null text: no words, so base_failed. Null language or source: a group of its own. Repeated rows count each.
 Extra columns are ignored. An empty table gives an empty result.
@@ -34,8 +36,9 @@ LEAST = 1e-6
 ZERO_BUCKET = -100000
 MIN_ROWS = 20
 SPREAD = 6.0
-#: Signal -> slack, and whether a low value fails too.
-SIGNALS = {"symbol_share": (0.05, False), "dup_line_share": (0.6, False), "repeat_share": (0.4, False), "word_length": (1.0, True)}
+TAIL_SPREAD = 3.0
+#: Signal -> slack, and whether its limits come from the quartiles and a low value fails too.
+SIGNALS = {"symbol_share": (0.02, False), "dup_line_share": (0.02, False), "repeat_share": (0.02, False), "word_length": (1.0, True)}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = b"#*$%&|<>"
 #: Thresholds are sent to every task only up to this many groups.
@@ -96,40 +99,41 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """total, q25, q50, q75 of each sketch after merging those that agree in keys and signal."""
+    """total, q25, q50, q75, q90 of each sketch after merging those that agree in keys and signal."""
     merged = sketch.groupBy(*keys, "signal", "bucket").agg(F.sum("n").alias("n"))
     w = W.partitionBy(*keys, "signal")
     ranked = merged.withColumns({"upto": F.sum("n").over(w.orderBy("bucket")), "total": F.sum("n").over(w)})
     at = lambda q: unbucket(F.min(F.when(F.col("upto") >= F.floor(q * (F.col("total") - 1)) + 1, F.col("bucket"))))
-    return ranked.groupBy(*keys, "signal").agg(F.max("total").alias("total"), at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
+    return ranked.groupBy(*keys, "signal").agg(F.max("total").alias("total"), at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"), at(0.9).alias("q90"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """(lang, source, signal, low, high): each group's own, its language's or the overall thresholds."""
     own = quantiles(sketch, ["lang", "source"])
-    by_lang = quantiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("signal").alias("ls"), F.struct("total", "q25", "q50", "q75").alias("of_lang"))
-    over = quantiles(sketch, []).select(F.col("signal").alias("s"), F.struct("total", "q25", "q50", "q75").alias("of_all"))
+    by_lang = quantiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("signal").alias("ls"), F.struct("total", "q25", "q50", "q75", "q90").alias("of_lang"))
+    over = quantiles(sketch, []).select(F.col("signal").alias("s"), F.struct("total", "q25", "q50", "q75", "q90").alias("of_all"))
     all_ = own.join(by_lang, own.lang.eqNullSafe(F.col("l")) & (own.signal == F.col("ls"))).join(over, own.signal == F.col("s"))
-    q = F.when(F.col("total") >= MIN_ROWS, F.struct("total", "q25", "q50", "q75")).when(F.col("of_lang.total") >= MIN_ROWS, F.col("of_lang")).otherwise(F.col("of_all"))
+    q = F.when(F.col("total") >= MIN_ROWS, F.struct("total", "q25", "q50", "q75", "q90")).when(F.col("of_lang.total") >= MIN_ROWS, F.col("of_lang")).otherwise(F.col("of_all"))
     all_ = all_.select(own.lang, own.source, own.signal, q.alias("q"))
     half = SPREAD * F.greatest(F.col("q.q50") - F.col("q.q25"), F.col("q.q75") - F.col("q.q50"))
+    tail = TAIL_SPREAD * (F.col("q.q90") - F.col("q.q50"))
     slack, low = F.lit(None).cast("double"), F.lit(False)
     for s, (room, both) in SIGNALS.items():
         slack = F.when(F.col("signal") == s, F.lit(room)).otherwise(slack)
         low = F.when(F.col("signal") == s, F.lit(both)).otherwise(low)
-    return all_.select("lang", "source", "signal", F.when(low, F.col("q.q50") - half - slack).alias("low"), (F.col("q.q50") + half + slack).alias("high"))
+    return all_.select("lang", "source", "signal", F.when(low, F.col("q.q50") - half - slack).alias("low"), (F.col("q.q50") + F.when(low, half).otherwise(tail) + slack).alias("high"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, the five counts, base_failed and kept of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("\0")).alias("source"), counts_column(F.col(text_col)).alias("c"))
     rows = signals(materialise(rows.select("doc_id", "lang", "source", "c.*")))
-    limits = thresholds(sketches(rows))
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    limits = thresholds(sketches(rows.where(~base)))
     wide = limits.groupBy("lang", "source").agg(*(F.max(F.when(F.col("signal") == s, F.col(x))).alias(f"{x}_{s}") for s in SIGNALS for x in ("low", "high")))
     wide = materialise(wide)
     groups = wide.count()
     joined = rows.join(F.broadcast(wide) if groups <= BROADCAST_GROUPS else wide, ["lang", "source"], "left")
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fine = F.lit(True)
     for s in SIGNALS:
         fine = fine & F.coalesce(F.col(s) <= F.col(f"high_{s}"), F.lit(True)) & F.coalesce(F.col(s) >= F.col(f"low_{s}"), F.lit(True))

@@ -180,3 +180,14 @@ def test_leaks_at_the_edit_limit_by_length():
                     want.append((len(texts), n))
                 texts.append(" ".join(text).encode())
         assert [(d, found.ids[k]) for d, k, *_ in found.leaks(texts)] == want and len(want) >= len(items)
+
+
+def test_repeated_lines_and_words_fail(spark):
+    line = lambda i, j: f"doc{i} line{j} " + " ".join(f"w{i}x{j}x{k}" for k in range(8))
+    texts = ["\n".join(line(i, j) for j in range(12)) for i in range(60)]
+    texts += ["\n".join([*(line(i, j) for j in range(9)), *[line(i, 0)] * 3]) for i in (60, 61)]
+    texts.append("\n".join(f"{line(62, j)} buy it now" if j < 9 else line(62, j) for j in range(12)))
+    table = docs(spark, texts).selectExpr("doc_id", "text", "'en' AS lang", "fp AS source")
+    got = {r.doc_id: r for r in quality_rules.judge(table).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [i for i in sorted(got) if not got[i].kept] == [60, 61, 62]
