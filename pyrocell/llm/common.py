@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,14 @@ def materialise(df: DataFrame, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with underscores appended until no column has it."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, mod m; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m
@@ -57,6 +66,12 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def texts_of(column: pa.Array, step: int = 256) -> Iterator[bytes]:
+    """A string column's values as UTF-8 bytes, null as empty, a few at a time: a batch is never held twice."""
+    for at in range(0, len(column), step):
+        yield from (t or b"" for t in as_bytes(column.slice(at, step)))
+
+
 def pack(a: np.ndarray) -> bytes:
     """An integer or float array as zstd over its byte planes: sorted or small values cost few bytes."""
     planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) if len(a) else a

@@ -31,10 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pyrocell.llm.common import as_bytes, materialise
+from pyrocell.llm.common import materialise, texts_of
 from pyrocell.llm.substring_dedup import FACTORS, mix
 
 SEED = 42
+#: Near copies: minwise bands, minima of each, nodes of a block, and up to how many a tile's pairs are listed at once.
+BANDS, ROWS, BLOCK, SMALL = 12, 3, 1024, 24
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -56,14 +58,14 @@ def fingerprint(text: bytes | None, k: int = 3) -> int:
         return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 14):  # bounded memory on very long texts
-        ones += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        ones += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint16)
     return int(np.packbits(ones * 2 > len(h)).view(np.int64)[0])
 
 
 def fingerprint_column(text: Column, k: int = 3) -> Column:
     @F.arrow_udf("bigint")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t, k) for t in as_bytes(texts)], pa.int64())
+        return pa.array([fingerprint(t, k) for t in texts_of(texts)], pa.int64())
 
     return of(text)
 
@@ -103,9 +105,8 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 128) -> Itera
             yield x + i, y, d[x, y]
 
 
-def block_pairs(fps: DataFrame, radius: int, parts: int, block: int, item: Column, name: str = "fp") -> DataFrame:
-    """Pairs of blocks (fps_a, fps_b: arrays of item, same: is it one block?) that may hold fingerprints within radius.
-    Rows are dealt to blocks by the column ``name``, which is distinct."""
+def block_pairs(fps: DataFrame, radius: int, parts: int, block: int) -> DataFrame:
+    """Pairs of blocks (fps_a, fps_b: arrays of fp, same: is it one block?) that may hold fingerprints within radius."""
     width = 64 // parts
     base = width + 1
     field = lambda i: F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1)) if parts > 1 else F.col("fp"))
@@ -116,9 +117,9 @@ def block_pairs(fps: DataFrame, radius: int, parts: int, block: int, item: Colum
     sizes = tiled.groupBy("tile").agg(F.count("*").alias("n"))
     blocks = (
         tiled.join(F.broadcast(sizes), "tile")
-        .withColumn("blk", F.pmod(F.xxhash64(name), F.ceil(F.col("n") / block)).cast("int"))
+        .withColumn("blk", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / block)).cast("int"))
         .groupBy("tile", *(f"p{i}" for i in range(parts)), "blk")
-        .agg(F.collect_list(item).alias("fps"))
+        .agg(F.collect_list("fp").alias("fps"))
     )
     blocks = materialise(blocks)
     other = _moved(blocks, parts, radius, base)
@@ -133,7 +134,7 @@ def block_pairs(fps: DataFrame, radius: int, parts: int, block: int, item: Colum
 def links(fps: DataFrame, radius: int = 2, parts: int = 4, block: int = 512) -> DataFrame:
     """Links (a, b), a and b distinct fingerprints, over a column ``fp`` of distinct fingerprints: of each block
     pair a spanning forest of its links, which joins the same fingerprints as all of them."""
-    pairs = block_pairs(fps, radius, parts, block, F.col("fp"))
+    pairs = block_pairs(fps, radius, parts, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,59 +159,151 @@ def links(fps: DataFrame, radius: int = 2, parts: int = 4, block: int = 512) ->
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
-def nearest_links(fps: DataFrame, radius: int, wide: int, nearest: int, least: float, block: int = 4096) -> DataFrame:
-    """Links (a, b, bits, more), a below b, between nodes of different groups, over nodes (key, fp, grp, w1, w2, w3)
-    of distinct keys: fp differs in at most ``radius`` bits, fp and the other words in ``wide``. Each node keeps its ``nearest`` links of each block pair; ``more`` says that others went. With a column
-    ``counts`` (of ``shingle_counts``) links whose texts can't share ``least`` of their shingles are no links: two
-    texts share at most the sum of the lesser counts."""
-    counted = "counts" in fps.columns
-    pairs = block_pairs(fps, radius, 1, block, F.struct("key", "fp", "grp", "w1", "w2", "w3", *["counts"] * counted), "key")
-
-    def table(items: pa.StructArray) -> np.ndarray:
-        return np.frombuffer(b"".join(items.field(6).to_pylist()), "<u4").reshape(len(items), -1).astype(np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                (ka, a, ga), (kb, b, gb) = ([batch.column(i)[row].values.field(f).to_numpy() for f in (0, 1, 2)] for i in (0, 1))
-                same, more, found = batch.column(2)[row].as_py(), False, []
-                wa, wb = (np.stack([batch.column(i)[row].values.field(f).to_numpy() for f in (3, 4, 5)]).view(np.uint64) for i in (0, 1))
-                if counted:
-                    ca, cb = (table(batch.column(i)[row].values) for i in (0, 1))
-                    na, nb = ca.sum(1), cb.sum(1)
-                for x, y, d in compare(a.view(np.uint64), b.view(np.uint64), radius, 16 if counted else 128):
-                    d = d + np.bitwise_count(wa[:, x] ^ wb[:, y]).sum(0)
-                    at = (d <= wide) & (ga[x] != gb[y])
-                    if counted:
-                        x, y, d = x[at], y[at], d[at]
-                        most = np.minimum(ca[x], cb[y]).sum(1)
-                        at = most / np.maximum(1, na[x] + nb[y] - most) >= least
-                    if same:
-                        at &= x < y
-                    x, y, d = x[at], y[at], d[at]
-                    keep = _closest(x, y, d, nearest) | _closest(y, x, d, nearest)
-                    more |= not keep.all()
-                    found.append((x[keep], y[keep], d[keep]))
-                if not sum(len(x) for x, _, _ in found):
-                    continue
-                x, y, d = (np.concatenate(z) for z in zip(*found))
-                keep = _closest(x, y, d, nearest) | _closest(y, x, d, nearest)
-                more |= not keep.all()
-                x, y = ka[x[keep]], kb[y[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d[keep].astype(np.int32)), pa.array(np.full(len(x), more))], ["a", "b", "bits", "more"])
-
-    return pairs.mapInArrow(run, "a bigint, b bigint, bits int, more boolean")
-
-
-def _closest(end: np.ndarray, other: np.ndarray, d: np.ndarray, nearest: int) -> np.ndarray:
-    """Which links are among the nearest ones of their end; ties fall to different others for different ends."""
-    by = np.lexsort(((other - end) & 0xFFFF, d, end))
+def _closest(end: np.ndarray, other: np.ndarray, d: np.ndarray, tie: np.ndarray, nearest: int) -> np.ndarray:
+    """Which links are among the nearest ones of their end; ties fall by ``tie``, the same in every band."""
+    by = np.lexsort((tie, d, end))
     keep = np.zeros(len(end), bool)
     sorted_ = end[by]
     keep[by[np.arange(len(by)) - np.searchsorted(sorted_, sorted_) < nearest]] = True
     return keep
 
 
+def _pairs_within(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs x < y inside each of many short runs."""
+    xs, ys = [], []
+    for size in np.unique(sizes):
+        x, y = np.triu_indices(int(size), 1)
+        at = starts[sizes == size]
+        xs.append((at[:, None] + x).ravel()), ys.append((at[:, None] + y).ravel())
+    return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _tile_pairs(fp: np.ndarray, rows: np.ndarray, others: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within radius inside ``rows``, or between rows and others: both are put in order of population
+    count and only the stretch of counts within the radius is compared."""
+    count = np.bitwise_count(fp).astype(np.int64)
+    a = rows[np.argsort(count[rows], kind="stable")]
+    b = a if others is None else others[np.argsort(count[others], kind="stable")]
+    high = count[b]
+    for i in range(0, len(a), 128):
+        part = a[i : i + 128]
+        lo = np.searchsorted(high, count[part[0]] - radius, "left")
+        hi = np.searchsorted(high, count[part[-1]] + radius, "right")
+        for x, y, _ in compare(fp[part], fp[b[lo:hi]], radius):
+            if others is None:
+                at = i + x < lo + y
+                x, y = x[at], y[at]
+            yield part[x], b[lo + y]
+
+
+def tile_links(tiles: DataFrame, radius: int, wide: int, nearest: int, least: float, lead: bool) -> DataFrame:
+    """Links (a, b, bits, more), a below b, inside the tiles (side, nodes: array of (side, key, fp, w1, w2, w3, cells, grp)).
+
+    A link joins nodes of different groups whose fp differs in at most ``radius`` bits, whose four words together
+    differ in at most ``wide``, and whose shingle counts (``cells``) leave it possible that they share ``least`` of their
+    shingles: two texts share at most the sum of the lesser counts. With two sides only links across are taken. Each
+    node keeps its ``nearest`` links of a tile, and with ``lead`` the one to the least key; ``more`` says others went."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("nodes")
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            items = lists.values
+            side, key, grp = (items.field(f).to_numpy() for f in ("side", "key", "grp"))
+            words = np.stack([items.field(f).to_numpy() for f in ("fp", "w1", "w2", "w3")], 1).view(np.uint64)
+            cells = items.field("cells")
+            starts, sizes = ends[:-1], np.diff(ends)
+
+            def real(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                at = grp[x] != grp[y]
+                x, y = x[at], y[at]
+                apart = np.bitwise_count(words[x] ^ words[y])
+                d = apart.sum(1, dtype=np.int64)
+                at = (apart[:, 0] <= radius) & (d <= wide)
+                x, y, d = x[at], y[at], d[at]
+                ok = np.ones(len(x), bool)
+                for i in range(0, len(x), 1 << 15):
+                    z = slice(i, i + (1 << 15))
+                    used, where = np.unique(np.concatenate([x[z], y[z]]), return_inverse=True)
+                    table = np.frombuffer(b"".join(cells.take(pa.array(used)).to_pylist()), "<u4").reshape(len(used), -1).astype(np.int64)
+                    n, half = table.sum(1), len(where) // 2
+                    i_, j_ = where[:half], where[half:]
+                    most = np.minimum(table[i_], table[j_]).sum(1)
+                    ok[z] = most >= least * (n[i_] + n[j_] - most)
+                return x[ok], y[ok], d[ok]
+
+            def chosen(x: np.ndarray, y: np.ndarray, d: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
+                tie = mix((key[x] ^ key[y]).view(np.uint64), FACTORS[1])
+                keep = _closest(x, y, d, tie, nearest) | _closest(y, x, d, tie, nearest)
+                if lead:
+                    keep |= (key[x] == low) | (key[y] == low)
+                return x[keep], y[keep], d[keep], np.full(int(keep.sum()), not keep.all())
+
+            got = []
+            small = sizes <= SMALL
+            for i in range(0, int(small.sum()), 1 << 12):
+                which = np.flatnonzero(small)[i : i + (1 << 12)]
+                x, y = _pairs_within(starts[which], sizes[which])
+                across = side[x] != side[y]
+                two = np.array([len(set(side[a:b])) > 1 for a, b in zip(starts[which], ends[which + 1])], bool) if across.any() else None
+                if two is not None:
+                    owner = which[np.searchsorted(starts[which], x, "right") - 1]
+                    sided = np.zeros(len(sizes), bool)
+                    sided[which] = two
+                    at = across | ~sided[owner]
+                    x, y = x[at], y[at]
+                low = np.minimum.reduceat(key, starts[which]) if len(which) and sizes[which].min() else None
+                x, y, d = real(x, y)
+                if len(x):
+                    got.append(chosen(x, y, d, low[np.searchsorted(starts[which], x, "right") - 1]))
+            for t in np.flatnonzero(~small):
+                rows = np.arange(starts[t], ends[t + 1])
+                left = side[rows] == side[rows].min()
+                found = [real(x, y) for x, y in (_tile_pairs(words[:, 0], rows, None, radius) if left.all() else _tile_pairs(words[:, 0], rows[left], rows[~left], radius))]
+                x, y, d = (np.concatenate(z) for z in zip(*found)) if found else (rows[:0], rows[:0], rows[:0])
+                if len(x):
+                    got.append(chosen(x, y, d, np.full(len(x), key[rows].min())))
+            if got:
+                x, y, d, more = (np.concatenate(z) for z in zip(*got))
+                a, b = key[x], key[y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int32)), pa.array(more)], ["a", "b", "bits", "more"])
+
+    return tiles.select("nodes").mapInArrow(run, "a bigint, b bigint, bits int, more boolean")
+
+
+def banded(nodes: DataFrame) -> DataFrame:
+    """(band, n, and the columns of nodes) for each band that two nodes or more share; n: how many."""
+    rows = nodes.select("key", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(shared, "band").join(nodes.drop("bands", "low"), "key")
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """Rows (tile, and those of ``tile_links``) gathered to tiles that hold two groups."""
+    node = F.struct(F.col("blk").alias("side"), "key", "fp", "w1", "w2", "w3", "cells", "grp")
+    return rows.groupBy("tile").agg(F.collect_list(node).alias("nodes"), F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 <> g2").select("nodes")
+
+
+def first_tiles(shared: DataFrame) -> DataFrame:
+    """Every band's blocks, each alone; a node is a group."""
+    blk = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    return _tiled(shared.withColumns({"grp": F.col("key"), "blk": blk}).withColumn("tile", F.xxhash64("band", "blk")))
+
+
+def later_tiles(shared: DataFrame, grouped: DataFrame) -> DataFrame:
+    """All pairs of blocks of the bands that hold two groups. A band's largest group is in blocks of its own, which don't
+    meet each other: n nodes of one group and m others make n + m + n m / BLOCK rows, not n squared. A node goes
+    to each tile of its block, so a tile is bounded and no join makes the pairs."""
+    labelled = materialise(shared.drop("n").join(grouped, "key"))
+    sizes = labelled.groupBy("band", "grp").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("grp", "k").alias("major")).where("most < n")
+    cut, h = F.col("n") > BLOCK, F.xxhash64("key")
+    counts = {"own": F.when(cut, F.ceil(F.col("most") / BLOCK)).otherwise(0).cast("int"), "rest": F.when(cut, F.ceil((F.col("n") - F.col("most")) / BLOCK)).otherwise(1).cast("int"), "of_major": cut & (F.col("grp") == F.col("major"))}
+    blk = F.when(F.col("of_major"), F.pmod(h, F.greatest("own", F.lit(1)))).otherwise(F.col("own") + F.pmod(h, "rest")).cast("int")
+    met = F.explode(F.sequence(F.when(F.col("of_major"), F.col("own")).otherwise(0), F.col("own") + F.col("rest") - 1))
+    rows = labelled.join(sizes, "band").withColumns(counts).withColumn("blk", blk).select("*", met.alias("met"))
+    return _tiled(rows.withColumn("tile", F.xxhash64("band", F.least("blk", "met"), F.greatest("blk", "met"))))
+
+
 def _moved(blocks: DataFrame, parts: int, radius: int, base: int) -> DataFrame:
     """Each block once for every tile it must meet, itself included."""
     steps = F.array(*(F.struct(*(F.lit(d).alias(f"d{i}") for i, d in enumerate(o))) for o in _near(parts, radius)))
@@ -259,13 +352,16 @@ def contract(edges: DataFrame, block: int = 1 << 20) -> DataFrame:
     return edges.mapInArrow(run, "u bigint, v bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, block: int = 1 << 20) -> DataFrame:
     """(node, root) of an undirected graph (a, b) of long nodes: root is the least node of the component; nodes
-    that are their own root are left out. Tasks contract the edges they hold first; large-star and small-star
-    rounds join what is left, until each node has one neighbour below it and that one has none."""
+    that are their own root are left out. Tasks contract the edges they hold; once no more than ``block`` are left,
+    which one task holds at once, a last contraction ends it. Until then large-star and small-star rounds join
+    what is left, until each node has one neighbour below it and that one has none."""
     down = lambda df: df.where(F.col("u") > F.col("v")).distinct()
-    e = materialise(contract(materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))))
+    e = materialise(contract(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
     while True:
+        if e.count() <= block:
+            return contract(e.coalesce(1), block).select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = e.union(e.select(F.col("v").alias("u"), "v")).groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
         if seen.where("low <> high").isEmpty():
             return e.distinct().select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -276,7 +372,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         # the two sides of small's edges need no distinct: contraction drops repeated edges
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u > v")
-        e = materialise(contract(materialise(small)))
+        e = materialise(contract(small))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,17 +388,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, k: int = 3, id_col: str =
     return rows.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingle_counts(text: Column, k: int, cells: int = 64) -> Column:
-    """How many distinct k-word shingles hash to each cell, as little-endian unsigned 32-bit integers."""
-
-    @F.arrow_udf("binary")
-    def of(rows: pa.Array) -> pa.Array:
-        return pa.array([np.bincount((np.unique(shingle_hashes((t or b"").lower().split(), k)) % np.uint64(cells)).astype(np.int64), minlength=cells).astype("<u4").tobytes() for t in as_bytes(rows)], pa.binary())
-
-    return of(text)
-
-
-def set_sketch(h: np.ndarray) -> tuple[int, ...]:
+def set_sketch(h: np.ndarray) -> tuple[int, int, int, int, int]:
     """(key, fp, w1, w2, w3) of shingle hashes as a set: XXH64 of the sorted set, equal for equal sets, and a SimHash
     of 256 bits, whose first 64 are ``fp``."""
     h = np.unique(h)
@@ -310,15 +396,44 @@ def set_sketch(h: np.ndarray) -> tuple[int, ...]:
     for i in range(0, len(h), 1 << 14):  # bounded memory on very long texts
         x = h[i : i + (1 << 14)]
         more = [mix(x ^ np.uint64(w << 32), FACTORS[0]) for w in (1, 2, 3)]
-        ones += np.unpackbits(np.stack([x, *more], 1).view(np.uint8).reshape(-1, 32), axis=1).sum(0, dtype=np.int64)
+        ones += np.unpackbits(np.stack([x, *more], 1).view(np.uint8).reshape(-1, 32), axis=1).sum(0, dtype=np.uint16)
     return (xxhash.xxh64_intdigest(h.tobytes(), SEED), *np.packbits(ones * 2 > len(h)).view(np.uint64).tolist())
 
 
+#: Odd multipliers of the minwise permutations, from a fixed seed.
+PERMUTATIONS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def minwise_bands(h: np.ndarray) -> np.ndarray:
+    """BANDS hashes, each of ROWS minima of permuted shingle hashes: two sets of similarity s share a given one with
+    probability s ** ROWS."""
+    low = np.full(BANDS * ROWS, ~np.uint64(0))
+    x = h ^ (h >> np.uint64(31))
+    for i in range(0, len(h), 1 << 11):
+        np.minimum(low, (PERMUTATIONS[:, None] * x[None, i : i + (1 << 11)]).min(1), out=low)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for m in low.reshape(BANDS, ROWS).T:
+        out = mix(out ^ m, FACTORS[0])
+    return out
+
+
+def shingle_counts(h: np.ndarray, cells: int = 64) -> bytes:
+    """How many distinct shingle hashes fall in each cell, as little-endian unsigned 32-bit integers."""
+    return np.bincount((h % np.uint64(cells)).astype(np.int64), minlength=cells).astype("<u4").tobytes()
+
+
 def set_sketch_column(text: Column, k: int) -> Column:
-    @F.arrow_udf("struct<key:bigint,fp:bigint,w1:bigint,w2:bigint,w3:bigint>")
+    @F.arrow_udf("struct<key:bigint,fp:bigint,w1:bigint,w2:bigint,w3:bigint,bands:array<bigint>,cells:binary>")
     def of(rows: pa.Array) -> pa.Array:
-        all_ = np.array([set_sketch(shingle_hashes((t or b"").lower().split(), k)) for t in as_bytes(rows)], np.uint64).reshape(-1, 5).view(np.int64)
-        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in all_.T], ["key", "fp", "w1", "w2", "w3"])
+        sketch, bands, cells = np.zeros((len(rows), 5), np.uint64), np.zeros((len(rows), BANDS), np.uint64), []
+        for i, t in enumerate(texts_of(rows)):
+            h = np.unique(shingle_hashes(t.lower().split(), k))
+            sketch[i], bands[i] = set_sketch(h), minwise_bands(h)
+            cells.append(shingle_counts(h))
+        ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS)
+        columns = [pa.array(np.ascontiguousarray(c)) for c in sketch.view(np.int64).T]
+        columns += [pa.ListArray.from_arrays(ends, pa.array(bands.view(np.int64).ravel())), pa.array(cells, pa.binary())]
+        return pa.StructArray.from_arrays(columns, ["key", "fp", "w1", "w2", "w3", "bands", "cells"])
 
     return of(text)
 
@@ -330,72 +445,80 @@ def radius_of(similarity: float, bits: int, deviations: float) -> int:
     return math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
-    """(a, b, near): do the texts (key, text) of a pair share at least ``least`` of their distinct k-word shingles?"""
-    sides = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+def shingle_sets(text: Column, k: int) -> Column:
+    """The distinct k-word shingle hashes of a text, sorted, as bytes."""
 
     @F.arrow_udf("binary")
-    def shingles(rows: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingle_hashes((t or b"").lower().split(), k)).tobytes() for t in as_bytes(rows)], pa.binary())
+    def of(rows: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes(t.lower().split(), k)).tobytes() for t in texts_of(rows)], pa.binary())
+
+    return of(text)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, near): do the sets (key, s) of a pair share at least ``least`` of their shingles?"""
 
     @F.arrow_udf("double")
     def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(a, b):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(both / max(1, len(x) + len(y) - both))
         return pa.array(out, pa.float64())
 
-    sets = materialise(texts.join(sides, "key", "left_semi").select("key", shingles(F.col("text")).alias("s")))
     joined = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
     return joined.select("a", "b", (jaccard(F.col("sa"), F.col("sb")) >= least).alias("near"))
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near copies, the one of least id; all columns of docs.
+    """One row of each group of near copies, the one of least id (null first; ties: the first read); all columns of docs.
 
     Texts are near copies if they share ``similarity`` of their five-word shingles. Texts of equal shingle sets are
-    one node, named by a hash of the set; no other texts are joined unverified. Nodes are candidates by the distance of
-    a 256-bit SimHash of the set. At the limit of 0.8 a bit differs with probability 0.15, so 72 bits are six standard
-    deviations above the mean and unrelated texts lie seven below theirs; the first 64 bits are tried before the rest,
-    at 22 bits (4.5 deviations). Simulated, pairs at the limit pass both with probability over 0.999, the least (four
-    shingles and one more) included. Candidates are verified on the texts, in rounds: each node proposes its nearest links into
-    other groups (two, then 16, 128, ...; ties at random, so that two join a dense group), accepted ones merge
-    groups, and the next round takes only nodes that still had links, and of these only links that the counts of
-    their shingles leave possible.
-    The last round is the one that left no link out, so every link between two final groups was verified and
-    rejected; a group of n near copies needs about 2 n verifications, as its links fall inside it once it merged.
-    At this radius the population counts rule out little, so the comparison is quadratic in distinct nodes.
+    one node, named by a hash of the set; no other texts are joined unverified. Texts without words are one group.
+
+    Tiles. Comparing all nodes with all would grow with the square of the corpus, as radii this wide rule out few
+    population counts. So nodes are tiled by BANDS minwise hashes of ROWS values first: a pair at similarity 0.8 shares
+    none with probability (1 - 0.8 ** 3) ** 12 = 0.0002. Inside a tile, fingerprints are compared exactly:
+    candidates differ in at most 22 of 64 and 72 of 256 bits of a SimHash of the set (at the limit a bit differs with
+    probability 0.15, so these are 4.5 and six standard deviations above the mean), where the population counts are
+    within the radius. A tile is at most two blocks of about BLOCK nodes; a band of more nodes is cut into block pairs.
+
+    Rounds. Candidates are verified on the whole shingle sets. In the first round each node proposes its two nearest
+    links of each block and the one to the block's least key, and accepted links merge groups. Later rounds take
+    only bands that hold two groups, only links between groups, and the nearest 128, 1024, ... of a node; the last round
+    is the one that left no link out. So every candidate between two final groups was verified and rejected, a
+    group of n near copies needs about 2 n verifications, and a band whose nodes are one group costs nothing more.
     """
-    rows = materialise(docs.withColumns({"__set": set_sketch_column(F.col(text_col), shingle), "__row": F.monotonically_increasing_id()}))
-    nodes = materialise(rows.groupBy("__set").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("low")).select("__set.*", "low"))
-    first = rows.join(nodes.select(F.col("low.row").alias("__row"), "key"), "__row").select("key", F.col(text_col).alias("text"))
-    grouped = nodes.select("key", "fp", "w1", "w2", "w3", F.col("key").alias("grp"))
+    # the row is one struct column: names of docs can't clash with those used here
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    rows = materialise(rows.select("*", set_sketch_column(F.col(f"doc.`{text_col}`"), shingle).alias("set")))
+    low = F.min(F.struct(F.col(f"doc.`{id_col}`").alias("id"), "row")).alias("low")
+    nodes = materialise(rows.groupBy("set.key").agg(low, F.first("set").alias("set")).select("set.*", "low"))
+    shared = materialise(banded(nodes))
+    wanted = materialise(nodes.join(shared.select("key").distinct(), "key", "left_semi").select("key", F.col("low.row").alias("row")))
+    sets = materialise(rows.select("row", F.col(f"doc.`{text_col}`").alias("text")).join(wanted, "row").select("key", shingle_sets(F.col("text"), shingle).alias("s")))
     radius, wide = radius_of(similarity, 64, 4.5), radius_of(similarity, 256, 6)
-    active, tried, counts, nearest = grouped, None, None, 2
-    while True:
-        found = materialise(nearest_links(active, radius, wide, nearest, similarity))
-        ends = found.select("a", "b", "bits", F.explode(F.array("a", "b")).alias("end"))
+    grouped = wanted.select("key", F.col("key").alias("grp"))
+    picked = materialise(tile_links(first_tiles(shared), radius, wide, 2, similarity, lead=True).select("a", "b").distinct())
+    tried = materialise(verify(picked, sets, similarity))
+    grouped, nearest, more = _regroup(grouped, tried.where("near")), 128, True
+    while more:
+        found = materialise(tile_links(later_tiles(shared, grouped), radius, wide, nearest, similarity, lead=False))
+        ends = found.select("a", "b", "bits", F.explode(F.array("a", "b")).alias("end")).distinct()
         rank = F.row_number().over(W.partitionBy("end").orderBy("bits", F.xxhash64("a", "b"), "a", "b"))
         picked = materialise(ends.withColumn("n", rank).where(F.col("n") <= nearest).select("a", "b").distinct())
-        rest = not found.where("more").isEmpty() or picked.count() < found.count()
-        verdicts = materialise(verify(picked if tried is None else picked.join(tried, ["a", "b"], "left_anti"), first, shingle, similarity))
-        grouped = _regroup(grouped, verdicts.where("near").select("a", "b"))
-        if not rest:
-            break
-        tried = verdicts.select("a", "b") if tried is None else tried.union(verdicts.select("a", "b"))
-        nodes_left = ends.select(F.col("end").alias("key")).distinct()
-        if counts is None:
-            counts = materialise(first.join(nodes_left, "key", "left_semi").select("key", shingle_counts(F.col("text"), shingle).alias("counts")))
-        active, nearest = grouped.join(nodes_left, "key", "left_semi").join(counts, "key"), nearest * 8
-    kept = nodes.join(grouped.select("key", "grp"), "key").groupBy("grp").agg(F.min("low").alias("low")).select(F.col("low.row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+        more = not found.where("more").isEmpty() or picked.count() < found.select("a", "b").distinct().count()
+        verdicts = materialise(verify(picked.join(tried, ["a", "b"], "left_anti"), sets, similarity))
+        grouped = _regroup(grouped, verdicts.where("near"))
+        tried, nearest = tried.union(verdicts), nearest * 8
+    heads = nodes.join(grouped, "key", "left").groupBy(F.coalesce("grp", "key").alias("grp")).agg(F.min("low").alias("low")).select(F.col("low.row").alias("row"))
+    return rows.join(heads, "row", "left_semi").select("doc.*")
 
 
 def _regroup(grouped: DataFrame, edges: DataFrame) -> DataFrame:
-    """``grouped`` (key, grp and more) with the groups merged that edges (a, b) of nodes join."""
+    """``grouped`` (key, grp) with the groups merged that edges (a, b) of nodes join."""
     ga, gb = (grouped.select(F.col("key").alias(c), F.col("grp").alias(f"g{c}")) for c in "ab")
-    between = edges.join(ga, "a").join(gb, "b").where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+    between = edges.select("a", "b").join(ga, "a").join(gb, "b").where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
     merged = components(between).select(F.col("node").alias("grp"), "root")
-    return materialise(grouped.join(merged, "grp", "left").withColumn("grp", F.coalesce("root", "grp")).drop("root"))
+    return materialise(grouped.join(merged, "grp", "left").select("key", F.coalesce("root", "grp").alias("grp")))
