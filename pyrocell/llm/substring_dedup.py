@@ -12,11 +12,12 @@ second pass still gets every repeated window.
 
 Second pass. Chunks of texts in order send the distinct hashes of the windows left to buckets; a bucket finds
 the first chunk of each hash and answers each chunk one bit per hash: does it occur in an earlier chunk? In its
-own chunk a window is repeated if the bit is set or it isn't the chunk's first. A hash is 64 bits beside the
-bucket's number, which comes from a second hash, so both must agree.
+own chunk a window is repeated if the bit is set or it isn't the chunk's first. A window is compared by 64 bits of one
+hash of its words, and by 32 bits and the bucket's number of another: over 10^13 different windows, the odds that
+any two are taken for one are under 10^-3.
 
 Null and empty texts have no words. Texts under WINDOW words lose nothing. Other columns are carried along by
-``deduplicate``; an empty table gives an empty result.
+``deduplicate``, whatever their names; an empty table gives an empty result. A very long text is one chunk.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pyrocell.llm.chunks import bucket_count, chunked, from_ipc
-from pyrocell.llm.common import as_bytes, materialise, pack_sorted, unpack_sorted
+from pyrocell.llm.common import as_bytes, fresh, materialise, pack_sorted, unpack_sorted
 
 WINDOW, SHINGLE = 20, 8
 DEPTH, LEAST_BITS, MOST_BITS = 2, 16, 26
@@ -119,12 +120,19 @@ def counters(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix(anchor, f) >> np.uint64(64 - bits)).astype(np.int64) for f in FACTORS[:DEPTH]]
 
 
+def _set_bits(bytes_: np.ndarray, place: np.ndarray, bit: np.ndarray) -> None:
+    """Sets the bits at the places, which ascend."""
+    if len(place):
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        bytes_[place[first]] |= np.bitwise_or.reduceat(bit, first)
+
+
 def sketch(chunks: DataFrame, text_col: str, bits: int) -> list[np.ndarray]:
     """The merged sketch: for each row a bit array of the counters that reached two."""
     part = (1 << bits) // 8 // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(1 << bits, np.uint8) for _ in range(DEPTH)]
+        once, twice = ([np.zeros((1 << bits) // 8, np.uint8) for _ in range(DEPTH)] for _ in range(2))  # a bit a counter
         for batch in batches:
             for payload in batch.column("payload"):
                 w = Words(as_bytes(from_ipc(payload.as_py()).column(text_col).combine_chunks()))
@@ -135,12 +143,14 @@ def sketch(chunks: DataFrame, text_col: str, bits: int) -> list[np.ndarray]:
                 anchor = anchor[np.unique(place, return_index=True)[1]]
                 for row, c in enumerate(counters(anchor, bits)):
                     seen, n = np.unique(c, return_counts=True)
-                    counts[row][seen] = np.minimum(2, counts[row][seen] + np.minimum(n, 2))
+                    place, bit = seen >> 3, (128 >> (seen & 7)).astype(np.uint8)
+                    again = (n > 1) | (once[row][place] & bit > 0)
+                    _set_bits(twice[row], place[again], bit[again])
+                    _set_bits(once[row], place, bit)
         task = TaskContext.get().partitionId()
         for row in range(DEPTH):
             for s in range(SLICES):
-                c = counts[row][8 * s * part : 8 * (s + 1) * part]
-                x, y = np.packbits(c > 0), np.packbits(c > 1)
+                x, y = (bits_[row][s * part : (s + 1) * part] for bits_ in (once, twice))
                 yield pa.RecordBatch.from_arrays([pa.array([row * SLICES + s]), pa.array([task]), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], names)
 
     def merge(key: tuple, t: pa.Table) -> pa.Table:
@@ -172,22 +182,27 @@ def estimated_repeated(anchor: np.ndarray, rows: list[np.ndarray], bits: int) ->
     return out
 
 
-def candidates(w: Words, rows: list[np.ndarray], bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, buckets and hashes of windows that may be repeated, ordered by bucket, hash and place."""
+def candidates(w: Words, rows: list[np.ndarray], bits: int, buckets: int) -> tuple[np.ndarray, ...]:
+    """Places, buckets, hashes and check hashes of windows that may be repeated, ordered by bucket, hashes and place;
+    and whether each is the first of its hashes."""
     at = w.windows()
     if len(at):
         at = at[estimated_repeated(w.anchors(at)[1], rows, bits)]
     if not len(at):
-        return at, at, at.astype(np.uint64)
+        return at, at, at.astype(np.uint64), at.astype(np.uint32), at.astype(bool)
     h, other = w.hashes(at)
-    bucket = (other % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((at, h, bucket))
-    return at[order], bucket[order], h[order]
+    bucket, check = (other % np.uint64(buckets)).astype(np.int64), (other >> np.uint64(32)).astype(np.uint32)
+    order = np.lexsort((at, check, h, bucket))
+    at, bucket, h, check = at[order], bucket[order], h[order], check[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1]) | (bucket[1:] != bucket[:-1])
+    return at, bucket, h, check, new
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """The columns of docs with the removed words cut out of the text (texts that lose nothing are unchanged),
-    plus n_words and n_removed; with digest instead doc_id, n_words, n_removed, kept_sha256."""
+    plus n_words and n_removed (underscores are appended where docs has such a column); with digest instead doc_id,
+    n_words, n_removed, kept_sha256."""
     chunks = materialise(chunked(docs.select(id_col, text_col) if digest else docs, id_col))
     buckets = bucket_count(docs)
     size = chunks.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
@@ -201,34 +216,33 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload")):
-                _, bucket, h = candidates(Words(texts(payload.as_py())), sent.value, bits, buckets)
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
-                bucket, h = bucket[new], h[new]
+                _, bucket, h, check, new = candidates(Words(texts(payload.as_py())), sent.value, bits, buckets)
+                bucket, h, check = bucket[new], h[new], check[new]
                 ends = np.searchsorted(bucket, np.arange(buckets + 1))
                 full = [b for b in range(buckets) if ends[b] < ends[b + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([chunk] * len(full), pa.int64()), pa.array([pack_sorted(h[ends[b] : ends[b + 1]]) for b in full], pa.binary())], ["bucket", "chunk", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([chunk] * len(full), pa.int64()), pa.array([pack_sorted(h[ends[b] : ends[b + 1]]) for b in full], pa.binary()), pa.array([check[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary())], ["bucket", "chunk", "keys", "checks"])
 
     def resolve(t: pa.Table) -> pa.Table:
         """For each chunk, a bit per key: does an earlier chunk have it?"""
         who = np.array(t.column("chunk").to_pylist(), np.int64)
         keys = [unpack_sorted(k.as_py()) for k in t.column("keys")]
         which = np.repeat(np.arange(len(who)), [len(k) for k in keys])
-        h = np.concatenate(keys)
+        h, check = np.concatenate(keys), np.frombuffer(b"".join(t.column("checks").to_pylist()), np.uint32)
         rank = np.empty(len(who), np.int64)
         rank[np.argsort(who, kind="stable")] = np.arange(len(who))
-        order = np.lexsort((rank[which], h))
+        order = np.lexsort((rank[which], check, h))
         later = np.zeros(len(h), bool)
-        later[order[1:]] = h[order[1:]] == h[order[:-1]]
+        later[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
         ends = np.cumsum([len(k) for k in keys])
         bits_ = [np.packbits(later[e - len(k) : e]).tobytes() for k, e in zip(keys, ends)]
         return pa.table([t.column("chunk"), t.column("bucket"), pa.array(bits_, pa.binary())], names=["chunk", "bucket", "later"])
 
-    sent_keys = chunks.mapInArrow(send, "bucket bigint, chunk bigint, keys binary")
+    sent_keys = chunks.mapInArrow(send, "bucket bigint, chunk bigint, keys binary, checks binary")
     answers = sent_keys.groupBy("bucket").applyInArrow(resolve, "chunk bigint, bucket bigint, later binary")
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "later")).alias("answers"))
     both = chunks.join(answers, "chunk", "left").select("payload", "answers")
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" if digest else StructType([*docs.schema.fields]).add("n_words", "long").add("n_removed", "long")
+    named = [fresh(c, docs.columns) for c in ("n_words", "n_removed")]
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" if digest else StructType([*docs.schema.fields]).add(named[0], "long").add(named[1], "long")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,18 +261,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     at = rows.schema.get_field_index(text_col)
                     new = [t if not ls.any() else cut(t, ls) for t, ls in zip(text, lost)]
                     rows = rows.set_column(at, rows.schema.field(at), pa.array(new, pa.binary()).cast(pa.string()).cast(rows.schema.field(at).type))
-                    yield from rows.append_column("n_words", n_words).append_column("n_removed", n_removed).combine_chunks().to_batches()
+                    yield from rows.append_column(named[0], n_words).append_column(named[1], n_removed).combine_chunks().to_batches()
 
     return both.mapInArrow(apply, schema)
 
 
 def covered(w: Words, answers: dict[int, bytes], rows: list[np.ndarray], bits: int, buckets: int) -> np.ndarray:
     """Which words of a chunk a repeated window covers."""
-    at, bucket, h = candidates(w, rows, bits, buckets)
+    at, bucket, h, _, new = candidates(w, rows, bits, buckets)
     edge = np.zeros(len(w.h) + 1, np.int64)
     if len(at):
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
         ends = np.searchsorted(bucket[new], np.arange(buckets + 1))
         later = [np.unpackbits(np.frombuffer(answers[b], np.uint8), count=int(ends[b + 1] - ends[b])) if b in answers else np.zeros(ends[b + 1] - ends[b], np.uint8) for b in range(buckets)]
         repeated = np.concatenate(later).astype(bool)[np.cumsum(new) - 1] | ~new
