@@ -1,19 +1,28 @@
-"""Benchmark decontamination by shared word runs and exact edit verification, without loss.
+"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
 
 Texts and items are compared as words: A-Z lowered, ASCII punctuation read as a space. A document leaks an item
 of L words if some run of its words is within k = floor((1 - SIMILARITY) * L) word edits of it.
 
-Candidates. By the q-gram lemma such a run holds at least L - 2 - 3 k of the item's word triples, at places of their
-own. A triple at offset o of an item places the item o words before, within k words. A place with fewer triples of
-that item in reach has no leak; every other one is verified, so no leak of any length is missed. Items of five words
-have no triple left when the middle word is changed: they are found by word pairs, of which L - 1 - 2 k = 2 stay.
+Windows. Item-sized windows are laid where a match can be. By the q-gram lemma a match holds at least L - 2 - 3 k of
+the item's word triples (items of five words: L - 1 - 2 k = 2 of its pairs, as a changed middle word leaves no triple),
+and a triple at offset o of an item places the window o words before it. Places with fewer have no leak; no other
+place is left out.
 
-Verification. Places of an item that overlap are one stretch of text, which is checked exactly: least edit distance
-between the item and any run of its words. Items of under three words are compared as they stand.
+Embedding. A random walk reads a sequence: at each of 3 L steps it writes the word under its pointer, and the
+pointer moves on if a random bit of (step, word) is set. After an edit two walks fall into step again, so edit
+distance becomes Hamming distance. WALKS walks are sampled TABLES times each; a window and an item that agree in
+one whole sample are a candidate pair. The share p of equal places falls with L (at the edit limit about 0.5 at 20
+words, 0.2 at 300), so how many places a sample has follows from L: as many, MOST_BITS at most, as still give pairs at
+the limit a recall 1 - (1 - p ** bits) ** (WALKS * TABLES) of TARGET, by simulated edits of random sequences.
+
+Verification. Candidate windows of an item that overlap are one stretch of text, which is checked exactly: least edit
+distance between the item and any run of its words. Items of under three words are compared as they stand.
 
 Null texts and items have no words; items without words match nothing. Repeated ids and items give a row each
-pair of ids once. Extra columns are ignored. Items are broadcast in blocks of at most BLOCK_WORDS words, so what
-is sent is bounded; each block is one pass over the documents.
+pair of ids once (the best place; ties: the first), rows of a null id as one document. Extra columns are ignored, an
+empty table gives no rows. Very long texts are searched whole. Items pass through the driver in blocks of at most
+BLOCK_WORDS words, so what is sent is bounded; each block is one pass over the documents, which suits benchmarks of
+the usual size.
 """
 
 from __future__ import annotations
@@ -26,13 +35,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from pyrocell.llm.common import as_bytes, materialise
-from pyrocell.llm.substring_dedup import FACTORS, runs
+from pyrocell.llm.common import as_bytes
+from pyrocell.llm.substring_dedup import FACTORS, mix, runs
 
 SIMILARITY = 0.8
 SEED = 42
+WALKS, TABLES, MOST_BITS, TARGET = 4, 16, 4, 0.999
 BLOCK_WORDS = 2_000_000
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 48 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 127 else b for b in range(256))
 
@@ -63,6 +72,79 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
+def walk(seq: np.ndarray, at: np.ndarray, length: int, number: int) -> np.ndarray:
+    """CGK embedding of the windows of ``length`` words at the places: (3 * length, windows)."""
+    i = np.zeros(len(at), np.int64)
+    out = np.zeros((3 * length, len(at)), np.uint64)
+    for j in range(3 * length):
+        word = np.where(i < length, seq[np.minimum(at + i, len(seq) - 1)], np.uint64(0))
+        out[j] = word
+        i += (mix(word ^ np.uint64((number << 32) | (j + 1)), FACTORS[0]) >> np.uint64(63)).astype(np.int64)
+    return out
+
+
+def signatures(seq: np.ndarray, at: np.ndarray, length: int, bits: int) -> np.ndarray:
+    """(WALKS * TABLES, windows) hashes of the sampled places."""
+    out = np.zeros((WALKS * TABLES, len(at)), np.uint64)
+    for number in range(WALKS):
+        e = walk(seq, at, length, number)
+        # a walk has read its window after 2 L steps on average: later places are padding
+        places = np.random.default_rng([SEED, length, number]).integers(0, 2 * length, (TABLES, bits))
+        for t in range(TABLES):
+            row = number * TABLES + t
+            out[row] = row
+            for p in places[t]:
+                out[row] = mix(out[row] ^ e[p], FACTORS[1])
+    return out
+
+
+def sample_bits(length: int, edits: int, pairs: int = 100) -> int:
+    """How many places a sample may have so that windows at the edit limit are found with probability TARGET."""
+    if not edits:
+        return MOST_BITS
+    rng = np.random.default_rng([SEED, length])
+    a = rng.integers(1, 1 << 63, (pairs, length), np.uint64)
+    b = a.copy()
+    for i in range(pairs):
+        at = np.sort(rng.choice(length, edits, replace=False))
+        if i % 2:  # substitutions alone
+            b[i, at] = rng.integers(1, 1 << 63, edits, np.uint64)
+        else:  # a deletion shifts what follows, an insertion shifts it back
+            half = edits // 2
+            left = np.insert(np.delete(a[i], at[:half]), at[half:] - half, rng.integers(1, 1 << 63, edits - half, np.uint64))
+            b[i] = np.append(left, rng.integers(1, 1 << 63, length, np.uint64))[:length]
+    place = np.arange(pairs) * length
+    equal = np.stack([(walk(a.ravel(), place, length, w)[: 2 * length] == walk(b.ravel(), place, length, w)[: 2 * length]).mean(0) for w in range(WALKS)])
+    for bits in range(MOST_BITS, 1, -1):
+        if 1 - np.prod((1 - equal**bits) ** TABLES, 0).mean() >= TARGET:
+            return bits
+    return 1
+
+
+class Embedded:
+    """The LSH tables of the items of one length."""
+
+    def __init__(self, items: np.ndarray, seqs: list[np.ndarray], length: int, edits: int):
+        self.length, self.bits = length, sample_bits(length, edits)
+        sig = signatures(np.concatenate([seqs[k] for k in items]), np.arange(len(items)) * length, length, self.bits)
+        order = np.argsort(sig.ravel(), kind="stable")
+        self.key, self.item = sig.ravel()[order], np.tile(items, len(sig))[order]
+
+    def candidates(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of each pair that agrees in a sample; h must go on for a window beyond the last place."""
+        windows, items = [], []
+        for i in range(0, len(at), 4096):
+            sig = signatures(h, at[i : i + 4096], self.length, self.bits)
+            lo = np.searchsorted(self.key, sig, "left")
+            n = np.searchsorted(self.key, sig, "right") - lo
+            hit = n > 0
+            lo, n, which = lo[hit], n[hit], np.nonzero(hit)[1]
+            entry = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            pair = np.unique(np.stack([np.repeat(which, n) + i, self.item[entry]], 1), axis=0)
+            windows.append(pair[:, 0]), items.append(pair[:, 1])
+        return np.concatenate(windows), np.concatenate(items)
+
+
 class Grams:
     """The runs of q words of some items, sorted by hash."""
 
@@ -110,6 +192,8 @@ class Items:
             if len(s) >= 3:
                 of[3 if len(s) - 2 - 3 * int(self.edits[k]) > 0 else 2][k] = s
         self.grams = [Grams(seqs, q) for q, seqs in of.items() if seqs]
+        lengths = sorted({int(n) for n in self.lengths if n >= 3})
+        self.embedded = {n: Embedded(np.flatnonzero(self.lengths == n), self.seqs, n, int((1 - SIMILARITY) * n + 1e-9)) for n in lengths}
         self.short: dict[int, list[int]] = {}
         for k, s in enumerate(self.seqs):
             if len(s) < 3:
@@ -131,6 +215,7 @@ class Items:
                 if k + n <= ends[d]:
                     for item in self.short.get(int(runs(h[k : k + n], n, FACTORS[0])[0]), ()):
                         best.setdefault((d, item), (0, k - int(starts[d]), k + n - int(starts[d])))
+        padded = np.append(h, np.zeros(int(self.lengths.max()), np.uint64))
         for grams in self.grams:
             item, d, place, offset = grams.hits(h, ends)
             length, edits = self.lengths[item], self.edits[item]
@@ -141,8 +226,14 @@ class Items:
             reach = lambda x: np.searchsorted(places, item * line + x)
             shared = reach(np.minimum(at + length + edits, ends[d])) - reach(np.maximum(at - edits, starts[d]))
             enough = (shared >= length - (grams.q - 1) - grams.q * edits) & (ends[d] - starts[d] >= length - edits)
-            windows = np.unique(np.stack([item[enough], d[enough], at[enough]], 1), axis=0)
-            k, d, at = windows.T
+            windows = np.unique(np.stack([length[enough], d[enough], at[enough]], 1), axis=0)
+            pairs = [np.zeros((0, 3), np.int64)]
+            for n in np.unique(windows[:, 0]).tolist():
+                mine = windows[windows[:, 0] == n]
+                w, kk = self.embedded[n].candidates(padded, mine[:, 2])
+                pairs.append(np.stack([kk, mine[w, 1], mine[w, 2]], 1))
+            pairs = np.concatenate(pairs)
+            k, d, at = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))].T
             new = np.ones(len(k), bool)
             new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (at[1:] - at[:-1] > self.lengths[k[1:]])
             first = np.flatnonzero(new)
@@ -198,7 +289,23 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     return reduce(DataFrame.unionByName, every).dropDuplicates(["doc_id", "item_id"]) if len(every) > 1 else every[0]
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text leaks an item; all their columns."""
-    found = materialise(leaks(docs, items, id_col, text_col).select("doc_id").distinct())
-    return docs.join(found, docs[id_col] == found.doc_id, "left_anti")
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the rows whose text leaks an item; all their columns. Each row is judged by its own text alone,
+    whatever its id."""
+
+    def leaky(rows: list[tuple[int, bytes]]) -> Column:
+        sent = docs.sparkSession.sparkContext.broadcast(Items(rows))
+
+        @F.arrow_udf("boolean")
+        def of(texts: pa.Array) -> pa.Array:
+            out = np.zeros(len(texts), bool)
+            for at in range(0, len(texts), 2000):
+                for d, *_ in sent.value.leaks(as_bytes(texts.slice(at, 2000))):
+                    out[at + d] = True
+            return pa.array(out)
+
+        return of(F.col(f"`{text_col}`"))
+
+    for rows in blocks_of(items, item_col, item_text, BLOCK_WORDS):
+        docs = docs.where(~leaky(rows))
+    return docs
