@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pyrocell.llm import bpe, decontaminate, langid, simhash, substring_dedup
-from pyrocell.llm.common import materialise
+from pyrocell.llm.common import fresh, materialise
 from pyrocell.llm.queries import TOKENIZER, public_tokenizers
 
 #: A language named with less confidence is no language: the text is rejected.
@@ -20,8 +20,9 @@ LEAST_CONFIDENCE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts whose language is recognised; rejects null and letterless texts and unsure guesses."""
     model = langid.train(docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label")))
-    judged = docs.withColumn("__language", langid.predict_column(docs, model, F.col("text")))
-    return judged.where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= LEAST_CONFIDENCE)).select(*docs.columns)
+    name = fresh("language", docs.columns)
+    judged = docs.withColumn(name, langid.predict_column(docs, model, F.col("text")))
+    return judged.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= LEAST_CONFIDENCE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that occur earlier out of the texts; n_chars follows. No row is dropped."""
     cut = substring_dedup.deduplicate(docs)
-    changed = F.col("n_removed") > 0
+    changed = F.col(cut.columns[-1]) > 0
     return cut.select(*(F.when(changed, F.length("text").cast(t)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes))
 
 
