@@ -3,13 +3,21 @@
 A forgiving pass over the markup builds a tree. Each node counts the characters C and tags T below it, and the
 characters LC and tags LT inside links. Its link-adjusted density is
     C / T * log(C * T / (LC' * LT')) / log(log(C * LC / (C - LC)' + share of the body's link characters * C + e))
-with primes for "at least 1". A node's density sum adds its children's densities. The node of the largest
-density sum is found; on the path from it to the body the least density is the threshold; the node of the
-largest density sum among nodes at or above that threshold is the main content. Inside it, blocks whose tag or
-name says menu, form, comments and the like, and those with more link than other text, are left out.
+with primes for "at least 1". A node's density sum adds its children's densities. Elements that are no content
+(below) count nowhere. The node of the largest density sum is found; on the path from it to the body the least
+density is the threshold. Every node at or above the threshold gives the node of the largest density sum of its
+subtree to the content: the largest sum of the page itself, and, if an article is cut into several containers, the
+others that are as dense. A page's h1 is added if none is among them.
+
+No content. By tag: scripts, menus, footers, sidebars, controls. By name (a class, id or role of its own, whole or as
+the first part): adverts, comments, notices and the like; forms; headers. Headers inside an article or main element stay.
+A named wrapper stays if it holds the article (a main or h1; an article element, but for comments) or all of the
+page's text. Where no article or main element says what belongs, lists of links before and after the prose go.
 
 Output: blocks in page order joined by two newlines, white space inside a block one space, trimmed. Null or
-empty html: empty text. Repeated pages are handled row by row; extra columns are ignored.
+empty html: empty text; an empty table gives no rows. Ties in the density sum: the first node in page order. Very long
+and very deep pages are read whole, without recursion. Repeated pages are handled row by row; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,29 +32,39 @@ from pyspark.sql import functions as F
 
 # Element names of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROP = frozenset("script style noscript template head title iframe object svg canvas select textarea button form nav footer aside header menu dialog figure".split())
+DROP = frozenset("script style noscript template head title iframe object svg canvas select textarea button nav footer aside menu dialog".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 #: An opening tag of these closes an open paragraph.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES_SAME = frozenset("li p dt dd option tr td th".split())
-AWAY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|disqus|cookies?|consent|footer|header|masthead|menu|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|[\s_-])", re.I)
-AWAY_ROLE = frozenset("banner navigation complementary contentinfo search dialog alert form menu".split())
+#: Names of what is no content: a class or id, or its first part before - or _; and such a name behind a place.
+AWAY = re.compile(r"(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|post|article|user|reader|entry)[-_])?(?:ads?|advert\w*|breadcrumbs?|cookies?|consent|footer|menu|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:[-_].*)?", re.I)
+COMMENTS = re.compile(r"(?:(?:site|page|post|article|user|reader|entry)[-_])?(?:comments?|commentlist|disqus|respond)(?:[-_].*)?", re.I)
+HEADER = re.compile(r"(?:(?:site|page|main|top|global)[-_])?(?:header|masthead|banner)(?:[-_].*)?", re.I)
+AWAY_ROLE = frozenset("navigation complementary contentinfo search dialog alert form menu".split())
+#: Why an element may be no content.
+PLAIN, NEVER, HEAD, REPLIES, NAMED = range(5)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("away", "chars", "density", "items", "links", "link_tags", "parent", "sums", "tag", "tags")
+    __slots__ = ("chars", "density", "holds", "inside", "items", "kind", "links", "link_tags", "parent", "sums", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, away: bool = False):
-        self.tag, self.parent, self.away = tag, parent, away
+    def __init__(self, tag: str, parent: Node | None, kind: int = PLAIN):
+        self.tag, self.parent, self.kind = tag, parent, kind
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.items: list[Node | str] = []
+        self.holds: set[str] = set()
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.sums = 0.0
 
+    def nodes(self) -> list[Node]:
+        return [x for x in self.items if isinstance(x, Node)]
+
 
 def parse(page: str) -> Node:
     """A tree of any markup; unclosed elements end with their parent, stray end tags are skipped."""
@@ -91,7 +109,7 @@ def parse(page: str) -> Node:
                     open_[gone.tag] -= 1
                     if gone is n:
                         break
-        child = Node(tag, node, _away(tag, m[3]))
+        child = Node(tag, node, _kind(tag, m[3]))
         node.items.append(child)
         if m[3].rstrip().endswith("/") and tag in ("svg", "path"):
             continue
@@ -104,39 +122,62 @@ def parse(page: str) -> Node:
     return root
 
 
-def _away(tag: str, attributes: str) -> bool:
+def _kind(tag: str, attributes: str) -> int:
     if tag in DROP:
-        return True
-    if not attributes:
-        return False
-    for k, v in ATTRIBUTE.findall(attributes):
-        v = v.strip("\"'")
-        k = k.lower()
-        if k == "hidden" or k == "aria-hidden" and v == "true" or k == "role" and v in AWAY_ROLE or k in ("class", "id") and AWAY.search(v):
-            return True
-    return False
+        return NEVER
+    kind = HEAD if tag == "header" else NAMED if tag == "form" else PLAIN
+    for k, *values in ATTRIBUTE.findall(attributes) if attributes else ():
+        k, v = k.lower(), "".join(values)
+        if k == "hidden" or k == "aria-hidden" and v == "true":
+            return NEVER
+        if k == "role":
+            kind = NAMED if v in AWAY_ROLE else HEAD if v == "banner" else kind
+        elif k in ("class", "id"):
+            for name in v.split():
+                kind = REPLIES if COMMENTS.fullmatch(name) else HEAD if HEADER.fullmatch(name) else NAMED if AWAY.fullmatch(name) else kind
+    return kind
 
 
 def _order(root: Node) -> list[Node]:
-    """Parents before children; no recursion, so depth is no limit."""
+    """The content's nodes, parents before children; no recursion, so depth is no limit."""
     out, todo = [], [root]
     while todo:
         n = todo.pop()
-        out.append(n)
-        todo += [x for x in reversed(n.items) if isinstance(x, Node)]
+        if n.kind == PLAIN:
+            out.append(n)
+            todo += reversed(n.nodes())
     return out
 
 
+def _settle(root: Node) -> None:
+    """Makes wrappers of the article plain again."""
+    nodes, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if n.kind != NEVER:
+            nodes.append(n)
+            todo += reversed(n.nodes())
+    for n in reversed(nodes):
+        n.chars = sum(len(x.strip()) for x in n.items if isinstance(x, str))
+        for x in n.nodes():
+            if x.kind != NEVER:
+                n.chars += x.chars
+                n.holds |= x.holds | ({x.tag} & {"main", "h1", "article"})
+    for n in nodes:
+        wanted = {"main", "article"} if n.kind == HEAD else {"main", "h1"} if n.kind == REPLIES else {"main", "h1", "article"}
+        if n.kind != PLAIN and (n.chars == root.chars or n.holds & wanted or n.kind == HEAD and n.inside):
+            n.kind = PLAIN
+
+
 def measure(root: Node) -> list[Node]:
+    _settle(root)
     nodes = _order(root)
     for n in reversed(nodes):
-        if n.away:
-            n.chars = n.tags = n.links = n.link_tags = 0
-            continue
+        n.chars = 0
         for x in n.items:
             if isinstance(x, str):
                 n.chars += len(SPACE.sub(" ", x).strip())
-            else:
+            elif x.kind == PLAIN:
                 n.chars, n.tags, n.links, n.link_tags = n.chars + x.chars, n.tags + x.tags + 1, n.links + x.links, n.link_tags + x.link_tags
         if n.tag == "a":
             n.links, n.link_tags = n.chars, n.tags + 1
@@ -146,64 +187,82 @@ def measure(root: Node) -> list[Node]:
             t, plain = max(1, n.tags), max(1, n.chars - n.links)
             base = math.log(n.chars * n.links / plain + share * n.chars + math.e)
             ratio = n.chars * t / (max(1, n.links) * max(1, n.link_tags))
-            n.density = n.chars / t * math.log(max(ratio, 1.0 + 1e-9)) / math.log(base + math.e - 1) if base > 0 else 0.0
-        n.sums = sum(x.density for x in n.items if isinstance(x, Node)) if n.items else n.density
+            n.density = n.chars / t * math.log(max(ratio, 1.0 + 1e-9)) / math.log(base + math.e - 1)
+        n.sums = sum(x.density for x in n.nodes() if x.kind == PLAIN)
     return nodes
 
 
-def main_node(root: Node) -> Node:
+def _whole(n: Node) -> Node:
+    """A paragraph or an inline piece is part of a block of text: the content is what holds its neighbours."""
+    while n.parent is not None and (n.tag in INLINE or n.tag in ("p", "ul", "ol", "li", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6")):
+        n = n.parent
+    return n
+
+
+def content(root: Node) -> list[Node]:
+    """The chosen subtrees, none inside another, in page order."""
     nodes = [n for n in measure(root) if n.chars]
     if not nodes:
-        return root
+        return []
     best = max(nodes, key=lambda n: n.sums)
     threshold, n = best.density, best
     while n is not None:
         threshold = min(threshold, n.density)
         n = n.parent
-    best = max((n for n in nodes if n.density >= threshold), key=lambda n: n.sums)
-    # a paragraph or an inline piece is part of a block of text: the content is what holds its neighbours
-    while best.parent is not None and (best.tag in INLINE or best.tag in ("p", "ul", "ol", "li", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6")):
-        best = best.parent
-    return best
+    # of each subtree the node of the largest density sum; children come after their parents
+    top: dict[Node, Node] = {}
+    for n in reversed(nodes):
+        top[n] = max([n, *(top[x] for x in n.nodes() if x in top)], key=lambda x: x.sums)
+    chosen = {_whole(best)} | {top[n] for n in nodes if n.density >= threshold}
+    found, inside = [], set()
+    for n in nodes:
+        if n.parent in inside or n in chosen:
+            inside.add(n)
+            if n.parent not in inside:
+                found.append(n)
+    if not any(n.tag == "h1" for n in inside):
+        found = [n for n in nodes if n in set(found) or n.tag == "h1" and n not in inside]
+    return found
 
 
 def blocks(node: Node) -> list[str]:
-    out: list[str] = []
+    out: list[tuple[str, bool]] = []
     line: list[str] = []
 
-    def flush() -> None:
+    def flush(links: bool) -> None:
         if text := SPACE.sub(" ", "".join(line)).strip():
-            out.append(text)
+            out.append((text, links))
         line.clear()
 
-    todo: list = [node]
+    todo: list = [(node, False)]
     while todo:
-        x = todo.pop()
+        x, links = todo.pop()
         if x is None:
-            flush()
+            flush(links)
         elif isinstance(x, str):
             line.append(x)
-        elif x.away and x is not node:
-            flush()
+        elif x.kind != PLAIN:
+            flush(links)
         elif x.tag == "br":
             line.append(" ")
         elif x.tag in INLINE:
-            todo += reversed(x.items)
+            todo += [(y, links) for y in reversed(x.items)]
         else:
-            if x is not node and x.links > 0.5 * x.chars and x.tag in ("div", "ul", "ol", "section", "table", "dl"):
-                flush()
-                continue
-            flush()
-            todo.append(None)
-            todo += reversed(x.items)
-    flush()
-    return out
+            flush(links)
+            within = links or x is not node and 2 * x.links > x.chars and x.tag in ("div", "ul", "ol", "section", "table", "dl")
+            todo.append((None, within))
+            todo += [(y, within) for y in reversed(x.items)]
+    flush(False)
+    if not node.inside and node.tag not in ("article", "main") and not node.holds & {"article", "main"}:
+        prose = [i for i, (_, links) in enumerate(out) if not links]
+        out = out[prose[0] : prose[-1] + 1] if prose else []
+    return [text for text, _ in out]
 
 
 def extract(page: str | None) -> str:
     if not page:
         return ""
-    return "\n\n".join(blocks(main_node(parse(page))))
+    return "\n\n".join(text for n in content(parse(page)) for text in blocks(n))
 
 
 def text_column(page: Column) -> Column:
