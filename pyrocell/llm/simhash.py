@@ -20,18 +20,19 @@ of null ids alone has a null component_id. Extra columns are ignored, whatever t
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from pyrocell.llm.common import materialise, texts_of
+from pyrocell.llm.common import discard, materialise, recording, texts_of
 from pyrocell.llm.substring_dedup import FACTORS, mix
 
 SEED = 42
@@ -159,15 +160,6 @@ def links(fps: DataFrame, radius: int = 2, parts: int = 4, block: int = 512) ->
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
-def _closest(end: np.ndarray, other: np.ndarray, d: np.ndarray, tie: np.ndarray, nearest: int) -> np.ndarray:
-    """Which links are among the nearest ones of their end; ties fall by ``tie``, the same in every band."""
-    by = np.lexsort((tie, d, end))
-    keep = np.zeros(len(end), bool)
-    sorted_ = end[by]
-    keep[by[np.arange(len(by)) - np.searchsorted(sorted_, sorted_) < nearest]] = True
-    return keep
-
-
 def _pairs_within(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All index pairs x < y inside each of many short runs."""
     xs, ys = [], []
@@ -196,13 +188,22 @@ def _tile_pairs(fp: np.ndarray, rows: np.ndarray, others: np.ndarray | None, rad
             yield part[x], b[lo + y]
 
 
-def tile_links(tiles: DataFrame, radius: int, wide: int, nearest: int, least: float, lead: bool) -> DataFrame:
-    """Links (a, b, bits, more), a below b, inside the tiles (side, nodes: array of (side, key, fp, w1, w2, w3, cells, grp)).
+def _shared_at_most(a: np.ndarray, b: np.ndarray) -> int:
+    """How many shingles two texts share at most, by the 16-bit pieces of their hashes (sorted, repeats included)."""
+    keys = []
+    for x in (a, b):
+        n = np.arange(len(x)) - np.searchsorted(x, x)  # the how-manieth of its value
+        keys.append((x.astype(np.int64) << 32) | n)
+    return len(np.intersect1d(*keys, assume_unique=True))
+
+
+def tile_links(tiles: DataFrame, radius: int, wide: int, least: float) -> DataFrame:
+    """Links (a, b), a below b, inside the tiles (nodes: array of (side, key, fp, w1, w2, w3, pieces, grp, refused)).
 
     A link joins nodes of different groups whose fp differs in at most ``radius`` bits, whose four words together
-    differ in at most ``wide``, and whose shingle counts (``cells``) leave it possible that they share ``least`` of their
-    shingles: two texts share at most the sum of the lesser counts. With two sides only links across are taken. Each
-    node keeps its ``nearest`` links of a tile, and with ``lead`` the one to the least key; ``more`` says others went."""
+    differ in at most ``wide``, that haven't refused each other, and whose shingles' 16-bit ``pieces`` leave it possible that
+    they share ``least`` of them. With two sides only links across count. Of a tile's links those of the
+    spanning forest of its groups with the fewest bits are returned: a tile of n nodes gives n - 1 at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,86 +212,96 @@ def tile_links(tiles: DataFrame, radius: int, wide: int, nearest: int, least: fl
             items = lists.values
             side, key, grp = (items.field(f).to_numpy() for f in ("side", "key", "grp"))
             words = np.stack([items.field(f).to_numpy() for f in ("fp", "w1", "w2", "w3")], 1).view(np.uint64)
-            cells = items.field("cells")
+            pieces, refused = items.field("pieces"), items.field("refused")
             starts, sizes = ends[:-1], np.diff(ends)
+            size = pc.binary_length(pieces).to_numpy().astype(np.int64) // 2
+            of = functools.lru_cache(4096)(lambda i: np.frombuffer(pieces[i].as_py(), "<u2"))
 
-            def real(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                at = grp[x] != grp[y]
+            def possible(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                """Of the pairs those that may be links, by what array operations can tell."""
+                small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                at = (grp[x] != grp[y]) & (small >= least * large)
                 x, y = x[at], y[at]
                 apart = np.bitwise_count(words[x] ^ words[y])
                 d = apart.sum(1, dtype=np.int64)
                 at = (apart[:, 0] <= radius) & (d <= wide)
                 x, y, d = x[at], y[at], d[at]
                 ok = np.ones(len(x), bool)
-                for i in range(0, len(x), 1 << 15):
-                    z = slice(i, i + (1 << 15))
+                for i in range(0, len(x), 1 << 13):
+                    z = slice(i, i + (1 << 13))
                     used, where = np.unique(np.concatenate([x[z], y[z]]), return_inverse=True)
-                    table = np.frombuffer(b"".join(cells.take(pa.array(used)).to_pylist()), "<u4").reshape(len(used), -1).astype(np.int64)
-                    n, half = table.sum(1), len(where) // 2
-                    i_, j_ = where[:half], where[half:]
-                    most = np.minimum(table[i_], table[j_]).sum(1)
-                    ok[z] = most >= least * (n[i_] + n[j_] - most)
+                    value = np.concatenate([of(k) for k in used.tolist()])
+                    table = np.bincount(np.repeat(np.arange(len(used)) << 8, size[used]) + (value >> 8), minlength=len(used) << 8).reshape(-1, 256).astype(np.int32)
+                    half = len(where) // 2
+                    most = np.minimum(table[where[:half]], table[where[half:]]).sum(1)
+                    ok[z] = most >= least * (size[x[z]] + size[y[z]] - most)
                 return x[ok], y[ok], d[ok]
 
-            def chosen(x: np.ndarray, y: np.ndarray, d: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
-                tie = mix((key[x] ^ key[y]).view(np.uint64), FACTORS[1])
-                keep = _closest(x, y, d, tie, nearest) | _closest(y, x, d, tie, nearest)
-                if lead:
-                    keep |= (key[x] == low) | (key[y] == low)
-                return x[keep], y[keep], d[keep], np.full(int(keep.sum()), not keep.all())
-
-            got = []
-            small = sizes <= SMALL
-            for i in range(0, int(small.sum()), 1 << 12):
-                which = np.flatnonzero(small)[i : i + (1 << 12)]
+            out = []
+
+            def forest(x: np.ndarray, y: np.ndarray, d: np.ndarray, tile: np.ndarray) -> None:
+                parent: dict[tuple[int, int], tuple[int, int]] = {}
+
+                def root(n: tuple[int, int]) -> tuple[int, int]:
+                    while (up := parent.get(n, n)) != n:
+                        parent[n] = parent.get(up, up)
+                        n = up
+                    return n
+
+                tie = mix((key[x] ^ key[y]).view(np.uint64), FACTORS[1])  # the same order in every band
+                by = np.lexsort((tie, d))
+                for i, j, t in zip(x[by].tolist(), y[by].tolist(), tile[by].tolist()):
+                    a, b = root((t, int(grp[i]))), root((t, int(grp[j])))
+                    if a == b or int(key[j]) in (refused[i].as_py() or ()) or int(key[i]) in (refused[j].as_py() or ()):
+                        continue
+                    most = _shared_at_most(of(i), of(j))
+                    if most >= least * (size[i] + size[j] - most):
+                        parent[a] = b
+                        out.append((min(key[i], key[j]), max(key[i], key[j])))
+
+            small = np.flatnonzero(sizes <= SMALL)
+            for i in range(0, len(small), 1 << 12):
+                which = small[i : i + (1 << 12)]
                 x, y = _pairs_within(starts[which], sizes[which])
-                across = side[x] != side[y]
-                two = np.array([len(set(side[a:b])) > 1 for a, b in zip(starts[which], ends[which + 1])], bool) if across.any() else None
-                if two is not None:
-                    owner = which[np.searchsorted(starts[which], x, "right") - 1]
-                    sided = np.zeros(len(sizes), bool)
-                    sided[which] = two
-                    at = across | ~sided[owner]
-                    x, y = x[at], y[at]
-                low = np.minimum.reduceat(key, starts[which]) if len(which) and sizes[which].min() else None
-                x, y, d = real(x, y)
-                if len(x):
-                    got.append(chosen(x, y, d, low[np.searchsorted(starts[which], x, "right") - 1]))
-            for t in np.flatnonzero(~small):
+                owner = which[np.searchsorted(starts[which], x, "right") - 1]
+                sided = np.zeros(len(sizes), bool)
+                sided[owner[side[x] != side[y]]] = True
+                at = (side[x] != side[y]) | ~sided[owner]
+                x, y, d = possible(x[at], y[at])
+                forest(x, y, d, which[np.searchsorted(starts[which], x, "right") - 1])
+            for t in np.flatnonzero(sizes > SMALL).tolist():
                 rows = np.arange(starts[t], ends[t + 1])
                 left = side[rows] == side[rows].min()
-                found = [real(x, y) for x, y in (_tile_pairs(words[:, 0], rows, None, radius) if left.all() else _tile_pairs(words[:, 0], rows[left], rows[~left], radius))]
-                x, y, d = (np.concatenate(z) for z in zip(*found)) if found else (rows[:0], rows[:0], rows[:0])
-                if len(x):
-                    got.append(chosen(x, y, d, np.full(len(x), key[rows].min())))
-            if got:
-                x, y, d, more = (np.concatenate(z) for z in zip(*got))
-                a, b = key[x], key[y]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int32)), pa.array(more)], ["a", "b", "bits", "more"])
+                found = [possible(x, y) for x, y in (_tile_pairs(words[:, 0], rows, None, radius) if left.all() else _tile_pairs(words[:, 0], rows[left], rows[~left], radius))]
+                if found:
+                    x, y, d = (np.concatenate(z) for z in zip(*found))
+                    forest(x, y, d, np.full(len(x), t))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*out)], ["a", "b"])
 
-    return tiles.select("nodes").mapInArrow(run, "a bigint, b bigint, bits int, more boolean")
+    return tiles.select("nodes").mapInArrow(run, "a bigint, b bigint")
 
 
 def banded(nodes: DataFrame) -> DataFrame:
-    """(band, n, and the columns of nodes) for each band that two nodes or more share; n: how many."""
+    """(band, n, key) for each band that two nodes or more share; n: how many."""
     rows = nodes.select("key", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(shared, "band").join(nodes.drop("bands", "low"), "key")
+    return rows.join(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band")
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
     """Rows (tile, and those of ``tile_links``) gathered to tiles that hold two groups."""
-    node = F.struct(F.col("blk").alias("side"), "key", "fp", "w1", "w2", "w3", "cells", "grp")
+    node = F.struct(F.col("blk").alias("side"), "key", "fp", "w1", "w2", "w3", "pieces", "grp", "refused")
     return rows.groupBy("tile").agg(F.collect_list(node).alias("nodes"), F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 <> g2").select("nodes")
 
 
-def first_tiles(shared: DataFrame) -> DataFrame:
+def first_tiles(shared: DataFrame, sketches: DataFrame) -> DataFrame:
     """Every band's blocks, each alone; a node is a group."""
     blk = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    return _tiled(shared.withColumns({"grp": F.col("key"), "blk": blk}).withColumn("tile", F.xxhash64("band", "blk")))
+    rows = shared.join(sketches, "key").withColumns({"grp": F.col("key"), "blk": blk, "refused": F.lit(None).cast("array<bigint>")})
+    return _tiled(rows.withColumn("tile", F.xxhash64("band", "blk")))
 
 
-def later_tiles(shared: DataFrame, grouped: DataFrame) -> DataFrame:
+def later_tiles(shared: DataFrame, sketches: DataFrame, grouped: DataFrame, refused: DataFrame) -> DataFrame:
     """All pairs of blocks of the bands that hold two groups. A band's largest group is in blocks of its own, which don't
     meet each other: n nodes of one group and m others make n + m + n m / BLOCK rows, not n squared. A node goes
     to each tile of its block, so a tile is bounded and no join makes the pairs."""
@@ -300,7 +311,9 @@ def later_tiles(shared: DataFrame, grouped: DataFrame) -> DataFrame:
     counts = {"own": F.when(cut, F.ceil(F.col("most") / BLOCK)).otherwise(0).cast("int"), "rest": F.when(cut, F.ceil((F.col("n") - F.col("most")) / BLOCK)).otherwise(1).cast("int"), "of_major": cut & (F.col("grp") == F.col("major"))}
     blk = F.when(F.col("of_major"), F.pmod(h, F.greatest("own", F.lit(1)))).otherwise(F.col("own") + F.pmod(h, "rest")).cast("int")
     met = F.explode(F.sequence(F.when(F.col("of_major"), F.col("own")).otherwise(0), F.col("own") + F.col("rest") - 1))
-    rows = labelled.join(sizes, "band").withColumns(counts).withColumn("blk", blk).select("*", met.alias("met"))
+    rows = labelled.join(sizes, "band").withColumns(counts).withColumn("blk", blk)
+    pairs = refused.groupBy(F.col("a").alias("key")).agg(F.collect_list("b").alias("refused"))
+    rows = rows.join(sketches, "key").join(pairs, "key", "left").select("*", met.alias("met"))
     return _tiled(rows.withColumn("tile", F.xxhash64("band", F.least("blk", "met"), F.greatest("blk", "met"))))
 
 
@@ -417,23 +430,17 @@ def minwise_bands(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_counts(h: np.ndarray, cells: int = 64) -> bytes:
-    """How many distinct shingle hashes fall in each cell, as little-endian unsigned 32-bit integers."""
-    return np.bincount((h % np.uint64(cells)).astype(np.int64), minlength=cells).astype("<u4").tobytes()
-
-
 def set_sketch_column(text: Column, k: int) -> Column:
-    @F.arrow_udf("struct<key:bigint,fp:bigint,w1:bigint,w2:bigint,w3:bigint,bands:array<bigint>,cells:binary>")
+    @F.arrow_udf("struct<key:bigint,fp:bigint,w1:bigint,w2:bigint,w3:bigint,bands:array<bigint>>")
     def of(rows: pa.Array) -> pa.Array:
-        sketch, bands, cells = np.zeros((len(rows), 5), np.uint64), np.zeros((len(rows), BANDS), np.uint64), []
+        sketch, bands = np.zeros((len(rows), 5), np.uint64), np.zeros((len(rows), BANDS), np.uint64)
         for i, t in enumerate(texts_of(rows)):
             h = np.unique(shingle_hashes(t.lower().split(), k))
             sketch[i], bands[i] = set_sketch(h), minwise_bands(h)
-            cells.append(shingle_counts(h))
         ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS)
         columns = [pa.array(np.ascontiguousarray(c)) for c in sketch.view(np.int64).T]
-        columns += [pa.ListArray.from_arrays(ends, pa.array(bands.view(np.int64).ravel())), pa.array(cells, pa.binary())]
-        return pa.StructArray.from_arrays(columns, ["key", "fp", "w1", "w2", "w3", "bands", "cells"])
+        columns.append(pa.ListArray.from_arrays(ends, pa.array(bands.view(np.int64).ravel())))
+        return pa.StructArray.from_arrays(columns, ["key", "fp", "w1", "w2", "w3", "bands"])
 
     return of(text)
 
@@ -446,11 +453,16 @@ def radius_of(similarity: float, bits: int, deviations: float) -> int:
 
 
 def shingle_sets(text: Column, k: int) -> Column:
-    """The distinct k-word shingle hashes of a text, sorted, as bytes."""
+    """s: the distinct k-word shingle hashes of a text, sorted, as bytes; pieces: 16 bits of each, sorted."""
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<s:binary,pieces:binary>")
     def of(rows: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingle_hashes(t.lower().split(), k)).tobytes() for t in texts_of(rows)], pa.binary())
+        sets, pieces = [], []
+        for t in texts_of(rows):
+            h = np.unique(shingle_hashes(t.lower().split(), k))
+            sets.append(h.tobytes())
+            pieces.append(np.sort((h & np.uint64(0xFFFF)).astype("<u2")).tobytes())
+        return pa.StructArray.from_arrays([pa.array(sets, pa.binary()), pa.array(pieces, pa.binary())], ["s", "pieces"])
 
     return of(text)
 
@@ -484,35 +496,37 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     probability 0.15, so these are 4.5 and six standard deviations above the mean), where the population counts are
     within the radius. A tile is at most two blocks of about BLOCK nodes; a band of more nodes is cut into block pairs.
 
-    Rounds. Candidates are verified on the whole shingle sets. In the first round each node proposes its two nearest
-    links of each block and the one to the block's least key, and accepted links merge groups. Later rounds take
-    only bands that hold two groups, only links between groups, and the nearest 128, 1024, ... of a node; the last round
-    is the one that left no link out. So every candidate between two final groups was verified and rejected, a
-    group of n near copies needs about 2 n verifications, and a band whose nodes are one group costs nothing more.
+    Rounds. Each tile proposes the spanning forest of its candidate links, 16 bits of each shingle's hash deciding which
+    pairs may share enough; so a band of n nodes gives n - 1 links at most. Those are verified on the whole shingle sets.
+    Accepted links merge groups; refused ones (16 bits agreed by chance) aren't proposed again. The first round takes
+    blocks alone, the next ones the block pairs of bands that hold two groups. The last round is the one that refused
+    nothing: then no candidate joins two final groups. A band whose nodes are one group costs nothing more.
     """
+    spark, tables = docs.sparkSession, []
     # the row is one struct column: names of docs can't clash with those used here
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row"))
     rows = materialise(rows.select("*", set_sketch_column(F.col(f"doc.`{text_col}`"), shingle).alias("set")))
-    low = F.min(F.struct(F.col(f"doc.`{id_col}`").alias("id"), "row")).alias("low")
-    nodes = materialise(rows.groupBy("set.key").agg(low, F.first("set").alias("set")).select("set.*", "low"))
-    shared = materialise(banded(nodes))
-    wanted = materialise(nodes.join(shared.select("key").distinct(), "key", "left_semi").select("key", F.col("low.row").alias("row")))
-    sets = materialise(rows.select("row", F.col(f"doc.`{text_col}`").alias("text")).join(wanted, "row").select("key", shingle_sets(F.col("text"), shingle).alias("s")))
     radius, wide = radius_of(similarity, 64, 4.5), radius_of(similarity, 256, 6)
-    grouped = wanted.select("key", F.col("key").alias("grp"))
-    picked = materialise(tile_links(first_tiles(shared), radius, wide, 2, similarity, lead=True).select("a", "b").distinct())
-    tried = materialise(verify(picked, sets, similarity))
-    grouped, nearest, more = _regroup(grouped, tried.where("near")), 128, True
-    while more:
-        found = materialise(tile_links(later_tiles(shared, grouped), radius, wide, nearest, similarity, lead=False))
-        ends = found.select("a", "b", "bits", F.explode(F.array("a", "b")).alias("end")).distinct()
-        rank = F.row_number().over(W.partitionBy("end").orderBy("bits", F.xxhash64("a", "b"), "a", "b"))
-        picked = materialise(ends.withColumn("n", rank).where(F.col("n") <= nearest).select("a", "b").distinct())
-        more = not found.where("more").isEmpty() or picked.count() < found.select("a", "b").distinct().count()
-        verdicts = materialise(verify(picked.join(tried, ["a", "b"], "left_anti"), sets, similarity))
-        grouped = _regroup(grouped, verdicts.where("near"))
-        tried, nearest = tried.union(verdicts), nearest * 8
-    heads = nodes.join(grouped, "key", "left").groupBy(F.coalesce("grp", "key").alias("grp")).agg(F.min("low").alias("low")).select(F.col("low.row").alias("row"))
+    with recording(tables):
+        low = F.min(F.struct(F.col(f"doc.`{id_col}`").alias("id"), "row")).alias("low")
+        nodes = materialise(rows.groupBy("set.key").agg(low, F.first("set").alias("set")).select("set.*", "low"))
+        shared = materialise(banded(nodes))
+        wanted = nodes.drop("bands").join(shared.select("key").distinct(), "key", "left_semi").withColumn("row", F.col("low.row")).drop("low")
+        sets = rows.select("row", F.col(f"doc.`{text_col}`").alias("text")).join(wanted, "row").withColumn("set", shingle_sets(F.col("text"), shingle))
+        sets = materialise(sets.select("key", "fp", "w1", "w2", "w3", "set.*"))
+        sketches, tried = sets.drop("s"), None
+        grouped = sets.select("key", F.col("key").alias("grp"))
+        while True:
+            refused = None if tried is None else tried.where("NOT near")
+            tiles = first_tiles(shared, sketches) if tried is None else later_tiles(shared, sketches, grouped, refused)
+            verdicts = materialise(verify(tile_links(tiles, radius, wide, similarity).distinct(), sets, similarity))
+            grouped = _regroup(grouped, verdicts.where("near"))
+            if tried is not None and verdicts.where("NOT near").isEmpty():
+                break
+            tried = verdicts if tried is None else tried.union(verdicts)
+        heads = nodes.join(grouped, "key", "left").groupBy(F.coalesce("grp", "key").alias("grp")).agg(F.min("low").alias("low"))
+    heads = materialise(heads.select(F.col("low.row").alias("row")))
+    discard(spark, tables)
     return rows.join(heads, "row", "left_semi").select("doc.*")
 
 
