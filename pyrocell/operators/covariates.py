@@ -8,7 +8,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from pyrocell.functions.columns import as_integer, from_x1000, log_min_b, logistic_all, make_mutually_exclusive, rescale_by_magnitude, rescale_known2
 from pyrocell.grid import GridSpec
@@ -39,8 +38,8 @@ def cast_cohort_data(cohort: DataFrame, pixel_groups: DataFrame, landcover: Data
     """Land-cover pixels with B per species and youngAge. A pixel without a group and without a non-forest class
     gets the missing class; stand age comes from the age map where no cohort gives one. Species columns stay null
     for pixels without cohorts."""
-    stand = cohort.groupBy("pixelGroup").agg(F.max("age").alias("standAge"))
-    wide = cohort.join(stand, "pixelGroup").groupBy("pixelGroup", "standAge").pivot("speciesCode", list(species)).agg(F.sum("B")).na.fill(0, list(species))
+    sums = (F.coalesce(F.sum(F.when(F.col("speciesCode") == s, F.col("B"))), F.lit(0.0)).alias(s) for s in species)
+    wide = cohort.groupBy("pixelGroup").agg(F.max("age").alias("standAge"), *sums)
     pixels = lookup_keep_right(wide, pixel_groups.select("pixelID", "pixelGroup"), ["pixelGroup"])
     out = landcover.join(pixels, "pixelID", "left")
     classes = [c for c in landcover.columns if c != "pixelID"]
@@ -104,19 +103,19 @@ def make_tsd(cells: DataFrame, year: int, cutoff: int = 15) -> DataFrame:
 
 
 def age_since_last_burn(years: Sequence[int], cells: DataFrame, burned: DataFrame) -> DataFrame:
-    """(pixelID, year, k, j): a pixel-year's place in the order of years, and that of the last burn before it."""
-    spark = cells.sparkSession
-    order = F.broadcast(spark.createDataFrame([(y, i) for i, y in enumerate(years)], "year int, k int"))
-    every = cells.select("pixelID").crossJoin(order)  # the years are a fixed short list: a row per pixel and year is the result
-    hit = burned.select("pixelID", "year").distinct().withColumn("__b", F.lit(1))
-    w = W.partitionBy("pixelID").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
-    return every.join(hit, ["pixelID", "year"], "left").withColumn("j", F.max(F.when(F.col("__b") == 1, F.col("k"))).over(w)).drop("__b")
+    """The cells once per year, with year, k and j: the year's place in the order of years, and that of the pixel's last
+    burn before it. A pixel's burns become one short array of places, so one aggregate and one join suffice."""
+    place = F.array_position(F.array(*map(F.lit, years)), F.col("year").cast("int")).cast("int") - 1
+    hit = burned.where(F.col("year").isin(*years)).groupBy("pixelID").agg(F.collect_set(place).alias("burns"))
+    each = F.explode(F.array(*(F.struct(F.lit(y).alias("year"), F.lit(k).alias("k")) for k, y in enumerate(years)))).alias("at")
+    rows = cells.join(hit, "pixelID", "left").select(*cells.columns, "burns", each)
+    return rows.select(*cells.columns, "at.year", "at.k", F.array_max(F.filter("burns", lambda b: b < F.col("at.k"))).alias("j"))
 
 
 def calc_young_age(years: Sequence[int], cells: DataFrame, burned: DataFrame, cutoff: int = 15) -> DataFrame:
     """(pixelID, year, youngAge): with k the year's place and j the last burn before it, age is k - j, else age + k;
     a pixel without age is young until its age is known by a burn."""
-    aged = age_since_last_burn(years, cells, burned).join(cells.select("pixelID", "age"), "pixelID")
+    aged = age_since_last_burn(years, cells.select("pixelID", "age"), burned)
     now = F.coalesce(F.col("k") - F.col("j"), F.col("age") + F.col("k"))
     return aged.select("pixelID", "year", F.coalesce(now <= cutoff, F.lit(True)).cast("int").alias("youngAge"))
 
@@ -229,7 +228,7 @@ def spread_probability(covs: DataFrame, names: Sequence[str], logistic: Sequence
 
 
 def predict_ignition(df: DataFrame, response: Column, rescale: float, lambda_rescale: float) -> DataFrame:
-    """A model's response times both factors."""
+    """A model's response times both factors; null where the response is null."""
     return df.withColumn("ignition", response * F.lit(float(rescale)) * F.lit(float(lambda_rescale)))
 
 

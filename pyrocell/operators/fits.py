@@ -7,9 +7,11 @@ over the limit and the like, whose number the caller's columns, zones and k boun
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
@@ -17,6 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pyrocell.functions.columns import abbreviate_species
+from pyrocell.grid import GridSpec
+from pyrocell.operators.spatial import buffer_zones, drop_small_patches, focal_modal_fill
+from pyrocell.operators.summaries import large_zones, nonforest_burn_rate, relative_abundance, species_stats
+from pyrocell.operators.tables import group_size
+from pyrocell.storage import materialise
+
 
 def _assembled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol="__x", handleInvalid="skip").transform(df)
@@ -95,58 +104,123 @@ def ignition_response(model: GeneralizedLinearRegressionModel, df: DataFrame, co
     return model.transform(_assembled(df, covs)).drop("__x")
 
 
+def burn_class_predict_shared(model: GaussianMixtureModel, df: DataFrame, cols: Sequence[str], shared: Sequence[str]) -> DataFrame:
+    """df's rows, complete in ``shared``, with burnClass where the other columns of the model's ``cols`` aren't known: the
+    class of greatest weight times density of the mixture's marginal over ``shared``. Ties go to the lower class."""
+    at = [list(cols).index(c) for c in shared]
+    scores = []
+    for weight, g in zip(model.weights, model.gaussians):
+        mean, cov = g.mean.toArray()[at], g.cov.toArray()[np.ix_(at, at)]
+        inverse, (_, log_det) = np.linalg.pinv(cov), np.linalg.slogdet(cov)
+        z = [F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(shared, mean)]
+        form = sum((z[i] * z[j] * F.lit(float(inverse[i, j])) for i in range(len(at)) for j in range(len(at))), F.lit(0.0))
+        scores.append(F.lit(math.log(max(weight, 1e-300)) - log_det / 2) - form / 2)
+    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    place = F.array_position(F.array(*scores), best) - 1
+    return df.dropna(subset=list(shared)).withColumn("burnClass", place.cast("int"))
+
+
 def slivers_reassigned(zones: DataFrame, lost: DataFrame) -> DataFrame:
-    """(zone, pixelID, v, lost_by): cells that zones (zone, pixelID, v; 2 is core) lost as small patches go, all cells
-    of a lost zone together, to the zone with whose core they overlap in the most cells (ties: the least zone);
-    ``lost_by`` names the zone that lost them. A cell that the target has keeps the greater v. Lost cells that overlap
-    no other core are left out: the caller sees them by an anti join."""
+    """(zone, pixelID, v, lost_by): cells that zones (zone, pixelID, v; 2 is core, 1 buffer) lost as small patches go, all
+    cells of a losing zone together, to a zone that has one of the lost core cells; of those to the one whose
+    number of cells changes least, which has the most of the lost cells already (ties: the least zone). ``lost_by``
+    names the zone that lost them. A cell that the target has keeps the greater v. Cells lost by a zone without such a
+    target are left out: the caller sees them by an anti join."""
     mine = lost.select(F.col("zone").alias("lost_by"), "pixelID", "v")
-    over = mine.join(zones.where("v = 2").select("zone", "pixelID"), "pixelID").where("zone <> lost_by").groupBy("lost_by", "zone").agg(F.count("*").alias("n"))
+    there = zones.where("v > 0").select("zone", "pixelID")
+    over = mine.join(there, "pixelID").where("zone <> lost_by").groupBy("lost_by", "zone").agg(F.count("*").alias("n"), F.max("v").alias("v")).where("v = 2")
     target = over.groupBy("lost_by").agg(F.min_by("zone", F.struct(-F.col("n"), F.col("zone"))).alias("zone"))
     moved = mine.join(target, "lost_by").select("zone", "pixelID", "v", "lost_by")
     both = zones.select("zone", "pixelID", "v", F.lit(None).cast(dict(lost.dtypes)["zone"]).alias("lost_by")).unionByName(moved)
     return both.groupBy("zone", "pixelID").agg(F.max("v").alias("v"), F.max("lost_by").alias("lost_by"))
 
 
+def _merged(own: list[dict], target: int, low: float) -> tuple[list[int], set[int]]:
+    """The species (places in own) in the order they are dealt with, and those that join their class."""
+    size = Counter(s["FuelClass"] for s in own)
+    sparse = [i for i, s in enumerate(own) if s["above"] < low and size[s["FuelClass"]] > 1]
+    merged = set(sparse)
+    for i in sparse:
+        sign = own[i]["sign"]
+        friends = [j for j, s in enumerate(own) if s["FuelClass"] == own[i]["FuelClass"] and j not in sparse]
+        if friends:
+            merged.add(min(friends, key=lambda j: (own[j]["sign"] != sign, own[j]["sign"], own[j]["above"], j)))
+    needed = len(own) - target - len(sparse)
+    if needed <= 0:
+        return [*range(len(own))], merged
+    order = [i for i, s in enumerate(own) if size[s["FuelClass"]] == 1]
+    left = [i for i in range(len(own)) if i not in order]
+    left.sort(key=lambda i: (own[i]["FuelClass"] if i in merged else "", own[i]["above"], i))
+    while left and needed:
+        i = left.pop(0)
+        order.append(i)
+        like = {own[i]["sign"], "neutral"} if own[i]["sign"] != "neutral" else {s["sign"] for s in own}
+        fit = [j for j in left if own[j]["FuelClass"] == own[i]["FuelClass"] and own[j]["sign"] in like]
+        if fit:
+            merged |= {i, min(fit, key=lambda j: abs(own[j]["coef"] - own[i]["coef"]))}
+            needed -= 1
+    return [*order, *left], merged
+
+
 def combine_fuel_classes(stats: DataFrame, target: int = 5, low: float = 0.05) -> DataFrame:
-    """(area, species, assigned): merges of sparse and then of scarce species until ``target`` classes are left.
+    """(area, species, FuelClass, assignedFuelClass, N): species merged inside their fuel classes until about ``target``
+    classes are left; N species share an assigned class, which is named by their short names.
 
-    stats: area, species, FuelClass, coef, sign, above (share of pixels where the species counts). A study area has
-    a handful of species and is one group; the areas are spread over the cluster. Step 1: a species under ``low``
-    joins another of its FuelClass, like sign first, then the scarcest. Step 2: while too many classes remain, the
-    scarcest joins the class of compatible sign (neutral fits any) whose coefficient is closest. Ties go by name."""
+    stats: area, pos (the species' order), species, FuelClass, coef, sign, above (share of pixels where it counts). A study
+    area has a handful of species and is one group; areas are spread over the cluster. Step 1: a species under
+    ``low`` joins the others of its class, with it the least abundant friend of like sign, else of the next sign. Step
+    2: from the least abundant on, a species joins the one of its class with the closest coefficient among those of
+    like sign, neutral fitting any, until enough are joined. Classes of one species stay. Ties go by pos."""
 
     def run(own):
-        own = own.sort_values(["above", "species"], kind="stable").to_dict("records")
-        assigned = {s["species"]: s["species"] for s in own}
-        heads = {s["species"]: s for s in own}
-        sparse = [s for s in own if s["above"] < low]
-
-        def join(s, friend):
-            for x, a in assigned.items():
-                if a == s["species"]:
-                    assigned[x] = friend["species"]
-            del heads[s["species"]]
-
-        for s in sparse:
-            friends = [h for h in heads.values() if h["species"] != s["species"] and h["FuelClass"] == s["FuelClass"]]
-            if friends:
-                join(s, min(friends, key=lambda h: (h["sign"] != s["sign"], h["above"], h["species"])))
-        stuck = set()
-        while len(heads) > target and len(stuck) < len(heads):
-            s = min((h for h in heads.values() if h["species"] not in stuck), key=lambda h: (h["above"], h["species"]))
-            fit = [h for h in heads.values() if h is not s and (h["sign"] == s["sign"] or "neutral" in (h["sign"], s["sign"]))]
-            if fit:
-                join(s, min(fit, key=lambda h: (abs(h["coef"] - s["coef"]), h["species"])))
-            else:
-                stuck.add(s["species"])
-        import pandas as pd
-
-        return pd.DataFrame([(s["area"], s["species"], assigned[s["species"]]) for s in own], columns=["area", "species", "assigned"])
+        own = own.sort_values("pos", kind="stable")
+        rows = own.to_dict("records")
+        order, merged = _merged(rows, target, low)
+        out = own.iloc[order][["area", "species", "FuelClass"]].copy()
+        out["pos"] = range(len(order))
+        out["assignedFuelClass"] = [rows[i]["FuelClass" if i in merged else "species"] for i in order]
+        return out
 
     kind = dict(stats.dtypes)["area"]
-    cols = ["area", "species", "FuelClass", "coef", "sign", "above"]
-    return stats.select(*cols).groupBy("area").applyInPandas(run, f"area {kind}, species string, assigned string")
+    cols = ["area", "pos", "species", "FuelClass", "coef", "sign", "above"]
+    out = stats.select(*cols).groupBy("area").applyInPandas(run, f"area {kind}, species string, FuelClass string, pos int, assignedFuelClass string")
+    named = abbreviate_species(out, by=["area"]).select("area", "species", "FuelClass", F.col("name").alias("assignedFuelClass"))
+    return group_size(named, ["area", "assignedFuelClass"])
+
+
+def assess_fuel_classes(landscape: DataFrame, equivalence: DataFrame, nonforest: Sequence[int], target_nonforest: int = 2, target: int = 5, p_value: float = 0.001) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fuel classes, non-forest groups, the group of missingForest) of a landscape (pixelID, year, lcc, speciesCode, B,
+    burned) with equivalence (speciesCode, FuelClass). Rows without B are grouped by their burn rates; the others,
+    off the non-forest classes, give each species a regression of burned on B, its sign and its abundance, from
+    which fuel classes are merged. Species names, a short list, reach the driver."""
+    groups = cluster_nonforest(nonforest_burn_rate(landscape.where("B IS NULL"), nonforest), target_nonforest)
+    forest = landscape.where(F.col("B").isNotNull() & ~F.col("lcc").isin(*nonforest) & F.col("speciesCode").isNotNull())
+    classes = equivalence.select("speciesCode", "FuelClass").distinct()
+    species = sorted(r.speciesCode for r in forest.select("speciesCode").distinct().collect())
+    stats = species_stats(fit_fuel_glm(forest, species), relative_abundance(forest.join(classes, "speciesCode")), p_value)
+    order = F.array_position(F.array(*map(F.lit, species)), F.col("speciesCode")).cast("int") if species else F.lit(0)
+    # a species whose regression can't be fitted has no slope and fits any sign
+    stats = stats.select(F.lit("all").alias("area"), order.alias("pos"), F.col("speciesCode").alias("species"), "FuelClass", F.coalesce("coef", F.lit(0.0)).alias("coef"), F.when(F.col("p").isNull(), "neutral").otherwise(F.col("sign")).alias("sign"), F.col("relAbundance").alias("above"))
+    missing = groups.where("lcc = 'missingForest'").select("group")
+    return combine_fuel_classes(stats, target).drop("area"), groups.where("lcc <> 'missingForest'"), missing
+
+
+def make_zones(layer: DataFrame, mask: DataFrame, grid: GridSpec, width: float, max_cells: int, least_patch: int = 500, least_zone: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(zones, lost) of a layer (pixelID, zone): holes filled from around within the mask, small zones left out, large ones
+    cut, each buffered by width within the mask, small patches moved to the zone that has them (zone, pixelID, v,
+    lost_by). ``lost``: (zone, pixelID) of patches that no zone takes. Zones are named zone.part."""
+    filled = focal_modal_fill(layer, grid, "zone", 5, mask).where("zone IS NOT NULL")
+    kept = filled.join(large_zones(filled, least_zone).select("zone"), "zone", "left_semi")
+    cells = kept.select("zone", "pixelID", grid.x(F.col("pixelID")).alias("x"), grid.y(F.col("pixelID")).alias("y"))
+    parts = split_large_zones(materialise(cells), max_cells)
+    named = materialise(parts.select(F.concat_ws(".", F.col("zone").cast("string"), F.col("part").cast("string")).alias("zone"), "pixelID"))
+    zones = materialise(buffer_zones(named, width, grid).join(mask.select("pixelID").distinct(), "pixelID", "left_semi"))
+    labelled = materialise(drop_small_patches(zones, grid, least_patch))
+    small = labelled.where("lost = 1").select("zone", "pixelID")
+    lost = zones.join(small, ["zone", "pixelID"], "left_semi")
+    out = slivers_reassigned(zones.join(small, ["zone", "pixelID"], "left_anti"), lost)
+    taken = out.where("lost_by IS NOT NULL").select(F.col("lost_by").alias("zone"), "pixelID")
+    return out, small.join(taken, ["zone", "pixelID"], "left_anti")
 
 
 def split_large_zones(cells: DataFrame, max_cells: int, seed: int = 1) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pyrocell.grid import EIGHT, FOUR, GridSpec, neighbours, square_steps, steps_within
-from pyrocell.storage import checkpointed
+from pyrocell.operators.components import components
+from pyrocell.storage import materialise
 
 
 def cells_of_points(points: DataFrame, grid: GridSpec, layers: DataFrame | None = None) -> DataFrame:
@@ -114,23 +115,19 @@ def neighbour_count(cells: DataFrame, mask: DataFrame, grid: GridSpec, col: str)
 
 
 def patches(cells: DataFrame, grid: GridSpec, directions: int = 4, by: Sequence[str] = ()) -> DataFrame:
-    """(by, pixelID, patch): connected cells share the least pixelID as label. Labels spread to neighbours and
-    jump to their label's label, so rounds grow with the logarithm of a patch's width in practice."""
+    """(by, pixelID, patch): connected cells of one value of ``by`` share the least pixelID as label. Repeated cells count
+    once; an empty table gives an empty one. Tasks join the neighbours they hold before any shuffle."""
     by = list(by)
-    cells = checkpointed(cells.select(*by, "pixelID").distinct())
-    edges = neighbours(cells, grid, EIGHT if directions == 8 else FOUR).join(cells.withColumnRenamed("pixelID", "to"), [*by, "to"])
-    edges = checkpointed(edges.select(*by, "pixelID", "to"))
-    label = checkpointed(cells.withColumn("patch", F.col("pixelID")))
-    while True:
-        near = edges.join(label.select(*by, F.col("pixelID").alias("to"), F.col("patch").alias("other")), [*by, "to"]).groupBy(*by, "pixelID").agg(F.min("other").alias("other"))
-        low = label.join(near, [*by, "pixelID"], "left").select(*by, "pixelID", F.least("patch", "other").alias("low"), F.col("patch").alias("was"))
-        jump = low.select(*by, F.col("pixelID").alias("low"), F.col("low").alias("far"))
-        new = low.join(jump, [*by, "low"]).select(*by, "pixelID", F.least("low", "far").alias("patch"), "was")
-        new = checkpointed(new)
-        changed = new.where("patch <> was").limit(1).count()
-        label = new.drop("was")
-        if not changed:
-            return label
+    cells = materialise(cells.select(*by, "pixelID").distinct())
+    # the values of by are numbered, so that a cell of each has a number of its own; they are few (years, zones)
+    codes = cells.select(*by).distinct().withColumn("code", F.row_number().over(W.orderBy(*by)).cast("long")) if by else None
+    coded = cells.join(F.broadcast(codes), by) if by else cells.withColumn("code", F.lit(0).cast("long"))
+    node = lambda c: F.shiftleft("code", 40) + F.col(c)
+    half = [(r, c) for r, c in (EIGHT if directions == 8 else FOUR) if (r, c) > (0, 0)]
+    edges = neighbours(coded, grid, half).join(coded.select("code", F.col("pixelID").alias("to")), ["code", "to"])
+    roots = components(edges.select(node("pixelID").alias("a"), node("to").alias("b")))
+    named = coded.withColumn("node", node("pixelID")).join(roots, "node", "left")
+    return named.select(*by, "pixelID", F.coalesce(F.col("root") - F.shiftleft("code", 40), "pixelID").alias("patch"))
 
 
 def drop_small_patches(zone: DataFrame, grid: GridSpec, least: int = 500, by: Sequence[str] = ("zone",)) -> DataFrame:
@@ -142,21 +139,25 @@ def drop_small_patches(zone: DataFrame, grid: GridSpec, least: int = 500, by: Se
     return labelled.join(sizes, [*by, "patch"]).join(some, list(by)).select(*by, "pixelID", "patch", lost)
 
 
+def buffer_zones(zones: DataFrame, width: float, grid: GridSpec) -> DataFrame:
+    """(zone, pixelID, v) of zones (zone, pixelID): 2 on a zone with its holes filled, 1 within width of it. All zones at once.
+
+    Holes are patches of a zone's complement, inside its box widened by a cell, that don't reach the box's edge."""
+    wide = GridSpec(0, 0, 1, 1, grid.ncol + 2, grid.nrow + 2)  # one cell more on each side
+    placed = zones.select("zone", (grid.row(F.col("pixelID")) + 1).alias("r"), (grid.col(F.col("pixelID")) + 1).alias("c")).distinct()
+    box = placed.groupBy("zone").agg((F.min("r") - 1).alias("r0"), (F.max("r") + 1).alias("r1"), (F.min("c") - 1).alias("c0"), (F.max("c") + 1).alias("c1"))
+    whole = box.withColumn("r", F.explode(F.sequence("r0", "r1"))).withColumn("c", F.explode(F.sequence("c0", "c1")))
+    edge = (F.col("r") == F.col("r0")) | (F.col("r") == F.col("r1")) | (F.col("c") == F.col("c0")) | (F.col("c") == F.col("c1"))
+    outside = whole.withColumn("edge", edge).join(placed, ["zone", "r", "c"], "left_anti")
+    outside = materialise(outside.select("zone", wide.cell(F.col("r"), F.col("c")).alias("pixelID"), "edge"))
+    labelled = patches(outside, wide, 4, ["zone"]).join(outside, ["zone", "pixelID"])
+    holes = labelled.join(labelled.where("edge").select("zone", "patch").distinct(), ["zone", "patch"], "left_anti")
+    back = grid.cell(wide.row(F.col("pixelID")) - 1, wide.col(F.col("pixelID")) - 1)
+    full = zones.select("zone", "pixelID").union(holes.select("zone", back)).distinct()
+    near = cells_within(full, width, grid).select("zone", F.col("to").alias("pixelID"), F.lit(1).alias("v"))
+    return full.withColumn("v", F.lit(2)).union(near).groupBy("zone", "pixelID").agg(F.max("v").alias("v"))
+
+
 def buffer_zone(zone: DataFrame, width: float, grid: GridSpec) -> DataFrame:
-    """(pixelID, v): 2 on the zone with its holes filled, 1 within width of it.
-
-    Holes are patches of the zone's complement, inside its box widened by a cell, that do not touch that box."""
-    box = zone.agg(*(f(e(F.col("pixelID"))).alias(n) for n, f, e in (("r0", F.min, grid.row), ("r1", F.max, grid.row), ("c0", F.min, grid.col), ("c1", F.max, grid.col))))
-    b = box.first()
-    if b.r0 is None:
-        return zone.select("pixelID", F.lit(2).alias("v"))
-    spark = zone.sparkSession
-    rows, cols = b.r1 - b.r0 + 3, b.c1 - b.c0 + 3
-    local = GridSpec(0, 0, 1, 1, cols, rows)
-    inside = zone.select(local.cell(grid.row(F.col("pixelID")) - b.r0 + 1, grid.col(F.col("pixelID")) - b.c0 + 1).alias("pixelID"))
-    outside = spark.range(1, rows * cols + 1).withColumnRenamed("id", "pixelID").join(inside, "pixelID", "left_anti")
-    holes = patches(outside, local, 4).where("patch <> 1")
-    back = lambda c: grid.cell(local.row(c) + (b.r0 - 1), local.col(c) + (b.c0 - 1))
-    full = zone.select("pixelID").union(holes.select(back(F.col("pixelID")))).distinct()
-    near = cells_within(full, width, grid).select(F.col("to").alias("pixelID"), F.lit(1).alias("v"))
-    return full.withColumn("v", F.lit(2)).union(near).groupBy("pixelID").agg(F.max("v").alias("v"))
+    """``buffer_zones`` of one zone's cells: (pixelID, v)."""
+    return buffer_zones(zone.select(F.lit(0).alias("zone"), "pixelID"), width, grid).drop("zone")

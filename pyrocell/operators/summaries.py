@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from pyrocell.functions.columns import multiplier, pw
+from pyrocell.functions.columns import multiplier, t_critical
+from pyrocell.operators.ranks import running_sums
 from pyrocell.operators.tables import dedupe_start_pixels
 
 # burns
@@ -54,12 +57,13 @@ def burn_summary_long(burns: DataFrame, pixel_size: float) -> DataFrame:
 
 
 def burn_trends(long: DataFrame) -> DataFrame:
-    """Per variable the linear trend on year: slope, intercept, r2, t statistic and whether |t| passes p < 0.01 by
-    the normal approximation (n is in the thousands)."""
+    """Per variable the linear trend on year: slope, intercept, r2, t statistic and whether it differs from none at
+    p < 0.01 (two-sided t test of n - 2 degrees of freedom, which equals the F test); nulls are left out, a variable of
+    under three values has no verdict."""
     y, x = F.col("val"), F.col("year").cast("double")
     agg = long.groupBy("var").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.count("val").alias("n"))
     t = F.signum("slope") * F.sqrt(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2")))
-    return agg.withColumn("t", t).withColumn("significant", (F.abs("t") > 2.5758293035489004).cast("int"))
+    return agg.withColumn("t", t).withColumn("significant", (F.abs("t") > t_critical(2.5758293035489004, F.col("n") - 2)).cast("int"))
 
 
 def cumulative_burn(maps: DataFrame, n_reps: int, study: DataFrame) -> DataFrame:
@@ -77,14 +81,14 @@ def population_summary(pop: DataFrame) -> DataFrame:
 
 def plateau(best: DataFrame, width: int = 175, step: int = 25) -> DataFrame:
     """(segment, slope, t, flat) of overlapping segments of iterations (iter from 0, value): flat if the slope's
-    two-sided p exceeds 0.1 by the normal approximation to its width - 2 degrees of freedom."""
+    two-sided p exceeds 0.1 in a t test of width - 2 degrees of freedom; a constant segment is flat."""
     last = F.floor(F.col("iter") / step)
     first = F.greatest(F.lit(0), F.ceil((F.col("iter") - width + 1) / step))
     seg = best.withColumn("segment", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     y, x = F.col("value"), F.col("iter").cast("double")
     agg = seg.groupBy("segment").agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2")).where(F.col("n") == width)
     t = F.signum("slope") * F.sqrt(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2")))
-    return agg.select("segment", "slope", t.alias("t")).withColumn("flat", (F.abs("t") < 1.6448536269514722).cast("int"))
+    return agg.select("segment", "slope", t.alias("t")).withColumn("flat", F.coalesce((F.abs("t") < t_critical(1.6448536269514722, F.lit(width - 2))).cast("int"), F.lit(1)))
 
 
 def has_plateaued(segments: DataFrame, iterations: int, least: int = 349) -> bool:
@@ -158,8 +162,7 @@ def score_mad(observed: DataFrame, simulated: DataFrame) -> DataFrame:
 def score_ad(values: DataFrame) -> DataFrame:
     """Two-sample Anderson-Darling statistic x 50 of values (value, sample 0/1), over the pooled distinct values."""
     per = values.groupBy("value").agg(F.count("*").alias("l"), F.sum((F.col("sample") == 0).cast("int")).alias("f"))
-    w = W.orderBy("value").rowsBetween(W.unboundedPreceding, 0)  # one row per distinct value
-    run = per.withColumns({"H": F.sum("l").over(w), "first": F.sum("f").over(w)})
+    run = running_sums(per, "value", ["l", "f"]).withColumnsRenamed({"upto_l": "H", "upto_f": "first"})
     tot = per.agg(F.sum("l").alias("total"), F.sum("f").alias("n"))
     z = run.crossJoin(F.broadcast(tot)).where("H < total").withColumn("m", F.col("total") - F.col("n"))
     term = F.col("l") / F.col("total") * F.pow(F.col("total") * F.col("first") - F.col("n") * F.col("H"), F.lit(2.0)) / (F.col("H") * (F.col("total") - F.col("H")))
@@ -211,22 +214,58 @@ def landscape_gate(probs: DataFrame, lower: float, upper: float, logit1: float,
 # ignition likelihood
 
 
-def ignition_nll(df: DataFrame, candidates: DataFrame, y: str, covs: Sequence[str], coefs: Sequence[str], offset: float = 0.0, knots: dict[str, str] | None = None) -> DataFrame:
+def ignition_nll(df: DataFrame, candidates: DataFrame, y: str, covs: Sequence[str], coefs: Sequence[str], offset: float = 0.0, knots: dict[str, str] | None = None, block: int = 1000) -> DataFrame:
     """(param_id, nll): Poisson negative log likelihood (without its constant term) of mu = sum of covariate times
-    coefficient + offset under every candidate; 1e20 if some mu is not a positive finite number (with knots: is
-    negative). Candidates are a broadcast side: the data stay where they are, partial sums per candidate move."""
-    x = lambda c: pw(F.col(c).cast("double"), F.col(knots[c])) if knots and c in knots else F.col(c).cast("double")
-    mu = sum((x(c) * F.col(b) for c, b in zip(covs, coefs, strict=True)), F.lit(float(offset)))
-    inf = F.lit(float("inf"))
-    bad = mu.isNull() | F.isnan(mu) | (mu < 0 if knots else mu <= 0) | (mu == inf)
-    safe = F.greatest(mu, F.lit(1e-300))
-    each = df.crossJoin(F.broadcast(candidates)).select("param_id", bad.alias("bad"), F.when(~bad, mu - F.col(y) * F.log(safe)).alias("nll"))
-    return each.groupBy("param_id").agg(F.when(F.bool_or("bad"), 1e20).otherwise(F.sum("nll")).alias("nll"))
+    coefficient + offset under every candidate; 1e20 if some mu is null or not a positive finite number (with knots, the
+    hinge of a covariate at the candidate's knot: is negative). Rows without y count for nothing else.
+
+    Candidates go out in blocks of at most ``block``, a matrix each, one pass over the data a block; a task sends
+    one partial sum a candidate, so neither side is multiplied out in a shuffle."""
+    knots = knots or {}
+    data = df.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covs)), F.col(y).cast("double").alias("y"))
+    names = ["param_id", *coefs, *(knots[c] for c in covs if c in knots)]
+
+    def passed(rows: list) -> DataFrame:
+        ids = pa.array([r[0] for r in rows])
+        table = np.array([r[1:] for r in rows], np.float64).T
+        hinge = dict(zip((c for c in covs if c in knots), table[len(coefs) :]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bad, total, n = np.zeros(len(ids), bool), np.zeros(len(ids)), 0
+            step = max(1, (1 << 20) // len(ids))
+            for batch in batches:
+                n += batch.num_rows
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    mu = np.full((part.num_rows, len(ids)), float(offset))
+                    for i, c in enumerate(covs):
+                        x = part.column(i).to_numpy(zero_copy_only=False)[:, None]
+                        mu += (np.maximum(x - hinge[c], 0.0) if c in hinge else x) * table[i]
+                    wrong = ~np.isfinite(mu) | (mu < 0 if knots else mu <= 0)
+                    bad |= wrong.any(0)
+                    with np.errstate(all="ignore"):
+                        each = mu - part.column(len(covs)).to_numpy(zero_copy_only=False)[:, None] * np.log(np.maximum(mu, 1e-300))
+                    total += np.nansum(np.where(wrong, 0.0, each), 0)
+            if n:
+                yield pa.RecordBatch.from_arrays([ids, pa.array(bad), pa.array(total)], ["param_id", "bad", "nll"])
+
+        return data.mapInArrow(run, f"param_id {sent}, bad boolean, nll double").withColumn("param_id", F.col("param_id").cast(kind))
+
+    kind = dict(candidates.dtypes)["param_id"]
+    sent = "string" if kind == "string" else "bigint"
+    parts, held = [], []
+    for r in candidates.select(*names).toLocalIterator():
+        held.append(tuple(r))
+        if len(held) == block:
+            parts.append(passed(held))
+            held = []
+    if held or not parts:
+        parts.append(passed(held) if held else df.sparkSession.createDataFrame([], f"param_id {kind}, bad boolean, nll double"))
+    return reduce(DataFrame.unionByName, parts).groupBy("param_id").agg(F.when(F.bool_or("bad"), 1e20).otherwise(F.sum("nll")).alias("nll"))
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the curve by the rank sum, ties at their mean rank; ranks run over distinct scores."""
     per = df.groupBy(score).agg(F.count("*").alias("c"), F.sum(label).alias("p"))
-    w = W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    ranked = per.withColumn("r", F.coalesce(F.sum("c").over(w), F.lit(0)) + (F.col("c") + 1) / 2)
+    ranked = running_sums(per, score, ["c"]).withColumn("r", F.col("upto_c") - (F.col("c") - 1) / 2)
     return ranked.agg(((F.sum(F.col("r") * F.col("p")) - F.sum("p") * (F.sum("p") + 1) / 2) / (F.sum("p") * (F.sum("c") - F.sum("p")))).alias("auc"))

@@ -15,8 +15,10 @@ from pyrocell.functions.columns import as_integer, to_x1000, token_from_year, ye
 
 
 def lookup_keep_right(x: DataFrame, y: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All rows of y with x's columns, null where x has none."""
-    return y.join(x, list(keys), "left")
+    """All rows of y with x's columns, null where x has none. Rows of a null key, which match nothing, stay out of the
+    shuffle, where they would all meet in one task."""
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    return y.where(known).join(x, list(keys), "left").unionByName(y.where(~known), allowMissingColumns=True)
 
 
 def anti_join(x: DataFrame, y: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -135,9 +137,9 @@ def group_max_age(cohort: DataFrame) -> DataFrame:
     return cohort.withColumn("maxAge", F.max("age").over(W.partitionBy("pixelGroup")))
 
 
-def group_size(df: DataFrame, key: str) -> DataFrame:
+def group_size(df: DataFrame, key: str | list[str]) -> DataFrame:
     """Rows per key, on every row; by an aggregate joined back, so a hot key is no hot window."""
-    return df.join(df.groupBy(key).agg(F.count("*").alias("N")), key, "left")
+    return df.join(df.groupBy(*([key] if isinstance(key, str) else key)).agg(F.count("*").alias("N")), key, "left")
 
 
 def burned_wins(fires: DataFrame, keys: Sequence[str] = ("year", "pixelID")) -> DataFrame:

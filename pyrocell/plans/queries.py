@@ -37,6 +37,11 @@ def query(sql: str | None = None):
     return add
 
 
+def t_quantile(z: float, v: str) -> str:
+    """SQL of the series that ``t_critical`` sums."""
+    return f"({z} + {(z**3 + z) / 4} / {v} + {(5 * z**5 + 16 * z**3 + 3 * z) / 96} / pow({v}, 2) + {(3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384} / pow({v}, 3))"
+
+
 def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
@@ -187,11 +192,11 @@ def min_max_normalize(v):
     return C.min_max_normalize(v.events.select("event_id", "value"), "value").withColumn("value", r6("value"))
 
 
-@query("""SELECT event_id, round(0.1 + 0.8 / pow(1 + pow(exp(value / 100) / 2.0, -1.5), 0.7), 6) AS p5, round(0.1 + 0.8 / pow(1 + pow(exp(value / 100), -1.5), 0.7), 6) AS p4,
+@query("""SELECT event_id, round(0.1 + 0.8 / pow(1 + pow(exp(value / 100) / 2.0, -1.5), 0.7), 6) AS p5, round(0.2 + 0.7 / pow(1 + pow(exp(value / 100), -1.5), 0.7), 6) AS p4,
  round(0.1 + 0.8 / pow(1 + pow(exp(value / 100), -1.5), 0.7), 6) AS p3, round(0.1 + 0.8 / pow(1 + pow(exp(value / 100), -1.5), 0.5), 6) AS p2 FROM events""")
 def logistic_curves(v):
     x = F.col("value") / 100
-    return v.events.select("event_id", r6(C.logistic5p(x, [0.1, 0.9, 2.0, 1.5, 0.7])).alias("p5"), r6(C.logistic4p(x, [0.1, 0.9, 1.5, 0.7])).alias("p4"), r6(C.logistic3p(x, [0.9, 1.5, 0.7])).alias("p3"), r6(C.logistic2p(x, [0.9, 1.5])).alias("p2"))
+    return v.events.select("event_id", r6(C.logistic5p(x, [0.1, 0.9, 2.0, 1.5, 0.7])).alias("p5"), r6(C.logistic4p(x, [0.2, 0.9, 1.5, 0.7])).alias("p4"), r6(C.logistic3p(x, [0.9, 1.5, 0.7])).alias("p3"), r6(C.logistic2p(x, [0.9, 1.5])).alias("p2"))
 
 
 @query("SELECT pixelID, year, round(0.1 + 0.8 / pow(1 + pow(exp(MDC * 0.01 + CMDsm * -0.02), -1.5), 0.5), 6) AS p FROM climate")
@@ -225,7 +230,8 @@ def make_mutually_exclusive(v):
 
 @query()
 def rbeta_between(v):
-    return C.rbeta_between(v.spark, v.orders.count(), 1.0, 5.0, 2.5, 2.0)
+    up = 2.0 + F.col("age")
+    return v.cell.select("pixelID", C.rbeta_between(F.col("pixelID"), F.lit(1.0), up, 1.0 + up / 4, 2.0).alias("value"))
 
 
 @query("SELECT pixelID, lcc AS year2001, flammable AS year2002 FROM cell")
@@ -471,7 +477,8 @@ def neighbour_count(v):
     return D.neighbour_count(v.cell, v.cell, grid_of(v), "flammable")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT pixelID, c FROM cell WHERE lcc < 4), ed AS (SELECT a.pixelID AS f, b.pixelID AS t FROM s a JOIN s b ON b.pixelID = a.pixelID + 1 WHERE a.c < 99 UNION ALL SELECT a.pixelID, b.pixelID FROM s a JOIN s b ON b.pixelID = a.pixelID + 100),
+ e2 AS (SELECT f, t FROM ed UNION ALL SELECT t, f FROM ed), w(a, b) AS (SELECT pixelID, pixelID FROM s UNION SELECT w.a, e2.t FROM w JOIN e2 ON e2.f = w.b) SELECT a AS pixelID, min(b) AS patch FROM w GROUP BY a""")
 def patches(v):
     return D.patches(v.cell.where("lcc < 4"), grid_of(v), 4)
 
@@ -493,36 +500,70 @@ def count_fires(v):
 
 
 def compact_fires(v: Views, g: GridSpec) -> DataFrame:
-    """Cells within two cells of the start of every 101st fire; the lowest id wins a shared cell."""
-    p = v.fire_points.where("FIRE_ID % 101 = 0").select(F.col("YEAR").alias("year"), F.col("FIRE_ID").alias("ids"), g.cell_from_xy(F.col("x"), F.col("y")).alias("pixelID")).where("pixelID IS NOT NULL")
-    near = D.cells_within(p, 500.0, g).select("year", F.col("to").alias("pixelID"), "ids")
+    """Cells within a cell of the start of every fire; the lowest id wins a shared cell."""
+    near = D.cells_within(fire_starts(v, g), 250.0, g).select("year", F.col("to").alias("pixelID"), "ids")
     return near.groupBy("year", "pixelID").agg(F.min("ids").alias("ids"))
 
 
-@query()
+def fire_grid(v: Views) -> GridSpec:
+    """1,000 columns and 40 cells a fire: fires of a year rarely touch, at any size of the tables."""
+    return GridSpec(0.0, 0.0, 250.0, 250.0, 1000, -(-40 * v.events.count() // 1000))
+
+
+FIRE_CELLS = "(SELECT CAST(ceil(40 * count(*) / 1000.0) AS BIGINT) * 1000 FROM events)"
+
+
+def fire_starts(v: Views, g: GridSpec) -> DataFrame:
+    return v.fire_points.select(F.col("YEAR").alias("year"), F.col("FIRE_ID").alias("ids"), (1 + F.col("FIRE_ID") * 7919 % g.ncell).alias("pixelID"))
+
+
+FIRES = f"""st AS (SELECT YEAR AS year, FIRE_ID AS ids, FIRE_ID * 7919 % {FIRE_CELLS} AS p FROM fire_points), sp AS (SELECT year, ids, CAST(floor(p / 1000) AS BIGINT) AS r, p % 1000 AS c FROM st),
+ fc AS (SELECT year, (r + dr) * 1000 + c + dc + 1 AS pixelID, min(ids) AS ids FROM sp, (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) q(dr, dc) WHERE c + dc BETWEEN 0 AND 999 AND r + dr >= 0 AND r + dr < {FIRE_CELLS} / 1000 GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {FIRES}, gr AS (SELECT DISTINCT year, pixelID + dr * 1000 + dc AS pixelID FROM fc, (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) q(dr, dc)
+  WHERE (pixelID - 1) % 1000 + dc BETWEEN 0 AND 999 AND pixelID + dr * 1000 BETWEEN 1 AND {FIRE_CELLS}),
+ ed AS (SELECT a.year, a.pixelID AS f, b.pixelID AS t FROM gr a JOIN gr b ON b.year = a.year AND b.pixelID = a.pixelID + 1 AND a.pixelID % 1000 <> 0 UNION ALL SELECT a.year, a.pixelID, b.pixelID FROM gr a JOIN gr b ON b.year = a.year AND b.pixelID = a.pixelID + 1000),
+ e2 AS (SELECT year, f, t FROM ed UNION ALL SELECT year, t, f FROM ed), w(year, a, b) AS (SELECT year, pixelID, pixelID FROM gr UNION SELECT w.year, w.a, e2.t FROM w JOIN e2 ON e2.year = w.year AND e2.f = w.b)
+ SELECT fc.year, fc.pixelID, min(w.b) AS ids FROM fc JOIN w ON w.year = fc.year AND w.a = fc.pixelID GROUP BY fc.year, fc.pixelID""")
 def make_fire_ids(v):
-    g = grid_of(v)
+    g = fire_grid(v)
     return N.make_fire_ids(compact_fires(v, g), g, 250.0)
 
 
 @query()
 def buffer_to_area(v):
-    g = grid_of(v)
+    g = fire_grid(v)
     return N.buffer_to_area(compact_fires(v, g), g, area=lambda n: n * 3, min_size=40)
 
 
 @query()
 def raster_fire_buffers(v):
-    g = grid_of(v)
-    return N.raster_fire_buffers(compact_fires(v, g), g, 250.0, v.cell.where("flammable = 1"), 60, lambda n: n * 2)
+    g = fire_grid(v)
+    n = v.orders.count()
+    copies = F.explode(F.sequence(F.lit(0), F.lit(g.ncell // n))).alias("i")
+    mask = v.cell.where("flammable = 1").select("pixelID", copies).select((F.col("pixelID") + F.col("i") * n).alias("pixelID")).where(F.col("pixelID") <= g.ncell)
+    return N.raster_fire_buffers(compact_fires(v, g), g, 250.0, mask, 60, lambda k: k * 2)
 
 
-@query()
+AT = f"pa AS (SELECT FIRE_ID AS point_id, YEAR AS year, FIRE_ID % 100 AS ids, x, y, CASE WHEN floor(-y / 250) < {NROW} THEN CAST(floor(-y / 250) * 100 + floor(x / 250) + 1 AS BIGINT) END AS pixelID FROM fire_points)"
+
+
+@query(f"""WITH {AT}, bu AS (SELECT year, ids, pixelID FROM fire_buffered WHERE buffer = 1), kept AS (SELECT * FROM pa WHERE (year, ids) IN (SELECT (year, ids) FROM bu)),
+ onb AS (SELECT * FROM kept WHERE (year, pixelID) IN (SELECT (year, pixelID) FROM bu)), ofb AS (SELECT point_id, year, ids, x, y FROM kept WHERE point_id NOT IN (SELECT point_id FROM onb)),
+ bc AS (SELECT DISTINCT b.pixelID, c.r, c.c FROM bu b JOIN cell c USING (pixelID)), nb AS (SELECT bc.pixelID, any_value(bc.r) AS r, any_value(bc.c) AS c, coalesce(sum(m.flammable), 0) - 1 AS n FROM bc LEFT JOIN (SELECT r, c, flammable FROM cell WHERE flammable IS NOT NULL) m
+  ON m.r BETWEEN bc.r - 1 AND bc.r + 1 AND m.c BETWEEN bc.c - 1 AND bc.c + 1 GROUP BY bc.pixelID),
+ d AS (SELECT o.point_id, o.year, o.ids, b.pixelID, nb.n, round(sqrt(((nb.c + 0.5) * 250.0 - o.x) * ((nb.c + 0.5) * 250.0 - o.x) + (-(nb.r + 0.5) * 250.0 - o.y) * (-(nb.r + 0.5) * 250.0 - o.y)), 6) AS dist FROM ofb o JOIN bu b USING (year, ids) JOIN nb ON nb.pixelID = b.pixelID),
+ k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY CASE WHEN n > 6 THEN 0 ELSE 1 END, CASE WHEN n > 6 THEN dist ELSE -n END, dist, pixelID) AS o FROM d)
+ SELECT point_id, year, ids, pixelID, 0 AS moved FROM onb UNION ALL SELECT point_id, year, ids, pixelID, 1 FROM k WHERE o = 1""")
 def harmonize_buffer_and_points(v):
     return N.harmonize_buffer_and_points(v.points, v.fire_buffered, v.cell.where("flammable IS NOT NULL"), grid_of(v))
 
 
-@query()
+@query(f"""WITH {AT}, good AS (SELECT pixelID, r, c FROM cell WHERE flammable > 0), bu AS (SELECT f.year, f.ids, f.pixelID, g.r, g.c FROM fire_buffered f JOIN good g USING (pixelID) WHERE f.buffer = 1),
+ bad AS (SELECT * FROM pa WHERE pixelID IS NULL OR pixelID NOT IN (SELECT pixelID FROM good)), d AS (SELECT p.point_id, p.year, p.ids, b.pixelID, row_number() OVER (PARTITION BY p.point_id ORDER BY round(sqrt(((b.c + 0.5) * 250.0 - p.x) * ((b.c + 0.5) * 250.0 - p.x) + (-(b.r + 0.5) * 250.0 - p.y) * (-(b.r + 0.5) * 250.0 - p.y)), 6), b.pixelID) AS o FROM bad p JOIN bu b USING (year, ids)),
+ moved AS (SELECT point_id, year, ids, pixelID FROM d WHERE o = 1), gone AS (SELECT DISTINCT year, ids FROM bad WHERE point_id NOT IN (SELECT point_id FROM moved))
+ SELECT * FROM (SELECT point_id, year, ids, pixelID FROM pa WHERE pixelID IN (SELECT pixelID FROM good) UNION ALL SELECT * FROM moved) WHERE (year, ids) NOT IN (SELECT (year, ids) FROM gone)""")
 def clean_up_spread_points(v):
     return N.clean_up_spread_points(v.points, v.fire_buffered, v.cell, grid_of(v))[0]
 
@@ -559,7 +600,7 @@ def make_landcover(v):
 
 @query("SELECT e.FuelClass, c.pixelGroup, CAST(floor(sum(c.B) + 0.5) AS INT) AS B FROM cohort c JOIN spp_equiv e USING (speciesCode) GROUP BY ALL")
 def biomass_by_class(v):
-    return H.biomass_by_class(v.cohort.join(F.broadcast(v.spp_equiv), "speciesCode"))
+    return H.biomass_by_class(v.cohort.join(v.spp_equiv, "speciesCode"))
 
 
 FUEL = ", ".join(f"CASE WHEN l.nf_low + l.nf_high > 0 THEN 0 ELSE coalesce(max(CASE WHEN b.FuelClass = '{k}' THEN b.B END), CASE WHEN c.flammable IS NOT NULL THEN 0 END) END AS {k}" for k in (*CLASSES, "youngAge"))
@@ -679,10 +720,11 @@ def burn_summary_long(v):
     return E.burn_summary_long(v.burn_summary, 6.25).withColumn("val", F.round("val", 4))
 
 
-@query(f"SELECT var, round(regr_slope(val, year), 4) AS slope, round(regr_intercept(val, year), 2) AS intercept, count(val) AS n FROM ({LONG}) WHERE val IS NOT NULL GROUP BY var")
+@query(f"""SELECT var, round(slope, 4) AS slope, round(intercept, 2) AS intercept, n, CASE WHEN sqrt(r2 * (n - 2) / (1 - r2)) > {t_quantile(2.5758293035489004, "(n - 2)")} THEN 1 ELSE 0 END AS significant
+ FROM (SELECT var, regr_slope(val, year) AS slope, regr_intercept(val, year) AS intercept, regr_r2(val, year) AS r2, count(val) AS n FROM ({LONG}) WHERE val IS NOT NULL GROUP BY var)""")
 def burn_trends(v):
     t = E.burn_trends(E.burn_summary_long(v.burn_summary, 6.25))
-    return t.select("var", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), "n")
+    return t.select("var", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), "n", "significant")
 
 
 @query("SELECT pixelID, count(*) / 5.0 AS burned FROM burn_year WHERE pixelID IN (SELECT pixelID FROM landcover) GROUP BY pixelID")
@@ -696,10 +738,10 @@ def population_summary(v):
     return E.population_summary(v.population).withColumns({c: r6(c) for c in ("mean", "lo", "hi", "width")} | {"variance": F.round("variance", 2)})
 
 
-@query("""WITH b AS (SELECT iter, min(value) AS value FROM population GROUP BY iter), s AS (SELECT CAST(k AS BIGINT) AS segment, b.* FROM b JOIN range(0, 100000) t(k) ON b.iter BETWEEN k * 25 AND k * 25 + 174)
- SELECT segment, round(regr_slope(value, iter), 6) AS slope FROM s GROUP BY segment HAVING count(*) = 175""")
+@query(f"""WITH b AS (SELECT iter, min(value) AS value FROM population GROUP BY iter), s AS (SELECT CAST(k AS BIGINT) AS segment, b.* FROM b JOIN range(0, 100000) t(k) ON b.iter BETWEEN k * 25 AND k * 25 + 174)
+ SELECT segment, round(slope, 6) AS slope, CASE WHEN sqrt(r2 * 173 / (1 - r2)) < {t_quantile(1.6448536269514722, "173.0")} THEN 1 ELSE 0 END AS flat FROM (SELECT segment, regr_slope(value, iter) AS slope, regr_r2(value, iter) AS r2 FROM s GROUP BY segment HAVING count(*) = 175)""")
 def plateau(v):
-    return E.plateau(v.population.groupBy("iter").agg(F.min("value").alias("value"))).select("segment", r6("slope").alias("slope"))
+    return E.plateau(v.population.groupBy("iter").agg(F.min("value").alias("value"))).select("segment", r6("slope").alias("slope"), "flat")
 
 
 @query("""SELECT variable, CAST(least(floor(value / (50.0 / 15)) + 1, 15) AS INT) AS bin, count(*) AS n FROM population WHERE value BETWEEN 0 AND 50 GROUP BY ALL""")
@@ -711,7 +753,7 @@ def parameter_histograms(v):
 @query("""WITH l AS (SELECT p.pixelID, c.speciesCode, e.FuelClass, c.B FROM cell p JOIN cohort c ON c.pixelGroup = p.pixelGroup JOIN spp_equiv e USING (speciesCode)), t AS (SELECT pixelID, sum(B) tb FROM l GROUP BY pixelID)
  SELECT speciesCode, FuelClass, round(sum(CASE WHEN B / tb > 0.1 THEN 1 ELSE 0 END) / (SELECT count(*) FROM t), 6) AS relAbundance FROM l JOIN t USING (pixelID) GROUP BY ALL""")
 def relative_abundance(v):
-    land = T.expand_cohorts_to_pixels(v.cohort, v.cell.select("pixelID", "pixelGroup")).join(F.broadcast(v.spp_equiv), "speciesCode").withColumn("year", F.lit(2001))
+    land = T.expand_cohorts_to_pixels(v.cohort, v.cell.select("pixelID", "pixelGroup")).join(v.spp_equiv, "speciesCode").withColumn("year", F.lit(2001))
     return E.relative_abundance(land).withColumn("relAbundance", r6("relAbundance"))
 
 
@@ -739,9 +781,9 @@ def burn_probability(v):
     return out.select("year", "pixelID", "ids", r6("p").alias("p"), r6("logLik").alias("logLik"), "class")
 
 
-@query("SELECT cells, year, ids, size FROM historical WHERE size >= 2")
+@query("SELECT cells, year, ids, size FROM (SELECT cells % 50 AS cells, year, ids, size, row_number() OVER (PARTITION BY cells % 50 ORDER BY size DESC, ids) AS n FROM historical WHERE size >= 2) WHERE n = 1")
 def historical_fires(v):
-    return E.historical_fires(v.historical)
+    return E.historical_fires(v.historical.withColumn("cells", F.col("cells") % 50))
 
 
 @query("""WITH s AS (SELECT initialLocus, round_even(sum(N) / 10.0, 0) AS simSize FROM sim_sizes GROUP BY 1) SELECT round(avg(abs(size - simSize)), 6) AS mad, count(*) AS n FROM historical JOIN s ON initialLocus = cells""")
@@ -749,15 +791,21 @@ def score_mad(v):
     return E.score_mad(v.historical.withColumn("batch", F.col("year") % 2), E.simulated_sizes(v.sim_sizes, 10)).withColumn("mad", r6("mad"))
 
 
-@query()
+@query("""WITH p AS (SELECT CAST(size AS DOUBLE) AS value, 1 AS f FROM historical UNION ALL SELECT CAST(N AS DOUBLE), 0 FROM sim_sizes), g AS (SELECT value, count(*) AS l, sum(f) AS f FROM p GROUP BY value),
+ t AS (SELECT CAST(count(*) AS DOUBLE) AS t, CAST(sum(f) AS DOUBLE) AS n FROM p), k AS (SELECT l, sum(l) OVER (ORDER BY value) AS h, sum(f) OVER (ORDER BY value) AS a FROM g)
+ SELECT round(sum(l / t * pow(t * a - n * h, 2.0) / (h * (t - h))) * max(1 / n + 1 / (t - n)) * 50, 6) AS ad FROM k, t WHERE h < t""")
 def score_ad(v):
     a = v.historical.select(F.col("size").cast("double").alias("value"), F.lit(0).alias("sample"))
     return E.score_ad(a.union(v.sim_sizes.select(F.col("N").cast("double"), F.lit(1)))).withColumn("ad", r6("ad"))
 
 
-@query()
+@query("""WITH o AS (SELECT * FROM historical WHERE size > 1), s AS (SELECT initialLocus AS cells, sqrt(CAST(N AS DOUBLE)) AS v FROM sim_sizes WHERE N > 1),
+ k AS (SELECT cells, count(*) AS k, stddev_samp(v) AS sd, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, min(v) AS a FROM s GROUP BY cells HAVING count(*) > 1),
+ h AS (SELECT cells, 0.9 * (CASE WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34) WHEN sd > 0 THEN sd WHEN a > 0 THEN a ELSE 1.0 END) * pow(k, -0.2) AS h FROM k),
+ d AS (SELECT o.cells, avg(exp(-pow((o.size - s.v) / h.h, 2) / 2) / (h.h * 2.5066282746310002)) AS d FROM o JOIN s USING (cells) JOIN h USING (cells) GROUP BY o.cells)
+ SELECT round(sum(-ln(greatest(coalesce(d.d, 0.0) * ln(o.size), 1e-29))), 4) AS snll_fs, count(*) AS n FROM o LEFT JOIN d USING (cells)""")
 def score_snll_fs(v):
-    return E.score_snll_fs(v.historical.where("size > 1"), v.sim_sizes).withColumn("snll_fs", r6("snll_fs"))
+    return E.score_snll_fs(v.historical.where("size > 1"), v.sim_sizes).withColumn("snll_fs", F.round("snll_fs", 4))
 
 
 @query("SELECT quantile_cont(n, 0.3) AS q30, CASE WHEN quantile_cont(n, 0.3) < 2000 THEN 1 ELSE 0 END AS small FROM (SELECT count(*) AS n FROM fire_buffered GROUP BY year, ids)")
@@ -838,7 +886,7 @@ def landscape_gate(v):
 
 
 @query("""WITH m AS (SELECT zone AS f, pixelID, v FROM zone WHERE v > 0 AND zone = 5), z AS (SELECT * FROM zone WHERE v > 0 AND zone <> 5),
- o AS (SELECT m.f, z.zone, count(*) AS n FROM m JOIN z ON z.pixelID = m.pixelID AND z.v = 2 GROUP BY m.f, z.zone),
+ o AS (SELECT m.f, z.zone, count(*) AS n FROM m JOIN z ON z.pixelID = m.pixelID GROUP BY m.f, z.zone HAVING max(m.v) = 2),
  t AS (SELECT f, zone FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY n DESC, zone) AS k FROM o) WHERE k = 1),
  b AS (SELECT zone, pixelID, v, CAST(NULL AS INT) AS f FROM z UNION ALL SELECT t.zone, m.pixelID, m.v, m.f FROM m JOIN t ON t.f = m.f)
  SELECT zone, pixelID, max(v) AS v, max(f) AS lost_by FROM b GROUP BY zone, pixelID""")

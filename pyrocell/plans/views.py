@@ -17,7 +17,7 @@ VIEWS = {
     "cohort": """SELECT CAST(floor(l_orderkey / 2.0) AS BIGINT) AS pixelGroup,
         CASE concat(l_returnflag, l_linestatus) WHEN 'AF' THEN 'Pice_mar' WHEN 'AO' THEN 'Pinu_con' WHEN 'NF' THEN 'Popu_tre'
         WHEN 'NO' THEN 'Betu_pap' WHEN 'RF' THEN 'Pice_gla' ELSE 'Abie_las' END AS speciesCode,
-        CAST(l_quantity AS INT) AS age, CAST(floor(l_extendedprice) AS DOUBLE) AS B FROM lineitem WHERE l_linenumber <= 2""",
+        CAST(l_quantity AS INT) AS age, CAST(floor(l_extendedprice) AS DOUBLE) AS B FROM lineitem""",
     "fire_buffered": """SELECT CAST(year(l_shipdate) AS INT) AS year, CAST(l_orderkey + 1 AS BIGINT) AS pixelID,
         CAST(l_suppkey % 100 AS BIGINT) AS ids, max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS buffer
         FROM lineitem GROUP BY year(l_shipdate), l_orderkey, l_suppkey % 100""",
@@ -32,7 +32,7 @@ VIEWS = {
     "sim_sizes": """SELECT CAST(l_linenumber AS INT) AS rep, CAST(l_orderkey % 1000 + 1 AS BIGINT) AS initialLocus, count(*) AS N
         FROM lineitem GROUP BY l_linenumber, l_orderkey % 1000""",
     "historical": """SELECT CAST(o_orderkey + 1 AS BIGINT) AS cells, CAST(year(o_orderdate) AS INT) AS year, CAST(o_orderkey AS BIGINT) AS ids,
-        CAST(floor(o_totalprice / 20000.0) AS INT) AS size FROM orders WHERE o_orderkey < 1000""",
+        CAST(floor(o_totalprice / 20000.0) AS INT) AS size FROM orders""",
     "population": """SELECT CAST(floor(event_id / 50.0) AS INT) AS iter, CAST(event_id % 50 AS INT) AS member, event_type AS variable, value
         FROM events""",
     "candidates": """SELECT CAST(s_suppkey AS INT) AS param_id, abs(s_acctbal) / CAST(20000 AS DOUBLE) AS b1,

@@ -1,4 +1,6 @@
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 
 from pyrocell.operators import fits as M
 from pyrocell.plans.queries import ORACLES, QUERIES
@@ -18,10 +20,84 @@ def test_nonforest_groups(spark):
     assert M.cluster_nonforest(rates.limit(0), 2).count() == 0
 
 
-def test_fuel_classes_merge_by_sign_and_coefficient(spark):
-    stats = [("q", "s1", "k1", 0.2, "positive", 0.01), ("q", "s2", "k1", 0.3, "positive", 0.5), ("q", "s3", "k2", -0.3, "negative", 0.2), ("q", "s4", "k2", 0.31, "neutral", 0.1)]
-    table = spark.createDataFrame(stats, "area string, species string, FuelClass string, coef double, sign string, above double")
-    assert {r.species: r.assigned for r in M.combine_fuel_classes(table, 2).collect()} == {"s1": "s2", "s2": "s2", "s3": "s3", "s4": "s2"}
+KINDS = ["spruce", "pine", "leaf", "leaf", "fir", "fir", "fir"]
+NAMES = ["Pica_nig", "Pina_con", "Pope_tri", "Beta_pum", "Pico_eng", "Pico_alb", "Abia_lat"]
+COEFS = [-0.012, 0.002, -0.02, -0.002, -0.018, -0.009, -0.005]
+SHARES = [0.07, 0.6, 0.2, 0.06, 0.1, 0.3, 0.5]
+
+
+def assigned(spark, names=NAMES, kinds=KINDS, coefs=COEFS, shares=SHARES, neutral=(), **how):
+    rows = [("q", i, n, k, c, "neutral" if n in neutral else "positive" if c > 0 else "negative", s) for i, (n, k, c, s) in enumerate(zip(names, kinds, coefs, shares))]
+    # a second area of the same species must not mix with the first
+    rows += [("other", *r[1:]) for r in rows]
+    table = spark.createDataFrame(rows, "area string, pos int, species string, FuelClass string, coef double, sign string, above double")
+    got = [(r.species, r.assignedFuelClass, r.N) for r in M.combine_fuel_classes(table, **how).where("area = 'q'").collect()]
+    assert len(got) == len(names) and all(n == sum(x == c for _, x, _ in got) for _, c, n in got)
+    return {s: c for s, c, _ in got}
+
+
+def test_fuel_classes_merge_inside_their_class(spark):
+    got = assigned(spark)
+    assert got["Beta_pum"] == got["Pope_tri"] == "Bt_pu.Pp_tr" and got["Pico_eng"] == got["Pico_alb"] == "Pc_en.Pc_al" and got["Abia_lat"] == "Abia_lat"
+    assert got["Pica_nig"] == "Pica_nig" and got["Pina_con"] == "Pina_con"
+
+
+def test_fuel_classes_respect_the_sign(spark):
+    got = assigned(spark, coefs=[*COEFS[:2], 0.02, 0.002, *COEFS[4:]][:2] + [-0.02, 0.002] + COEFS[4:])
+    assert got["Beta_pum"] == "Beta_pum" and got["Abia_lat"] == got["Pico_alb"] == got["Pico_eng"]
+    assert assigned(spark, coefs=[*COEFS[:2], -0.02, 0.002, *COEFS[4:]], neutral=["Beta_pum"])["Beta_pum"] == "Bt_pu.Pp_tr"
+
+
+def test_sparse_species_join_first_whatever_their_sign(spark):
+    coefs, shares = [*COEFS[:2], 0.02, *COEFS[3:]], [*SHARES[:3], 0.04, *SHARES[4:]]
+    got = assigned(spark, coefs=coefs, shares=shares)
+    assert got["Beta_pum"] == got["Pope_tri"] == "Bt_pu.Pp_tr" or got["Beta_pum"] == got["Pope_tri"] == "Pp_tr.Bt_pu"
+    assert got["Pico_eng"] == got["Pico_alb"] != got["Abia_lat"]
+
+
+def test_the_sparse_friend_is_the_scarcest_of_like_sign(spark):
+    names, kinds = ["Popo_bal", "Betu_all", *NAMES[1:]], ["leaf", "leaf", *KINDS[1:]]
+    coefs, shares = [0.013, -0.02, 0.002, 0.02, 0.002, -0.018, -0.009, -0.005], [0.07, 0.06, 0.6, 0.2, 0.04, 0.1, 0.3, 0.5]
+    got = assigned(spark, names, kinds, coefs, shares)
+    assert got["Beta_pum"] == got["Popo_bal"] == got["Pope_tri"] != got["Betu_all"] == "Betu_all" and got["Pico_eng"] == got["Pico_alb"]
+    wide = assigned(spark, names, kinds, coefs, shares, low=0.11)
+    assert wide["Betu_all"] != "Betu_all" and len(set(wide.values())) == 4
+
+
+def test_all_species_are_kept_apart_if_they_are_few(spark):
+    assert assigned(spark, NAMES[:3], KINDS[:3], COEFS[:3], SHARES[:3]) == dict(zip(NAMES[:3], NAMES[:3]))
+
+
+def test_slivers_go_where_the_count_changes_least(spark):
+    cells = lambda rows: spark.createDataFrame(rows, "zone int, pixelID long, v int")
+    zones = cells([(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 2, 1), (2, 3, 2), (3, 3, 2)])
+    lost = cells([(9, 1, 2), (9, 2, 1), (9, 3, 1), (8, 3, 1), (8, 7, 2)])
+    got = {(r.zone, r.pixelID): (r.v, r.lost_by) for r in M.slivers_reassigned(zones, lost).collect()}
+    assert got[2, 2] == (1, 9) and got[2, 1] == (2, 9) and got[2, 3] == (2, 9) and got[1, 1] == (1, None) and not any(by == 8 for _, by in got.values())
+
+
+def test_classes_without_the_unknown_column(spark):
+    rng = np.random.default_rng(1)
+    rows = [(float(c * 20 + rng.normal()), float(c * 5 + rng.normal()), float(c == 1)) for c in (0, 1) for _ in range(200)]
+    table = spark.createDataFrame(rows, "a double, b double, burned double")
+    model, k = M.burn_class_fit(table.withColumn("burned", F.col("burned") + F.rand(3) / 100), ["a", "b", "burned"], (2,))
+    known = M.burn_class_predict_shared(model, table.drop("burned"), ["a", "b", "burned"], ["a", "b"])
+    got = {(r.a > 10, r.burnClass) for r in known.collect()}
+    assert k == 2 and len(got) == 2
+    summary = M.burn_class_summary(M.burn_class_predict(model, table, ["a", "b", "burned"]), ["a", "b", "burned"])
+    assert {round(r.burnProb) for r in M.burn_prob_from_class(known, summary).where("a > 10").collect()} == {1}
+
+
+def test_ignition_fit_equals_reweighted_least_squares(spark):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(1, 3, 300)
+    y = rng.poisson(0.5 + 2 * x)
+    model = M.fit_ignition(spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "x double, y int"), "y", ["x"])
+    X, beta = np.stack([np.ones_like(x), x], 1), np.array([1.0, 1.0])
+    for _ in range(100):
+        w = 1 / np.maximum(X @ beta, 1e-6)
+        beta = np.linalg.solve((X.T * w) @ X, (X.T * w) @ y)
+    assert np.allclose([model.intercept, model.coefficients[0]], beta, atol=1e-4)
 
 
 def test_slivers_equal_sql(spark):

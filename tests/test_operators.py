@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +9,7 @@ from pyrocell.grid import GridSpec
 from pyrocell.operators import covariates as H
 from pyrocell.operators import fires as N
 from pyrocell.operators import spatial as D
+from pyrocell.operators import summaries as E
 from pyrocell.operators import tables as T
 from pyrocell.operators import zones as Z
 
@@ -27,16 +31,21 @@ def test_column_functions(spark):
 
 
 def test_cast_cohort_data(spark):
-    pixels = spark.createDataFrame([(i + 1, g) for i, g in enumerate([1, 1, 2, 2, None, 3, 3, 3, None])], "pixelID long, pixelGroup long")
-    cohort = spark.createDataFrame([(1, "Pice_mar", 10, 100.0), (1, "Pinu_con", 20, 200.0), (2, "Pice_mar", 50, 300.0), (3, "Popu_tre", 5, 50.0)], "pixelGroup long, speciesCode string, age int, B double")
-    land = pixels.select("pixelID", F.lit(0).alias("low"), F.lit(0).alias("high"))
-    out = {r.pixelID: r for r in H.cast_cohort_data(cohort, pixels, land, ["Pice_mar", "Pinu_con", "Popu_tre"], "high").collect()}
-    assert len(out) == 9 and out[5].high == 1 and out[1].youngAge == 0 and out[6].youngAge == 1 and out[5].Pice_mar is None
+    groups = {1: 4, 2: None, 3: 6, 4: 4, 5: 9, 6: None}
+    pixels = spark.createDataFrame(list(groups.items()), "pixelID long, pixelGroup long")
+    cohort = spark.createDataFrame([(4, "oak", 15, 7.0), (4, "oak", 3, 2.0), (4, "elm", 8, 1.5), (6, "elm", 90, 4.0)], "pixelGroup long, speciesCode string, age int, B double")
+    land = spark.createDataFrame([(1, 0, 0), (2, 0, 0), (3, 1, 0), (5, 0, 0), (6, 0, 1)], "pixelID long, low int, high int")
+    ages = spark.createDataFrame([(2, 12), (5, 40)], "pixelID long, age int")
+    got = {r.pixelID: (r.low, r.high, r.oak, r.elm, r.youngAge, r.year) for r in H.cast_cohort_data(cohort, pixels, land, ["oak", "elm"], "high", ages, 2005).collect()}
+    assert got == {
+        1: (0, 0, 9.0, 1.5, 1, 2005), 2: (0, 1, None, None, 1, 2005), 3: (1, 0, 0.0, 4.0, 0, 2005), 5: (0, 0, None, None, 0, 2005), 6: (0, 1, None, None, None, 2005),
+    }
 
 
 def test_dedupe_start_pixels(spark):
-    f = spark.createDataFrame([(1, 5, 1), (1, 15, 2), (2, 30, 3), (2, 10, 4), (3, 7, 5)], "cells int, size int, ids int")
-    assert sorted(r["size"] for r in T.dedupe_start_pixels(f).collect()) == [7, 15, 30]
+    f = spark.createDataFrame([(8, 3, 1), (8, 3, 0), (9, 1, 2), (9, 6, 5), (4, 2, 7)], "cells int, size int, ids int")
+    assert sorted((r.cells, r["size"], r.ids) for r in T.dedupe_start_pixels(f).collect()) == [(4, 2, 7), (8, 3, 0), (9, 6, 5)]
+    assert T.dedupe_start_pixels(f.limit(0)).count() == 0
 
 
 def test_patches_against_flood_fill(spark):
@@ -67,3 +76,96 @@ def test_zones(spark):
     assert {r.ID: r.status for r in Z.zone_status(ids, fits).collect()} == {"1.2": 2, "3.1": 2, "4.1": 1, None: 1}
     assert [r.ID for r in Z.fitted_names(ids, fits).collect()] == ["3.1"]
     assert Z.zone_status(ids.limit(0), fits).count() == 0
+
+
+def test_growth_against_a_loop_over_rings(spark):
+    grid, rng = GridSpec(0, 0, 1, 1, 30, 30), np.random.default_rng(6)
+    fires = {(2000 + y, i): {int(c) for c in [p, p + 1]} for y in (0, 1) for i, p in enumerate(rng.integers(1, 900, 12))}
+    owner = {}
+    for (y, i), cells in sorted(fires.items()):
+        for c in cells:
+            owner.setdefault((y, c), i)
+    rows = [(y, i, c) for (y, c), i in owner.items()]
+    goal, seen = {}, {}
+    for y, i, c in rows:
+        seen.setdefault((y, i), {})[c] = 0
+    goal = {k: max(4 * len(v), 10) for k, v in seen.items()}
+    out, ring, front = {}, 0, {k: set(v) for k, v in seen.items()}
+    while front:
+        ring += 1
+        for k in [k for k in seen if len(seen[k]) > goal[k]]:
+            order = sorted(seen[k], key=lambda c: (seen[k][c], c * 7919 % 104729, c))
+            out[k] = {c: seen[k][c] == 0 for c in order[: goal[k]]}
+            del seen[k]
+        taken = {(k[0], c) for k, v in seen.items() for c in v}
+        new = {}
+        for k in sorted(seen):
+            for c in front.get(k, ()):
+                r, q = divmod(c - 1, 30)
+                for a in range(r - 1, r + 2):
+                    for b in range(q - 1, q + 2):
+                        cell = a * 30 + b + 1
+                        if 0 <= a < 30 and 0 <= b < 30 and (k[0], cell) not in taken:
+                            new[k[0], cell] = min(new.get((k[0], cell), k[1]), k[1])
+        front = {}
+        for (y, c), i in new.items():
+            front.setdefault((y, i), set()).add(c)
+            seen[y, i][c] = ring
+    best = {}
+    for (y, i), cells in out.items():
+        for c, burned in cells.items():
+            best[y, c] = min(best.get((y, c), (2, 0)), (0 if burned else 1, i))
+    table = spark.createDataFrame(rows, "year int, ids long, pixelID long")
+    got = {(r.year, r.pixelID): (1 - r.buffer, r.ids) for r in N.buffer_to_area(table, grid, area=lambda n: n * 4, min_size=10).collect()}
+    assert got == best and len(out) > 10
+
+
+def test_zones_are_filled_and_buffered(spark):
+    ring = [12, 13, 14, 22, 24, 32, 33, 34]
+    zones = spark.createDataFrame([(1, c) for c in ring] + [(2, 13), (2, 100)], "zone int, pixelID long")
+    got = {(r.zone, r.pixelID): r.v for r in D.buffer_zones(zones, 1.0, GRID).collect()}
+    assert {c for (z, c), v in got.items() if z == 1 and v == 2} == {*ring, 23}
+    assert {c for (z, c), v in got.items() if z == 1 and v == 1} == {2, 3, 4, 11, 15, 21, 25, 31, 35, 42, 43, 44}
+    assert {c for (z, c), v in got.items() if z == 2} == {13, 3, 12, 14, 23, 100, 90, 99}
+    assert D.buffer_zones(zones.limit(0), 1.0, GRID).count() == 0
+
+
+def test_ranks_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    score, label = rng.integers(0, 50, 400) / 7, rng.integers(0, 2, 400)
+    table = spark.createDataFrame([(float(a), int(b)) for a, b in zip(score, label)], "s double, y int")
+    high, low = score[label == 1], score[label == 0]
+    want = ((high[:, None] > low).mean() + (high[:, None] == low).mean() / 2)
+    assert E.auc(table, "s", "y").first().auc == pytest.approx(want)
+    values = table.select(F.col("s").alias("value"), F.col("y").alias("sample"))
+    both, n, m = np.sort(score), (label == 0).sum(), (label == 1).sum()
+    ad = 0.0
+    for v in np.unique(score)[:-1]:
+        h, f = (both <= v).sum(), (low <= v).sum()
+        ad += (both == v).sum() / 400 * (400 * f - n * h) ** 2 / (h * (400 - h))
+    assert E.score_ad(values).first().ad == pytest.approx(ad * (1 / n + 1 / m) * 50)
+
+
+def test_student_quantiles(spark):
+    assert one(spark, C.t_critical(2.5758293035489004, F.lit(98))) == pytest.approx(2.6269, abs=1e-3)
+    assert one(spark, C.t_critical(1.6448536269514722, F.lit(173))) == pytest.approx(1.6537, abs=1e-3)
+    assert one(spark, C.t_critical(2.5758293035489004, F.lit(0))) is None
+
+
+def test_null_keys_are_looked_up_as_nothing(spark):
+    x = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    y = spark.createDataFrame([(1, 1), (None, 2), (3, 3)], "k int, w int")
+    assert sorted((r.w, r.v) for r in T.lookup_keep_right(x, y, ["k"]).collect()) == [(1, "a"), (2, None), (3, None)]
+
+
+def test_likelihood_in_blocks(spark):
+    data = spark.createDataFrame([(1.0, 2.0, 3.0), (1.0, 0.5, 0.0)], "one double, x double, y double")
+    cand = spark.createDataFrame([(i, 0.5 * i, 1.0) for i in range(5)] + [(9, -5.0, 1.0)], "param_id int, a double, b double")
+    got = {r.param_id: r.nll for r in E.ignition_nll(data, cand, "y", ["one", "x"], ["a", "b"], block=2).collect()}
+    assert got[9] == 1e20
+    for i in range(5):
+        mu = [0.5 * i + 2.0, 0.5 * i + 0.5]
+        assert got[i] == pytest.approx(sum(mu) - 3 * math.log(mu[0]))
+    broken = data.union(spark.createDataFrame([(1.0, None, 1.0)], data.schema))
+    assert {r.nll for r in E.ignition_nll(broken, cand, "y", ["one", "x"], ["a", "b"]).collect()} == {1e20}
+    assert E.ignition_nll(data, cand.limit(0), "y", ["one", "x"], ["a", "b"]).count() == 0
