@@ -7,66 +7,15 @@ A null text is an empty one.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def scratch(spark: SparkSession, name: str = "tables") -> str:
-    """A new path under the shared folder, deleted when the session ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
-
-
-@contextmanager
-def recording(into: list[str]) -> Iterator[None]:
-    """Notes in ``into`` the tables that ``materialise`` writes meanwhile."""
-    token = _written.set(into)
-    try:
-        yield
-    finally:
-        _written.reset(token)
-
-
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables that nothing reads any more, so that they don't pile up till the session ends."""
-    for path in paths:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    paths.clear()
-
-
-def materialise(df: DataFrame, *by: str) -> DataFrame:
-    """Cuts lineage: writes df under the shared folder, reads it again."""
-    path = scratch(df.sparkSession)
-    if (into := _written.get()) is not None:
-        into.append(path)
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from pyrocell.storage import discard, materialise, recording, scratch  # noqa: F401
 
 
 def fresh(name: str, taken: list[str]) -> str:
