@@ -7,6 +7,9 @@ A null text is an empty one.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +49,14 @@ def texts_of(column: pa.Array, step: int = 256) -> Iterator[bytes]:
         yield from (t or b"" for t in as_bytes(column.slice(at, step)))
 
 
+def trim() -> None:
+    """Gives memory that a batch needed back to the system: a worker that waits for its next task keeps none of it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack(a: np.ndarray) -> bytes:
     """An integer or float array as zstd over its byte planes: sorted or small values cost few bytes."""
     planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) if len(a) else a

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyrocell.llm.common import discard, materialise, recording, texts_of
+from pyrocell.llm.common import discard, materialise, recording, texts_of, trim
 from pyrocell.llm.substring_dedup import FACTORS, mix
 from pyrocell.operators.components import components
 
@@ -279,6 +279,7 @@ def tile_links(tiles: DataFrame, radius: int, wide: int, least: float) -> DataFr
                     forest(x, y, d, np.full(len(x), t))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*out)], ["a", "b"])
+        trim()
 
     return tiles.select("nodes").mapInArrow(run, "a bigint, b bigint")
 
@@ -382,6 +383,7 @@ def set_sketch_column(text: Column, k: int) -> Column:
             sketch[i], bands[i] = set_sketch(h), minwise_bands(h)
         ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS)
         columns = [pa.array(np.ascontiguousarray(c)) for c in sketch.view(np.int64).T]
+        trim()
         columns.append(pa.ListArray.from_arrays(ends, pa.array(bands.view(np.int64).ravel())))
         return pa.StructArray.from_arrays(columns, ["key", "fp", "w1", "w2", "w3", "bands"])
 
@@ -405,6 +407,7 @@ def shingle_sets(text: Column, k: int) -> Column:
             h = np.unique(shingle_hashes(t.lower().split(), k))
             sets.append(h.tobytes())
             pieces.append(np.sort((h & np.uint64(0xFFFF)).astype("<u2")).tobytes())
+        trim()
         return pa.StructArray.from_arrays([pa.array(sets, pa.binary()), pa.array(pieces, pa.binary())], ["s", "pieces"])
 
     return of(text)

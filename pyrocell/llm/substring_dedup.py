@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pyrocell.llm.chunks import bucket_count, chunked, from_ipc
-from pyrocell.llm.common import as_bytes, fresh, materialise, pack_sorted, unpack_sorted
+from pyrocell.llm.common import as_bytes, fresh, materialise, pack_sorted, trim, unpack_sorted
 
 WINDOW, SHINGLE = 20, 8
 DEPTH, LEAST_BITS, MOST_BITS = 2, 16, 26
@@ -152,6 +152,7 @@ def sketch(chunks: DataFrame, text_col: str, bits: int) -> list[np.ndarray]:
             for s in range(SLICES):
                 x, y = (bits_[row][s * part : (s + 1) * part] for bits_ in (once, twice))
                 yield pa.RecordBatch.from_arrays([pa.array([row * SLICES + s]), pa.array([task]), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], names)
+        trim()
 
     def merge(key: tuple, t: pa.Table) -> pa.Table:
         one, two = (np.frombuffer(t.column(c)[0].as_py(), np.uint8).copy() for c in ("one", "two"))
@@ -221,6 +222,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ends = np.searchsorted(bucket, np.arange(buckets + 1))
                 full = [b for b in range(buckets) if ends[b] < ends[b + 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([chunk] * len(full), pa.int64()), pa.array([pack_sorted(h[ends[b] : ends[b + 1]]) for b in full], pa.binary()), pa.array([check[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary())], ["bucket", "chunk", "keys", "checks"])
+        trim()
 
     def resolve(t: pa.Table) -> pa.Table:
         """For each chunk, a bit per key: does an earlier chunk have it?"""
@@ -262,6 +264,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     new = [t if not ls.any() else cut(t, ls) for t, ls in zip(text, lost)]
                     rows = rows.set_column(at, rows.schema.field(at), pa.array(new, pa.binary()).cast(pa.string()).cast(rows.schema.field(at).type))
                     yield from rows.append_column(named[0], n_words).append_column(named[1], n_removed).combine_chunks().to_batches()
+        trim()
 
     return both.mapInArrow(apply, schema)
 
