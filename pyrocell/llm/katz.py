@@ -220,6 +220,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         if known.any():
             start = u.first[len(u.counts) - 1 - np.searchsorted(u.counts[::-1], c[known])]
             ids[known] = start + base[at[known]].astype(np.uint64) + rank[known].astype(np.uint64)
+            if ids[known].max() >= START:  # as 32 bits it would pass for another word
+                raise ValueError("more than 2 ** 32 - 2 distinct words")
         got = [pack(ids[np.searchsorted(k, x)].astype(np.uint32)) for x in keys]
         return pa.table([words.column("chunk"), words.column("bucket"), pa.array(got, pa.binary())], names=["chunk", "bucket", "numbers"])
 
