@@ -9,7 +9,8 @@ one unbroken run of letters, of any length passes through memory bounded by the
 
 Decoding. ``TextMachine`` takes ids, appends their bytes and gives out text up to the last whole character.
 
-Null text: empty, no ids. Repeated rows and ids are handled row by row. Extra columns are ignored.
+Null text: empty, no ids. Repeated rows and ids are handled row by row. Extra columns are ignored, an empty table gives
+no rows. Equal ranks can't tie: a merge has a rank of its own, and of one merge the leftmost place goes first.
 """
 
 from __future__ import annotations

@@ -286,7 +286,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     names, kinds = ["doc_id", "item_id", "first_word", "end_word", "edits", "similarity"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
     every = [passed(rows) for rows in blocks_of(items, item_col, item_text, block_words)]
-    return reduce(DataFrame.unionByName, every).dropDuplicates(["doc_id", "item_id"]) if len(every) > 1 else every[0]
+    best = F.min(F.struct("edits", "first_word", "end_word", "similarity")).alias("b")  # rows that share an id are one document
+    return reduce(DataFrame.unionByName, every).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.first_word", "b.end_word", "b.edits", "b.similarity")
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -12,7 +12,8 @@ the driver, each as sparse features). A fifth of the sample is kept back to fit
 Prediction. Softmax of scores over temperature; ``und`` with score 1 if the text is null or has no letter.
 Ties go to the first label in sorted order. With nothing to learn from, every text is ``und`` with score 0
 (1 without a letter). Rows of a null id are predicted but neither learned from nor held out. Labels, sources
-and ids are never inputs. Extra columns are kept by ``predict`` and ignored by ``held_out_predictions``.
+and ids are never inputs. Extra columns are kept by ``predict`` and ignored by ``held_out_predictions``; an empty table gives
+no rows. More than 1,000 labels are an error: a sample of each reaches the driver.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Groups. Connected components: tasks contract the links they hold, then large-sta
 written to the shared folder, join the rest.
 
 Ties and repeated ids: every row gets its own output row. A null id never becomes the name of a group; a group
-of null ids alone has a null component_id. Extra columns are ignored, whatever their names.
+of null ids alone has a null component_id. Extra columns are ignored, whatever their names; an empty table gives no rows.
+Very long texts are hashed whole, their bits summed in bounded pieces.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ spaced frames of itself. Everything is scored, whole.
 
 Null or empty text: size zero, signal 0; the score is the calibrated share of label 1. Without labels of both
 kinds every score is the share of label 1 seen (0.5 if none). Rows of a null id are scored, not learned from.
-Repeated labels of an id are one vote each. Extra columns are ignored.
+Repeated labels of an id are one vote each. Extra columns are ignored; an empty table gives no rows. A score equal to
+the threshold of 0.3 predicts 1.
 """
 
 from __future__ import annotations
