@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-CHUNK = 4 << 20
+CHUNK, BUCKET = 4 << 20, 8 << 20
 
 
-def bucket_count(df: DataFrame) -> int:
-    """As many buckets as the session shuffles to: a bucket's share then stays the same at any size."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def bucket_count(df: DataFrame, size: int = 0) -> int:
+    """Buckets for chunks of size bytes: a bucket's share is bounded whatever the session shuffles to, and every core
+    has one."""
+    return max(1, df.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET))
 
 
 def to_ipc(rows: pa.RecordBatch) -> bytes:
@@ -56,7 +57,7 @@ def chunked(df: DataFrame, order_by: str | None = None, size: int = CHUNK) -> Da
     """(chunk, rows, payload): payload is the rows as a compressed Arrow stream. With order_by the rows are
     range-partitioned and sorted by it, nulls first, and chunk numbers ascend with it."""
     if order_by:
-        n = max(df.rdd.getNumPartitions(), bucket_count(df))
+        n = max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         df = df.repartitionByRange(n, order_by).sortWithinPartitions(order_by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

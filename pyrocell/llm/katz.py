@@ -165,7 +165,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from the rows
     whose crc32(id) mod folds is not held."""
     spark = docs.sparkSession
-    buckets = bucket_count(docs)
+    # a bucket's share of words and pairs is bounded: it follows the text, not the session's setting
+    buckets = bucket_count(docs, (docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0) // 2)
     fold = crc_mod(F.col(id_col), folds)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold == held, F.lit(False)).alias("held_out"), F.coalesce(fold != held, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
 

@@ -5,10 +5,11 @@ that share an id are ordered as the sort leaves them. Windows are judged on the
 
 Count-min prefilter. Each window has an anchor: of its SHINGLE-word runs the one of least hash, the leftmost on
 ties. Equal windows have equal anchors at different places, so an anchor that occurs once proves that its
-windows do. Every task counts its anchors in a sketch of DEPTH rows of saturating counters (none, one, more);
-task sketches merge by adding, and the merged sketch can only overestimate. Its size follows the number of
-words up to 2^MOST_BITS counters a row (16 MB when sent to the tasks): beyond that it filters less, and the
-second pass still gets every repeated window.
+windows do. The sketch has DEPTH rows of saturating counters (none, one, more) for each slice of the anchors, slices
+being ranges of another hash. A chunk counts its anchors in a sparse sketch, the counters it reached, and sends
+each slice its part; a slice merges the parts by adding and answers each chunk one bit per counter: did it reach two? The
+merged sketch can only overestimate. Slices and counters follow the number of words, so the filter is as sharp at any
+size, and no worker, nor the driver, holds more than one slice.
 
 Second pass. Chunks of texts in order send the distinct hashes of the windows left to buckets; a bucket finds
 the first chunk of each hash and answers each chunk one bit per hash: does it occur in an earlier chunk? In its
@@ -26,11 +27,11 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -39,9 +40,10 @@ from pyrocell.llm.chunks import bucket_count, chunked, from_ipc
 from pyrocell.llm.common import as_bytes, fresh, materialise, pack_sorted, trim, unpack_sorted
 
 WINDOW, SHINGLE = 20, 8
-DEPTH, LEAST_BITS, MOST_BITS = 2, 16, 26
-#: A sketch is merged in so many slices, at most FAN task sketches of a slice at a time.
-SLICES, FAN = 16, 32
+DEPTH = 2
+#: Counters a row of the sketch for each byte of compressed chunks, which have some two bytes a word; a seventh of the
+#: words are anchors: several counters each.
+COUNTERS = 1 / 4
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -116,79 +118,78 @@ class Words:
         return runs(self.h, WINDOW, FACTORS[0])[at], mix(runs(self.h, WINDOW, FACTORS[1])[at], FACTORS[0])
 
 
-def counters(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(mix(anchor, f) >> np.uint64(64 - bits)).astype(np.int64) for f in FACTORS[:DEPTH]]
+@dataclass(frozen=True)
+class Layout:
+    """The sketch: slices of DEPTH rows of 2^bits counters. A cell is its slice, row and counter in one number."""
 
+    slices: int
+    bits: int
 
-def _set_bits(bytes_: np.ndarray, place: np.ndarray, bit: np.ndarray) -> None:
-    """Sets the bits at the places, which ascend."""
-    if len(place):
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        bytes_[place[first]] |= np.bitwise_or.reduceat(bit, first)
+    @property
+    def width(self) -> int:
+        return DEPTH << self.bits
 
+    def cells(self, anchor: np.ndarray) -> np.ndarray:
+        """The cell of each anchor in each row, DEPTH x anchors."""
+        first = (mix(anchor, FACTORS[2]) >> np.uint64(24)) % np.uint64(self.slices) * np.uint64(self.width)
+        return np.stack([first + np.uint64(row << self.bits) + (mix(anchor, f) >> np.uint64(64 - self.bits)) for row, f in enumerate(FACTORS[:DEPTH])])
 
-def sketch(chunks: DataFrame, text_col: str, bits: int) -> list[np.ndarray]:
-    """The merged sketch: for each row a bit array of the counters that reached two."""
-    part = (1 << bits) // 8 // SLICES
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = ([np.zeros((1 << bits) // 8, np.uint8) for _ in range(DEPTH)] for _ in range(2))  # a bit a counter
-        for batch in batches:
-            for payload in batch.column("payload"):
-                w = Words(as_bytes(from_ipc(payload.as_py()).column(text_col).combine_chunks()))
-                at = w.windows()
-                if not len(at):
-                    continue
-                place, anchor = w.anchors(at)
-                anchor = anchor[np.unique(place, return_index=True)[1]]
-                for row, c in enumerate(counters(anchor, bits)):
-                    seen, n = np.unique(c, return_counts=True)
-                    place, bit = seen >> 3, (128 >> (seen & 7)).astype(np.uint8)
-                    again = (n > 1) | (once[row][place] & bit > 0)
-                    _set_bits(twice[row], place[again], bit[again])
-                    _set_bits(once[row], place, bit)
-        task = TaskContext.get().partitionId()
-        for row in range(DEPTH):
-            for s in range(SLICES):
-                x, y = (bits_[row][s * part : (s + 1) * part] for bits_ in (once, twice))
-                yield pa.RecordBatch.from_arrays([pa.array([row * SLICES + s]), pa.array([task]), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], names)
-        trim()
+def layout(size: int, slices: int) -> Layout:
+    return Layout(slices, max(4, math.ceil(math.log2(size * COUNTERS / slices + 1))))
 
-    def merge(key: tuple, t: pa.Table) -> pa.Table:
-        one, two = (np.frombuffer(t.column(c)[0].as_py(), np.uint8).copy() for c in ("one", "two"))
-        for i in range(1, t.num_rows):
-            x, y = (np.frombuffer(t.column(c)[i].as_py(), np.uint8) for c in ("one", "two"))
-            two |= y | (one & x)
-            one |= x
-        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py() if len(key) > 1 else 0], pa.int64()), pa.array([one.tobytes()], pa.binary()), pa.array([two.tobytes()], pa.binary())], names=names)
-
-    names, schema = ["slice", "task", "one", "two"], "slice bigint, task bigint, one binary, two binary"
-    # as many sketches as the cluster can make at once: what is merged then doesn't grow with the input
-    tasks = 2 * chunks.sparkSession.sparkContext.defaultParallelism
-    parts = chunks.select("payload").coalesce(tasks).mapInArrow(count, schema)
-    for _ in range(2):
-        parts = parts.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("slice", "task").applyInArrow(merge, schema)
-    done = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(DEPTH)]
-    for r in parts.groupBy("slice").applyInArrow(merge, schema).select("slice", "two").toLocalIterator():
-        row, s = divmod(r.slice, SLICES)
-        done[row][s * part : (s + 1) * part] = np.frombuffer(r.two, np.uint8)
-    return done
-
-
-def estimated_repeated(anchor: np.ndarray, rows: list[np.ndarray], bits: int) -> np.ndarray:
-    """Never false for an anchor that occurs twice."""
-    out = np.ones(len(anchor), bool)
-    for two, c in zip(rows, counters(anchor, bits)):
-        out &= (two[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
-    return out
 
+def split(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The groups present, of ascending group numbers, and where each begins, with the end."""
+    at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    return group[at], np.append(at, len(group))
 
-def candidates(w: Words, rows: list[np.ndarray], bits: int, buckets: int) -> tuple[np.ndarray, ...]:
+
+def anchor_cells(w: Words, at: np.ndarray, sketch: Layout) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of the windows' anchors, each place once, and the anchor of each window among them."""
+    place, anchor = w.anchors(at)
+    new = np.r_[True, place[1:] != place[:-1]]  # places ascend with their windows
+    return sketch.cells(anchor[new]), np.cumsum(new) - 1
+
+
+def sparse_sketch(w: Words, sketch: Layout) -> pa.RecordBatch:
+    """The counters a chunk reached, by slice, and which of them it reached twice."""
+    at = w.windows()
+    cells, n = np.unique(anchor_cells(w, at, sketch)[0], return_counts=True) if len(at) else (at.astype(np.uint64), at)
+    slices, ends = split((cells // np.uint64(sketch.width)).astype(np.int64))
+    cells = cells % np.uint64(sketch.width)
+    parts = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+    keys, more = [pack_sorted(cells[a:b]) for a, b in parts], [np.packbits(n[a:b] > 1).tobytes() for a, b in parts]
+    return pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array(keys, pa.binary()), pa.array(more, pa.binary())], ["slice", "cells", "more"])
+
+
+def merged(t: pa.Table, sketch: Layout) -> pa.Table:
+    """One slice: the sum of the chunks' sparse sketches, and for each chunk whether its counters reached two in it."""
+    once, twice = np.zeros(sketch.width, bool), np.zeros(sketch.width, bool)
+    for cells, more in zip(t.column("cells"), t.column("more")):
+        k = unpack_sorted(cells.as_py()).astype(np.int64)
+        again = once[k] | np.unpackbits(np.frombuffer(more.as_py(), np.uint8), count=len(k)).astype(bool)
+        twice[k[again]] = True
+        once[k] = True
+    bits = [np.packbits(twice[unpack_sorted(cells.as_py()).astype(np.int64)]).tobytes() for cells in t.column("cells")]
+    return pa.table([t.column("chunk"), t.column("slice"), pa.array(bits, pa.binary())], names=["chunk", "slice", "reached"])
+
+
+def estimated_repeated(w: Words, at: np.ndarray, reached: dict[int, bytes], sketch: Layout) -> np.ndarray:
+    """Whether the sketch puts the anchor of a window at two or more: never false for one that occurs twice."""
+    cells, which = anchor_cells(w, at, sketch)
+    known, inverse = np.unique(cells, return_inverse=True)
+    slices, ends = split((known // np.uint64(sketch.width)).astype(np.int64))
+    two = np.concatenate([np.unpackbits(np.frombuffer(reached[s], np.uint8), count=n) for s, n in zip(slices.tolist(), np.diff(ends).tolist())])
+    return two[inverse.reshape(cells.shape)].all(axis=0)[which]
+
+
+def candidates(w: Words, reached: dict[int, bytes], sketch: Layout, buckets: int) -> tuple[np.ndarray, ...]:
     """Places, buckets, hashes and check hashes of windows that may be repeated, ordered by bucket, hashes and place;
     and whether each is the first of its hashes."""
     at = w.windows()
     if len(at):
-        at = at[estimated_repeated(w.anchors(at)[1], rows, bits)]
+        at = at[estimated_repeated(w, at, reached, sketch)]
     if not len(at):
         return at, at, at.astype(np.uint64), at.astype(np.uint32), at.astype(bool)
     h, other = w.hashes(at)
@@ -205,23 +206,28 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plus n_words and n_removed (underscores are appended where docs has such a column); with digest instead doc_id,
     n_words, n_removed, kept_sha256."""
     chunks = materialise(chunked(docs.select(id_col, text_col) if digest else docs, id_col))
-    buckets = bucket_count(docs)
     size = chunks.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-    # compressed text has some two bytes a word and a seventh of the words are anchors: several counters each
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(size / 4 + 1))))
-    sent = docs.sparkSession.sparkContext.broadcast(sketch(chunks, text_col, bits))
+    buckets = bucket_count(docs, size)
+    sketch = layout(size, buckets)
 
     def texts(payload: bytes) -> list[bytes | None]:
         return as_bytes(from_ipc(payload).column(text_col).combine_chunks())
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload")):
-                _, bucket, h, check, new = candidates(Words(texts(payload.as_py())), sent.value, bits, buckets)
+                rows = sparse_sketch(Words(texts(payload.as_py())), sketch)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * rows.num_rows, pa.int64()), *rows.columns], ["chunk", *rows.schema.names])
+        trim()
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, payload, got in zip(batch.column("chunk").to_pylist(), batch.column("payload"), batch.column("sketch")):
+                _, bucket, h, check, new = candidates(Words(texts(payload.as_py())), reached(got), sketch, buckets)
                 bucket, h, check = bucket[new], h[new], check[new]
-                ends = np.searchsorted(bucket, np.arange(buckets + 1))
-                full = [b for b in range(buckets) if ends[b] < ends[b + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([chunk] * len(full), pa.int64()), pa.array([pack_sorted(h[ends[b] : ends[b + 1]]) for b in full], pa.binary()), pa.array([check[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary())], ["bucket", "chunk", "keys", "checks"])
+                full, ends = split(bucket)
+                parts = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([chunk] * len(full), pa.int64()), pa.array([pack_sorted(h[a:b]) for a, b in parts], pa.binary()), pa.array([check[a:b].tobytes() for a, b in parts], pa.binary())], ["bucket", "chunk", "keys", "checks"])
         trim()
 
     def resolve(t: pa.Table) -> pa.Table:
@@ -239,20 +245,27 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bits_ = [np.packbits(later[e - len(k) : e]).tobytes() for k, e in zip(keys, ends)]
         return pa.table([t.column("chunk"), t.column("bucket"), pa.array(bits_, pa.binary())], names=["chunk", "bucket", "later"])
 
+    def reached(got: pa.ListScalar) -> dict[int, bytes]:
+        return {a["slice"]: a["reached"] for a in got.as_py() or []}
+
+    counted = chunks.select("chunk", "payload").mapInArrow(count, "chunk bigint, slice bigint, cells binary, more binary")
+    estimates = counted.groupBy("slice").applyInArrow(lambda t: merged(t, sketch), "chunk bigint, slice bigint, reached binary")
+    estimates = estimates.groupBy("chunk").agg(F.collect_list(F.struct("slice", "reached")).alias("sketch"))
+    chunks = chunks.select("chunk", "payload").join(estimates, "chunk", "left")
     sent_keys = chunks.mapInArrow(send, "bucket bigint, chunk bigint, keys binary, checks binary")
     answers = sent_keys.groupBy("bucket").applyInArrow(resolve, "chunk bigint, bucket bigint, later binary")
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "later")).alias("answers"))
-    both = chunks.join(answers, "chunk", "left").select("payload", "answers")
+    both = chunks.join(answers, "chunk", "left").select("payload", "sketch", "answers")
     named = [fresh(c, docs.columns) for c in ("n_words", "n_removed")]
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" if digest else StructType([*docs.schema.fields]).add(named[0], "long").add(named[1], "long")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, got in zip(batch.column("payload"), batch.column("answers")):
+            for payload, known, got in zip(batch.column("payload"), batch.column("sketch"), batch.column("answers")):
                 rows = from_ipc(payload.as_py())
                 text = as_bytes(rows.column(text_col).combine_chunks())
                 w = Words(text)
-                gone = covered(w, {a["bucket"]: a["later"] for a in got.as_py() or []}, sent.value, bits, buckets)
+                gone = covered(w, {a["bucket"]: a["later"] for a in got.as_py() or []}, reached(known), sketch, buckets)
                 lost = [gone[a:b] for a, b in zip(w.starts[:-1], w.starts[1:])]
                 n_removed = pa.array([int(x.sum()) for x in lost], pa.int64())
                 n_words = pa.array(w.sizes)
@@ -269,13 +282,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return both.mapInArrow(apply, schema)
 
 
-def covered(w: Words, answers: dict[int, bytes], rows: list[np.ndarray], bits: int, buckets: int) -> np.ndarray:
+def covered(w: Words, answers: dict[int, bytes], reached: dict[int, bytes], sketch: Layout, buckets: int) -> np.ndarray:
     """Which words of a chunk a repeated window covers."""
-    at, bucket, h, _, new = candidates(w, rows, bits, buckets)
+    at, bucket, h, _, new = candidates(w, reached, sketch, buckets)
     edge = np.zeros(len(w.h) + 1, np.int64)
     if len(at):
-        ends = np.searchsorted(bucket[new], np.arange(buckets + 1))
-        later = [np.unpackbits(np.frombuffer(answers[b], np.uint8), count=int(ends[b + 1] - ends[b])) if b in answers else np.zeros(ends[b + 1] - ends[b], np.uint8) for b in range(buckets)]
+        full, ends = split(bucket[new])
+        later = [np.unpackbits(np.frombuffer(answers[b], np.uint8), count=n) for b, n in zip(full.tolist(), np.diff(ends).tolist())]
         repeated = np.concatenate(later).astype(bool)[np.cumsum(new) - 1] | ~new
         at = at[repeated]
         np.add.at(edge, at, 1)

@@ -9,6 +9,8 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -171,3 +173,30 @@ def test_a_colliding_sketch_loses_no_window(spark):
     got = {r.doc_id: r.n_removed for r in substring_dedup.deduplicate(docs, digest=True).collect()}
     want = removed({i: " ".join(words[i * 7 : i * 7 + 60]).encode() for i in range(40)})
     assert got == {i: sum(g) for i, (_, g) in want.items()}
+
+
+@pytest.mark.parametrize("sketch", [substring_dedup.Layout(3, 4), substring_dedup.Layout(5, 14)])
+def test_merged_sketches_overestimate_and_ignore_the_order_of_chunks(texts, sketch):
+    """Over chunks of the smallest table: each window found twice is estimated repeated; a wide sketch rules others out."""
+    whole = list(texts.values())[:60]
+    chunks = [substring_dedup.Words(whole[i : i + 9]) for i in range(0, len(whole), 9)]
+    rows = []
+    for n, w in enumerate(chunks):
+        part = substring_dedup.sparse_sketch(w, sketch)
+        rows.append(pa.table([pa.array([n] * part.num_rows, pa.int64()), *part.columns], names=["chunk", *part.schema.names]))
+
+    def answers(tables):
+        t, out = pa.concat_tables(tables), {}
+        for s in set(t.column("slice").to_pylist()):
+            for r in substring_dedup.merged(t.filter(pc.equal(t.column("slice"), s)), sketch).to_pylist():
+                out.setdefault(r["chunk"], {})[r["slice"]] = r["reached"]
+        return out
+
+    got = answers(rows)
+    assert got == answers(rows[::-1])
+    windows = [(tuple(ws[at : at + 20]), n, k) for n, w in enumerate(chunks) for k, (ws, at) in enumerate((ws, at) for ws in w.words for at in range(len(ws) - 19))]
+    counts = Counter(x for x, _, _ in windows)
+    estimated = [substring_dedup.estimated_repeated(w, w.windows(), got[n], sketch) for n, w in enumerate(chunks)]
+    assert any(c > 1 for c in counts.values()) and all(estimated[n][k] for x, n, k in windows if counts[x] > 1)
+    passed = sum(e.sum() for e in estimated) / len(windows)
+    assert passed < 0.9 if sketch.bits == 14 else passed <= 1
