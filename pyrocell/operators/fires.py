@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,32 +50,24 @@ def buffer_to_area(fires: DataFrame, grid: GridSpec, area: Callable[[Column], Co
     round; finished fires leave the loop. A cell two fires reach in a round goes to the lower id; with
     ``resolve`` every cell ends with one fire of its year, burned before buffer."""
     goals = checkpointed(fire_goal_size(fires.select(*KEY, "pixelID").distinct(), area, min_size))
-    front = checkpointed(fires.select(*KEY, "pixelID").distinct().withColumn("ring", F.lit(0)))
-    burned = front
-    seen = front
-    done: list[DataFrame] = []
-    active = goals
+    fronts = [checkpointed(fires.select(*KEY, "pixelID").distinct().withColumn("ring", F.lit(0)))]
+    state = goals.select(*KEY, "goalSize", F.lit(0).cast("long").alias("n"))  # a row a fire: cells so far
     for ring in range(1, rounds + 1):
-        size = seen.groupBy(*KEY).agg(F.count("*").alias("n"))
-        state = checkpointed(active.join(size, KEY))
-        over = state.where("n > goalSize").select(*KEY, "goalSize")
-        done.append(checkpointed(seen.join(over, KEY)))
-        active = state.where("n <= goalSize").select(*goals.columns)
-        front = front.join(active.select(*KEY), KEY, "left_semi")
-        seen = seen.join(active.select(*KEY), KEY, "left_semi")
-        grown = neighbours(front.select(*KEY, "pixelID"), grid, EIGHT).select("year", F.col("to").alias("pixelID"), "ids")
+        # rings are written once: a fire that is over its goal has no later ring, so its rows are those of all rings
+        added = fronts[-1].groupBy(*KEY).agg(F.count("*").alias("added"))
+        state = checkpointed(state.join(added, KEY, "left").select(*KEY, "goalSize", (F.col("n") + F.coalesce("added", F.lit(0))).alias("n")))
+        active = state.where("n <= goalSize").select(*KEY)
+        grown = neighbours(fronts[-1].join(active, KEY, "left_semi").select(*KEY, "pixelID"), grid, EIGHT).select("year", F.col("to").alias("pixelID"), "ids")
         if mask is not None:
             grown = grown.join(mask.select("pixelID").distinct(), "pixelID", "left_semi").select("year", "pixelID", "ids")
+        seen = reduce(DataFrame.unionByName, fronts).join(active, KEY, "left_semi")
         grown = grown.groupBy("year", "pixelID").agg(F.min("ids").alias("ids")).join(seen.select("year", "pixelID"), ["year", "pixelID"], "left_anti")
         front = checkpointed(grown.select(*KEY, "pixelID").withColumn("ring", F.lit(ring)))
         if front.isEmpty():
             break
-        seen = checkpointed(seen.union(front))
-    if keep_unfinished:
-        done.append(seen.join(active.select(*KEY, "goalSize"), KEY))
-    all_ = done[0]
-    for d in done[1:]:
-        all_ = all_.unionByName(d)
+        fronts.append(front)
+    wanted = state if keep_unfinished else state.where("n > goalSize")
+    all_ = reduce(DataFrame.unionByName, fronts).join(wanted.select(*KEY, "goalSize"), KEY)
     w = W.partitionBy(*KEY).orderBy("ring", trim_order(seed), "pixelID")
     kept = all_.withColumn("__n", F.row_number().over(w)).where("__n <= goalSize")
     out = kept.select("year", "pixelID", (F.col("ring") == 0).cast("int").alias("buffer"), "ids")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pyrocell.functions.columns import multiplier, t_critical
-from pyrocell.operators.ranks import running_sums
+from pyrocell.operators.ranks import joined_by, quantiles, running_sums
 from pyrocell.operators.tables import dedupe_start_pixels
 
 # burns
@@ -26,7 +26,7 @@ def percent_burned_by_class(cells: DataFrame) -> DataFrame:
 def compare_climate(hist: DataFrame, proj: DataFrame, flammable: DataFrame, value: str, first_hist: int = 2001, first_proj: int = 2011) -> DataFrame:
     """(year, stat, value): exact median over flammable cells per layer, historical and projected."""
     burnable = flammable.where("flammable > 0").select("pixelID")
-    one = lambda df, first, stat: df.join(burnable, "pixelID", "left_semi").groupBy("layer").agg(F.median(value).alias(value)).select((F.col("layer") + (first - 1)).alias("year"), F.lit(stat).alias("stat"), value)
+    one = lambda df, first, stat: df.join(burnable, "pixelID", "left_semi").transform(lambda d: quantiles(d, ["layer"], value, {value: 0.5})).select((F.col("layer") + (first - 1)).alias("year"), F.lit(stat).alias("stat"), value)
     return one(hist, first_hist, "historical").unionByName(one(proj, first_proj, "projected"))
 
 
@@ -75,7 +75,10 @@ def cumulative_burn(maps: DataFrame, n_reps: int, study: DataFrame) -> DataFrame
 
 
 def population_summary(pop: DataFrame) -> DataFrame:
-    g = pop.groupBy("iter", "variable").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.025)).alias("lo"), F.percentile("value", F.lit(0.975)).alias("hi"), F.var_samp("value").alias("variance"))
+    """Per iteration and variable: mean, exact 2.5 and 97.5 % quantiles, variance, and the width between the quantiles."""
+    by = ["iter", "variable"]
+    g = joined_by(pop.groupBy(*by).agg(F.avg("value").alias("mean"), F.var_samp("value").alias("variance")), quantiles(pop, by, "value", {"lo": 0.025, "hi": 0.975}), by)
+    g = g.select(*by, "mean", "lo", "hi", "variance")
     return g.withColumn("width", F.col("hi") - F.col("lo"))
 
 
@@ -204,7 +207,9 @@ def landscape_gate(probs: DataFrame, lower: float, upper: float, logit1: float,
     off the floor (over lower * 1.025 or logit1 * 0.99) the spread (q90 - q10) / median exceeds 0.025 and the first
     quartile is under 0.265. A failing year scores fires * -ln(1e-29)."""
     off = F.when((F.col("spreadProb") > lower * 1.025) | (F.col("spreadProb") > logit1 * 0.99), F.col("spreadProb"))
-    g = probs.groupBy("param_id", "year").agg(F.median("spreadProb").alias("med"), F.median(off).alias("m"), F.percentile(off, F.lit(0.1)).alias("q10"), F.percentile(off, F.lit(0.9)).alias("q90"), F.percentile(off, F.lit(0.25)).alias("q25"), F.max(n_fires).alias("fires"))
+    by = ["param_id", "year"]
+    over = quantiles(probs.withColumn("off", off), by, "off", {"m": 0.5, "q10": 0.1, "q90": 0.9, "q25": 0.25})
+    g = joined_by(joined_by(probs.groupBy(*by).agg(F.max(n_fires).alias("fires")), quantiles(probs, by, "spreadProb", {"med": 0.5}), by), over, by)
     spread = F.coalesce(F.try_divide(F.col("q90") - F.col("q10"), F.col("m")), F.lit(0.0))
     ok = F.col("med").between(lower, upper) & (spread > 0.025) & (F.col("q25") < 0.265)
     ok = F.coalesce(ok, F.lit(False))

@@ -12,6 +12,7 @@ from pyrocell.operators import spatial as D
 from pyrocell.operators import summaries as E
 from pyrocell.operators import tables as T
 from pyrocell.operators import zones as Z
+from pyrocell.operators.ranks import quantiles
 
 GRID = GridSpec(0, 0, 1, 1, 10, 10)
 
@@ -169,3 +170,15 @@ def test_likelihood_in_blocks(spark):
     broken = data.union(spark.createDataFrame([(1.0, None, 1.0)], data.schema))
     assert {r.nll for r in E.ignition_nll(broken, cand, "y", ["one", "x"], ["a", "b"]).collect()} == {1e20}
     assert E.ignition_nll(data, cand.limit(0), "y", ["one", "x"], ["a", "b"]).count() == 0
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, None if i % 11 == 0 else float(v)) for g in ("a", "b", None) for i, v in enumerate(np.round(rng.normal(size=300), 1))] + [("lone", 2.5), ("void", None)]
+    got = {r.g: r for r in quantiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", {"low": 0.025, "mid": 0.5, "top": 1.0}).collect()}
+    assert set(got) == {"a", "b", None, "lone", "void"}
+    assert (got["void"].low, got["void"].mid) == (None, None)
+    for g in ("a", "b", None, "lone"):
+        values = [x for k, x in rows if k == g and x is not None]
+        assert np.allclose(got[g][1:], np.quantile(values, [0.025, 0.5, 1.0]))
+    assert quantiles(spark.createDataFrame([], "g string, x double"), ["g"], "x", {"mid": 0.5}).count() == 0
