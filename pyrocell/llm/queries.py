@@ -67,5 +67,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ops}
 
 
+def windows_sql() -> str:
+    """Each word with its place, the window it starts, whether that occurs earlier, and so whether a window covers it."""
+    follow = ", ".join(f"lead(word, {k}) OVER doc" for k in range(1, substring_dedup.WINDOW))
+    back = substring_dedup.WINDOW - 1
+    return rf"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ w AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM t),
+ s AS (SELECT *, CASE WHEN i <= n - {back} THEN concat_ws(' ', word, {follow}) END AS win FROM w WINDOW doc AS (PARTITION BY doc_id ORDER BY i)),
+ r AS (SELECT *, CASE WHEN win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 THEN 1 ELSE 0 END AS again FROM s),
+ c AS (SELECT doc_id, i, word, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {back} PRECEDING AND CURRENT ROW) AS gone FROM r),
+ g AS (SELECT doc_id, sum(gone) AS lost, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+ SELECT t.doc_id, len(ws) AS n_words, CAST(coalesce(lost, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN g USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of the queries that SQL can express: no trained model, tokenizer, XXH64 or edit distance."""
+    return {"op7_substring_dedup": windows_sql()}

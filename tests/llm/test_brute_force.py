@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -200,3 +201,16 @@ def test_merged_sketches_overestimate_and_ignore_the_order_of_chunks(texts, sket
     assert any(c > 1 for c in counts.values()) and all(estimated[n][k] for x, n, k in windows if counts[x] > 1)
     passed = sum(e.sum() for e in estimated) / len(windows)
     assert passed < 0.9 if sketch.bits == 14 else passed <= 1
+
+
+def test_the_sql_twin_of_substring_dedup(spark, tmp_path):
+    """Over nulls, empty texts, every kind of white space, and a passage repeated within a text and in others."""
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(3, None), (1, ""), (2, f"a\tb\x0b{passage}\r\nmid dle {passage} end"), (5, passage.replace(" ", "\n")), (4, " \n "), (6, f"x {passage[:-4]}"), (7, "same " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, n_words, n_removed, kept_sha256 FROM ({queries.oracle_sql()['op7_substring_dedup']}) ORDER BY 1").fetchall()
+    got = queries.op7_substring_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want and [r.n_removed for r in got] == [0, 25, 0, 0, 25, 24, 49]
