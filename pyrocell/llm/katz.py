@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pyrocell.llm.chunks import bucket_count, chunked, from_ipc, to_ipc
-from pyrocell.llm.common import as_bytes, crc_mod, materialise, pack, pack_sorted, unpack, unpack_sorted
+from pyrocell.llm.common import as_bytes, crc_mod, materialise, pack, pack_sorted, trim, unpack, unpack_sorted
 
 K = 5
 HOT = 4096
@@ -182,6 +182,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([chunk]), pa.array([to_ipc(kept)], pa.binary()), pa.array([pack(tokens.astype(np.uint32))], pa.binary())], ["bucket", "chunk", "keys", "counts"])
                 full, ends = by_bucket(bucket_of(h, buckets), buckets)
                 yield sent_rows(chunk, full, ends, h, counts)
+        trim()
 
     first = materialise(chunked(rows).mapInArrow(tokenise, KEYS).withColumn("texts", F.col("bucket") < 0), "texts")
     texts, vocabulary = first.where("texts").select("chunk", F.col("keys").alias("rows"), F.col("counts").alias("tokens")), first.where("NOT texts").drop("texts")
@@ -189,6 +190,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     def tally(t: pa.Table) -> pa.Table:
         k, c = merge([unpack_sorted(x.as_py()) for x in t.column("keys")], [unpack(x.as_py()).astype(np.int64) for x in t.column("counts")])
         values, n = np.unique(c[c > 0], return_counts=True)
+        trim()
         return pa.table([pa.array([t.column("bucket")[0].as_py()] * len(values), pa.int64()), pa.array(values), pa.array(n)], names=["bucket", "count", "n"])
 
     tallies = materialise(vocabulary.groupBy("bucket").applyInArrow(tally, "bucket bigint, count bigint, n bigint"))
@@ -224,6 +226,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             if ids[known].max() >= START:  # as 32 bits it would pass for another word
                 raise ValueError("more than 2 ** 32 - 2 distinct words")
         got = [pack(ids[np.searchsorted(k, x)].astype(np.uint32)) for x in keys]
+        trim()
         return pa.table([words.column("chunk"), words.column("bucket"), pa.array(got, pa.binary())], names=["chunk", "bucket", "numbers"])
 
     numbers = vocabulary.groupBy("bucket").cogroup(offsets.groupBy("bucket")).applyInArrow(number, "chunk bigint, bucket bigint, numbers binary")
@@ -264,12 +267,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 counts = np.bincount(place[t.column("train").to_numpy()[doc[asked]]], minlength=len(key))
                 full, ends = by_bucket(bucket, buckets)
                 yield sent_rows(r["chunk"], full, ends, key, counts)
+        trim()
 
     def gather(t: pa.Table) -> pa.Table:
         """One row per bucket: its part of the pair table, and where each chunk's pairs are in it."""
         keys = [unpack_sorted(x.as_py()) for x in t.column("keys")]
         k, c = merge(keys, [unpack(x.as_py()).astype(np.int64) for x in t.column("counts")])
         at = [{"chunk": ch, "at": pack_sorted(np.searchsorted(k, x).astype(np.uint64))} for ch, x in zip(t.column("chunk").to_pylist(), keys)]
+        trim()
         return pa.table([pa.array([t.column("bucket")[0].as_py()], pa.int64()), pa.array([pack_sorted(k)], pa.binary()), pa.array([pack(c)], pa.binary()), pa.array([at], pa.list_(pa.struct([("chunk", pa.int64()), ("at", pa.binary())])))], names=["bucket", "keys", "counts", "chunks"])
 
     model = materialise(numbered.mapInArrow(send, KEYS).groupBy("bucket").applyInArrow(gather, "bucket bigint, keys binary, counts binary, chunks array<struct<chunk:bigint,at:binary>>"))
@@ -328,6 +333,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 value = np.log10(np.where(c > 0, direct, back)).astype(np.float32)
                 got = [unpack_sorted(x["at"]).astype(np.int64) for x in chunks]
                 yield pa.RecordBatch.from_arrays([pa.array([x["chunk"] for x in chunks], pa.int64()), pa.array([bucket] * len(chunks), pa.int64()), pa.array([pack(value[g]) for g in got], pa.binary())], ["chunk", "bucket", "value"])
+        trim()
 
     answers = model.mapInArrow(answer, "chunk bigint, bucket bigint, value binary")
     answers = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "value"))).alias("answers"))
@@ -349,5 +355,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                     t.column("doc_id").combine_chunks(), t.column("held_out").combine_chunks(), t.column("n").combine_chunks(), pa.array(np.bincount(doc[w != UNKNOWN], minlength=n)),
                     pa.array(np.full(n, u.total)), pa.array(np.bincount(doc, base, n)), pa.array(np.bincount(doc, value, n)),
                 ], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        trim()
 
     return numbered.join(answers, "chunk", "left").mapInArrow(finish, out)
