@@ -40,6 +40,7 @@ from pyrocell.operators.components import components
 SEED = 42
 #: Near copies: minwise bands, minima of each, nodes of a block, and up to how many a tile's pairs are listed at once.
 BANDS, ROWS, BLOCK, SMALL = 12, 3, 1024, 24
+HOT = 1 << 16
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -336,14 +337,18 @@ def _moved(blocks: DataFrame, parts: int, radius: int, base: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 2, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest id reachable through links."""
     rows = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col), k).alias("fp")))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
     groups = components(links(nodes.select("fp"), radius).select("a", "b"))
-    named = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     named = materialise(named)
     # only groups of two or more fingerprints need a second look: few rows, joined back by fingerprint
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = named.select("fp", "root").join(lows, "root").select("fp", "component_id")
-    return rows.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labels = materialise(named.select("fp", "root", "n").join(lows, "root").select("fp", "n", "component_id"))
+    # a fingerprint of over 1 / HOT of all rows would be one hot key: there are under HOT of them, so they are broadcast
+    often = F.col("n") * HOT > rows.count()
+    common = F.broadcast(labels.where(often).select("fp", "component_id"))
+    others = rows.join(common, "fp", "left_anti").join(labels.where(~often).select("fp", "component_id"), "fp")
+    return rows.join(common, "fp").unionByName(others).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def set_sketch(h: np.ndarray) -> tuple[int, int, int, int, int]:
