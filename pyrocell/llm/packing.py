@@ -20,9 +20,14 @@ length are interchangeable, the last one in goes first. Extra columns are ignore
 
 from __future__ import annotations
 
+import itertools
+import json
+import os
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,53 +38,97 @@ from pyrocell.llm.common import texts_of, trim
 CAPACITY = 4096
 #: Tokens that a task holds before it packs them.
 HELD = 4_000_000
-#: Runs of bytes whose ids a worker remembers; longer runs aren't.
-CACHE, LONG = 1 << 18, 64
+#: Runs of bytes and pieces whose ids a worker remembers; longer ones aren't.
+CACHE, LONG = 1 << 20, 64
+#: Bytes of text that are encoded together.
+TOGETHER = 1 << 20
 OUT = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-class Ids(dict):
-    """A run of bytes without ASCII white space -> its ids by the library, unsigned 32-bit; emptied when full."""
+#: How the file's pre-tokenizer splits a lower-cased run of Latin-1 characters without white space. It
+#: splits at none of these: an apostrophe form, letters, one digit, other characters.
+LETTERS, DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{LETTERS}{DIGITS}]+")
+WHITE = re.compile("[\x85\xa0]")
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
 
-    def of(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+class Ids:
+    """Ids by the library of texts as UTF-8 bytes, unsigned 32-bit, and a bounded memory of what was encoded.
 
-    def __missing__(self, run: bytes) -> bytes:
-        ids = self.of(run.decode())
-        if len(run) <= LONG:
-            if len(self) >= CACHE:
-                self.clear()
-            self[run] = ids
-        return ids
+    The file's tokenizer drops white space, and no token or normal form of it reaches across ASCII white space: a text's
+    ids are those of the runs between it. Runs not met before are cut in pieces as the pre-tokenizer does, where they are
+    all Latin-1, whose lower case and normal form work on characters alone, else encoded by themselves. New pieces
+    of many texts go to the library as one text: each ends with the one token of a word's end. A text that holds
+    an added token is encoded whole."""
 
-
-_tokenizers: dict[int, tuple[Ids, list[bytes]]] = {}
-
-
-def tokenizer_of(file: str) -> tuple[Ids, list[bytes]]:
-    """The library's tokenizer over a file whose pre-tokenizer drops white space, once in a worker, and its added tokens."""
-    if hash(file) not in _tokenizers:
+    def __init__(self, file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_str(file)
-        t.no_truncation(), t.no_padding()
+        self.tokenizer = Tokenizer.from_str(file)
+        self.tokenizer.no_truncation(), self.tokenizer.no_padding()
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        suffix = json.loads(file)["model"].get("end_of_word_suffix")
+        ends = [(i, bool(suffix) and t.endswith(suffix)) for t, i in self.tokenizer.get_vocab().items()]
+        self.ends = np.zeros(1 + max(i for i, _ in ends), bool)
+        self.ends[[i for i, end in ends if end]] = True
+        self.runs: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, runs: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of runs, by their pieces."""
+        cut, own = {}, {}
+        for run in runs:
+            text = run.decode()
+            if (text.isascii() or max(text) < "\u0100") and not WHITE.search(text):
+                cut[run] = PIECES.findall(text.lower())
+            else:
+                own[run] = self.whole(text)
+        wanted = set(itertools.chain.from_iterable(cut.values()))
+        if len(self.pieces) + len(wanted) > CACHE // 2:
+            self.pieces.clear()
+        new = list(wanted - self.pieces.keys())
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) == len(some):
+                data = ids.tobytes()
+                self.pieces.update((p, data[4 * a : 4 * b]) for p, a, b in zip(some, [0, *end[:-1].tolist()], end.tolist()))
+            else:
+                self.pieces.update((p, self.whole(p)) for p in some)
+        return own | {run: b"".join([self.pieces[p] for p in of]) for run, of in cut.items()}
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        plain = [not any(a in t for a in self.added) for t in texts]
+        each = [t.split() if p else [] for t, p in zip(texts, plain)]
+        found = [list(map(self.runs.get, e)) for e in each]
+        learned = self._learn({r for e, ids in zip(each, found) if None in ids for r, x in zip(e, ids) if x is None})
+        if len(self.runs) + len(learned) > CACHE:
+            self.runs.clear()
+        self.runs.update((r, x) for r, x in learned.items() if len(r) <= LONG)
+        out = []
+        for text, e, ids, p in zip(texts, each, found, plain):
+            if None in ids:
+                ids = [learned[r] if x is None else x for r, x in zip(e, ids)]
+            out.append(b"".join(ids) if p else self.whole(text.decode()))
+        return out
+
+
+_tokenizers: dict[int, Ids] = {}
+
+
+def ids_by(file: str) -> Ids:
+    """The tokenizer of a file's text, once in a worker."""
+    if hash(file) not in _tokenizers:
         _tokenizers.clear()
-        _tokenizers[hash(file)] = Ids(t), [x.content.encode() for x in t.get_added_tokens_decoder().values()]
+        _tokenizers[hash(file)] = Ids(file)
     return _tokenizers[hash(file)]
 
 
-def ids_of(text: bytes, cache: Ids, added: list[bytes]) -> bytes:
-    """The ids of a text. No token, normal form or added token of such a file reaches across ASCII white space unless the
-    added token holds some, so runs between it are encoded one by one."""
-    if any(a in text and len(a.split()) != 1 for a in added):
-        return cache.of(text.decode())
-    return b"".join(map(cache.__getitem__, text.split()))
-
-
 def closest(pool: dict[int, int], target: int) -> dict[int, int]:
     """Of all multisets of the pool (length -> count) with a sum of at most target one of the greatest sum, as
     length -> count."""
@@ -164,11 +213,21 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, added = tokenizer_of(sent.value)
+        tokens = ids_by(sent.value)
         known: dict[int, tuple[int | None, bytes, int]] = {}  # documents with pieces in the pool: id, ids from their last cut on, where those start
         first = TaskContext.get().partitionId() << 40
         packer, rows, sequences, seen = Packer(capacity), [], 0, 0
 
+        def encoded(texts: Iterator[bytes]) -> Iterator[bytes]:
+            held, n = [], 0
+            for text in texts:
+                held.append(text)
+                n += len(text)
+                if n >= TOGETHER:
+                    yield from tokens.of(held)
+                    held, n = [], 0
+            yield from tokens.of(held)
+
         def close(made: Iterator[list[tuple[int, int, int]]]) -> None:
             nonlocal sequences
             for pieces in made:
@@ -186,8 +245,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 3 else pa.int64()) for k, x in enumerate(zip(*some))], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                ids = ids_of(text, cache, added) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(texts_of(batch.column(1)))):
+                ids += end
                 total = len(ids) // 4
                 whole = total - total % capacity
                 for start in range(0, whole, capacity):
