@@ -42,7 +42,7 @@ SLICE, HELD = 1 << 16, 32 << 20
 #: Bytes of text that stream through at once; entries that a task counts before it sends them.
 BLOCK, ENTRIES = 1 << 20, 1 << 20
 #: Counts of a block: sources times terms.
-CELLS = 1 << 22
+CELLS = 1 << 18
 UNIT, TOP = 1_000_000_000, 10
 
 
