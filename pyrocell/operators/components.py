@@ -12,22 +12,27 @@ from pyspark.sql import functions as F
 from pyrocell.storage import materialise
 
 
+def least_roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least node that edges (u, v) connect it to. In each round every root that an edge joins to
+    a lower one hooks onto the lowest such, then all paths are shortened to their root; edges inside a tree fall away."""
+    root = np.arange(n)
+    while len(u):
+        a, b = root[u], root[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(above := root[root], root):
+            root = above
+    return root
+
+
 def contract(edges: DataFrame, block: int = 1 << 20) -> DataFrame:
     """Edges (u, v), v below u, that join the same nodes: each run of at most ``block`` edges of a task becomes one
     star for each of its components. No shuffle; memory is bounded by the block."""
 
     def stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-        parent = list(range(len(nodes)))
-        for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist()):
-            while parent[a] != a:
-                parent[a] = a = parent[parent[a]]
-            while parent[b] != b:
-                parent[b] = b = parent[parent[b]]
-            parent[max(a, b)] = min(a, b)
-        root = np.array(parent, np.int64)
-        while (above := root[root]).tolist() != root.tolist():
-            root = above
+        root = least_roots(at[: len(u)], at[len(u) :], len(nodes))
         child = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root[child]])], ["u", "v"])
 

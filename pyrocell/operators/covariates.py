@@ -6,13 +6,17 @@ import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pyrocell.functions.columns import as_integer, from_x1000, log_min_b, logistic_all, make_mutually_exclusive, rescale_by_magnitude, rescale_known2
-from pyrocell.grid import GridSpec
-from pyrocell.operators.spatial import block_of, cells_within, focal_mean_fill
+from pyrocell.grid import GridSpec, steps_within
+from pyrocell.operators.spatial import block_of, focal_mean_fill
 from pyrocell.operators.tables import asof_period, expand_cohorts_to_pixels, lookup_keep_right, one_hot
+from pyrocell.operators.tiles import Tiling, Window, by_tile, fields, rim_of
 
 # land cover
 
@@ -233,7 +237,29 @@ def predict_ignition(df: DataFrame, response: Column, rescale: float, lambda_res
 
 
 def mean_around_points(points: DataFrame, layer: DataFrame, radius: float, grid: GridSpec, col: str) -> DataFrame:
-    """Mean of a layer over the cells within radius of each point's cell."""
+    """Mean of a layer over the cells within radius of each point's cell; null if their values are, no row for a point
+    without a cell there. The distinct cells of the points are looked up in tiles."""
     at = points.select("point_id", grid.cell_from_xy(F.col("x"), F.col("y")).alias("pixelID")).where("pixelID IS NOT NULL")
-    near = cells_within(at, radius, grid).select("point_id", F.col("to").alias("pixelID"))
-    return near.join(layer.select("pixelID", col), "pixelID").groupBy("point_id").agg(F.avg(col).alias(col))
+    tiling, steps = Tiling(grid, rim_of(radius, grid)), np.array(steps_within(grid, radius))
+
+    def means(window: Window, _: dict, rows: pa.Table) -> pa.Table:
+        place, value, k = window.at(rows["pixelID"]), rows["__v"], tiling.rim
+        known = value.is_valid().to_numpy()
+        of_layer = ~rows["__asked"].to_numpy()
+        total, n, there = (np.pad(x, k).ravel() for x in (window.sums(place[known], value.drop_null().to_numpy()), window.sums(place[known]), window.sums(place[of_layer])))
+        asked = np.flatnonzero(window.mask(place[~of_layer]).ravel())
+        width = window.w + 2 * k
+        middle = (asked // window.w + k) * width + asked % window.w + k
+        sums, counts, cells = np.zeros((3, len(asked)))
+        for step in (steps @ [width, 1]).tolist():
+            sums += total[middle + step]
+            counts += n[middle + step]
+            cells += there[middle + step]
+        some = cells > 0
+        mean = pa.array(sums[some] / np.maximum(counts[some], 1), mask=counts[some] == 0)
+        return pa.Table.from_arrays([pa.array(window.pixels(asked[some])), mean], ["pixelID", col])
+
+    wanted = at.select("pixelID", F.lit(None).cast("double").alias("__v"), F.lit(True).alias("__asked")).distinct().withColumn("tile", tiling.tile(F.col("pixelID")))
+    layer_ = tiling.spread(layer.select("pixelID", F.col(col).cast("double").alias("__v"), F.lit(False).alias("__asked")))
+    found = by_tile(wanted.unionByName(layer_), [], tiling, means, fields(layer, [], pixelID=T.LongType(), **{col: T.DoubleType()}))
+    return at.join(found, "pixelID").select("point_id", col)

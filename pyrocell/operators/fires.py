@@ -5,15 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from pyrocell.functions.columns import as_integer, multiplier
 from pyrocell.grid import EIGHT, GridSpec, neighbours
-from pyrocell.operators.spatial import cells_within, nearest_cell_same_fire, nearest_to_centroid, neighbour_count, patches
+from pyrocell.operators.ranks import joined_by
+from pyrocell.operators.spatial import nearest_cell_same_fire, nearest_to_centroid, neighbour_count
 from pyrocell.operators.tables import burned_wins
-from pyrocell.storage import checkpointed
+from pyrocell.operators.tiles import SIDE, Tiling, Window, by_tile, connected, fields, reached, rim_of, within, within_square
+from pyrocell.storage import checkpointed, materialise
 
 KEY = ["year", "ids"]
 
@@ -43,41 +49,167 @@ def trim_order(seed: int) -> Column:
     return (F.col("pixelID") * 7919 + seed) % 104729
 
 
-def buffer_to_area(fires: DataFrame, grid: GridSpec, area: Callable[[Column], Column] = multiplier, min_size: float = 500, mask: DataFrame | None = None, resolve: bool = True, keep_unfinished: bool = False, seed: int = 0, rounds: int = 100) -> DataFrame:
+#: Rings that a job grows, cells around a tile that a group of fires may reach from it.
+BLOCK, REACH = 4, 128
+ROW = ["year", "ids", "pixelID", "ring", "goalSize"]
+
+
+def buffer_to_area(fires: DataFrame, grid: GridSpec, area: Callable[[Column], Column] = multiplier, min_size: float = 500, mask: DataFrame | None = None, resolve: bool = True, keep_unfinished: bool = False, seed: int = 0, rounds: int = 100, block: int = BLOCK, side: int = SIDE, reach: int = REACH) -> DataFrame:
     """Burned cells (year, ids, pixelID) grown ring by ring over eight neighbours until a fire exceeds its goal
     size, the last ring trimmed to hit it: year, pixelID, buffer (1 burned), ids. With a mask, through its cells
-    alone. A fire that never exceeds its goal has no rows unless keep_unfinished. All years grow in one job a
-    round; finished fires leave the loop. A cell two fires reach in a round goes to the lower id; with
-    ``resolve`` every cell ends with one fire of its year, burned before buffer."""
-    goals = checkpointed(fire_goal_size(fires.select(*KEY, "pixelID").distinct(), area, min_size))
-    fronts = [checkpointed(fires.select(*KEY, "pixelID").distinct().withColumn("ring", F.lit(0)))]
-    state = goals.select(*KEY, "goalSize", F.lit(0).cast("long").alias("n"))  # a row a fire: cells so far
-    for ring in range(1, rounds + 1):
-        # rings are written once: a fire that is over its goal has no later ring, so its rows are those of all rings
-        added = fronts[-1].groupBy(*KEY).agg(F.count("*").alias("added"))
-        state = checkpointed(state.join(added, KEY, "left").select(*KEY, "goalSize", (F.col("n") + F.coalesce("added", F.lit(0))).alias("n")))
-        active = state.where("n <= goalSize").select(*KEY)
-        grown = neighbours(fronts[-1].join(active, KEY, "left_semi").select(*KEY, "pixelID"), grid, EIGHT).select("year", F.col("to").alias("pixelID"), "ids")
-        if mask is not None:
-            grown = grown.join(mask.select("pixelID").distinct(), "pixelID", "left_semi").select("year", "pixelID", "ids")
-        seen = reduce(DataFrame.unionByName, fronts).join(active, KEY, "left_semi")
-        grown = grown.groupBy("year", "pixelID").agg(F.min("ids").alias("ids")).join(seen.select("year", "pixelID"), ["year", "pixelID"], "left_anti")
-        front = checkpointed(grown.select(*KEY, "pixelID").withColumn("ring", F.lit(ring)))
-        if front.isEmpty():
-            break
-        fronts.append(front)
-    wanted = state if keep_unfinished else state.where("n > goalSize")
-    all_ = reduce(DataFrame.unionByName, fronts).join(wanted.select(*KEY, "goalSize"), KEY)
-    w = W.partitionBy(*KEY).orderBy("ring", trim_order(seed), "pixelID")
-    kept = all_.withColumn("__n", F.row_number().over(w)).where("__n <= goalSize")
+    alone. A fire that never exceeds its goal has no rows unless keep_unfinished. Finished fires leave the loop. A cell
+    two fires reach in a round goes to the lower id; with ``resolve`` every cell ends with one fire of its year, burned
+    before buffer.
+
+    Fires grow ``block`` rings a job. Those that are over twice as many cells apart can't meet meanwhile, so fires are put
+    in groups of what is nearer: a group within ``reach`` of its tile grows in that tile's arrays; one that isn't, such
+    as one great fire, ring by ring in joins over many tasks. If most cells are in such groups, blocks get shorter."""
+    cells = fires.select(*KEY, "pixelID").where("pixelID IS NOT NULL").distinct()
+    goals = fire_goal_size(cells, area, min_size)
+    rows = materialise(cells.join(goals, KEY).select(*KEY, "pixelID", F.lit(0).alias("ring"), "goalSize", (F.col("actualSize") > F.col("goalSize")).alias("over")))
+    over, live, clock = [_trimmed(rows.where("over").select(*ROW), seed)], rows.where("NOT over").select(*ROW), 0
+    open_ = mask.select("pixelID").where("pixelID IS NOT NULL").distinct() if mask is not None else None
+    while clock < rounds and not live.where(F.col("ring") == clock).isEmpty():
+        n = min(block, rounds - clock)
+        near, far = _groups(live, grid, n, side, reach)
+        far = materialise(far)
+        large = far.count()
+        if n > 1 and large > near.count():
+            block = n // 2
+            continue
+        grown = _grown_in_tiles(near, grid, open_, clock, n, Tiling(grid, reach, side), seed)
+        if large:
+            for ring in range(clock + 1, clock + n + 1):
+                far = _one_ring(far, grid, open_, ring)
+            grown = grown.unionByName(_judged(far, seed))
+        grown = materialise(grown)
+        over.append(grown.where("over").select(*ROW))
+        live, clock = grown.where("NOT over").select(*ROW), clock + n
+    kept = reduce(DataFrame.unionByName, [*over, live] if keep_unfinished else over)
     out = kept.select("year", "pixelID", (F.col("ring") == 0).cast("int").alias("buffer"), "ids")
     return burned_wins(out).select("year", "pixelID", "buffer", "ids") if resolve else out
 
 
+def _groups(live: DataFrame, grid: GridSpec, n: int, side: int, reach: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of fires whose group stays within reach of a tile for n rings, with that tile, and those of the others."""
+    tiling = Tiling(grid, reach, side)
+    grouped = connected(live.select("year", "pixelID").distinct(), grid, 8, ["year"], lambda m: within_square(m, n), n)
+    row, col = grid.row(F.col("pixelID")), grid.col(F.col("pixelID"))
+    tagged = materialise(joined_by(live, grouped, ["year", "pixelID"]))
+    extent = tagged.groupBy("year", "patch").agg(F.min(row).alias("r0"), F.max(row).alias("r1"), F.min(col).alias("c0"), F.max(col).alias("c1"))
+    tr, tc = F.floor(grid.row(F.col("patch")) / side) * side, F.floor(grid.col(F.col("patch")) / side) * side
+    fits = (F.col("r0") - n >= tr - reach) & (F.col("r1") + n < tr + side + reach) & (F.col("c0") - n >= tc - reach) & (F.col("c1") + n < tc + side + reach)
+    tagged = materialise(joined_by(tagged, extent.select("year", "patch", fits.alias("fits")), ["year", "patch"]))
+    return tagged.where("fits").select(*ROW, tiling.tile(F.col("patch")).alias("tile")), tagged.where("NOT fits").select(*ROW)
+
+
+def _grown_in_tiles(near: DataFrame, grid: GridSpec, open_: DataFrame | None, clock: int, n: int, tiling: Tiling, seed: int) -> DataFrame:
+    """n rings of the fires of each tile: their rows with ``over``, those of fires that are trimmed to their goal."""
+    rows, masked = near, open_ is not None
+    if masked:
+        blank = [F.lit(None).cast(near.schema[c].dataType).alias(c) for c in ROW if c != "pixelID"]
+        rows = near.unionByName(tiling.spread(open_).select("pixelID", "tile", *blank))
+
+    def grow(window: Window, _: dict, table: pa.Table) -> pa.Table:
+        is_fire = table["ring"].is_valid()
+        free = window.mask(window.at(table.filter(pc.invert(is_fire))["pixelID"])).ravel() if masked else np.ones(window.h * window.w, bool)
+        table = table.filter(is_fire).sort_by([("year", "ascending"), ("ids", "ascending")])
+        out = [table.slice(0, 0).select(ROW).append_column("over", pa.array([], pa.bool_()))]
+        years = pc.fill_null(table["year"].cast(pa.int64()), -(1 << 60)).to_numpy()
+        for part in np.split(np.arange(len(years)), np.flatnonzero(np.diff(years)) + 1) if len(years) else []:
+            t = table.slice(int(part[0]), len(part))
+            ids = t["ids"].to_numpy()
+            names, fire = np.unique(ids, return_inverse=True)
+            goal = np.zeros(len(names), np.int64)
+            goal[fire] = t["goalSize"].to_numpy()
+            at, fire, ring = _rings(window, free, window.at(t["pixelID"]), fire, t["ring"].to_numpy(), goal, clock, n)
+            pixel, total = window.pixels(at), np.bincount(fire, minlength=len(names))
+            order = np.lexsort((pixel, (pixel * 7919 + seed) % 104729, ring, fire))
+            rank = np.empty(len(at), np.int64)
+            rank[order] = np.arange(len(at)) - np.repeat(np.cumsum(total) - total, total)
+            keep = rank < goal[fire]
+            columns = {"year": pa.array([t["year"][0].as_py()] * int(keep.sum()), t.schema.field("year").type), "ids": names[fire[keep]], "pixelID": pixel[keep], "ring": ring[keep], "goalSize": goal[fire[keep]]}
+            out.append(pa.Table.from_arrays([*(pa.array(columns[c]).cast(t.schema.field(c).type) for c in ROW), pa.array((total > goal)[fire[keep]])], [*ROW, "over"]))
+        return pa.concat_tables(out)
+
+    return by_tile(rows, [], tiling, grow, fields(near, ROW, over=T.BooleanType()))
+
+
+def _rings(window: Window, free: np.ndarray, at: np.ndarray, fire: np.ndarray, ring: np.ndarray, goal: np.ndarray, clock: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cells of a year's fires after n more rings. Fires are numbered in the order of their ids."""
+    taken = np.bincount(at, minlength=window.h * window.w)
+    size, active = np.bincount(fire, minlength=len(goal)), np.ones(len(goal), bool)
+    all_ = [(at, fire, ring)]
+    for k in range(clock + 1, clock + n + 1):
+        ended = active & (size > goal)
+        active &= ~ended
+        if ended.any():  # their cells are free again
+            for a, f, _ in all_:
+                np.subtract.at(taken, a[ended[f]], 1)
+        a, f, r = all_[-1]
+        front = (r == k - 1) & active[f]
+        a, f = a[front], f[front]
+        if not len(a):
+            break
+        y = a[:, None] // window.w + np.array([s for s, _ in EIGHT])
+        x = a[:, None] % window.w + np.array([s for _, s in EIGHT])
+        ok = ((y >= 0) & (y < window.h) & (x >= 0) & (x < window.w)).ravel()
+        to, by = (y * window.w + x).ravel()[ok], np.repeat(f, len(EIGHT))[ok]
+        ok = free[to] & (taken[to] == 0)
+        to, by = to[ok], by[ok]
+        order = np.lexsort((by, to))
+        to, by = to[order], by[order]
+        first = np.ones(len(to), bool)
+        first[1:] = to[1:] != to[:-1]
+        to, by = to[first], by[first]
+        taken[to] += 1
+        size += np.bincount(by, minlength=len(goal))
+        all_.append((to, by, np.full(len(to), k, ring.dtype)))
+    return tuple(np.concatenate(x) for x in zip(*all_))
+
+
+def _one_ring(live: DataFrame, grid: GridSpec, open_: DataFrame | None, ring: int) -> DataFrame:
+    """One more ring of all fires that aren't over their goal, whatever their size."""
+    active = live.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("goalSize").alias("goalSize")).where("n <= goalSize").select(*KEY)
+    seen = joined_by(live, active.withColumn("active", F.lit(True)), KEY).where("active").drop("active")
+    grown = neighbours(seen.where(F.col("ring") == ring - 1).select(*KEY, "pixelID", "goalSize"), grid, EIGHT).select("year", F.col("to").alias("pixelID"), "ids", "goalSize")
+    if open_ is not None:
+        grown = grown.join(open_, "pixelID", "left_semi")
+    first = grown.groupBy("year", "pixelID").agg(F.min(F.struct("ids", "goalSize")).alias("f"))
+    fresh = joined_by(first, seen.select("year", "pixelID").distinct().withColumn("seen", F.lit(True)), ["year", "pixelID"]).where("seen IS NULL")
+    return materialise(live.unionByName(fresh.select("year", "f.ids", "pixelID", F.lit(ring).alias("ring"), "f.goalSize")))
+
+
+def _judged(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows with ``over``; fires over their goal are trimmed to it."""
+    total = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("goalSize").alias("goal"))
+    tagged = joined_by(rows, total.select(*KEY, (F.col("n") > F.col("goal")).alias("over")), KEY)
+    return _trimmed(tagged.where("over").select(*ROW), seed).withColumn("over", F.lit(True)).unionByName(tagged.where("NOT over").select(*ROW, "over"))
+
+
+def _trimmed(rows: DataFrame, seed: int) -> DataFrame:
+    """The first goalSize rows of each fire by ring and trim order. Rings and trim numbers are counted, and only the rows of
+    the last ring with the last trim number are ranked: no window holds the rows of a fire."""
+    counted = rows.withColumn("trim", trim_order(seed))
+    per = counted.groupBy(*KEY, "goalSize", "ring", "trim").agg(F.count("*").alias("n"))
+    by_ring = per.groupBy(*KEY, "goalSize", "ring").agg(F.sum("n").alias("of_ring"))
+    earlier = W.partitionBy(*KEY).orderBy("ring").rowsBetween(W.unboundedPreceding, -1)
+    by_ring = by_ring.withColumn("before", F.coalesce(F.sum("of_ring").over(earlier), F.lit(0)))
+    last = by_ring.where((F.col("before") < F.col("goalSize")) & (F.col("before") + F.col("of_ring") >= F.col("goalSize"))).select(*KEY, F.col("ring").alias("last"), F.col("goalSize").alias("goal"), "before")
+    inside = W.partitionBy(*KEY).orderBy("trim").rowsBetween(W.unboundedPreceding, -1)  # a row for each trim number
+    of_last = joined_by(per.select(*KEY, "ring", "trim", "n"), last, KEY).where("ring = last").withColumn("upto", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    cut = of_last.where((F.col("upto") < F.col("goal")) & (F.col("upto") + F.col("n") >= F.col("goal"))).select(*KEY, "last", F.col("trim").alias("last_trim"), (F.col("goal") - F.col("upto")).alias("left"))
+    placed = joined_by(counted, cut, KEY)
+    whole = placed.where("ring < last OR (ring = last AND trim < last_trim)").select(*ROW)
+    rank = F.row_number().over(W.partitionBy(*KEY).orderBy("pixelID"))
+    return whole.unionByName(placed.where("ring = last AND trim = last_trim").withColumn("k", rank).where("k <= left").select(*ROW))
+
+
 def make_fire_ids(fires: DataFrame, grid: GridSpec, radius: float) -> DataFrame:
-    """Burned cells (year, pixelID) with ids: cells whose surroundings within radius connect share an id."""
-    grown = cells_within(fires.select("year", "pixelID").distinct(), radius, grid).select("year", F.col("to").alias("pixelID")).distinct()
-    return patches(grown, grid, 4, ["year"]).join(fires.select("year", "pixelID").distinct(), ["year", "pixelID"], "left_semi").select("year", "pixelID", F.col("patch").alias("ids"))
+    """Burned cells (year, pixelID) with ids: cells whose surroundings within radius connect share an id, the least cell of
+    those surroundings. The surroundings stay inside the tiles."""
+    grown = connected(fires.select("year", "pixelID"), grid, 4, ["year"], lambda m: within(m, radius, grid), rim_of(radius, grid))
+    return grown.select("year", "pixelID", F.col("patch").alias("ids"))
 
 
 def raster_fire_buffers(fires: DataFrame, grid: GridSpec, radius: float, mask: DataFrame, min_size: float = 5000, area: Callable[[Column], Column] = multiplier) -> DataFrame:
@@ -87,9 +219,8 @@ def raster_fire_buffers(fires: DataFrame, grid: GridSpec, radius: float, mask: D
 
 def buffer_ignition_points(points: DataFrame, radius: float, grid: GridSpec) -> DataFrame:
     """Per year the cells within radius of an ignition cell, one row each, with ignited 0/1."""
-    at = points.select("year", grid.cell_from_xy(F.col("x"), F.col("y")).alias("pixelID")).where("pixelID IS NOT NULL").distinct()
-    near = cells_within(at, radius, grid).select("year", F.col("to").alias("pixelID"), (F.col("to") == F.col("pixelID")).cast("int").alias("ignited"))
-    return near.groupBy("year", "pixelID").agg(F.max("ignited").alias("ignited"))
+    at = points.select("year", grid.cell_from_xy(F.col("x"), F.col("y")).alias("pixelID")).distinct()
+    return reached(at, radius, grid, ["year"]).select("year", "pixelID", F.col("own").cast("int").alias("ignited"))
 
 
 def raster_fire_spread_points(buffers: DataFrame, grid: GridSpec) -> DataFrame:

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from pyrocell.grid import EIGHT, FOUR, GridSpec, neighbours, square_steps, steps_within
-from pyrocell.operators.components import components
+from pyrocell.grid import GridSpec, neighbours, steps_within
+from pyrocell.operators import tiles
+from pyrocell.operators.ranks import joined_by
+from pyrocell.operators.tiles import Tiling, by_tile, fields
 from pyrocell.storage import materialise
 
 
@@ -91,43 +97,77 @@ def block_modal(df: DataFrame, grid: GridSpec, fact: int, col: str) -> DataFrame
     return df.groupBy(block_of(grid, fact, F.col("pixelID")).alias("block")).agg(F.mode(col, True).alias(col))
 
 
-def _focal(df: DataFrame, grid: GridSpec, col: str, w: int, agg: Column) -> DataFrame:
-    around = neighbours(df.where(F.col(col).isNotNull()), grid, square_steps(w)).groupBy(F.col("to").alias("pixelID")).agg(agg.alias("__f"))
-    return df.join(around, "pixelID", "left").withColumn(col, F.coalesce(F.col(col), F.col("__f"))).drop("__f")
+def focal_mean_fill(df: DataFrame, grid: GridSpec, col: str, w: int = 3) -> DataFrame:
+    """Nulls become the mean of the w x w window; other cells stay, as do other columns. A null window stays null; rows
+    that share a cell count each."""
+    tiling, columns = Tiling(grid, w // 2), df.columns
 
+    def fill(window: tiles.Window, _: dict, rows: pa.Table) -> pa.Table:
+        at, known = window.at(rows["pixelID"]), rows[col].is_valid().to_numpy()
+        values = rows[col].cast(pa.float64()).to_numpy(zero_copy_only=False)
+        total, n = tiles.box_sums(window.sums(at[known], values[known]), w // 2).ravel(), tiles.box_sums(window.sums(at[known]), w // 2).ravel()
+        own = window.is_core[at]
+        filled = np.where(known, values, total[at] / np.where(n[at] > 0, n[at], 1))
+        out = pa.array(filled[own], mask=~(known | (n[at] > 0))[own])
+        kept = rows.filter(pa.array(own)).select(columns)
+        return kept.set_column(kept.schema.get_field_index(col), col, out)
 
-def focal_mean_fill(df: DataFrame, grid: GridSpec, col: str, w: int = 3) -> DataFrame:
-    """Nulls become the mean of the w x w window; other cells stay."""
-    return _focal(df, grid, col, w, F.avg(col))
+    schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name == col else f.dataType) for f in df.schema])
+    return by_tile(tiling.spread(df), [], tiling, fill, schema)
 
 
 def focal_modal_fill(df: DataFrame, grid: GridSpec, col: str, w: int = 5, mask: DataFrame | None = None) -> DataFrame:
-    """Nulls become the window's mode (ties to the lowest); then only the mask's cells keep a value."""
-    out = _focal(df, grid, col, w, F.mode(col, True))
+    """Nulls become the window's mode (ties to the lowest); then only the mask's cells keep a value. A null window stays
+    null; rows that share a cell count each."""
+    k = w // 2
+    tiling, columns = Tiling(grid, k), df.columns
+
+    def fill(window: tiles.Window, _: dict, rows: pa.Table) -> pa.Table:
+        at, known = window.at(rows["pixelID"]), rows[col].is_valid().to_numpy()
+        values = pc.unique(rows[col].drop_null())
+        values = values.take(pc.sort_indices(values))
+        code = np.where(known, pc.fill_null(pc.index_in(rows[col], values), 0).to_numpy(), -1)
+        own = window.is_core[at]
+        asked = np.flatnonzero(own & ~known)
+        found = np.full(len(at), -1)
+        layer = tiles.layers_of(at[known])
+        dense = np.full((1 + int(layer.max(initial=0)), window.h + 2 * k, window.w + 2 * k), -1)  # a layer for each row of a cell
+        dense[layer, at[known] // window.w + k, at[known] % window.w + k] = code[known]
+        around = [d[at[asked] // window.w + r, at[asked] % window.w + c] for d in dense for r in range(w) for c in range(w)]
+        found[asked] = tiles.most_frequent(np.stack(around, axis=1))
+        code = np.where(known, code, found)[own]
+        kept = rows.filter(pa.array(own)).select(columns)
+        out = values.take(pa.array(code, mask=code < 0))
+        return kept.set_column(kept.schema.get_field_index(col), col, out)
+
+    out = by_tile(tiling.spread(df), [], tiling, fill, T.StructType(list(df.schema)))
     return out.join(mask.select("pixelID").distinct(), "pixelID", "left_semi") if mask is not None else out
 
 
 def neighbour_count(cells: DataFrame, mask: DataFrame, grid: GridSpec, col: str) -> DataFrame:
-    """Sum of the mask over the cell and its eight neighbours, minus 1."""
-    there = mask.select(F.col("pixelID").alias("to"), F.col(col).alias("__m"))
-    near = neighbours(cells.select("pixelID").distinct(), grid, square_steps(3)).join(there, "to", "left")
-    return near.groupBy("pixelID").agg((F.coalesce(F.sum("__m"), F.lit(0)) - 1).alias("n"))
+    """Sum of the mask over the cell and its eight neighbours, minus 1, of each distinct cell."""
+    tiling = Tiling(grid, 1)
+    whole = isinstance(mask.schema[col].dataType, T.IntegralType)
+    kind = T.LongType() if whole else T.DoubleType()
+
+    def count(window: tiles.Window, _: dict, rows: pa.Table) -> pa.Table:
+        at, value = window.at(rows["pixelID"]), rows["__m"]
+        known = value.is_valid().to_numpy()
+        n = np.zeros(window.h * window.w, np.int64 if whole else np.float64)
+        np.add.at(n, at[known], pc.drop_null(value).to_numpy())
+        n = tiles.box_sums(n.reshape(window.h, window.w), 1).ravel() - 1
+        asked = np.flatnonzero(window.mask(at[rows["__asked"].to_numpy()]).ravel())
+        return pa.Table.from_arrays([pa.array(window.pixels(asked)), pa.array(n[asked])], ["pixelID", "n"])
+
+    asked = cells.where("pixelID IS NOT NULL").select("pixelID", F.lit(None).cast(kind).alias("__m"), F.lit(True).alias("__asked"), tiling.tile(F.col("pixelID")).alias("tile"))
+    there = tiling.spread(mask.select("pixelID", F.col(col).cast(kind).alias("__m"), F.lit(False).alias("__asked")))
+    return by_tile(asked.unionByName(there), [], tiling, count, fields(mask, [], pixelID=T.LongType(), n=kind))
 
 
 def patches(cells: DataFrame, grid: GridSpec, directions: int = 4, by: Sequence[str] = ()) -> DataFrame:
-    """(by, pixelID, patch): connected cells of one value of ``by`` share the least pixelID as label. Repeated cells count
-    once; an empty table gives an empty one. Tasks join the neighbours they hold before any shuffle."""
-    by = list(by)
-    cells = materialise(cells.select(*by, "pixelID").distinct())
-    # the values of by are numbered, so that a cell of each has a number of its own; they are few (years, zones)
-    codes = cells.select(*by).distinct().withColumn("code", F.row_number().over(W.orderBy(*by)).cast("long")) if by else None
-    coded = cells.join(F.broadcast(codes), by) if by else cells.withColumn("code", F.lit(0).cast("long"))
-    node = lambda c: F.shiftleft("code", 40) + F.col(c)
-    half = [(r, c) for r, c in (EIGHT if directions == 8 else FOUR) if (r, c) > (0, 0)]
-    edges = neighbours(coded, grid, half).join(coded.select("code", F.col("pixelID").alias("to")), ["code", "to"])
-    roots = components(edges.select(node("pixelID").alias("a"), node("to").alias("b")))
-    named = coded.withColumn("node", node("pixelID")).join(roots, "node", "left")
-    return named.select(*by, "pixelID", F.coalesce(F.col("root") - F.shiftleft("code", 40), "pixelID").alias("patch"))
+    """(by, pixelID, patch): connected cells of one value of ``by``, which may be null, share the least pixelID as label.
+    Repeated cells count once, rows without a cell don't; an empty table gives an empty one."""
+    return tiles.connected(cells, grid, directions, by)
 
 
 def drop_small_patches(zone: DataFrame, grid: GridSpec, least: int = 500, by: Sequence[str] = ("zone",)) -> DataFrame:
@@ -136,7 +176,8 @@ def drop_small_patches(zone: DataFrame, grid: GridSpec, least: int = 500, by: Se
     sizes = labelled.groupBy(*by, "patch").agg(F.count("*").alias("n"))
     some = sizes.groupBy(*by).agg(F.max("n").alias("most"))
     lost = ((F.col("n") < least) & (F.col("most") >= least)).cast("int").alias("lost")
-    return labelled.join(sizes, [*by, "patch"]).join(some, list(by)).select(*by, "pixelID", "patch", lost)
+    of_patch = joined_by(sizes, some, by).select(*by, "patch", lost)
+    return joined_by(labelled, of_patch, [*by, "patch"])
 
 
 def buffer_zones(zones: DataFrame, width: float, grid: GridSpec) -> DataFrame:
@@ -144,18 +185,37 @@ def buffer_zones(zones: DataFrame, width: float, grid: GridSpec) -> DataFrame:
 
     Holes are patches of a zone's complement, inside its box widened by a cell, that don't reach the box's edge."""
     wide = GridSpec(0, 0, 1, 1, grid.ncol + 2, grid.nrow + 2)  # one cell more on each side
-    placed = zones.select("zone", (grid.row(F.col("pixelID")) + 1).alias("r"), (grid.col(F.col("pixelID")) + 1).alias("c")).distinct()
+    tiling = Tiling(wide)
+    placed = zones.select("zone", (grid.row(F.col("pixelID")) + 1).alias("r"), (grid.col(F.col("pixelID")) + 1).alias("c")).where("r IS NOT NULL").distinct()
     box = placed.groupBy("zone").agg((F.min("r") - 1).alias("r0"), (F.max("r") + 1).alias("r1"), (F.min("c") - 1).alias("c0"), (F.max("c") + 1).alias("c1"))
-    whole = box.withColumn("r", F.explode(F.sequence("r0", "r1"))).withColumn("c", F.explode(F.sequence("c0", "c1")))
-    edge = (F.col("r") == F.col("r0")) | (F.col("r") == F.col("r1")) | (F.col("c") == F.col("c0")) | (F.col("c") == F.col("c1"))
-    outside = whole.withColumn("edge", edge).join(placed, ["zone", "r", "c"], "left_anti")
-    outside = materialise(outside.select("zone", wide.cell(F.col("r"), F.col("c")).alias("pixelID"), "edge"))
-    labelled = patches(outside, wide, 4, ["zone"]).join(outside, ["zone", "pixelID"])
-    holes = labelled.join(labelled.where("edge").select("zone", "patch").distinct(), ["zone", "patch"], "left_anti")
+    part = lambda x: F.floor(F.col(x) / tiling.side)
+    tiled = box.withColumn("tr", F.explode(F.sequence(part("r0"), part("r1")))).withColumn("tc", F.explode(F.sequence(part("c0"), part("c1"))))
+    tiled = tiled.select("zone", (F.col("tr") * tiling.across + F.col("tc")).cast("long").alias("tile"), F.lit(None).cast("long").alias("pixelID"), "r0", "r1", "c0", "c1")
+    inside = placed.select("zone", wide.cell(F.col("r"), F.col("c")).alias("pixelID"))
+    inside = inside.select("zone", tiling.tile(F.col("pixelID")).alias("tile"), "pixelID", *(F.lit(None).cast("long").alias(x) for x in ("r0", "r1", "c0", "c1")))
+
+    def complement(window: tiles.Window, group: dict, rows: pa.Table) -> pa.Table:
+        """The cells around a zone in one tile, but for those of patches that the box's edge is seen to end in the tile."""
+        bounds = rows.filter(rows["pixelID"].is_null()).slice(0, 1).to_pylist()[0]
+        r, c = np.arange(window.h)[:, None] + window.r0, np.arange(window.w)[None, :] + window.c0
+        free = (r >= bounds["r0"]) & (r <= bounds["r1"]) & (c >= bounds["c0"]) & (c <= bounds["c1"])
+        free &= ~window.mask(window.at(rows["pixelID"].drop_null()))
+        root = tiles.labels(free, 4).ravel()
+        ends = free & ((r == bounds["r0"]) | (r == bounds["r1"]) | (c == bounds["c0"]) | (c == bounds["c1"]))
+        open_, rim = np.zeros(free.size + 1, bool), np.zeros_like(free)
+        open_[root[ends.ravel()]] = True
+        rim[[0, -1]] = rim[:, [0, -1]] = True
+        at = np.flatnonzero(free.ravel() & (~open_[root] | rim.ravel()))
+        return pa.Table.from_arrays([pa.array([group["zone"]] * len(at), rows.schema.field("zone").type), pa.array(window.pixels(at)), pa.array(open_[root[at]])], ["zone", "pixelID", "open"])
+
+    both = tiled.unionByName(inside)
+    outside = materialise(by_tile(both, ["zone"], tiling, complement, fields(both, ["zone"], pixelID=T.LongType(), open=T.BooleanType())))
+    labelled = joined_by(patches(outside, wide, 4, ["zone"]), outside, ["zone", "pixelID"])
+    closed = labelled.groupBy("zone", "patch").agg(F.max("open").alias("open")).where("NOT open").select("zone", "patch", F.lit(True).alias("closed"))
+    holes = joined_by(labelled, closed, ["zone", "patch"]).where("closed")
     back = grid.cell(wide.row(F.col("pixelID")) - 1, wide.col(F.col("pixelID")) - 1)
-    full = zones.select("zone", "pixelID").union(holes.select("zone", back)).distinct()
-    near = cells_within(full, width, grid).select("zone", F.col("to").alias("pixelID"), F.lit(1).alias("v"))
-    return full.withColumn("v", F.lit(2)).union(near).groupBy("zone", "pixelID").agg(F.max("v").alias("v"))
+    full = materialise(zones.select("zone", "pixelID").union(holes.select("zone", back)).distinct())
+    return tiles.reached(full, width, grid, ["zone"]).select("zone", "pixelID", F.when(F.col("own"), 2).otherwise(1).alias("v"))
 
 
 def buffer_zone(zone: DataFrame, width: float, grid: GridSpec) -> DataFrame:
