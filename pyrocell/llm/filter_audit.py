@@ -128,6 +128,18 @@ class Spans:
         return self.owner[kept]
 
 
+def distinct(buffer: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each set of equal spans, and for each span its set's place there: sets by hash, whose spans are then
+    compared byte by byte; one that differs from the first of its hash is a set of its own."""
+    spans = Spans(buffer)
+    spans.start, spans.size, spans.owner = start, size, np.zeros(len(start), np.int64)
+    spans.hash = spans._hash(start, size, spans.owner)
+    _, first, of = np.unique(spans.hash, return_index=True, return_inverse=True)
+    other = np.flatnonzero(~spans._equal(np.arange(len(start)), first[of]))
+    of[other] = len(first) + np.arange(len(other))
+    return np.concatenate([first, other]), of
+
+
 def counts(texts: list[bytes], block: int = BLOCK) -> np.ndarray:
     """COUNTS of each text, a row each."""
     buffer = np.frombuffer(b" ".join([*texts, b" " * 8]), np.uint8)

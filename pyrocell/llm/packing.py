@@ -20,12 +20,12 @@ length are interchangeable, the last one in goes first. Extra columns are ignore
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import json
 import os
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,21 +34,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pyrocell.llm.common import texts_of, trim
+from pyrocell.llm.filter_audit import AFTER, distinct
 
 CAPACITY = 4096
 #: Tokens that a task holds before it packs them.
-HELD = 4_000_000
+HELD = 12_000_000
 #: Runs of bytes and pieces whose ids a worker remembers; longer ones aren't.
 CACHE, LONG = 1 << 20, 64
 #: Bytes of text that are encoded together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 21
 OUT = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 #: How the file's pre-tokenizer splits a lower-cased run of Latin-1 characters without white space. It
-#: splits at none of these: an apostrophe form, letters, one digit, other characters.
+#: splits at none of these: an apostrophe form, letters, one digit, other characters. The space stands between runs.
 LETTERS, DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
-PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{LETTERS}{DIGITS}]+")
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{LETTERS}{DIGITS} ]+| ")
 WHITE = re.compile("[\x85\xa0]")
 
 
@@ -78,19 +79,21 @@ class Ids:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, runs: set[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
         """The ids of runs, by their pieces."""
-        cut, own = {}, {}
-        for run in runs:
-            text = run.decode()
-            if (text.isascii() or max(text) < "\u0100") and not WHITE.search(text):
-                cut[run] = PIECES.findall(text.lower())
-            else:
-                own[run] = self.whole(text)
-        wanted = set(itertools.chain.from_iterable(cut.values()))
+        plain = lambda t: t.isascii() or (max(t) < "\u0100" and not WHITE.search(t))
+        text, own = b" ".join(runs).decode(), {}
+        if not plain(text):
+            each = text.split(" ")
+            own = {r: self.whole(t) for r, t in zip(runs, each) if not plain(t)}
+            runs = [r for r in runs if r not in own]
+            text = b" ".join(runs).decode()
+        pieces = PIECES.findall(text.lower())
+        wanted = set(pieces)
+        wanted.discard(" ")
         if len(self.pieces) + len(wanted) > CACHE // 2:
             self.pieces.clear()
-        new = list(wanted - self.pieces.keys())
+        new = list(wanted.difference(self.pieces))
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -100,22 +103,33 @@ class Ids:
                 self.pieces.update((p, data[4 * a : 4 * b]) for p, a, b in zip(some, [0, *end[:-1].tolist()], end.tolist()))
             else:
                 self.pieces.update((p, self.whole(p)) for p in some)
-        return own | {run: b"".join([self.pieces[p] for p in of]) for run, of in cut.items()}
+        self.pieces[" "] = b"\xff" * 4  # no id: what lies between two is a run's
+        each = b"".join(map(self.pieces.__getitem__, pieces)).split(b"\xff" * 4)
+        return own | dict(zip(runs, each))
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         plain = [not any(a in t for a in self.added) for t in texts]
-        each = [t.split() if p else [] for t, p in zip(texts, plain)]
-        found = [list(map(self.runs.get, e)) for e in each]
-        learned = self._learn({r for e, ids in zip(each, found) if None in ids for r, x in zip(e, ids) if x is None})
+        data = b" ".join([b" ", *(t if p else b"" for t, p in zip(texts, plain)), b" " * 8])
+        buffer = np.frombuffer(data, np.uint8)
+        turn = np.flatnonzero(np.diff(AFTER[buffer[:-7]].view(np.int8))) + 1
+        start, size = turn[::2], turn[1::2] - turn[::2]
+        first, of = distinct(buffer, start, size)
+        runs = [data[a : a + n] for a, n in zip(start[first].tolist(), size[first].tolist())]
+        ids = list(map(self.runs.get, runs))
+        missed = [k for k, x in enumerate(ids) if x is None]
+        learned = self._learn([runs[k] for k in missed])
         if len(self.runs) + len(learned) > CACHE:
             self.runs.clear()
         self.runs.update((r, x) for r, x in learned.items() if len(r) <= LONG)
-        out = []
-        for text, e, ids, p in zip(texts, each, found, plain):
-            if None in ids:
-                ids = [learned[r] if x is None else x for r, x in zip(e, ids)]
-            out.append(b"".join(ids) if p else self.whole(text.decode()))
-        return out
+        for k in missed:
+            ids[k] = learned[runs[k]]
+        n = np.array([len(x) for x in ids], np.int64) // 4
+        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(n) - n
+        upto = np.concatenate([[0], np.cumsum(n[of])])
+        whole = flat[np.repeat(begin[of] - upto[:-1], n[of]) + np.arange(upto[-1])].tobytes()
+        ends = np.cumsum([len(t) + 1 if p else 1 for t, p in zip(texts, plain)]) + 1
+        cut = (4 * upto[np.searchsorted(start, ends)]).tolist()
+        return [whole[a:b] if p else self.whole(t.decode()) for a, b, t, p in zip([0, *cut], cut, texts, plain)]
 
 
 _tokenizers: dict[int, Ids] = {}
@@ -129,11 +143,13 @@ def ids_by(file: str) -> Ids:
     return _tokenizers[hash(file)]
 
 
-def closest(pool: dict[int, int], target: int) -> dict[int, int]:
+def closest(pool: Mapping[int, int], target: int, lengths: Sequence[int] | None = None) -> dict[int, int]:
     """Of all multisets of the pool (length -> count) with a sum of at most target one of the greatest sum, as
-    length -> count."""
+    length -> count. lengths: those of the pool, ascending."""
+    lengths = sorted(pool) if lengths is None else lengths
     full, reach, steps = (1 << (target + 1)) - 1, 1, []
-    for length in sorted((x for x in pool if 0 < x <= target), reverse=True):
+    for k in range(bisect.bisect_right(lengths, target) - 1, -1, -1):
+        length = lengths[k]
         left, times = min(pool[length], target // length), 1
         while left > 0:
             times = min(times, left)
@@ -156,50 +172,62 @@ class Packer:
 
     def __init__(self, capacity: int = CAPACITY):
         self.capacity = capacity
-        self.pool: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.pool: dict[int, list[tuple[int, int]]] = {}
+        self.count: dict[int, int] = {}  # pieces of each length, but for one that a sequence is begun with
+        self.lengths: list[int] = []  # of the pool, ascending
         self.tokens = 0
 
     def add(self, doc: int, start: int, length: int) -> None:
+        if length not in self.pool:
+            self.pool[length], self.count[length] = [], 0
+            bisect.insort(self.lengths, length)
         self.pool[length].append((doc, start))
+        self.count[length] += 1
         self.tokens += length
 
     def _take(self, length: int) -> tuple[int, int, int]:
         doc, start = self.pool[length].pop()
+        self.count[length] -= 1
         if not self.pool[length]:
-            del self.pool[length]
+            del self.pool[length], self.count[length], self.lengths[bisect.bisect_left(self.lengths, length)]
         self.tokens -= length
         return doc, start, length
 
+    def _filling(self, room: int) -> dict[int, int]:
+        """The longest piece that fits, and what fills the rest closest to room."""
+        longest = self.lengths[-1]
+        if longest > room:
+            return closest(self.count, room, self.lengths)
+        self.count[longest] -= 1
+        chosen = closest(self.count, room - longest, self.lengths)
+        self.count[longest] += 1
+        chosen[longest] = chosen.get(longest, 0) + 1
+        return chosen
+
     def exact(self) -> Iterator[list[tuple[int, int, int]]]:
         """Sequences filled without a cut; pieces that found none wait."""
         waiting = []
-        while self.pool:
-            longest = max(self.pool)
-            counts = {x: len(v) for x, v in self.pool.items()}
-            counts[longest] -= 1
-            chosen = closest(counts, self.capacity - longest)
-            if longest + sum(x * n for x, n in chosen.items()) < self.capacity:
-                waiting.append((longest, self.pool.pop(longest)))
+        while self.lengths:
+            chosen = self._filling(self.capacity)
+            if sum(x * n for x, n in chosen.items()) < self.capacity:
+                longest = self.lengths.pop()
+                waiting.append((longest, self.pool.pop(longest), self.count.pop(longest)))
                 continue
-            chosen[longest] = chosen.get(longest, 0) + 1
-            for _ in range(min(len(self.pool[x]) // n for x, n in chosen.items())):
+            for _ in range(min(self.count[x] // n for x, n in chosen.items())):
                 yield [self._take(x) for x, n in chosen.items() for _ in range(n)]
-        self.pool.update(waiting)
+        for length, pieces, n in reversed(waiting):
+            self.pool[length], self.count[length] = pieces, n
+            self.lengths.append(length)
 
     def cut(self, last: bool) -> Iterator[list[tuple[int, int, int]]]:
         """Sequences of what waits, closed by a piece that is cut; the last ones at powers of two."""
         while self.tokens >= self.capacity or (last and self.tokens):
             room = self.capacity if self.tokens >= self.capacity else 1 << (self.tokens.bit_length() - 1)
-            longest = max(self.pool)
-            counts = {x: len(v) for x, v in self.pool.items()}
-            counts[longest] -= longest <= room
-            chosen = closest(counts, room - longest if longest <= room else room)
-            if longest <= room:
-                chosen[longest] = chosen.get(longest, 0) + 1
+            chosen = self._filling(room)
             sequence = [self._take(x) for x, n in chosen.items() for _ in range(n)]
             slack = room - sum(x * n for x, n in chosen.items())
             if slack:  # every piece left is longer
-                doc, start, length = self._take(max(self.pool))
+                doc, start, length = self._take(self.lengths[-1])
                 sequence.append((doc, start, slack))
                 self.add(doc, start + slack, length - slack)
             yield sequence
