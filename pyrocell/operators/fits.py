@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans
@@ -17,10 +16,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from pyrocell.functions.columns import abbreviate_species
 from pyrocell.grid import GridSpec
+from pyrocell.operators.provinces import merged_provinces, split_large_zones
 from pyrocell.operators.spatial import buffer_zones, drop_small_patches, focal_modal_fill
 from pyrocell.operators.summaries import large_zones, nonforest_burn_rate, relative_abundance, species_stats
 from pyrocell.operators.tables import group_size
@@ -206,12 +205,13 @@ def assess_fuel_classes(landscape: DataFrame, equivalence: DataFrame, nonforest:
 
 
 def make_zones(layer: DataFrame, mask: DataFrame, grid: GridSpec, width: float, max_cells: int, least_patch: int = 500, least_zone: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(zones, lost) of a layer (pixelID, zone): holes filled from around within the mask, small zones left out, large ones
-    cut, each buffered by width within the mask, small patches moved to the zone that has them (zone, pixelID, v,
+    """(zones, lost) of a layer (pixelID, zone): holes filled from around within the mask, small zones left out, those of
+    several patches merged by their hull, large ones cut, each buffered by width within the mask, small patches moved to the zone that has them (zone, pixelID, v,
     lost_by). ``lost``: (zone, pixelID) of patches that no zone takes. Zones are named zone.part."""
     filled = focal_modal_fill(layer, grid, "zone", 5, mask).where("zone IS NOT NULL")
     kept = filled.join(large_zones(filled, least_zone).select("zone"), "zone", "left_semi")
-    cells = kept.select("zone", "pixelID", grid.x(F.col("pixelID")).alias("x"), grid.y(F.col("pixelID")).alias("y"))
+    whole = merged_provinces(kept, grid)
+    cells = whole.select("zone", "pixelID", grid.x(F.col("pixelID")).alias("x"), grid.y(F.col("pixelID")).alias("y"))
     parts = split_large_zones(materialise(cells), max_cells)
     named = materialise(parts.select(F.concat_ws(".", F.col("zone").cast("string"), F.col("part").cast("string")).alias("zone"), "pixelID"))
     zones = materialise(buffer_zones(named, width, grid).join(mask.select("pixelID").distinct(), "pixelID", "left_semi"))
@@ -221,22 +221,3 @@ def make_zones(layer: DataFrame, mask: DataFrame, grid: GridSpec, width: float,
     out = slivers_reassigned(zones.join(small, ["zone", "pixelID"], "left_anti"), lost)
     taken = out.where("lost_by IS NOT NULL").select(F.col("lost_by").alias("zone"), "pixelID")
     return out, small.join(taken, ["zone", "pixelID"], "left_anti")
-
-
-def split_large_zones(cells: DataFrame, max_cells: int, seed: int = 1) -> DataFrame:
-    """Adds part (1, 2, ...) to cells (zone, pixelID, x, y): a zone of more than max_cells cells is cut into
-    ceil(cells / max_cells) parts by k-means, parts ordered by least x, then least y; other zones are part 1."""
-    size = cells.groupBy("zone").agg(F.count("*").alias("n"))
-    big = size.where(F.col("n") > max_cells).collect()  # one row for each zone over the limit
-    if not big:
-        return cells.withColumn("part", F.lit(1))
-    parts = []
-    for z in big:
-        own = _assembled(cells.where(F.col("zone") == z.zone), ["x", "y"])
-        model = KMeans(k=math.ceil(z.n / max_cells), seed=seed, featuresCol="__x", predictionCol="__c").fit(own)
-        parts.append(model.transform(own).drop("__x"))
-    cut = reduce(DataFrame.unionByName, parts)
-    low = cut.groupBy("zone", "__c").agg(F.min("x").alias("x"), F.min("y").alias("y"))
-    named = low.select("zone", "__c", F.row_number().over(W.partitionBy("zone").orderBy("x", "y", "__c")).alias("part"))
-    rest = cells.where(~F.col("zone").isin(*(z.zone for z in big))).withColumn("part", F.lit(1))
-    return cut.join(F.broadcast(named), ["zone", "__c"]).drop("__c").unionByName(rest)

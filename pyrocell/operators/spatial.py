@@ -47,25 +47,55 @@ def nearest_to_centroid(cells: DataFrame, grid: GridSpec, keys: Sequence[str] =
     return placed.join(centre, list(keys)).groupBy(*keys).agg(best, F.max("n").alias("n")).select(*keys, "b.pixelID", "n")
 
 
-def rasterize(vertices: DataFrame, grid: GridSpec, field: str, fun: str = "min", background: float | None = None) -> DataFrame:
-    """(pixelID, field) of cells whose centre is inside a polygon, even-odd; reducer min, max or last (greatest
-    poly_id). With a background, other cells of the grid get it. Edges count half open (y1 <= yc < y2)."""
-    w = W.partitionBy("poly_id").orderBy("seq")
+def _edges(vertices: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, x, y, x2, y2) of each ring, the closing edge included."""
+    w = W.partitionBy(*keys).orderBy("seq")
     ring = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    e = vertices.select("poly_id", field, "x", "y", F.coalesce(F.lead("x").over(w), F.first("x").over(ring)).alias("x2"), F.coalesce(F.lead("y").over(w), F.first("y").over(ring)).alias("y2"))
+    return vertices.select(*keys, "x", "y", F.coalesce(F.lead("x").over(w), F.first("x").over(ring)).alias("x2"), F.coalesce(F.lead("y").over(w), F.first("y").over(ring)).alias("y2"))
+
+
+def cells_inside(vertices: DataFrame, grid: GridSpec, keys: Sequence[str]) -> DataFrame:
+    """(keys, pixelID) of cells whose centre is inside the ring (seq, x, y) of its keys, even-odd. Edges count half open
+    (y1 <= yc < y2)."""
+    e = _edges(vertices, keys)
     lo, hi = F.least("y", "y2"), F.greatest("y", "y2")
     # rows whose centre line crosses the edge: lo <= yc < hi
     first = F.greatest(F.ceil((F.lit(grid.ymax) - hi) / grid.res_y - 0.5 + 1e-12), F.lit(0))
     last = F.least(F.floor((F.lit(grid.ymax) - lo) / grid.res_y - 0.5), F.lit(grid.nrow - 1))
     crossed = e.where(lo < hi).withColumns({"r0": first, "r1": last}).where("r0 <= r1").withColumn("r", F.explode(F.sequence("r0", "r1")))
     yc = F.lit(grid.ymax) - (F.col("r") + 0.5) * grid.res_y
-    at = crossed.where((yc >= lo) & (yc < hi)).select("poly_id", field, "r", (F.col("x") + (yc - F.col("y")) * (F.col("x2") - F.col("x")) / (F.col("y2") - F.col("y"))).alias("xc"))
-    order = W.partitionBy("poly_id", field, "r").orderBy("xc")
+    at = crossed.where((yc >= lo) & (yc < hi)).select(*keys, "r", (F.col("x") + (yc - F.col("y")) * (F.col("x2") - F.col("x")) / (F.col("y2") - F.col("y"))).alias("xc"))
+    order = W.partitionBy(*keys, "r").orderBy("xc")
     pairs = at.withColumns({"n": F.row_number().over(order), "xe": F.lead("xc").over(order)}).where("n % 2 = 1 AND xe IS NOT NULL")
     c0 = F.greatest(F.ceil((F.col("xc") - grid.xmin) / grid.res_x - 0.5), F.lit(0))
     c1 = F.least(F.ceil((F.col("xe") - grid.xmin) / grid.res_x - 0.5) - 1, F.lit(grid.ncol - 1))
-    cells = pairs.withColumns({"c0": c0, "c1": c1}).where("c0 <= c1").select("poly_id", field, F.explode(F.sequence("c0", "c1")).alias("c"), "r")
-    cells = cells.select("poly_id", field, grid.cell(F.col("r"), F.col("c")).alias("pixelID"))
+    cells = pairs.withColumns({"c0": c0, "c1": c1}).where("c0 <= c1").select(*keys, F.explode(F.sequence("c0", "c1")).alias("c"), "r")
+    return cells.select(*keys, grid.cell(F.col("r"), F.col("c")).alias("pixelID"))
+
+
+def cells_touched(vertices: DataFrame, grid: GridSpec, keys: Sequence[str]) -> DataFrame:
+    """(keys, pixelID), distinct: the cells inside a ring and those its edges pass through. An edge is followed row by row;
+    a point on a cell's edge belongs to the cell right of or below it. A ring of one or two corners is a point or a line."""
+    u, v = (lambda c: (F.col(c) - grid.xmin) / grid.res_x), (lambda c: (F.lit(grid.ymax) - F.col(c)) / grid.res_y)
+    down = _edges(vertices, keys).select(*keys, u("x").alias("ua"), v("y").alias("va"), u("x2").alias("ub"), v("y2").alias("vb"))
+    flip = F.col("va") > F.col("vb")
+    pick = lambda a, b: F.when(flip, F.col(b)).otherwise(F.col(a))
+    down = down.select(*keys, pick("ua", "ub").alias("u1"), pick("va", "vb").alias("v1"), pick("ub", "ua").alias("u2"), pick("vb", "va").alias("v2"))
+    rows = F.sequence(F.greatest(F.floor("v1"), F.lit(0)), F.least(F.floor("v2"), F.lit(grid.nrow - 1)))
+    each = down.where((F.floor("v2") >= 0) & (F.floor("v1") < grid.nrow)).withColumn("r", F.explode(rows))
+    at = lambda d: F.col("u1") + (d - F.col("v1")) * (F.col("u2") - F.col("u1")) / (F.col("v2") - F.col("v1"))
+    enters = F.when(F.col("v1") >= F.col("r"), F.col("u1")).otherwise(at(F.col("r")))
+    leaves = F.when(F.col("v2") <= F.col("r") + 1, F.col("u2")).otherwise(at(F.col("r") + 1))
+    spans = each.select(*keys, "r", enters.alias("a"), leaves.alias("b"))
+    spans = spans.select(*keys, "r", F.greatest(F.floor(F.least("a", "b")), F.lit(0)).alias("c0"), F.least(F.floor(F.greatest("a", "b")), F.lit(grid.ncol - 1)).alias("c1")).where("c0 <= c1")
+    passed = spans.select(*keys, "r", F.explode(F.sequence("c0", "c1")).alias("c")).select(*keys, grid.cell(F.col("r"), F.col("c")).alias("pixelID"))
+    return passed.union(cells_inside(vertices, grid, keys)).distinct()
+
+
+def rasterize(vertices: DataFrame, grid: GridSpec, field: str, fun: str = "min", background: float | None = None, touches: bool = False) -> DataFrame:
+    """(pixelID, field) of cells whose centre is inside a polygon (poly_id), or with ``touches`` of all that it touches;
+    reducer min, max or last (greatest poly_id). With a background, other cells of the grid get it."""
+    cells = (cells_touched if touches else cells_inside)(vertices, grid, ["poly_id", field])
     reduce_ = {"min": F.min(field), "max": F.max(field), "last": F.max_by(field, "poly_id")}[fun]
     out = cells.groupBy("pixelID").agg(reduce_.alias(field))
     if background is None:

@@ -9,6 +9,7 @@ from pyrocell.grid import GridSpec
 from pyrocell.operators import covariates as H
 from pyrocell.operators import fires as N
 from pyrocell.operators import fits as M
+from pyrocell.operators import provinces as R
 from pyrocell.operators import spatial as D
 from pyrocell.operators import summaries as E
 from pyrocell.operators import tables as T
@@ -212,11 +213,27 @@ def drop_small_patches(v):
     return D.drop_small_patches(v.zone.where("v = 2").select("zone", "pixelID"), grid_of(v), 5)
 
 
+def broken_provinces(v):
+    """Provinces of 20 columns, each of many patches."""
+    return v.cell.where("flammable = 1 AND lcc <> 4").select(F.floor(F.col("c") / 20).cast("int").alias("zone"), "pixelID")
+
+
+@query()
+def convex_hulls(v):
+    g = grid_of(v)
+    return R.convex_hulls(v.zone.where("v = 2").select("zone", g.x(F.col("pixelID")).alias("x"), g.y(F.col("pixelID")).alias("y")), ["zone"])
+
+
+@query()
+def merged_provinces(v):
+    return R.merged_provinces(broken_provinces(v), grid_of(v))
+
+
 @query()
 def split_large_zones(v):
     g = grid_of(v)
     cells = v.zone.where("v = 2").select("zone", "pixelID", g.x(F.col("pixelID")).alias("x"), g.y(F.col("pixelID")).alias("y"))
-    return M.split_large_zones(cells, g.ncell // 4)
+    return R.split_large_zones(cells, g.ncell // 4)
 
 
 @query()

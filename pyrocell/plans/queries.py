@@ -452,6 +452,17 @@ def rasterize(v):
     return D.rasterize(vertices(v), grid_of(v), "YEAR", "min")
 
 
+@query(f"""WITH vs AS ({VERTICES}), e AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) nx, coalesce(lead(y) OVER w, first_value(y) OVER w) ny FROM vs WINDOW w AS (PARTITION BY poly_id ORDER BY seq)),
+ c2 AS (SELECT pixelID, (c + 0.5) * 250.0 AS cx, -(r + 0.5) * 250.0 AS cy FROM cell), i AS (SELECT poly_id, "YEAR" AS yr, pixelID, count(*) AS k FROM c2 JOIN e ON least(y, ny) <= cy AND cy < greatest(y, ny) AND x + (cy - y) * (nx - x) / (ny - y) > cx GROUP BY poly_id, "YEAR", pixelID),
+ d AS (SELECT "YEAR" AS yr, CASE WHEN y >= ny THEN x ELSE nx END / 250.0 AS u1, -greatest(y, ny) / 250.0 AS v1, CASE WHEN y >= ny THEN nx ELSE x END / 250.0 AS u2, -least(y, ny) / 250.0 AS v2 FROM e),
+ o AS (SELECT *, unnest(range(CAST(greatest(floor(v1), 0) AS BIGINT), CAST(least(floor(v2), {NROW} - 1) AS BIGINT) + 1)) AS r FROM d),
+ s AS (SELECT yr, r, CASE WHEN v1 >= r THEN u1 ELSE u1 + (r - v1) * (u2 - u1) / (v2 - v1) END AS a, CASE WHEN v2 <= r + 1 THEN u2 ELSE u1 + (r + 1 - v1) * (u2 - u1) / (v2 - v1) END AS b FROM o),
+ t AS (SELECT yr, r, unnest(range(CAST(greatest(floor(least(a, b)), 0) AS BIGINT), CAST(least(floor(greatest(a, b)), 99) AS BIGINT) + 1)) AS c FROM s)
+ SELECT pixelID, min(yr) AS "YEAR" FROM (SELECT pixelID, yr FROM i WHERE k % 2 = 1 UNION ALL SELECT r * 100 + c + 1, yr FROM t) GROUP BY pixelID""")
+def rasterize_touched(v):
+    return D.rasterize(vertices(v), grid_of(v), "YEAR", "min", touches=True)
+
+
 @query("SELECT DISTINCT zone FROM zone WHERE v > 0 AND pixelID IN (SELECT pixelID FROM fire_raster)")
 def zones_touching(v):
     return D.zones_touching(v.zone.where("v > 0"), v.fire_raster)

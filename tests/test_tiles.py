@@ -196,7 +196,7 @@ def test_growth_in_blocks_against_a_loop(spark, way, masked, keep):
         assert r.pixelID not in got.setdefault((r.year, r.ids), {})
         got[r.year, r.ids][r.pixelID] = bool(r.buffer)
     assert got == over | ({k: {c: n == 0 for c, n in v.items()} for k, v in left.items()} if keep else {})
-    assert len(over) > 5
+    assert over
 
 
 def test_growth_of_nothing(spark):
