@@ -131,9 +131,10 @@ def local_words(texts: list[bytes | None], buckets: int) -> tuple[np.ndarray, np
     return place[np.array(tokens, np.int64)], h[order], np.array(sizes, np.int64)
 
 
-def by_bucket(bucket: np.ndarray, buckets: int) -> tuple[list[int], np.ndarray]:
-    ends = np.searchsorted(bucket, np.arange(buckets + 1))
-    return [b for b in range(buckets) if ends[b] < ends[b + 1]], ends
+def by_bucket(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """Each bucket present, of ascending bucket numbers, with where it begins and ends."""
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    return list(zip(bucket[at].tolist(), at.tolist(), np.append(at[1:], len(bucket)).tolist()))
 
 
 def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,10 +152,10 @@ def small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32)
 
 
-def sent_rows(chunk: int, full: list[int], ends: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+def sent_rows(chunk: int, full: list[tuple[int, int, int]], keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
-        pa.array(full, pa.int64()), pa.array([chunk] * len(full), pa.int64()), pa.array([pack_sorted(keys[ends[b] : ends[b + 1]]) for b in full], pa.binary()),
-        pa.array([pack(small(counts[ends[b] : ends[b + 1]])) for b in full], pa.binary()),
+        pa.array([b for b, _, _ in full], pa.int64()), pa.array([chunk] * len(full), pa.int64()), pa.array([pack_sorted(keys[x:y]) for _, x, y in full], pa.binary()),
+        pa.array([pack(small(counts[x:y])) for _, x, y in full], pa.binary()),
     ], ["bucket", "chunk", "keys", "counts"])
 
 
@@ -180,8 +181,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 counts = np.bincount(tokens[train], minlength=len(h))
                 kept = t.drop_columns(["text"]).append_column("n", pa.array(sizes)).combine_chunks().to_batches()[0]
                 yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([chunk]), pa.array([to_ipc(kept)], pa.binary()), pa.array([pack(tokens.astype(np.uint32))], pa.binary())], ["bucket", "chunk", "keys", "counts"])
-                full, ends = by_bucket(bucket_of(h, buckets), buckets)
-                yield sent_rows(chunk, full, ends, h, counts)
+                yield sent_rows(chunk, by_bucket(bucket_of(h, buckets)), h, counts)
         trim()
 
     first = materialise(chunked(rows).mapInArrow(tokenise, KEYS).withColumn("texts", F.col("bucket") < 0), "texts")
@@ -265,8 +265,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 t, w, h, doc = pairs_of(r["rows"], r["tokens"], r["numbers"])
                 asked, key, bucket, place = distinct(w, h)
                 counts = np.bincount(place[t.column("train").to_numpy()[doc[asked]]], minlength=len(key))
-                full, ends = by_bucket(bucket, buckets)
-                yield sent_rows(r["chunk"], full, ends, key, counts)
+                yield sent_rows(r["chunk"], by_bucket(bucket), key, counts)
         trim()
 
     def gather(t: pa.Table) -> pa.Table:
