@@ -5,13 +5,13 @@ is compressed with each; its raw signal is the difference of the two compressed
 that the good dictionary explains better scores above zero. Texts are read whole, in frames of FRAME bytes
 whose sizes add up, so a dictionary stays useful on long texts and memory is bounded.
 
-Calibration. Half of the sample builds the dictionaries, the other half fits a logistic curve by Newton's
-method over the signal, the inverse log of the size (a short text says less) and the log of the compressed
-share (a text that repeats itself shrinks alike under both dictionaries).
+Calibration. Half of the sample builds the dictionaries, the other half fits a logistic curve over the signal, which
+is all that a score comes from, by Newton's method.
 
-Bounded sample (a documented parameter): at most about ``per_label`` rows of each label, by a hash of the id,
-are joined with their texts and reach the driver; a text longer than ``MOST_BYTES`` gives the sample evenly
-spaced frames of itself. Everything is scored, whole.
+Bounded sample, by parameters of ``train``: at most about ``per_label`` rows of each label, by a hash of the id, are joined
+with their texts and reach the driver, at most ``most_bytes`` of each: a longer text is learned from by eight evenly
+spaced slices. A dictionary has at most ``dictionary`` bytes and is made of a hundred times as many. Everything is
+scored, whole.
 
 Null or empty text: size zero, signal 0; the score is the calibrated share of label 1. Without labels of both
 kinds every score is the share of label 1 seen (0.5 if none). Rows of a null id are scored, not learned from.
@@ -33,8 +33,6 @@ from pyrocell.llm.common import as_bytes, crc_mod
 from pyrocell.llm.langid import hash_order, sample
 
 FRAME = 1 << 14
-DICTIONARY = 1 << 16
-MOST_BYTES = 1 << 16
 LEVEL = 3
 
 
@@ -46,16 +44,17 @@ def frames(text: bytes) -> list[bytes]:
 class QualityModel:
     good: bytes
     bad: bytes
-    weights: tuple[float, float, float, float]
+    slope: float
+    level: float
 
     def __post_init__(self):
         self._pair = None
 
     def __getstate__(self):
-        return self.good, self.bad, self.weights
+        return self.good, self.bad, self.slope, self.level
 
     def __setstate__(self, state):
-        self.good, self.bad, self.weights = state
+        self.good, self.bad, self.slope, self.level = state
         self._pair = None
 
     def compressors(self) -> list:
@@ -68,16 +67,15 @@ class QualityModel:
             self._pair = out
         return self._pair
 
-    def signal(self, text: bytes) -> tuple[float, float, float]:
-        """The normalised difference of sizes, how little text there is, and how far it shrinks."""
+    def signal(self, text: bytes) -> float:
+        """The normalised difference of the compressed sizes."""
         if not self.good or not text:
-            return 0.0, 0.0, 0.0
+            return 0.0
         good, bad = (sum(len(c.compress(f)) for f in frames(text)) for c in self.compressors())
-        return (bad - good) / (bad + good), 1 / np.log2(2 + len(text)), np.log((bad + good) / (2 * len(text)))
+        return (bad - good) / (bad + good)
 
     def score(self, text: bytes | None) -> float:
-        z = np.dot(self.weights, [*self.signal(text or b""), 1.0])
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.signal(text or b"") + self.level, -30, 30))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -92,15 +90,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def fit(rows: list[tuple[int, bytes]]) -> QualityModel:
+def fit(rows: list[tuple[int, bytes]], dictionary: int = 1 << 16) -> QualityModel:
     """A model from (label, text) rows, every other one of each label for the dictionaries."""
     good, bad = ([t for y, t in rows if y == label and t] for label in (1, 0))
     share = (sum(y for y, _ in rows) + 0.5) / (len(rows) + 1)
     if len(good) < 4 or len(bad) < 4:
-        return QualityModel(b"", b"", (0.0, 0.0, 0.0, float(np.log(share / (1 - share)))))
+        return QualityModel(b"", b"", 0.0, float(np.log(share / (1 - share))))
     # equal bytes for both dictionaries, so neither wins by having seen more
-    room = min(sum(map(len, good[::2])), sum(map(len, bad[::2])), 100 * DICTIONARY)
-    size = min(DICTIONARY, max(1024, room // 8))
+    room = min(sum(map(len, good[::2])), sum(map(len, bad[::2])), 100 * dictionary)
+    size = min(dictionary, max(1024, room // 8))
     dicts = []
     for texts in (good[::2], bad[::2]):
         taken, total = [], 0
@@ -110,27 +108,29 @@ def fit(rows: list[tuple[int, bytes]]) -> QualityModel:
             taken += [t[i : i + 1024] for i in range(0, len(t), 1024)]
             total += len(t)
         dicts.append(zstandard.train_dictionary(size, taken).as_bytes() if len(taken) >= 8 else b"".join(taken)[-size:])
-    model = QualityModel(*dicts, (0.0, 0.0, 0.0, 0.0))
+    model = QualityModel(*dicts, 0.0, 0.0)
     held = [(1, t) for t in good[1::2]] + [(0, t) for t in bad[1::2]]
-    x = np.array([[*model.signal(t), 1.0] for _, t in held])
-    scale = np.array([max(np.abs(x[:, 0]).max(), 1e-9), 1.0, 1.0, 1.0])
+    x = np.array([[model.signal(t), 1.0] for _, t in held])
+    scale = np.array([max(np.abs(x[:, 0]).max(), 1e-9), 1.0])
     w = logistic(x / scale, np.array([y for y, _ in held], float)) / scale
-    model.weights = tuple(float(v) for v in w)
+    model.slope, model.level = float(w[0]), float(w[1])
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, most_bytes: int = 1 << 16, dictionary: int = 1 << 16) -> QualityModel:
     """docs (id, text), labels (id, label): learns from a bounded sample of the labelled rows."""
-    cut = F.when(F.octet_length("text") > MOST_BYTES, F.concat(*(F.substring("text", 1, 1 << 13), *(F.expr(f"substring(text, cast(length(text) * {k} / 8 as int), 8192)") for k in range(1, 8))))).otherwise(F.col("text"))
+    part = most_bytes // 8
+    slices = F.concat(*(F.expr(f"substring(text, cast(length(text) * {k} / 8 as int) + 1, {part})") for k in range(8)))
+    cut = F.when(F.octet_length("text") > most_bytes, slices).otherwise(F.col("text"))
     rows = sample(labels.where("id IS NOT NULL AND label IN (0, 1)"), "label", per_label)
     rows = F.broadcast(rows)  # the bounded sample: about 2 * per_label rows
     got = docs.join(rows, "id").select("id", "label", cut.cast("binary").alias("text")).collect()
     got.sort(key=lambda r: (hash_order(r.id), r.label, bytes(r.text or b"")))
-    return fit([(r.label, bytes(r.text or b"")) for r in got])
+    return fit([(r.label, bytes(r.text or b"")) for r in got], dictionary)
 
 
 def score_column(df: DataFrame, model: QualityModel, text: Column) -> Column:
-    sent = df.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most DICTIONARY bytes
+    sent = df.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded bytes
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
