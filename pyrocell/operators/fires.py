@@ -237,12 +237,10 @@ def harmonize_buffer_and_points(points: DataFrame, buffers: DataFrame, mask: Dat
     kept = points.join(burned.select(*KEY).distinct(), KEY, "left_semi").withColumn("pixelID", grid.cell_from_xy(F.col("x"), F.col("y")))
     on = kept.join(burned.select("year", "pixelID").distinct(), ["year", "pixelID"], "left_semi")
     off = kept.join(on.select("point_id"), "point_id", "left_anti").drop("pixelID")
-    n = neighbour_count(burned, mask, grid, "flammable")
-    both = off.join(burned, KEY).join(n, "pixelID")
-    dist = F.round(F.hypot(grid.x(F.col("pixelID")) - F.col("x"), grid.y(F.col("pixelID")) - F.col("y")), 6)
-    free = F.col("n") > 6
-    rank = F.struct(F.when(free, 0).otherwise(1).alias("k"), F.when(free, dist).otherwise(-F.col("n").cast("double")).alias("v"), dist.alias("d"), F.col("pixelID").alias("pixelID"))
-    moved = both.groupBy("point_id", *KEY).agg(F.min(rank).alias("b")).select("point_id", *KEY, "b.pixelID", F.lit(1).alias("moved"))
+    counted = materialise(burned.join(neighbour_count(burned, mask, grid, "flammable"), "pixelID"))
+    most = counted.groupBy(*KEY).agg(F.max("n").alias("most"))
+    fit = counted.join(most, KEY).where((F.col("n") > 6) | ((F.col("most") <= 6) & (F.col("n") == F.col("most"))))
+    moved = nearest_cell_same_fire(off, fit, grid).select("point_id", *KEY, "pixelID", F.lit(1).alias("moved"))
     return on.select("point_id", *KEY, "pixelID", F.lit(0).alias("moved")).unionByName(moved)
 
 

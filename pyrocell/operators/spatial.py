@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from pyrocell.grid import GridSpec, neighbours, steps_within
 from pyrocell.operators import tiles
+from pyrocell.operators.nearest import nearest_cells
 from pyrocell.operators.ranks import joined_by
 from pyrocell.operators.tiles import Tiling, by_tile, fields
 from pyrocell.storage import materialise
@@ -32,10 +33,7 @@ def cells_within(cells: DataFrame, radius: float, grid: GridSpec) -> DataFrame:
 
 def nearest_cell_same_fire(points: DataFrame, cells: DataFrame, grid: GridSpec, keys: Sequence[str] = ("year", "ids")) -> DataFrame:
     """Per point (point_id, keys, x, y) the nearest cell of its own fire; ties to the lowest pixelID."""
-    both = points.join(cells.select(*keys, "pixelID"), list(keys))
-    dist = F.hypot(grid.x(F.col("pixelID")) - F.col("x"), grid.y(F.col("pixelID")) - F.col("y"))
-    best = F.min(F.struct(F.round(dist, 6).alias("dist"), "pixelID")).alias("b")
-    return both.groupBy("point_id", *keys).agg(best).select("point_id", *keys, "b.pixelID", "b.dist")
+    return nearest_cells(points, cells, grid, keys)
 
 
 def nearest_to_centroid(cells: DataFrame, grid: GridSpec, keys: Sequence[str] = ("year", "ids")) -> DataFrame:

@@ -201,3 +201,19 @@ def test_growth_in_blocks_against_a_loop(spark, way, masked, keep):
 
 def test_growth_of_nothing(spark):
     assert N.buffer_to_area(spark.createDataFrame([], "year int, ids long, pixelID long"), GridSpec(0, 0, 1, 1, 5, 5)).count() == 0
+
+
+@pytest.mark.parametrize("side", [3, 32])
+def test_nearest_cells_of_a_group(spark, side):
+    from pyrocell.operators.nearest import nearest_cells
+
+    rng = np.random.default_rng(side)
+    grid = GridSpec(5.0, 90.0, 2.0, 1.0, 40, 60)
+    cells = sorted({(g, int(c)) for g in (1, 2, 3) for c in rng.integers(1, grid.ncell + 1, 60 if g < 3 else 1)})
+    points = [(k, k % 5 if k % 5 else None, float(x), float(y)) for k, (x, y) in enumerate(rng.integers(0, 100, (60, 2)))]
+    got = {r.point_id: (r.g, r.pixelID, r.dist) for r in nearest_cells(spark.createDataFrame(points, "point_id long, g int, x double, y double"), spark.createDataFrame([*cells, cells[0], (1, None)], "g int, pixelID long"), grid, ["g"], side).collect()}
+    want = {}
+    for k, g, x, y in points:
+        if own := [(round(math.hypot(5 + ((c - 1) % 40 + 0.5) * 2 - x, 90 - ((c - 1) // 40 + 0.5) - y), 6), c) for z, c in cells if z == g]:
+            want[k] = (g, min(own)[1], min(own)[0])
+    assert got == want
