@@ -6,12 +6,10 @@ over the limit and the like, whose number the caller's columns, zones and k boun
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Sequence
 
-import numpy as np
-from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.sql import DataFrame
@@ -19,9 +17,12 @@ from pyspark.sql import functions as F
 
 from pyrocell.functions.columns import abbreviate_species
 from pyrocell.grid import GridSpec
+from pyrocell.operators.mixtures import Mixture, fit_mixtures
 from pyrocell.operators.provinces import merged_provinces, split_large_zones
+from pyrocell.operators.ranks import joined_by
+from pyrocell.operators.regressions import logistic_by
 from pyrocell.operators.spatial import buffer_zones, drop_small_patches, focal_modal_fill
-from pyrocell.operators.summaries import large_zones, nonforest_burn_rate, relative_abundance, species_stats
+from pyrocell.operators.summaries import auc, large_zones, nonforest_burn_rate, relative_abundance, species_stats
 from pyrocell.operators.tables import group_size
 from pyrocell.storage import materialise
 
@@ -31,20 +32,11 @@ def _assembled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def fit_fuel_glm(landscape: DataFrame, species: Sequence[str]) -> DataFrame:
-    """(speciesCode, coef, p): logistic regression of burned on B / 100, one per listed species. A species without
-    rows, or with one outcome or one biomass only, has nulls."""
-    rows = []
-    own = landscape.where(F.col("speciesCode").isin(*species)).select("speciesCode", (F.col("B") / 100).alias("b"), F.col("burned").cast("double").alias("label")).dropna()
-    spans = own.groupBy("speciesCode").agg((F.min("b") < F.max("b")).alias("b"), (F.min("label") < F.max("label")).alias("label"))
-    varied = {r.speciesCode for r in spans.where("b and label").collect()}  # one row a listed species
-    for name in species:
-        if name not in varied:
-            rows.append((name, None, None))
-            continue
-        glm = GeneralizedLinearRegression(family="binomial", featuresCol="__x", labelCol="label")
-        model = glm.fit(_assembled(own.where(F.col("speciesCode") == name), ["b"]))
-        rows.append((name, float(model.coefficients[0]), float(model.summary.pValues[0])))
-    return landscape.sparkSession.createDataFrame(rows, "speciesCode string, coef double, p double")
+    """(speciesCode, coef, p): logistic regression of burned on B / 100, one per listed species, all fitted together. A
+    species without rows, or with one outcome or one biomass only, has nulls."""
+    own = landscape.where(F.col("speciesCode").isin(*species)).select("speciesCode", (F.col("B") / 100).alias("b"), "burned")
+    listed = landscape.sparkSession.createDataFrame([(s,) for s in species], "speciesCode string")
+    return joined_by(listed, logistic_by(own, ["speciesCode"], "b", "burned"), ["speciesCode"]).select("speciesCode", "coef", "p")
 
 
 def cluster_nonforest(rates: DataFrame, k: int, seed: int = 1) -> DataFrame:
@@ -62,24 +54,29 @@ def cluster_nonforest(rates: DataFrame, k: int, seed: int = 1) -> DataFrame:
     return grouped.select("lcc", "group").unionByName(closest)
 
 
-def burn_class_fit(train: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(4, 10), seed: int = 1) -> tuple[GaussianMixtureModel, int]:
-    """The Gaussian mixture of best BIC (2 log likelihood - parameters * ln n) over ``cols``, and its k."""
-    data = _assembled(train, cols).select("__x")
-    n, d = data.count(), len(cols)
-    if not n:
-        raise ValueError("no complete row to fit burn classes to")
-    fits = []
-    for k in ks:
-        model = GaussianMixture(k=k, seed=seed, featuresCol="__x", predictionCol="burnClass", probabilityCol="__p").fit(data)
-        parameters = k - 1 + k * d + k * d * (d + 1) / 2
-        fits.append((2 * model.summary.logLikelihood - parameters * math.log(n), k, model))
-    _, k, model = max(fits, key=lambda f: f[:2])
+def burn_class_fit(train: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(4, 10), seed: int = 1) -> tuple[Mixture, int]:
+    """The Gaussian mixture of best BIC over ``cols``, and its k; all k are fitted side by side."""
+    _, k, model = max(fit_mixtures(train, cols, list(ks), seed), key=lambda f: f[:2])
     return model, k
 
 
-def burn_class_predict(model: GaussianMixtureModel, df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """df's complete rows with burnClass."""
-    return model.transform(_assembled(df, cols)).drop("__x", "__p")
+def burn_class_predict(model: Mixture, df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """df's rows, complete in ``cols``, with burnClass: the component of greatest weight times density, ties to the lower.
+    Columns of the model that aren't listed are unknown, and left out of the density."""
+    scores = model.scores(cols)
+    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    place = F.array_position(F.array(*scores), best) - 1
+    return df.dropna(subset=list(cols)).withColumn("burnClass", place.cast("int"))
+
+
+def burn_class_auc(df: DataFrame, cols: Sequence[str], known: Sequence[str], ks: Sequence[int] = range(4, 10), seed: int = 1) -> DataFrame:
+    """(auc): how well burn classes fitted to 75 % of df's rows tell which of the other rows burned, from the columns
+    ``known`` alone."""
+    train, test = df.randomSplit([0.75, 0.25], seed)
+    model, _ = burn_class_fit(train, cols, ks, seed)
+    summary = burn_class_summary(burn_class_predict(model, train, cols), cols)
+    classed = burn_prob_from_class(burn_class_predict(model, test.dropna(subset=["burned"]), known), summary)
+    return auc(classed, "burnProb", "burned")
 
 
 def burn_class_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -103,22 +100,6 @@ def ignition_response(model: GeneralizedLinearRegressionModel, df: DataFrame, co
     return model.transform(_assembled(df, covs)).drop("__x")
 
 
-def burn_class_predict_shared(model: GaussianMixtureModel, df: DataFrame, cols: Sequence[str], shared: Sequence[str]) -> DataFrame:
-    """df's rows, complete in ``shared``, with burnClass where the other columns of the model's ``cols`` aren't known: the
-    class of greatest weight times density of the mixture's marginal over ``shared``. Ties go to the lower class."""
-    at = [list(cols).index(c) for c in shared]
-    scores = []
-    for weight, g in zip(model.weights, model.gaussians):
-        mean, cov = g.mean.toArray()[at], g.cov.toArray()[np.ix_(at, at)]
-        inverse, (_, log_det) = np.linalg.pinv(cov), np.linalg.slogdet(cov)
-        z = [F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(shared, mean)]
-        form = sum((z[i] * z[j] * F.lit(float(inverse[i, j])) for i in range(len(at)) for j in range(len(at))), F.lit(0.0))
-        scores.append(F.lit(math.log(max(weight, 1e-300)) - log_det / 2) - form / 2)
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    place = F.array_position(F.array(*scores), best) - 1
-    return df.dropna(subset=list(shared)).withColumn("burnClass", place.cast("int"))
-
-
 def slivers_reassigned(zones: DataFrame, lost: DataFrame) -> DataFrame:
     """(zone, pixelID, v, lost_by): cells that zones (zone, pixelID, v; 2 is core, 1 buffer) lost as small patches go, all
     cells of a losing zone together, to a zone that has one of the lost core cells; of those to the one whose

@@ -142,7 +142,7 @@ BURN = ["age", "lcc", "burned"]
 
 
 def burn_model(v):
-    return M.burn_class_fit(burn_table(v).randomSplit([0.75, 0.25], 42)[0], BURN, (4, 5))[0]
+    return M.burn_class_fit(burn_table(v).randomSplit([0.75, 0.25], 42)[0], BURN)[0]
 
 
 @query()
@@ -155,7 +155,12 @@ def burn_prob_from_class(v):
     """New rows don't know burned: their class comes from the other columns."""
     table, model = burn_table(v), burn_model(v)
     summary = M.burn_class_summary(M.burn_class_predict(model, table, BURN), BURN)
-    return M.burn_prob_from_class(M.burn_class_predict_shared(model, table.drop("burned"), BURN, ["age", "lcc"]), summary)
+    return M.burn_prob_from_class(M.burn_class_predict(model, table.drop("burned"), ["age", "lcc"]), summary)
+
+
+@query()
+def burn_class_auc(v):
+    return M.burn_class_auc(burn_table(v), BURN, ["age", "lcc"])
 
 
 @query("""SELECT param_id, CASE WHEN bool_or(b1 + b2 * greatest(nf_low - b2, 0) < 0) THEN 1e20 ELSE round(sum(b1 + b2 * greatest(nf_low - b2, 0) - nf_high * ln(greatest(b1 + b2 * greatest(nf_low - b2, 0), 1e-300))), 3) END AS nll FROM landcover CROSS JOIN candidates GROUP BY param_id""")

@@ -81,7 +81,7 @@ def test_classes_without_the_unknown_column(spark):
     rows = [(float(c * 20 + rng.normal()), float(c * 5 + rng.normal()), float(c == 1)) for c in (0, 1) for _ in range(200)]
     table = spark.createDataFrame(rows, "a double, b double, burned double")
     model, k = M.burn_class_fit(table.withColumn("burned", F.col("burned") + F.rand(3) / 100), ["a", "b", "burned"], (2,))
-    known = M.burn_class_predict_shared(model, table.drop("burned"), ["a", "b", "burned"], ["a", "b"])
+    known = M.burn_class_predict(model, table.drop("burned"), ["a", "b"])
     got = {(r.a > 10, r.burnClass) for r in known.collect()}
     assert k == 2 and len(got) == 2
     summary = M.burn_class_summary(M.burn_class_predict(model, table, ["a", "b", "burned"]), ["a", "b", "burned"])
@@ -111,3 +111,42 @@ def test_slivers_equal_sql(spark):
 
 def test_fuel_glm_query(spark):
     assert QUERIES["fit_fuel_glm"](spark, SF).count() == 6
+
+
+def test_regressions_of_all_groups_equal_sparks(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    from pyrocell.operators.regressions import logistic_by
+
+    rng = np.random.default_rng(3)
+    rows = [(g, float(x), int(rng.random() < 1 / (1 + np.exp(-(a + b * x))))) for g, a, b in (("a", -1, 0.5), (None, 0.3, -1.2), ("c", 0, 0)) for x in rng.normal(1, 2, 150).round(2)]
+    rows += [("one", 1.0, 1)] * 3 + [("a", None, 1), ("a", 1.0, None)]
+    table = spark.createDataFrame(rows, "g string, x double, y int")
+    got = {r.g: r for r in logistic_by(table, ["g"], "x", "y").collect()}
+    assert got["one"].coef is None and got["one"].p is None and len(got) == 4
+    for g in ("a", None, "c"):
+        own = VectorAssembler(inputCols=["x"], outputCol="v").transform(table.where(F.col("g").eqNullSafe(F.lit(g))).dropna(subset=["x", "y"]))
+        model = GeneralizedLinearRegression(family="binomial", featuresCol="v", labelCol="y", tol=1e-12).fit(own)
+        assert np.allclose([got[g].intercept, got[g].coef, got[g].p], [model.intercept, model.coefficients[0], model.summary.pValues[0]], atol=1e-6)
+    assert logistic_by(table.limit(0), ["g"], "x", "y").count() == 0
+
+
+def test_the_number_of_burn_classes_is_found(spark):
+    rng = np.random.default_rng(8)
+    centres = [(0, 0), (12, 1), (1, 14), (15, 15), (-14, 8)]
+    points = np.concatenate([rng.normal(c, 1.0 + i / 4, (240, 2)) for i, c in enumerate(centres)])
+    table = spark.createDataFrame([(float(a), float(b)) for a, b in points] + [(None, 1.0)], "a double, b double")
+    model, k = M.burn_class_fit(table, ["a", "b"])
+    assert k == 5 and sorted(map(tuple, model.means.round().astype(int).tolist())) == sorted(centres)
+    assert np.allclose(model.weights, 0.2, atol=0.01)
+    classed = {(r.a, r.b): r.burnClass for r in M.burn_class_predict(model, table, ["a", "b"]).collect()}
+    density = model.log_densities(points)
+    assert [classed[tuple(p)] for p in points.tolist()] == density.argmax(axis=1).tolist()
+
+
+def test_held_out_auc_of_burn_classes(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(rng.normal(10 * c, 1)), float(rng.normal(c, 1)), float(rng.random() < 0.1 + 0.8 * (c == 1))) for c in (0, 1) for _ in range(300)]
+    got = M.burn_class_auc(spark.createDataFrame(rows, "a double, b double, burned double"), ["a", "b", "burned"], ["a", "b"], (2, 3)).first().auc
+    assert 0.75 < got <= 1
