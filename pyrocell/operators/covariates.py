@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -14,8 +15,8 @@ from pyspark.sql import types as T
 
 from pyrocell.functions.columns import as_integer, from_x1000, log_min_b, logistic_all, make_mutually_exclusive, rescale_by_magnitude, rescale_known2
 from pyrocell.grid import GridSpec, steps_within
-from pyrocell.operators.spatial import block_of, focal_mean_fill
-from pyrocell.operators.tables import asof_period, expand_cohorts_to_pixels, lookup_keep_right, one_hot
+from pyrocell.operators.spatial import block_of, focal_mean_fill, rasterize
+from pyrocell.operators.tables import asof_period, expand_cohorts_to_pixels, lookup_keep_right, one_hot, years_between
 from pyrocell.operators.tiles import Tiling, Window, by_tile, fields, rim_of
 
 # land cover
@@ -97,13 +98,32 @@ def fuel_class_prep(cohort: DataFrame, cells: DataFrame, burned: DataFrame, nonf
 # age
 
 
-def make_tsd(cells: DataFrame, year: int, cutoff: int = 15) -> DataFrame:
-    """(pixelID, tsd) from fireYear, age, update (bool) and flammable: fire years after ``year`` count as not young;
-    pixels to update that are young or ageless become cutoff + 1; a fire within the cutoff overrides; no value on
-    non-flammable pixels."""
+def make_tsd(cells: DataFrame, year: int, cutoff: int = 15, polygons: DataFrame | None = None, grid: GridSpec | None = None, lcc: DataFrame | None = None) -> DataFrame:
+    """(pixelID, tsd) of cells (pixelID, age): time since the last fire before ``year``.
+
+    Fires: the column fireYear, where a year after ``year`` counts as not young; else the polygons (poly_id, YEAR, seq, x, y)
+    of the cutoff + 2 years before ``year``, the latest of a cell, and on cells with an age that none covers the
+    year cutoff + 1 before. Without either it is an error. Pixels to update, the column update, that are young or
+    ageless become cutoff + 1, then a fire within the cutoff sets their age. Pixels that aren't flammable have no value.
+    Where cells lack them, update and flammable come from ``lcc`` (pixelID, classes): some class present, a row."""
+    if "fireYear" not in cells.columns:
+        if polygons is None or grid is None:
+            raise ValueError("please provide fire polygons or a raster of fire years (fireYear)")
+        burned = rasterize(years_between(polygons, year - cutoff - 2, year - 1, "YEAR"), grid, "YEAR", "max").withColumnRenamed("YEAR", "__fire")
+        fire = F.when(F.col("age").isNotNull(), F.coalesce("__fire", F.lit(year - cutoff - 1)))
+        cells = cells.join(burned, "pixelID", "left").withColumn("fireYear", fire).drop("__fire")
+    lacking = [c for c in ("update", "flammable") if c not in cells.columns]
+    if lacking:
+        if lcc is None:
+            raise ValueError(f"cells lack {', '.join(lacking)} and there is no lcc to take them from")
+        known = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in lcc.columns if c != "pixelID"), F.lit(0.0))
+        flags = lcc.select("pixelID", known.alias("__sum")).groupBy("pixelID").agg(F.max("__sum").alias("__sum"))
+        derived = {"update": F.coalesce(F.col("__sum") > 0, F.lit(False)), "flammable": F.col("__sum").isNotNull().cast("int")}
+        cells = cells.join(flags, "pixelID", "left").withColumns({c: derived[c] for c in lacking}).drop("__sum")
     tsd = F.when(F.col("fireYear") > year, cutoff + 1).otherwise(year - F.col("fireYear"))
-    base = F.when(F.col("update") & (F.col("age").isNull() | (F.col("age") <= cutoff)), cutoff + 1).otherwise(F.col("age"))
-    return cells.select("pixelID", F.when(F.col("flammable") == 1, F.when(tsd <= cutoff, tsd).otherwise(base)).cast("int").alias("tsd"))
+    old = F.when(F.col("age").isNull() | (F.col("age") <= cutoff), cutoff + 1).otherwise(F.col("age"))
+    now = F.when(F.col("update"), F.when(tsd <= cutoff, tsd).otherwise(old)).otherwise(F.col("age"))
+    return cells.select("pixelID", F.when(F.col("flammable") == 1, now).cast("int").alias("tsd"))
 
 
 def age_since_last_burn(years: Sequence[int], cells: DataFrame, burned: DataFrame) -> DataFrame:
@@ -210,12 +230,13 @@ def rescale_covariates(df: DataFrame, algorithm: str, keep: Sequence[str] = ("ye
     return rescale_by_magnitude(df, {c: s for c, (_, s) in scales.items()}), scales
 
 
-def spread_covariates(annual: DataFrame, non_annual: DataFrame, ranges: Mapping[str, tuple[float, float]], exclusive: Mapping[str, Sequence[str]]) -> DataFrame:
+def spread_covariates(annual: DataFrame, non_annual: DataFrame, ranges: Mapping[str, tuple[float, float]], exclusive: Mapping[str, Sequence[str]], check: bool = True) -> DataFrame:
     """Annual fixed-point covariates with those of the period in force, rescaled to [0, 1] by the ranges (x 1000),
-    exclusive columns zeroed."""
+    exclusive columns zeroed. With ``check`` a covariate outside [0, 1] is an error: one aggregate."""
     joined = asof_period(annual, non_annual.select("start").distinct()).join(non_annual, ["start", "pixelID"])
     scaled = joined.withColumns({c: rescale_known2(F.col(c).cast("double"), 0.0, 1000.0, lo * 1000.0, hi * 1000.0) for c, (lo, hi) in ranges.items()})
-    return from_x1000(make_mutually_exclusive(scaled, exclusive), list(ranges))
+    out = from_x1000(make_mutually_exclusive(scaled, exclusive), list(ranges))
+    return check_unit_range(out, list(ranges)) if check else out
 
 
 def check_unit_range(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -227,7 +248,10 @@ def check_unit_range(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df
 
 
-def spread_probability(covs: DataFrame, names: Sequence[str], logistic: Sequence[float], coefs: Sequence[float], lower: float = 0.1) -> DataFrame:
+def spread_probability(covs: DataFrame, names: Sequence[str], logistic: Sequence[float], coefs: Sequence[float], lower: float = 0.1, max_spread: float = 0.28) -> DataFrame:
+    """Adds spreadProb; warns if the first logistic parameter, the highest value, is over ``max_spread``."""
+    if logistic[0] > max_spread:
+        warnings.warn(f"the first parameter of the logistic, {logistic[0]}, is over {max_spread} and should be lowered", stacklevel=2)
     return covs.withColumn("spreadProb", logistic_all([F.col(c) for c in names], logistic, coefs, lower))
 
 

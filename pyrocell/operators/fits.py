@@ -6,9 +6,12 @@ over the limit and the like, whose number the caller's columns, zones and k boun
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
@@ -22,7 +25,7 @@ from pyrocell.operators.provinces import merged_provinces, split_large_zones
 from pyrocell.operators.ranks import joined_by
 from pyrocell.operators.regressions import logistic_by
 from pyrocell.operators.spatial import buffer_zones, drop_small_patches, focal_modal_fill
-from pyrocell.operators.summaries import auc, large_zones, nonforest_burn_rate, relative_abundance, species_stats
+from pyrocell.operators.summaries import auc, ignition_nll, large_zones, nonforest_burn_rate, relative_abundance, species_stats
 from pyrocell.operators.tables import group_size
 from pyrocell.storage import materialise
 
@@ -95,6 +98,33 @@ def fit_ignition(df: DataFrame, y: str, covs: Sequence[str], family: str = "pois
     return GeneralizedLinearRegression(family=family, link=link, featuresCol="__x", labelCol="__y", predictionCol="fitted").fit(data)
 
 
+def search_ignition(df: DataFrame, y: str, covs: Sequence[str], bounds: Mapping[str, tuple[float, float]], knots: Mapping[str, str] | None = None, family: str = "poisson", link: str = "identity", offset: float = 0.0, points: int = 5, rounds: int = 20, keep: float = 0.6) -> DataFrame:
+    """(term, value): the parameters inside their bounds, and "nll", that fit best of a coarse-to-fine search.
+
+    bounds: of a coefficient for each covariate, in that order, then of each knot that ``knots`` (covariate -> name) names; a
+    covariate with a knot counts by what it is over it. A round scores a lattice of ``points`` values of each parameter
+    in one pass over the data, then narrows the box to ``keep`` of its size about the best so far, inside the bounds. After
+    ``rounds`` rounds a box is keep ** rounds of its first size. Of equal scores the first of the lattice counts."""
+    knots, names = dict(knots or {}), list(bounds)
+    if points ** sum(lo < hi for lo, hi in bounds.values()) > 1 << 18:
+        raise ValueError("too many parameters for a lattice: over 262144 candidates a round")
+    coefs, spark = names[: len(covs)], df.sparkSession
+    data = materialise(df.select(*dict.fromkeys([*covs, y])))
+    box, best = dict(bounds), (math.inf, ())
+    for _ in range(rounds):
+        axes = [np.linspace(lo, hi, points).tolist() if lo < hi else [lo] for lo, hi in box.values()]
+        lattice = list(itertools.product(*axes))
+        candidates = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(lattice)], "param_id long, " + ", ".join(f"`{n}` double" for n in names))
+        scores = ignition_nll(data, candidates, y, covs, coefs, offset, knots, family, link)
+        found = scores.agg(F.min(F.struct("nll", "param_id")).alias("b")).first().b
+        if found is None:
+            raise ValueError("no row to fit to")
+        best = min(best, (found.nll, lattice[found.param_id]))
+        half = {n: (hi - lo) * keep / 2 for n, (lo, hi) in box.items()}
+        box = {n: (max(bounds[n][0], v - half[n]), min(bounds[n][1], v + half[n])) for n, v in zip(names, best[1])}
+    return spark.createDataFrame([*zip(names, map(float, best[1])), ("nll", float(best[0]))], "term string, value double")
+
+
 def ignition_response(model: GeneralizedLinearRegressionModel, df: DataFrame, covs: Sequence[str]) -> DataFrame:
     """df's complete rows with ``fitted``, the response-scale prediction."""
     return model.transform(_assembled(df, covs)).drop("__x")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -162,18 +163,24 @@ def score_mad(observed: DataFrame, simulated: DataFrame) -> DataFrame:
     return per.agg((F.sum(F.col("mad") * F.col("n")) / F.sum("n")).alias("mad"), F.sum("n").alias("n"))
 
 
-def score_ad(values: DataFrame) -> DataFrame:
-    """Two-sample Anderson-Darling statistic x 50 of values (value, sample 0/1), over the pooled distinct values."""
+def score_ad(values: DataFrame, batch: int | None = None) -> DataFrame:
+    """Two-sample Anderson-Darling statistic x 50 of values (value, sample 0/1), over the pooled distinct values. With
+    ``batch``, of the rows of that batch alone (the small fires are batch 2). Where the test has no value, as with a sample
+    of no rows or one value in all, it counts as 1e6, x 50."""
+    if batch is not None:
+        values = values.where(F.col("batch") == batch)
+    values = values.where("value IS NOT NULL")
     per = values.groupBy("value").agg(F.count("*").alias("l"), F.sum((F.col("sample") == 0).cast("int")).alias("f"))
     run = running_sums(per, "value", ["l", "f"]).withColumnsRenamed({"upto_l": "H", "upto_f": "first"})
     tot = per.agg(F.sum("l").alias("total"), F.sum("f").alias("n"))
     z = run.crossJoin(F.broadcast(tot)).where("H < total").withColumn("m", F.col("total") - F.col("n"))
     term = F.col("l") / F.col("total") * F.pow(F.col("total") * F.col("first") - F.col("n") * F.col("H"), F.lit(2.0)) / (F.col("H") * (F.col("total") - F.col("H")))
-    return z.agg((F.sum(term) * F.max(1 / F.col("n") + 1 / F.col("m")) * 50).alias("ad"))
+    share = F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.lit(1.0), F.col("m"))
+    return z.agg((F.coalesce(F.sum(term) * F.max(share), F.lit(1e6)) * 50).alias("ad"))
 
 
-def score_snll_fs(observed: DataFrame, sim: DataFrame, x_scale: str = "raw") -> DataFrame:
-    """(snll_fs, n): per fire the Gaussian kernel density (nrd0 bandwidth) of sqrt(N) over replicates with N > 1 at
+def score_snll_fs(observed: DataFrame, sim: DataFrame, x_scale: str = "raw", by: Sequence[str] = ()) -> DataFrame:
+    """(by, snll_fs, n), over all fires or those of each group of ``by``: per fire the Gaussian kernel density (nrd0 bandwidth) of sqrt(N) over replicates with N > 1 at
     the observed size, times ln(size), floor 1e-29, summed as -ln; a fire with one such replicate has density 0."""
     s = sim.where("N > 1").select("initialLocus", F.sqrt(F.col("N").cast("double")).alias("v"))
     stats = s.groupBy("initialLocus").agg(F.count("*").alias("k"), F.stddev_samp("v").alias("sd"), F.percentile("v", F.lit(0.25)).alias("q1"), F.percentile("v", F.lit(0.75)).alias("q3"), F.min(F.abs("v")).alias("a"))
@@ -184,7 +191,15 @@ def score_snll_fs(observed: DataFrame, sim: DataFrame, x_scale: str = "raw") ->
     z = (at - F.col("v")) / F.col("h")
     dens = observed.join(s, observed.cells == s.initialLocus).join(stats, "initialLocus").groupBy("cells").agg(F.avg(F.exp(-z * z / 2) / (F.col("h") * 2.5066282746310002)).alias("d"))
     out = observed.join(dens, "cells", "left")
-    return out.agg(F.sum(-F.log(F.greatest(F.coalesce("d", F.lit(0.0)) * F.log(F.col("size").cast("double")), F.lit(1e-29)))).alias("snll_fs"), F.count("*").alias("n"))
+    return out.groupBy(*by).agg(F.sum(-F.log(F.greatest(F.coalesce("d", F.lit(0.0)) * F.log(F.col("size").cast("double")), F.lit(1e-29)))).alias("snll_fs"), F.count("*").alias("n"))
+
+
+def batch_scores(yearly: DataFrame, thresh: float) -> DataFrame:
+    """(batch, years, snll_fs, bail) of yearly scores (batch, year, snll_fs): their sum, rounded half to even. A first batch whose
+    sum is over thresh, rounded, for each of its years scores 1e6 and bails: no later batch is worth running."""
+    per = yearly.groupBy("batch").agg(F.count("*").alias("years"), F.bround(F.sum("snll_fs")).alias("total"))
+    bail = (F.col("batch") == 1) & (F.col("total") > F.bround(F.lit(float(thresh))) * F.col("years"))
+    return per.select("batch", "years", F.when(bail, 1e6).otherwise(F.col("total")).alias("snll_fs"), bail.cast("int").alias("bail"))
 
 
 def score_snll(probs: DataFrame) -> DataFrame:
@@ -195,7 +210,7 @@ def score_snll(probs: DataFrame) -> DataFrame:
 def buffer_size_check(buffers: DataFrame, least: float = 2000) -> DataFrame:
     """The 30 % quantile of available cells per fire and whether it is under ``least``."""
     n = buffers.groupBy("year", "ids").agg(F.count("*").alias("n"))
-    return n.agg(F.percentile("n", F.lit(0.3)).alias("q30")).withColumn("small", (F.col("q30") < least).cast("int"))
+    return quantiles(n, [], "n", {"q30": 0.3}).withColumn("small", (F.col("q30") < least).cast("int"))
 
 
 def max_sizes(fires: DataFrame) -> DataFrame:
@@ -219,38 +234,45 @@ def landscape_gate(probs: DataFrame, lower: float, upper: float, logit1: float,
 # ignition likelihood
 
 
-def ignition_nll(df: DataFrame, candidates: DataFrame, y: str, covs: Sequence[str], coefs: Sequence[str], offset: float = 0.0, knots: dict[str, str] | None = None, block: int = 1000) -> DataFrame:
-    """(param_id, nll): Poisson negative log likelihood (without its constant term) of mu = sum of covariate times
-    coefficient + offset under every candidate; 1e20 if some mu is null or not a positive finite number (with knots, the
-    hinge of a covariate at the candidate's knot: is negative). Rows without y count for nothing else.
+LINKS = {"identity": lambda eta: eta, "log": np.exp, "logit": lambda eta: 1 / (1 + np.exp(-eta))}
+
+
+def ignition_nll(df: DataFrame, candidates: DataFrame, y: str, covs: Sequence[str], coefs: Sequence[str], offset: float = 0.0, knots: dict[str, str] | None = None, family: str = "poisson", link: str = "identity", block: int = 1 << 18) -> DataFrame:
+    """(param_id, nll): negative log likelihood of counts (poisson, without its constant term) or of shares (binomial) with
+    mean mu, the inverse link of sum of covariate times coefficient + offset, under every candidate; 1e20 if some mu is
+    null or not a positive finite number (with knots, the hinge of a covariate at the candidate's knot: is negative), or
+    over 1 for shares. Rows without y count for nothing else.
 
-    Candidates go out in blocks of at most ``block``, a matrix each, one pass over the data a block; a task sends
-    one partial sum a candidate, so neither side is multiplied out in a shuffle."""
-    knots = knots or {}
+    A pass over the data takes up to ``block`` candidates, which its tasks hold; a task sends one partial sum a
+    candidate, so neither side is multiplied out in a shuffle."""
+    knots, inverse = knots or {}, LINKS[link]
+    if family not in ("poisson", "binomial"):
+        raise ValueError(f"family must be poisson or binomial, not {family}")
     data = df.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covs)), F.col(y).cast("double").alias("y"))
     names = ["param_id", *coefs, *(knots[c] for c in covs if c in knots)]
 
     def passed(rows: list) -> DataFrame:
         ids = pa.array([r[0] for r in rows])
-        table = np.array([r[1:] for r in rows], np.float64).T
-        hinge = dict(zip((c for c in covs if c in knots), table[len(coefs) :]))
+        sent_table = df.sparkSession.sparkContext.broadcast(np.array([r[1:] for r in rows], np.float64).T)  # block columns at most
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bad, total, n = np.zeros(len(ids), bool), np.zeros(len(ids)), 0
-            step = max(1, (1 << 20) // len(ids))
+            table = sent_table.value
+            hinge = dict(zip((c for c in covs if c in knots), table[len(coefs) :]))
+            bad, total, n, step = np.zeros(len(ids), bool), np.zeros(len(ids)), 0, 1024
             for batch in batches:
                 n += batch.num_rows
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    mu = np.full((part.num_rows, len(ids)), float(offset))
+                xs = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                for at, of in itertools.product(range(0, batch.num_rows, step), range(0, len(ids), step)):
+                    eta = np.full((min(step, batch.num_rows - at), min(step, len(ids) - of)), float(offset))
                     for i, c in enumerate(covs):
-                        x = part.column(i).to_numpy(zero_copy_only=False)[:, None]
-                        mu += (np.maximum(x - hinge[c], 0.0) if c in hinge else x) * table[i]
-                    wrong = ~np.isfinite(mu) | (mu < 0 if knots else mu <= 0)
-                    bad |= wrong.any(0)
+                        x = xs[i][at : at + step, None]
+                        eta += (np.maximum(x - hinge[c][of : of + step], 0.0) if c in hinge else x) * table[i, of : of + step]
                     with np.errstate(all="ignore"):
-                        each = mu - part.column(len(covs)).to_numpy(zero_copy_only=False)[:, None] * np.log(np.maximum(mu, 1e-300))
-                    total += np.nansum(np.where(wrong, 0.0, each), 0)
+                        mu, seen = inverse(eta), xs[-1][at : at + step, None]
+                        wrong = ~np.isfinite(mu) | (mu < 0 if knots else mu <= 0) | ((mu > 1) if family == "binomial" else False)
+                        each = mu - seen * np.log(np.maximum(mu, 1e-300)) if family == "poisson" else -seen * np.log(np.maximum(mu, 1e-300)) - (1 - seen) * np.log(np.maximum(1 - mu, 1e-300))
+                    bad[of : of + step] |= wrong.any(0)
+                    total[of : of + step] += np.nansum(np.where(wrong, 0.0, each), 0)
             if n:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(bad), pa.array(total)], ["param_id", "bad", "nll"])
 

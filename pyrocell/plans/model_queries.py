@@ -127,7 +127,13 @@ def combine_fuel_classes(v):
 
 @query()
 def assess_fuel_classes(v):
-    return M.assess_fuel_classes(landscape(v), v.spp_equiv, [1, 2, 3])[0]
+    """All three tables under each other."""
+    classes, groups, missing = M.assess_fuel_classes(landscape(v), v.spp_equiv, [1, 2, 3])
+    none = F.lit(None).cast("string")
+    rows = [classes.select(F.lit("fuel").alias("part"), F.col("species").alias("name"), "FuelClass", F.col("assignedFuelClass").alias("group"), F.col("N").cast("long").alias("n"))]
+    rows.append(groups.select(F.lit("nonforest").alias("part"), F.col("lcc").cast("string").alias("name"), none.alias("FuelClass"), "group", F.lit(None).cast("long").alias("n")))
+    rows.append(missing.select(F.lit("missing").alias("part"), none.alias("name"), none.alias("FuelClass"), "group", F.lit(None).cast("long").alias("n")))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 # burn classes, ignitions
@@ -169,6 +175,20 @@ def ignition_nll_pw(v):
     return out.withColumn("nll", F.round("nll", 3))
 
 
+@query("""WITH m AS (SELECT param_id, nf_high, 1 / (1 + exp(-(b1 - 1 + b2 * nf_low))) AS mu FROM landcover CROSS JOIN candidates)
+ SELECT param_id, CASE WHEN bool_or(mu <= 0 OR mu > 1) THEN 1e20 ELSE round(sum(-nf_high * ln(mu) - (1 - nf_high) * ln(1 - mu)), 3) END AS nll FROM m GROUP BY param_id""")
+def ignition_nll_binomial(v):
+    out = E.ignition_nll(v.landcover.withColumn("one", F.lit(1)), v.candidates, "nf_high", ["one", "nf_low"], ["b1", "b2"], offset=-1.0, family="binomial", link="logit")
+    return out.withColumn("nll", F.round("nll", 3))
+
+
+@query()
+def search_ignition(v):
+    """Counts by dryness over a knot."""
+    table = ignition_table(v).withColumn("one", F.lit(1.0))
+    return M.search_ignition(table, "ignitions", ["one", "MDC"], {"level": (0.001, 2.0), "slope": (0.0, 2.0), "knot": (0.0, 150.0)}, {"MDC": "knot"}, rounds=6)
+
+
 def coefficients(v, model, names):
     return v.spark.createDataFrame([("intercept", float(model.intercept)), *((n, float(c)) for n, c in zip(names, model.coefficients))], "term string, coef double")
 
@@ -205,7 +225,9 @@ def harmonize_fire_data(v):
     fires = compact_fires(v, g)
     points = points.join(fires.select("year", "ids").distinct(), ["year", "ids"], "left_semi")
     flammable = fires.select("pixelID").distinct().select("pixelID", (F.col("pixelID") % 11 != 0).cast("int").alias("flammable"))
-    return N.harmonize_fire_data(fires, points, flammable, g, lambda n: n * 2, 8)[1]
+    buffers, placed = N.harmonize_fire_data(fires, points, flammable, g, lambda n: n * 2, 8)
+    buffers = buffers.select(F.lit("buffers").alias("part"), "year", "ids", "pixelID", "buffer", F.lit(None).cast("long").alias("point_id"))
+    return buffers.unionByName(placed.select(F.lit("points").alias("part"), "year", "ids", "pixelID", F.lit(None).cast("int").alias("buffer"), "point_id"))
 
 
 @query()
@@ -246,4 +268,5 @@ def make_zones(v):
     """Provinces of 20 columns, with gaps, in the flammable land."""
     g = grid_of(v)
     layer = v.cell.select("pixelID", F.when(F.col("lcc") != 4, F.floor(F.col("c") / 20).cast("int")).alias("zone"))
-    return M.make_zones(layer, v.cell.where("flammable IS NOT NULL"), g, 500.0, g.ncell // 8, 20)[0]
+    zones, lost = M.make_zones(layer, v.cell.where("flammable IS NOT NULL"), g, 500.0, g.ncell // 8, 20)
+    return zones.withColumn("lost", F.lit(0)).unionByName(lost.withColumn("lost", F.lit(1)), allowMissingColumns=True)

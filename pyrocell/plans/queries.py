@@ -642,11 +642,19 @@ def fuel_class_prep(v):
 
 
 @query("""WITH t AS (SELECT c.pixelID, c.age, c.flammable, CASE WHEN f.fireYear > 1997 THEN 16 ELSE 1997 - f.fireYear END AS tsd, c.lcc < 5 AS u FROM cell c LEFT JOIN fire_raster f ON f.pixelID = c.pixelID)
- SELECT pixelID, CASE WHEN flammable = 1 THEN CASE WHEN tsd <= 15 THEN tsd WHEN u AND (age IS NULL OR age <= 15) THEN 16 ELSE age END END AS tsd FROM t""")
+ SELECT pixelID, CASE WHEN flammable = 1 THEN CASE WHEN u AND tsd <= 15 THEN tsd WHEN u AND (age IS NULL OR age <= 15) THEN 16 ELSE age END END AS tsd FROM t""")
 def make_tsd(v):
     return H.make_tsd(v.cell.join(v.fire_raster, "pixelID", "left").withColumn("update", F.col("lcc") < 5), 1997)
 
 
+@query(f"""WITH vs AS ({VERTICES}), e AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) nx, coalesce(lead(y) OVER w, first_value(y) OVER w) ny FROM vs WHERE "YEAR" BETWEEN 1981 AND 1997 WINDOW w AS (PARTITION BY poly_id ORDER BY seq)),
+ i AS (SELECT poly_id, "YEAR" AS yr, pixelID FROM cell JOIN e ON least(y, ny) <= -(r + 0.5) * 250.0 AND -(r + 0.5) * 250.0 < greatest(y, ny) AND x + (-(r + 0.5) * 250.0 - y) * (nx - x) / (ny - y) > (c + 0.5) * 250.0 GROUP BY poly_id, "YEAR", pixelID HAVING count(*) % 2 = 1),
+ b AS (SELECT pixelID, max(yr) AS yr FROM i GROUP BY pixelID), t AS (SELECT c.pixelID, c.age, 1998 - CASE WHEN c.age IS NOT NULL THEN coalesce(b.yr, 1982) END AS tsd, l.pixelID IS NOT NULL AS f, coalesce(l.nf_low + l.nf_high, 0) > 0 AS u FROM cell c LEFT JOIN b USING (pixelID) LEFT JOIN landcover l USING (pixelID))
+ SELECT pixelID, CAST(CASE WHEN f THEN CASE WHEN u AND tsd <= 15 THEN tsd WHEN u AND (age IS NULL OR age <= 15) THEN 16 ELSE age END END AS INTEGER) AS tsd FROM t""")
+def make_tsd_polygons(v):
+    return H.make_tsd(v.cell.select("pixelID", "age"), 1998, polygons=vertices(v), grid=grid_of(v), lcc=v.landcover)
+
+
 @query("""WITH y AS (SELECT * FROM (VALUES (1995, 0), (1996, 1), (1997, 2), (1998, 3)) q(year, k)), g AS (SELECT c.pixelID, c.age, y.year, y.k, max(CASE WHEN b.burnYear IS NOT NULL THEN z.k END) AS j FROM cell c CROSS JOIN y
  LEFT JOIN y z ON z.k < y.k LEFT JOIN (SELECT DISTINCT pixelID, burnYear FROM burn_year) b ON b.pixelID = c.pixelID AND b.burnYear = z.year GROUP BY ALL) SELECT pixelID, year, CASE WHEN coalesce(coalesce(k - j, age + k) <= 15, TRUE) THEN 1 ELSE 0 END AS youngAge FROM g""")
 def calc_young_age(v):
@@ -679,6 +687,11 @@ def coarse_climate(v):
     return H.coarse(v.climate, grid_of(v), 5, ["MDC", "CMDsm"], ["year"], na_rm=True).withColumns({"MDC": r6("MDC"), "CMDsm": r6("CMDsm")})
 
 
+@query(f"SELECT {BLOCK} AS block, CASE WHEN count(*) = 25 THEN round(avg(nf_low), 6) END AS nf_low, CASE WHEN count(*) = 25 THEN round(avg(nf_high), 6) END AS nf_high FROM landcover JOIN cell USING (pixelID) GROUP BY 1")
+def coarse_fuel(v):
+    return H.coarse(v.landcover, grid_of(v), 5, ["nf_low", "nf_high"]).withColumns({"nf_low": r6("nf_low"), "nf_high": r6("nf_high")})
+
+
 @query("SELECT pixelID, round((MDC - (SELECT avg(MDC) FROM climate)) / (SELECT stddev_samp(MDC) FROM climate), 6) AS MDC FROM climate")
 def rescale_covariates(v):
     return H.rescale_covariates(v.climate.select("pixelID", "MDC"), "xgb", keep=("pixelID",))[0].withColumn("MDC", r6("MDC"))
@@ -819,6 +832,23 @@ def score_snll_fs(v):
     return E.score_snll_fs(v.historical.where("size > 1"), v.sim_sizes).withColumn("snll_fs", F.round("snll_fs", 4))
 
 
+@query("""WITH o AS (SELECT *, CASE WHEN size > 8 THEN 1 ELSE 2 END AS batch FROM historical WHERE size > 1), s AS (SELECT initialLocus AS cells, sqrt(CAST(N AS DOUBLE)) AS v FROM sim_sizes WHERE N > 1),
+ k AS (SELECT cells, count(*) AS k, stddev_samp(v) AS sd, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, min(v) AS a FROM s GROUP BY cells HAVING count(*) > 1),
+ h AS (SELECT cells, 0.9 * (CASE WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34) WHEN sd > 0 THEN sd WHEN a > 0 THEN a ELSE 1.0 END) * pow(k, -0.2) AS h FROM k),
+ d AS (SELECT o.cells, avg(exp(-pow((o.size - s.v) / h.h, 2) / 2) / (h.h * 2.5066282746310002)) AS d FROM o JOIN s USING (cells) JOIN h USING (cells) GROUP BY o.cells),
+ y AS (SELECT batch, year, sum(-ln(greatest(coalesce(d.d, 0.0) * ln(o.size), 1e-29))) AS s FROM o LEFT JOIN d USING (cells) GROUP BY batch, year),
+ b AS (SELECT batch, count(*) AS years, round_even(sum(s), 0) AS t FROM y GROUP BY batch)
+ SELECT batch, years, CASE WHEN batch = 1 AND t > 550 * years THEN 1e6 ELSE t END AS snll_fs, CASE WHEN batch = 1 AND t > 550 * years THEN 1 ELSE 0 END AS bail FROM b""")
+def batch_scores(v):
+    observed = v.historical.where("size > 1").withColumn("batch", F.when(F.col("size") > 8, 1).otherwise(2))
+    return E.batch_scores(E.score_snll_fs(observed, v.sim_sizes, by=["batch", "year"]), 550)
+
+
+@query("SELECT cells, year, ids, size, greatest(1000.0, round_even(greatest(5.0, 14.0 - ln(size)) * size, 0)) AS maxSize FROM historical WHERE size > 0")
+def max_sizes(v):
+    return E.max_sizes(v.historical.where("size > 0"))
+
+
 @query("SELECT quantile_cont(n, 0.3) AS q30, CASE WHEN quantile_cont(n, 0.3) < 2000 THEN 1 ELSE 0 END AS small FROM (SELECT count(*) AS n FROM fire_buffered GROUP BY year, ids)")
 def buffer_size_check(v):
     return E.buffer_size_check(v.fire_buffered)

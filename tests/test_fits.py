@@ -150,3 +150,30 @@ def test_held_out_auc_of_burn_classes(spark):
     rows = [(float(rng.normal(10 * c, 1)), float(rng.normal(c, 1)), float(rng.random() < 0.1 + 0.8 * (c == 1))) for c in (0, 1) for _ in range(300)]
     got = M.burn_class_auc(spark.createDataFrame(rows, "a double, b double, burned double"), ["a", "b", "burned"], ["a", "b"], (2, 3)).first().auc
     assert 0.75 < got <= 1
+
+
+def test_binomial_likelihood_and_links(spark):
+    from pyrocell.operators import summaries as E
+
+    rng = np.random.default_rng(6)
+    x, y = rng.uniform(0, 1, 50), rng.integers(0, 2, 50)
+    table = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "x double, y int").withColumn("one", F.lit(1))
+    candidates = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-1.5, 1.5, (1500, 2)))]
+    got = {r.param_id: r.nll for r in E.ignition_nll(table, spark.createDataFrame(candidates, "param_id int, a double, b double"), "y", ["one", "x"], ["a", "b"], family="binomial", link="logit", block=700).collect()}
+    for i, a, b in candidates:
+        mu = 1 / (1 + np.exp(-(a + b * x)))
+        assert np.isclose(got[i], -(y * np.log(mu) + (1 - y) * np.log(1 - mu)).sum())
+    some = spark.createDataFrame([(0, 0.5, 0.6), (1, 0.5, 0.1)], "param_id int, a double, b double")
+    shares = {r.param_id: r.nll for r in E.ignition_nll(table, some, "y", ["one", "x"], ["a", "b"], family="binomial").collect()}
+    assert shares[0] == 1e20 and shares[1] < 1e3
+
+
+def test_a_planted_knot_is_found(spark):
+    rng = np.random.default_rng(7)
+    x = rng.uniform(0, 10, 4000)
+    y = rng.poisson(0.5 + 1.5 * np.maximum(x - 4, 0))
+    table = spark.createDataFrame([(1.0, float(a), int(b)) for a, b in zip(x, y)], "one double, x double, y int")
+    got = {r.term: r.value for r in M.search_ignition(table, "y", ["one", "x"], {"level": (0.01, 3.0), "slope": (0.0, 4.0), "knot": (0.0, 10.0)}, {"x": "knot"}, rounds=12).collect()}
+    assert abs(got["knot"] - 4) < 0.15 and abs(got["slope"] - 1.5) < 0.08 and abs(got["level"] - 0.5) < 0.08
+    held = {r.term: r.value for r in M.search_ignition(table, "y", ["one", "x"], {"level": (0.01, 3.0), "slope": (0.0, 1.0), "knot": (2.0, 2.0)}, {"x": "knot"}, rounds=8).collect()}
+    assert held["slope"] <= 1.0 and held["knot"] == 2.0

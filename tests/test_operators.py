@@ -182,3 +182,59 @@ def test_quantiles_equal_numpy(spark):
         values = [x for k, x in rows if k == g and x is not None]
         assert np.allclose(got[g][1:], np.quantile(values, [0.025, 0.5, 1.0]))
     assert quantiles(spark.createDataFrame([], "g string, x double"), ["g"], "x", {"mid": 0.5}).count() == 0
+
+
+def test_time_since_disturbance_needs_a_fire_source(spark):
+    cells = spark.createDataFrame([(1, 10), (2, 50), (3, None), (4, 5)], "pixelID long, age int")
+    lcc = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 1)], "pixelID long, low int, high int")
+    with pytest.raises(ValueError, match="fire polygons or a raster of fire years"):
+        H.make_tsd(cells, 2020, lcc=lcc)
+    fires = spark.createDataFrame([(1, 2018), (2, 2025), (3, 2010), (4, 2018)], "pixelID long, fireYear int")
+    with pytest.raises(ValueError, match="update, flammable"):
+        H.make_tsd(cells.join(fires, "pixelID"), 2020)
+    by_raster = {r.pixelID: r.tsd for r in H.make_tsd(cells.join(fires, "pixelID"), 2020, lcc=lcc).collect()}
+    assert by_raster == {1: 2, 2: 50, 3: 10, 4: None}  # a fire to come is none; a pixel that isn't in the land cover has no value
+    flags = cells.join(fires, "pixelID").withColumns({"update": F.col("pixelID") < 3, "flammable": F.lit(1)})
+    assert {r.pixelID: r.tsd for r in H.make_tsd(flags, 2020, lcc=lcc).collect()} == {1: 2, 2: 50, 3: None, 4: 5}  # flags given beat the land cover
+    square = [(1, 2010, s, x, y) for s, (x, y) in enumerate([(0.0, 0.0), (2.0, 0.0), (2.0, -1.0), (0.0, -1.0)])] + [(2, 1980, s, x, y) for s, (x, y) in enumerate([(0.0, 0.0), (9.0, 0.0), (9.0, -9.0), (0.0, -9.0)])]
+    polygons = spark.createDataFrame(square, "poly_id int, YEAR int, seq int, x double, y double")
+    got = {r.pixelID: r.tsd for r in H.make_tsd(cells, 2020, polygons=polygons, grid=GridSpec(0, 0, 1, 1, 4, 1), lcc=lcc).collect()}
+    assert got == {1: 10, 2: 10, 3: 16, 4: None}  # cells of no age are outside the polygons' raster
+
+
+def test_checks_name_what_is_wrong(spark):
+    from pyrocell.sources import tables as A
+
+    with pytest.raises(ValueError, match="fires is missing"):
+        A.load_checks(None, ["size"], "fires")
+    with pytest.raises(ValueError, match="fires lacks size"):
+        A.load_checks(spark.range(3), ["size"], "fires")
+    with pytest.raises(ValueError, match="fires has no rows"):
+        A.load_checks(spark.range(0).withColumnRenamed("id", "size"), ["size"], "fires")
+    annual = spark.createDataFrame([(1, 2001, 500_000)], "pixelID long, year int, MDC int")
+    periods = spark.createDataFrame([(1, 2000, 1)], "pixelID long, start int, nf int")
+    with pytest.raises(ValueError, match="MDC"):
+        H.spread_covariates(annual, periods, {"MDC": (0.0, 400.0)}, {})
+    covs = H.spread_covariates(annual, periods, {"MDC": (0.0, 600.0)}, {})
+    with pytest.warns(UserWarning, match="should be lowered"):
+        H.spread_probability(covs, ["MDC"], [0.5, 1.0], [2.0])
+
+
+def test_beta_draws(spark):
+    rows = spark.range(40_000).select("id", C.rbeta_between(F.col("id"), F.lit(1.0), F.lit(5.0), F.lit(2.0), 2.0).alias("a"), C.rbeta_between(F.col("id"), F.lit(0.0), F.lit(1.0), F.lit(0.5), 0.4, 0.7).alias("b"))
+    table = rows.toPandas()
+    assert table.a.between(1, 5).all() and abs(table.a.mean() - 2) < 0.02 and abs((table.a / 4).var() - 0.25 * 0.75 / 9) < 0.001
+    assert abs(table.b.mean() - 0.4 / 1.1) < 0.01 and abs(table.b.var() - 0.4 * 0.7 / (1.1**2 * 2.1)) < 0.005
+    again = rows.repartition(7).toPandas().sort_values("id")
+    assert (again.a.to_numpy() == table.sort_values("id").a.to_numpy()).all()
+    odd = spark.createDataFrame([(1, 1.0, 5.0, 5.0), (2, None, 5.0, 2.0), (None, 1.0, 5.0, 2.0)], "k long, lo double, up double, m double")
+    assert [r.v for r in odd.select(C.rbeta_between(F.col("k"), F.col("lo"), F.col("up"), F.col("m"), 2.0).alias("v")).collect()] == [None] * 3
+
+
+def test_scores_of_batches_and_failures(spark):
+    yearly = spark.createDataFrame([(1, 2000, 100.4), (1, 2001, 300.2), (2, 2000, 9000.0)], "batch int, year int, snll_fs double")
+    assert {r.batch: (r.years, r.snll_fs, r.bail) for r in E.batch_scores(yearly, 200.2).collect()} == {1: (2, 1e6, 1), 2: (1, 9000.0, 0)}
+    assert {r.batch: (r.snll_fs, r.bail) for r in E.batch_scores(yearly, 201).collect()} == {1: (401.0, 0), 2: (9000.0, 0)}
+    values = spark.createDataFrame([(float(i % 9), i % 2, 2) for i in range(40)] + [(500.0, 0, 1)], "value double, sample int, batch int")
+    assert E.score_ad(values, 2).first().ad == E.score_ad(values.where("batch = 2").drop("batch")).first().ad < 1e6
+    assert E.score_ad(values, 1).first().ad == 5e7 and E.score_ad(values.limit(0)).first().ad == 5e7
