@@ -9,10 +9,14 @@ density is the threshold. Every node at or above the threshold gives the node of
 subtree to the content: the largest sum of the page itself, and, if an article is cut into several containers, the
 others that are as dense. A page's h1 is added if none is among them.
 
-No content. By tag: scripts, menus, footers, sidebars, controls. By name (a class, id or role of its own, whole or as
-the first part): adverts, comments, notices and the like; forms; headers. Headers inside an article or main element stay.
-A named wrapper stays if it holds the article (a main or h1; an article element, but for comments) or all of the
-page's text. Where no article or main element says what belongs, lists of links before and after the prose go.
+No content. By tag: scripts, menus, footers, sidebars, controls. By name, a class or id: its words are what - and _ part, and
+the last one that says more than "list" or "box" says what the element is, so banner-ad is an advert, related-posts are
+related and share-price is a price. Adverts, comments, notices and the like go, forms, and headers outside an article
+or main element; what is named as a discussion, a widget or an author's note goes where it is outside the article, as
+inside one it is a section. A named wrapper stays if it holds the article (a main or h1; an article element, but for
+comments) or all of the page's text. Further article elements whose heading isn't a link belong to the content with the
+first. Where no article or main element says what belongs, lists of links before and after the prose go, but for those
+under a heading of their own.
 
 Output: blocks in page order joined by two newlines, white space inside a block one space, trimmed. Null or
 empty html: empty text; an empty table gives no rows. Ties in the density sum: the first node in page order. Very long
@@ -38,25 +42,34 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: An opening tag of these closes an open paragraph.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES_SAME = frozenset("li p dt dd option tr td th".split())
-#: Names of what is no content: a class or id, or its first part before - or _; and such a name behind a place.
-AWAY = re.compile(r"(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|post|article|user|reader|entry)[-_])?(?:ads?|advert\w*|breadcrumbs?|cookies?|consent|footer|menu|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:[-_].*)?", re.I)
-COMMENTS = re.compile(r"(?:(?:site|page|post|article|user|reader|entry)[-_])?(?:comments?|commentlist|disqus|respond)(?:[-_].*)?", re.I)
-HEADER = re.compile(r"(?:(?:site|page|main|top|global)[-_])?(?:header|masthead|banner)(?:[-_].*)?", re.I)
+# Words for what is no content, for comments, for headers, for what is content inside an article alone.
+AWAY = frozenset("ad ads adbox adsense advert adverts advertisement advertisements advertising alert alerts breadcrumb breadcrumbs consent cookie cookies footer gdpr menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promos promoted recirc related share sharing sidebar sidebars skyscraper social sponsor sponsored sponsors subscribe toolbar".split())
+COMMENTS = frozenset("comment commentlist comments disqus respond".split())
+HEADER = frozenset("banner header masthead topbar".split())
+BESIDE = frozenset("author bio discussion popular recommendations recommended replies reply responses trending widget widgets".split())
+#: Words that say where or how, not what; and first words that tell a state of what they are set on.
+VAGUE = frozenset("area article articles bar block body box button buttons card cards col column container content feed form group holder icons inline inner item items left link links list main mobile module panel placement posts right row section signup slot small sticky stories text this top bottom unit view wrap wrapper zone".split())
+STATE = frozenset("has hide is no not on show with without".split())
+WORDS = re.compile(r"[-_\s]+|(?<=[a-z])(?=[A-Z])|(?<=[a-zA-Z])(?=\d)")
 AWAY_ROLE = frozenset("navigation complementary contentinfo search dialog alert form menu".split())
 #: Why an element may be no content.
-PLAIN, NEVER, HEAD, REPLIES, NAMED = range(5)
+PLAIN, NEVER, HEAD, REPLIES, NAMED, OUTSIDE = range(6)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 SPACE = re.compile(r"\s+")
 
 
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
 class Node:
-    __slots__ = ("chars", "density", "holds", "inside", "items", "kind", "links", "link_tags", "parent", "sums", "tag", "tags")
+    __slots__ = ("chars", "density", "holds", "in_article", "inside", "items", "kind", "links", "link_tags", "parent", "sums", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, kind: int = PLAIN):
         self.tag, self.parent, self.kind = tag, parent, kind
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.in_article = parent is not None and (parent.in_article or parent.tag == "article")
         self.items: list[Node | str] = []
         self.holds: set[str] = set()
         self.chars = self.tags = self.links = self.link_tags = 0
@@ -134,10 +147,21 @@ def _kind(tag: str, attributes: str) -> int:
             kind = NAMED if v in AWAY_ROLE else HEAD if v == "banner" else kind
         elif k in ("class", "id"):
             for name in v.split():
-                kind = REPLIES if COMMENTS.fullmatch(name) else HEAD if HEADER.fullmatch(name) else NAMED if AWAY.fullmatch(name) else kind
+                kind = _named(name) or kind
     return kind
 
 
+def _named(name: str) -> int:
+    """What a class or id says an element is."""
+    words = [w.lower() for w in WORDS.split(name) if w]
+    if not words or words[0] in STATE:
+        return PLAIN
+    while len(words) > 1 and (words[-1] in VAGUE or words[-1].isdigit() or len(words[-1]) == 1):
+        words.pop()
+    word = words[-1]
+    return REPLIES if word in COMMENTS else HEAD if word in HEADER else NAMED if word in AWAY else OUTSIDE if word in BESIDE else PLAIN
+
+
 def _order(root: Node) -> list[Node]:
     """The content's nodes, parents before children; no recursion, so depth is no limit."""
     out, todo = [], [root]
@@ -165,7 +189,8 @@ def _settle(root: Node) -> None:
                 n.holds |= x.holds | ({x.tag} & {"main", "h1", "article"})
     for n in nodes:
         wanted = {"main", "article"} if n.kind == HEAD else {"main", "h1"} if n.kind == REPLIES else {"main", "h1", "article"}
-        if n.kind != PLAIN and (n.chars == root.chars or n.holds & wanted or n.kind == HEAD and n.inside):
+        within = n.in_article if "article" in root.holds else n.inside
+        if n.kind != PLAIN and (n.chars == root.chars or n.holds & wanted or n.kind == HEAD and n.inside or n.kind == OUTSIDE and within):
             n.kind = PLAIN
 
 
@@ -220,43 +245,76 @@ def content(root: Node) -> list[Node]:
             inside.add(n)
             if n.parent not in inside:
                 found.append(n)
+    more = set()
     if not any(n.tag == "h1" for n in inside):
-        found = [n for n in nodes if n in set(found) or n.tag == "h1" and n not in inside]
+        more = {n for n in nodes if n.tag == "h1" and n not in inside}
+    if any(n.tag == "article" or n.in_article for n in found):
+        holders = {n for f in found for n in _above(f)}
+        more |= {n for n in nodes if n.tag == "article" and not n.in_article and n not in inside and n not in holders and 2 * n.links <= n.chars and not _teaser(n)}
+    if more:
+        wanted, found, inside = more | set(found), [], set()
+        for n in nodes:
+            if n.parent in inside or n in wanted:
+                inside.add(n)
+                if n.parent not in inside:
+                    found.append(n)
     return found
 
 
+def _above(n: Node) -> list[Node]:
+    out = []
+    while n.parent is not None:
+        n = n.parent
+        out.append(n)
+    return out
+
+
+def _teaser(article: Node) -> bool:
+    """Whether the article's first heading is all link: it stands for a page of its own."""
+    todo = [article]
+    while todo:
+        n = todo.pop()
+        if n.tag in HEADINGS and n.chars:
+            return n.links == n.chars or n.parent is not None and n.parent.tag == "a"
+        todo += reversed([x for x in n.nodes() if x.kind == PLAIN])
+    return False
+
+
 def blocks(node: Node) -> list[str]:
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, bool, bool]] = []  # text, mostly links, heading
     line: list[str] = []
 
-    def flush(links: bool) -> None:
+    def flush(links: bool, heading: bool) -> None:
         if text := SPACE.sub(" ", "".join(line)).strip():
-            out.append((text, links))
+            out.append((text, links, heading))
         line.clear()
 
-    todo: list = [(node, False)]
+    todo: list = [(node, False, node.tag in HEADINGS)]
     while todo:
-        x, links = todo.pop()
+        x, links, heading = todo.pop()
         if x is None:
-            flush(links)
+            flush(links, heading)
         elif isinstance(x, str):
             line.append(x)
         elif x.kind != PLAIN:
-            flush(links)
+            flush(links, heading)
         elif x.tag == "br":
             line.append(" ")
         elif x.tag in INLINE:
-            todo += [(y, links) for y in reversed(x.items)]
+            todo += [(y, links, heading) for y in reversed(x.items)]
         else:
-            flush(links)
+            flush(links, heading)
             within = links or x is not node and 2 * x.links > x.chars and x.tag in ("div", "ul", "ol", "section", "table", "dl")
-            todo.append((None, within))
-            todo += [(y, within) for y in reversed(x.items)]
-    flush(False)
+            todo.append((None, within, x.tag in HEADINGS))
+            todo += [(y, within, x.tag in HEADINGS) for y in reversed(x.items)]
+    flush(False, False)
     if not node.inside and node.tag not in ("article", "main") and not node.holds & {"article", "main"}:
-        prose = [i for i, (_, links) in enumerate(out) if not links]
-        out = out[prose[0] : prose[-1] + 1] if prose else []
-    return [text for text, _ in out]
+        prose = [i for i, (_, links, _) in enumerate(out) if not links]
+        last = prose[-1] + 1 if prose else 0
+        if prose and out[last - 1][2]:  # a heading at the end: what it stands over is listed under it
+            last = next((i for i in range(last, len(out)) if not out[i][1]), len(out))
+        out = out[prose[0] : last] if prose else []
+    return [text for text, _, _ in out]
 
 
 def extract(page: str | None) -> str:
