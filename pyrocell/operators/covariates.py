@@ -189,10 +189,10 @@ def stack_and_extract(climate: DataFrame, static: DataFrame, points: DataFrame |
 
 
 def merge_prepared_covs(parts: Sequence[DataFrame], cover: Sequence[str], climate: Sequence[str], lightning: DataFrame | None = None) -> DataFrame:
-    """The periods' tables together, rows of no cover dropped, lightning joined; keys and climate come first."""
-    out = reduce(lambda a, b: a.unionByName(b), parts)
-    out = out.where(reduce(lambda a, b: a + b, (F.col(c) for c in cover)) > 0)
-    out = out.join(lightning, "pixelID") if lightning is not None else out
+    """The periods' tables together, rows of no cover dropped, lightning joined; keys and climate come first. Each part joins by
+    itself, so that tables bucketed by pixelID (``sources.tables.write_bucketed``) meet without a shuffle."""
+    parts = [p.where(reduce(lambda a, b: a + b, (F.col(c) for c in cover)) > 0) for p in parts]
+    out = reduce(lambda a, b: a.unionByName(b), (p.join(lightning, "pixelID") if lightning is not None else p for p in parts))
     first = ["pixelID", "year", "ignitions", *climate, "youngAge"]
     return out.select(*first, *(c for c in out.columns if c not in first))
 

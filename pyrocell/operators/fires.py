@@ -260,9 +260,9 @@ def clean_up_spread_points(points: DataFrame, buffers: DataFrame, flammable: Dat
 def harmonize_fire_data(fires: DataFrame, points: DataFrame, flammable: DataFrame, grid: GridSpec, area: Callable[[Column], Column] = multiplier, min_size: float = 500) -> tuple[DataFrame, DataFrame]:
     """(buffers, points): fires buffered, cut to the grid's data, points moved onto them; raises unless the fires of
     both agree in number in every year."""
-    buffers = remove_outside(buffer_to_area(fires, grid, area, min_size), flammable)
+    buffers = materialise(remove_outside(buffer_to_area(fires, grid, area, min_size), flammable))
     years = buffers.select("year").distinct()
-    placed = harmonize_buffer_and_points(points.join(years, "year", "left_semi"), buffers, flammable, grid)
+    placed = materialise(harmonize_buffer_and_points(points.join(years, "year", "left_semi"), buffers, flammable, grid))
     here = placed.select("point_id", *KEY, grid.x(F.col("pixelID")).alias("x"), grid.y(F.col("pixelID")).alias("y"))
     cleaned, buffers = clean_up_spread_points(here, buffers, flammable, grid)
     buffers = checkpointed(buffers.join(cleaned.select(*KEY).distinct(), KEY, "left_semi"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -673,13 +674,29 @@ def stack_and_extract(v):
     return H.stack_and_extract(v.climate.select("pixelID", "year", "MDC"), v.landcover, v.fire_buffered.where("buffer = 1").select("pixelID", "year"), YEARS)
 
 
-@query("""WITH n AS (SELECT year, pixelID, count(*) k FROM (SELECT year, pixelID FROM fire_buffered WHERE buffer = 1) GROUP BY ALL) SELECT c.pixelID, c.year, coalesce(n.k, 0) AS ignitions, c.MDC, CASE WHEN e.age <= 15 THEN 1 ELSE 0 END AS youngAge, l.nf_low, l.nf_high, e.lcc AS lightning
- FROM climate c JOIN landcover l ON l.pixelID = c.pixelID JOIN cell e ON e.pixelID = c.pixelID LEFT JOIN n ON n.pixelID = c.pixelID AND n.year = c.year WHERE c.year IN (1995, 1996, 1997, 1998) AND e.age IS NOT NULL AND l.nf_low + l.nf_high > 0""")
-def merge_prepared_covs(v):
+MERGED = """WITH n AS (SELECT year, pixelID, count(*) k FROM (SELECT year, pixelID FROM fire_buffered WHERE buffer = 1) GROUP BY ALL) SELECT c.pixelID, c.year, coalesce(n.k, 0) AS ignitions, c.MDC, CASE WHEN e.age <= 15 THEN 1 ELSE 0 END AS youngAge, l.nf_low, l.nf_high, e.lcc AS lightning
+ FROM climate c JOIN landcover l ON l.pixelID = c.pixelID JOIN cell e ON e.pixelID = c.pixelID LEFT JOIN n ON n.pixelID = c.pixelID AND n.year = c.year WHERE c.year IN (1995, 1996, 1997, 1998) AND e.age IS NOT NULL AND l.nf_low + l.nf_high > 0"""
+
+
+def merge_parts(v):
     static = v.landcover.join(v.cell.select("pixelID", (F.col("age") <= 15).cast("int").alias("youngAge")), "pixelID")
     points = v.fire_buffered.where("buffer = 1").select("pixelID", "year")
     one = lambda years: H.stack_and_extract(v.climate.select("pixelID", "year", "MDC"), static, points, years)
-    return H.merge_prepared_covs([one(YEARS[:2]), one(YEARS[2:])], ["nf_low", "nf_high"], ["MDC"], v.cell.select("pixelID", F.col("lcc").alias("lightning")))
+    return one(YEARS[:2]), one(YEARS[2:]), v.cell.select("pixelID", F.col("lcc").alias("lightning"))
+
+
+@query(MERGED)
+def merge_prepared_covs(v):
+    *parts, lightning = merge_parts(v)
+    return H.merge_prepared_covs(parts, ["nf_low", "nf_high"], ["MDC"], lightning)
+
+
+@query(MERGED)
+def merge_bucketed_covs(v):
+    """The parts and the layer written in buckets of pixels first: they meet without a shuffle."""
+    buckets = max(8, v.spark.sparkContext.defaultParallelism)
+    dealt = [A.write_bucketed(t, f"pixels_{uuid.uuid4().hex}", buckets, path=scratch(v.spark, "pixels")) for t in merge_parts(v)]
+    return H.merge_prepared_covs(dealt[:2], ["nf_low", "nf_high"], ["MDC"], dealt[2])
 
 
 @query(f"SELECT k.year, {BLOCK} AS block, round(avg(MDC), 6) AS MDC, round(avg(CMDsm), 6) AS CMDsm FROM climate k JOIN cell USING (pixelID) GROUP BY ALL")

@@ -63,6 +63,15 @@ def write_pixels(df: DataFrame, path: str, by: str | None = "year") -> None:
     (df.write.mode("overwrite").partitionBy(by) if by else df.write.mode("overwrite")).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "pixelID", path: str | None = None) -> DataFrame:
+    """Replaces the catalog table with df dealt by key into so many buckets, each file in the key's order, and returns it.
+    Tables of one number of buckets join on the key without a shuffle: bucket meets bucket. A bucket should be what a task can
+    hold, some hundred MB. With a path the files lie there, else in the warehouse, which executors must share."""
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def load_checks(df: DataFrame | None, required: Sequence[str], name: str) -> DataFrame:
     """df if it is there, has rows and the required columns; a named message else."""
     if df is None:

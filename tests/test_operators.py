@@ -238,3 +238,23 @@ def test_scores_of_batches_and_failures(spark):
     values = spark.createDataFrame([(float(i % 9), i % 2, 2) for i in range(40)] + [(500.0, 0, 1)], "value double, sample int, batch int")
     assert E.score_ad(values, 2).first().ad == E.score_ad(values.where("batch = 2").drop("batch")).first().ad < 1e6
     assert E.score_ad(values, 1).first().ad == 5e7 and E.score_ad(values.limit(0)).first().ad == 5e7
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    from pyrocell.sources import tables as A
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        part = lambda y: spark.range(60).selectExpr("id % 30 AS pixelID", f"{y} + CAST(id / 30 AS INT) AS year", "1L AS ignitions", "id * 1.5 AS MDC", "0 AS youngAge", "CAST(id % 2 AS INT) AS nf")
+        light = spark.range(30).selectExpr("id AS pixelID", "id * 10 AS density")
+        plain = [part(2000), part(2005), light]
+        dealt = [A.write_bucketed(df, f"bucketed_{k}", 4, path=f"file://{tmp_path}/{k}") for k, df in enumerate(plain)]
+        merged = [H.merge_prepared_covs(t[:2], ["nf"], ["MDC"], t[2]) for t in (plain, dealt)]
+        plans = [m._jdf.queryExecution().executedPlan().toString() for m in merged]
+        assert "Exchange hashpartitioning(pixelID" in plans[0] and "Exchange" not in plans[1]
+        assert sorted(map(tuple, merged[0].collect())) == sorted(map(tuple, merged[1].collect())) and merged[1].count() == 60
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        for k in range(3):
+            spark.sql(f"DROP TABLE IF EXISTS bucketed_{k}")
