@@ -18,7 +18,7 @@ from pyrocell.grid import EIGHT, GridSpec, neighbours
 from pyrocell.operators.ranks import joined_by
 from pyrocell.operators.spatial import nearest_cell_same_fire, nearest_to_centroid, neighbour_count
 from pyrocell.operators.tables import burned_wins
-from pyrocell.operators.tiles import SIDE, Tiling, Window, by_tile, connected, fields, reached, rim_of, within, within_square
+from pyrocell.operators.tiles import SIDE, Tiling, Window, by_tile, connected, fields, reached, relabelled, rim_of, within, within_square
 from pyrocell.storage import checkpointed, materialise
 
 KEY = ["year", "ids"]
@@ -67,40 +67,49 @@ def buffer_to_area(fires: DataFrame, grid: GridSpec, area: Callable[[Column], Co
     cells = fires.select(*KEY, "pixelID").where("pixelID IS NOT NULL").distinct()
     goals = fire_goal_size(cells, area, min_size)
     rows = materialise(cells.join(goals, KEY).select(*KEY, "pixelID", F.lit(0).alias("ring"), "goalSize", (F.col("actualSize") > F.col("goalSize")).alias("over")))
-    over, live, clock = [_trimmed(rows.where("over").select(*ROW), seed)], rows.where("NOT over").select(*ROW), 0
+    over, live, clock = [], rows.where("NOT over").select(*ROW), 0
+    if not rows.where("over").isEmpty():
+        over.append(_trimmed(rows.where("over").select(*ROW), seed))
     open_ = mask.select("pixelID").where("pixelID IS NOT NULL").distinct() if mask is not None else None
     while clock < rounds and not live.where(F.col("ring") == clock).isEmpty():
         n = min(block, rounds - clock)
         near, far = _groups(live, grid, n, side, reach)
-        far = materialise(far)
-        large = far.count()
-        if n > 1 and large > near.count():
+        if far is not None and n > 1 and far.count() > near.count():
             block = n // 2
             continue
         grown = _grown_in_tiles(near, grid, open_, clock, n, Tiling(grid, reach, side), seed)
-        if large:
+        if far is not None:
             for ring in range(clock + 1, clock + n + 1):
                 far = _one_ring(far, grid, open_, ring)
             grown = grown.unionByName(_judged(far, seed))
         grown = materialise(grown)
         over.append(grown.where("over").select(*ROW))
         live, clock = grown.where("NOT over").select(*ROW), clock + n
-    kept = reduce(DataFrame.unionByName, [*over, live] if keep_unfinished else over)
+    kept = reduce(DataFrame.unionByName, [*over, live if keep_unfinished else live.limit(0)])
     out = kept.select("year", "pixelID", (F.col("ring") == 0).cast("int").alias("buffer"), "ids")
     return burned_wins(out).select("year", "pixelID", "buffer", "ids") if resolve else out
 
 
-def _groups(live: DataFrame, grid: GridSpec, n: int, side: int, reach: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of fires whose group stays within reach of a tile for n rings, with that tile, and those of the others."""
+def _groups(live: DataFrame, grid: GridSpec, n: int, side: int, reach: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of fires whose group stays within reach of a tile for n rings, with that tile, and those of the others, if
+    there are any."""
     tiling = Tiling(grid, reach, side)
     grouped = connected(live.select("year", "pixelID").distinct(), grid, 8, ["year"], lambda m: within_square(m, n), n)
     row, col = grid.row(F.col("pixelID")), grid.col(F.col("pixelID"))
     tagged = materialise(joined_by(live, grouped, ["year", "pixelID"]))
+    ends = tagged.groupBy(*KEY).agg(F.min("patch").alias("a"), F.max("patch").alias("high")).where("a < high").select(*KEY, "a")
+    apart = materialise(joined_by(tagged, ends, KEY).where("a < patch").select("year", "a", F.col("patch").alias("b")).distinct())
+    if not apart.isEmpty():  # a fire of several parts is one group
+        tagged = materialise(relabelled(tagged, apart, grid, ["year"]))
     extent = tagged.groupBy("year", "patch").agg(F.min(row).alias("r0"), F.max(row).alias("r1"), F.min(col).alias("c0"), F.max(col).alias("c1"))
     tr, tc = F.floor(grid.row(F.col("patch")) / side) * side, F.floor(grid.col(F.col("patch")) / side) * side
     fits = (F.col("r0") - n >= tr - reach) & (F.col("r1") + n < tr + side + reach) & (F.col("c0") - n >= tc - reach) & (F.col("c1") + n < tc + side + reach)
-    tagged = materialise(joined_by(tagged, extent.select("year", "patch", fits.alias("fits")), ["year", "patch"]))
-    return tagged.where("fits").select(*ROW, tiling.tile(F.col("patch")).alias("tile")), tagged.where("NOT fits").select(*ROW)
+    extent = materialise(extent.select("year", "patch", fits.alias("fits")))
+    tile = tiling.tile(F.col("patch")).alias("tile")
+    if extent.where("NOT fits").isEmpty():
+        return tagged.select(*ROW, tile), None
+    tagged = materialise(joined_by(tagged, extent, ["year", "patch"]))
+    return tagged.where("fits").select(*ROW, tile), materialise(tagged.where("NOT fits").select(*ROW))
 
 
 def _grown_in_tiles(near: DataFrame, grid: GridSpec, open_: DataFrame | None, clock: int, n: int, tiling: Tiling, seed: int) -> DataFrame:

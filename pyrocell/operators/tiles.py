@@ -8,6 +8,7 @@ Rows without a cell are in no tile.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -95,13 +96,16 @@ def fields(df: DataFrame, of: Sequence[str], **more: T.DataType) -> T.StructType
 
 
 def by_tile(df: DataFrame, by: Sequence[str], tiling: Tiling, f: Callable[[Window, dict, pa.Table], pa.Table], schema: T.StructType) -> DataFrame:
-    """f(window, group, rows) for each group of ``by`` and tile of df, which has the column tile."""
+    """f(window, group, rows) for each group of ``by`` and tile of df, which has the column tile. Tiles cost by their cells, not
+    by the bytes of their rows, so they are dealt to a set number of tasks, several a core, and not gathered by size."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         *group, tile = (k.as_py() for k in key)
         return f(tiling.window(tile), dict(zip(by, group)), rows)
 
-    return df.groupBy(*by, "tile").applyInArrow(run, schema)
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *by, "tile").groupBy(*by, "tile").applyInArrow(run, schema)
 
 
 def box_sums(a: np.ndarray, k: int) -> np.ndarray:
@@ -115,6 +119,18 @@ def box_sums(a: np.ndarray, k: int) -> np.ndarray:
     return a
 
 
+#: More rows than a window has.
+FAR = 1 << 29
+
+
+def rows_to_nearest(mask: np.ndarray) -> np.ndarray:
+    """Rows up or down each column to its nearest true place, FAR or more if it has none."""
+    rows = np.arange(len(mask), dtype=np.int32)[:, None]
+    last = np.maximum.accumulate(np.where(mask, rows, np.int32(-FAR - len(mask))), axis=0)
+    following = np.minimum.accumulate(np.where(mask, rows, np.int32(FAR + len(mask)))[::-1], axis=0)[::-1]
+    return np.minimum(rows - last, following - rows)
+
+
 def squares_to_nearest(mask: np.ndarray, dy: float, dx: float) -> np.ndarray:
     """Exact squared distance from each place to the nearest true one, cells being dy high and dx wide; infinite if
     there is none. Two passes, whatever the distance: down and up the columns, then along each row the lower envelope
@@ -122,11 +138,8 @@ def squares_to_nearest(mask: np.ndarray, dy: float, dx: float) -> np.ndarray:
     h, w = mask.shape
     if not mask.any():
         return np.full((h, w), np.inf)
-    rows = np.arange(h)[:, None]
-    last = np.maximum.accumulate(np.where(mask, rows, -(1 << 40)), axis=0)
-    nxt = np.minimum.accumulate(np.where(mask, rows, 1 << 40)[::-1], axis=0)[::-1]
-    f = (np.minimum(rows - last, nxt - rows) * float(dy)) ** 2
-    f = np.ascontiguousarray(np.where(f > 1e20, np.inf, f).T)  # a row of f: one column, all rows of the window
+    f = rows_to_nearest(mask)
+    f = np.ascontiguousarray(np.where(f < FAR, (f * float(dy)) ** 2, np.inf).T)  # a row of f: one column, all rows of the window
     x = np.arange(w) * float(dx)
     vertex = np.zeros((w, h), np.int64)  # of each row's envelope, left to right
     start = np.full((w + 1, h), np.inf)  # where each parabola becomes the lowest
@@ -155,9 +168,25 @@ def squares_to_nearest(mask: np.ndarray, dy: float, dx: float) -> np.ndarray:
     return out.T
 
 
+#: Columns of a radius up to which columns beside each other are compared; beyond, the envelope costs less.
+NEAR = 128
+
+
 def within(mask: np.ndarray, radius: float, grid: GridSpec) -> np.ndarray:
-    """Places whose centre is within radius of a true one's."""
-    return np.sqrt(squares_to_nearest(mask, grid.res_y, grid.res_x)) <= radius + 1e-9
+    """Places whose centre is within radius of a true one's. A column's true places reach so many rows beside it as the
+    radius leaves for the columns between, so one comparison for each of those does, up to NEAR of them."""
+    edge, k = radius + 1e-9, int(radius / grid.res_x + 1e-9)
+    if k > NEAR:
+        return np.sqrt(squares_to_nearest(mask, grid.res_y, grid.res_x)) <= edge
+    rows, out = rows_to_nearest(mask), np.zeros_like(mask)
+    for c in range(min(k, mask.shape[1] - 1) + 1):
+        reach = int(radius / grid.res_y + 1e-9) + 1
+        while reach >= 0 and math.hypot(reach * grid.res_y, c * grid.res_x) > edge:
+            reach -= 1
+        near = rows <= reach
+        out[:, c:] |= near[:, : mask.shape[1] - c]
+        out[:, : mask.shape[1] - c] |= near[:, c:]
+    return out
 
 
 def within_square(mask: np.ndarray, k: int) -> np.ndarray:
@@ -213,17 +242,25 @@ def connected(cells: DataFrame, grid: GridSpec, directions: int, by: Sequence[st
     there = rims.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("pixelID").alias("__to"), F.col("root").alias("b"))
     met = out.join(there, [F.col("to") == F.col("__to"), *(F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by)]).select(*by, F.col("root").alias("a"), "b").distinct()
     met = materialise(met)
-    coded = joined_by(met, numbers(met, by), by) if by else met.withColumn("code", F.lit(0).cast("long"))
+    if met.isEmpty():  # no patch leaves its tile
+        return named.where("own").select(*by, "pixelID", F.col("root").alias("patch"))
+    return relabelled(named.where("own").select(*by, "pixelID", F.col("root").alias("patch")), met, grid, by)
+
+
+def relabelled(labelled: DataFrame, met: DataFrame, grid: GridSpec, by: Sequence[str]) -> DataFrame:
+    """Rows with (by, patch), a patch that met (by, a, b) connects to others getting the least of them as its label."""
     if grid.ncell >= 1 << CELL_BITS:
         raise ValueError(f"a grid of {grid.ncell} cells is too large to label")
+    codes = numbers(met, by) if by else None
+    coded = joined_by(met, codes, by) if by else met.withColumn("code", F.lit(0).cast("long"))
     node = lambda c: F.shiftleft("code", CELL_BITS) + F.col(c)
     roots = materialise(components(coded.select(node("a").alias("a"), node("b").alias("b"))))
-    back = roots.select(F.shiftright("node", CELL_BITS).alias("code"), (F.col("node").bitwiseAND(F.lit((1 << CELL_BITS) - 1))).alias("from"), (F.col("root").bitwiseAND(F.lit((1 << CELL_BITS) - 1))).alias("patch"))
+    cell = lambda c: F.col(c).bitwiseAND(F.lit((1 << CELL_BITS) - 1))
+    back = roots.select(F.shiftright("node", CELL_BITS).alias("code"), cell("node").alias("patch"), cell("root").alias("__least"))
     if by:
-        back = back.join(numbers(met, by), "code")
-    back = materialise(back.select(*(F.col(c).alias(f"__{c}") for c in by), "from", "patch"))  # its size is known: a small one is broadcast
-    joined = named.where("own").join(back, [F.col("root") == F.col("from"), *(F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by)], "left")
-    return joined.select(*by, "pixelID", F.coalesce("patch", "root").alias("patch"))
+        back = back.join(codes, "code")
+    back = materialise(back.select(*by, "patch", "__least"))  # its size is known: a small one is broadcast
+    return joined_by(labelled, back, [*by, "patch"]).withColumn("patch", F.coalesce("__least", "patch")).drop("__least")
 
 
 def numbers(df: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -57,7 +57,9 @@ def test_distances_are_exact_at_every_radius(shape):
             want = np.minimum(want, ((np.arange(h)[:, None] - r) * dy) ** 2.0 + ((np.arange(w)[None] - c) * dx) ** 2.0)
         assert np.allclose(got, want)
         for radius in range(21):
-            assert ((np.sqrt(got) <= radius + 1e-9) == (np.sqrt(want) <= radius + 1e-9)).all()
+            inside = np.sqrt(want) <= radius + 1e-9
+            assert ((np.sqrt(got) <= radius + 1e-9) == inside).all()
+            assert (tiles.within(mask, radius, GridSpec(0, 0, dx, dy, w, h)) == inside).all()
 
 
 def test_roots_of_a_million_edges():
