@@ -243,17 +243,22 @@ def ignition_nll(df: DataFrame, candidates: DataFrame, y: str, covs: Sequence[st
     null or not a positive finite number (with knots, the hinge of a covariate at the candidate's knot: is negative), or
     over 1 for shares. Rows without y count for nothing else.
 
-    A pass over the data takes up to ``block`` candidates, which its tasks hold; a task sends one partial sum a
-    candidate, so neither side is multiplied out in a shuffle."""
+    Rows of equal covariates and y score the same, so they are counted first and each is scored once, times its
+    count. A pass over those takes up to ``block`` candidates, which its tasks hold; a task sends one partial sum a
+    candidate, so neither side is multiplied out in a shuffle. They cost by candidates, not by the bytes of their rows, so they
+    are dealt to a set number of tasks."""
     knots, inverse = knots or {}, LINKS[link]
     if family not in ("poisson", "binomial"):
         raise ValueError(f"family must be poisson or binomial, not {family}")
-    data = df.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covs)), F.col(y).cast("double").alias("y"))
+    spark = df.sparkSession
+    rows = df.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covs)), F.col(y).cast("double").alias("y"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    data = rows.groupBy(*rows.columns).agg(F.count("*").cast("double").alias("times")).repartition(tasks)
     names = ["param_id", *coefs, *(knots[c] for c in covs if c in knots)]
 
     def passed(rows: list) -> DataFrame:
         ids = pa.array([r[0] for r in rows])
-        sent_table = df.sparkSession.sparkContext.broadcast(np.array([r[1:] for r in rows], np.float64).T)  # block columns at most
+        sent_table = spark.sparkContext.broadcast(np.array([r[1:] for r in rows], np.float64).T)  # block columns at most
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = sent_table.value
@@ -268,11 +273,11 @@ def ignition_nll(df: DataFrame, candidates: DataFrame, y: str, covs: Sequence[st
                         x = xs[i][at : at + step, None]
                         eta += (np.maximum(x - hinge[c][of : of + step], 0.0) if c in hinge else x) * table[i, of : of + step]
                     with np.errstate(all="ignore"):
-                        mu, seen = inverse(eta), xs[-1][at : at + step, None]
+                        mu, seen, times = inverse(eta), xs[-2][at : at + step, None], xs[-1][at : at + step, None]
                         wrong = ~np.isfinite(mu) | (mu < 0 if knots else mu <= 0) | ((mu > 1) if family == "binomial" else False)
                         each = mu - seen * np.log(np.maximum(mu, 1e-300)) if family == "poisson" else -seen * np.log(np.maximum(mu, 1e-300)) - (1 - seen) * np.log(np.maximum(1 - mu, 1e-300))
                     bad[of : of + step] |= wrong.any(0)
-                    total[of : of + step] += np.nansum(np.where(wrong, 0.0, each), 0)
+                    total[of : of + step] += np.nansum(np.where(wrong, 0.0, each * times), 0)
             if n:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(bad), pa.array(total)], ["param_id", "bad", "nll"])
 
@@ -287,7 +292,7 @@ def ignition_nll(df: DataFrame, candidates: DataFrame, y: str, covs: Sequence[st
             parts.append(passed(held))
             held = []
     if held or not parts:
-        parts.append(passed(held) if held else df.sparkSession.createDataFrame([], f"param_id {kind}, bad boolean, nll double"))
+        parts.append(passed(held) if held else spark.createDataFrame([], f"param_id {kind}, bad boolean, nll double"))
     return reduce(DataFrame.unionByName, parts).groupBy("param_id").agg(F.when(F.bool_or("bad"), 1e20).otherwise(F.sum("nll")).alias("nll"))
 
 

@@ -1,3 +1,5 @@
+import math
+
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
@@ -177,3 +179,22 @@ def test_a_planted_knot_is_found(spark):
     assert abs(got["knot"] - 4) < 0.15 and abs(got["slope"] - 1.5) < 0.08 and abs(got["level"] - 0.5) < 0.08
     held = {r.term: r.value for r in M.search_ignition(table, "y", ["one", "x"], {"level": (0.01, 3.0), "slope": (0.0, 1.0), "knot": (2.0, 2.0)}, {"x": "knot"}, rounds=8).collect()}
     assert held["slope"] <= 1.0 and held["knot"] == 2.0
+
+
+def test_equal_rows_are_scored_once(spark, monkeypatch):
+    """Counts, nulls among them, stand for the rows: the likelihood is that of all, the work that of the distinct ones."""
+    from pyrocell.operators import summaries as E
+
+    scored = spark.sparkContext.accumulator(0)
+
+    def link(eta):
+        scored.add(eta.size)
+        return eta
+
+    monkeypatch.setitem(E.LINKS, "noted", link)
+    table = spark.range(10000).select(F.lit(1.0).alias("one"), (F.col("id") % 2).alias("x"), F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("y"))
+    candidates = spark.createDataFrame([(0, 0.5, 0.25), (1, 0.5, -0.5)], "param_id int, a double, b double")
+    got = {r.param_id: r.nll for r in E.ignition_nll(table, candidates, "y", ["one", "x"], ["a", "b"], link="noted").collect()}
+    want = sum(0.5 + 0.25 * (i % 2) - i % 3 * math.log(0.5 + 0.25 * (i % 2)) for i in range(10000) if i % 5)
+    assert math.isclose(got[0], want, rel_tol=1e-9) and got[1] == 1e20
+    assert scored.value == 2 * 8
