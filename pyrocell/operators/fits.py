@@ -75,7 +75,7 @@ def burn_class_predict(model: Mixture, df: DataFrame, cols: Sequence[str]) -> Da
 def burn_class_auc(df: DataFrame, cols: Sequence[str], known: Sequence[str], ks: Sequence[int] = range(4, 10), seed: int = 1) -> DataFrame:
     """(auc): how well burn classes fitted to 75 % of df's rows tell which of the other rows burned, from the columns
     ``known`` alone."""
-    train, test = df.randomSplit([0.75, 0.25], seed)
+    train, test = materialise(df).randomSplit([0.75, 0.25], seed)
     model, _ = burn_class_fit(train, cols, ks, seed)
     summary = burn_class_summary(burn_class_predict(model, train, cols), cols)
     classed = burn_prob_from_class(burn_class_predict(model, test.dropna(subset=["burned"]), known), summary)

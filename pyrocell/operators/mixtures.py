@@ -62,19 +62,25 @@ def _first(sample: np.ndarray, cov: np.ndarray, k: int, cols: list[str], seed: i
 def fit_mixtures(df: DataFrame, cols: Sequence[str], ks: Sequence[int], seed: int = 1, rounds: int = 100, tolerance: float = 1e-5) -> list[tuple[float, int, Mixture]]:
     """(BIC, k, mixture) for every k, BIC being 2 log likelihood - parameters * ln n over the rows complete in ``cols``.
 
-    The mixtures are fitted side by side: a round reads the rows once, a task adds up each component's share of them, of
-    their sums and of their products, and those sums, not rows, are added across tasks. A mixture is done once its log
-    likelihood a row grows by less than ``tolerance``. The first centres come from SEEDS rows, the same on every run; all
-    rows take part in each round. Variances are kept above a millionth of the whole's."""
-    cols, d = list(cols), len(cols)
-    data = materialise(df.select(*(F.col(c).cast("double").alias(c) for c in cols)).dropna())
-    moments = data.agg(F.count("*"), *(F.avg(c) for c in cols), *(F.covar_pop(a, b) for a in cols for b in cols)).first()
-    n = moments[0]
+    Equal rows are counted first: a distinct row takes part in each round once, times its count. The mixtures are fitted
+    side by side: a round reads the distinct rows once, a task adds up each component's share of them, of their sums and
+    of their products, and those sums, not rows, are added across tasks. A mixture is done once its log likelihood a row
+    grows by less than ``tolerance``. The first centres come from SEEDS rows, the same on every run; all rows take part in
+    each round. Variances are kept above a millionth of the whole's."""
+    cols, d, spark = list(cols), len(cols), df.sparkSession
+    whole_rows = df.select(*(F.col(c).cast("double").alias(c) for c in cols)).dropna()
+    times = "times" + "_" * max(map(len, cols))  # no column's name
+    data = materialise(whole_rows.groupBy(*cols).agg(F.count("*").cast("double").alias(times)))
+    total = lambda c: F.sum(F.col(times) * c)
+    distinct, n, *sums = data.agg(F.count("*"), F.sum(times), *(total(F.col(c)) for c in cols)).first()
     if not n:
         raise ValueError("no complete row to fit burn classes to")
-    whole = np.array(moments[1 + d :], float).reshape(d, d)
+    if distinct > STEP:  # a round costs by rows and components, not by bytes: all cores take part
+        data = materialise(data.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)))
+    off = [F.col(c) - F.lit(s / n) for c, s in zip(cols, sums)]
+    whole = np.array(data.agg(*(total(a * b) / n for a in off for b in off)).first(), float).reshape(d, d)
     floor = np.diag(np.maximum(np.diag(whole), 1e-12) * 1e-6)
-    picked = data.distinct().orderBy(F.xxhash64(*cols), *cols).limit(SEEDS)
+    picked = data.select(*cols).orderBy(F.xxhash64(*cols), *cols).limit(SEEDS)
     sample = np.array(picked.collect(), float)
     live = {k: _first(sample, whole + floor, k, cols, seed) for k in ks}
     likelihood, done = dict.fromkeys(ks, -math.inf), {}
@@ -106,23 +112,24 @@ def _proper(covs: np.ndarray, floor: np.ndarray) -> np.ndarray:
 
 
 def _sums(data: DataFrame, models: dict[int, Mixture]) -> dict[int, tuple[float, np.ndarray]]:
-    """For each mixture the log likelihood, and for each component its share, sums and products."""
+    """For each mixture the log likelihood of counted rows, and for each component its share, sums and products."""
     d = len(next(iter(models.values())).cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, own = dict.fromkeys(models, 0.0), {k: np.zeros((k, 1 + d + d * d)) for k in models}
         for batch in batches:
-            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+            *columns, times = (c.to_numpy() for c in batch.columns)
+            rows = np.stack(columns, axis=1)
             for at in range(0, len(rows), STEP):
-                x = rows[at : at + STEP]
+                x, n = rows[at : at + STEP], times[at : at + STEP, None]
                 stats = np.concatenate([np.ones((len(x), 1)), x, (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)], axis=1)
                 for k, m in models.items():
                     p = m.log_densities(x)
                     top = p.max(axis=1, keepdims=True)
                     p = np.exp(p - top)
                     norm = p.sum(axis=1, keepdims=True)
-                    totals[k] += float((top + np.log(norm)).sum())
-                    own[k] += (p / norm).T @ stats
+                    totals[k] += float((n * (top + np.log(norm))).sum())
+                    own[k] += (p * (n / norm)).T @ stats
         out = [(k, -1, 0, totals[k]) for k in models] + [(k, c, i, float(v)) for k in models for c, row in enumerate(own[k]) for i, v in enumerate(row)]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["k", "c", "i", "v"])
 
