@@ -45,6 +45,7 @@ def fit_fuel_glm(landscape: DataFrame, species: Sequence[str]) -> DataFrame:
 def cluster_nonforest(rates: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """(lcc, group) over burn rates (lcc, coef): k-means of the coefficients, groups named nfLCC_ and their sorted
     classes; missingForest joins the group of the class with the closest coefficient (ties: the least class)."""
+    rates = materialise(rates.select("lcc", "coef"))  # a row a class, read in every round
     known = rates.where("lcc <> 'missingForest' and coef is not null")
     if known.isEmpty():
         return rates.select("lcc", F.lit(None).cast("string").alias("group"))
@@ -203,6 +204,7 @@ def assess_fuel_classes(landscape: DataFrame, equivalence: DataFrame, nonforest:
     burned) with equivalence (speciesCode, FuelClass). Rows without B are grouped by their burn rates; the others,
     off the non-forest classes, give each species a regression of burned on B, its sign and its abundance, from
     which fuel classes are merged. Species names, a short list, reach the driver."""
+    landscape = materialise(landscape.select("pixelID", "year", "lcc", "speciesCode", "B", "burned"))
     groups = cluster_nonforest(nonforest_burn_rate(landscape.where("B IS NULL"), nonforest), target_nonforest)
     forest = landscape.where(F.col("B").isNotNull() & ~F.col("lcc").isin(*nonforest) & F.col("speciesCode").isNotNull())
     classes = equivalence.select("speciesCode", "FuelClass").distinct()
