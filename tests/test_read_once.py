@@ -23,6 +23,22 @@ def noted(df):
     return df.mapInArrow(run, df.schema), rows
 
 
+def test_points_at_one_place_are_looked_up_once(spark, monkeypatch):
+    grid, asked = GridSpec(0, 0, 1, 1, 64, 64), []
+    possible = nearest._possible
+
+    def looked_up(pairs, *by):
+        asked.append(pairs.count())
+        return possible(pairs, *by)
+
+    monkeypatch.setattr(nearest, "_possible", looked_up)
+    cells = spark.range(1, grid.ncell + 1).select(F.lit(1).alias("g"), F.col("id").alias("pixelID"))
+    points = spark.range(500).select(F.col("id").alias("point_id"), F.lit(1).alias("g"), F.lit(3.5).alias("x"), F.lit(-0.5).alias("y"))
+    got = nearest.nearest_cells(points, cells, grid, ["g"]).collect()
+    assert len(got) == 500 and {(r.pixelID, r.dist) for r in got} == {(4, 0.0)}
+    assert sum(asked) <= 4
+
+
 def test_burn_rates_and_landscapes_are_read_once(spark):
     rates, rows = noted(spark.createDataFrame([("1", 0.1), ("2", 0.12), ("5", 0.6), ("missingForest", 0.5)], "lcc string, coef double"))
     assert len({r.group for r in M.cluster_nonforest(rates, 2).collect()}) == 2 and rows.value == 4
