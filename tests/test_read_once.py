@@ -39,6 +39,15 @@ def test_points_at_one_place_are_looked_up_once(spark, monkeypatch):
     assert sum(asked) <= 4
 
 
+def test_buffers_are_read_once_to_place_points(spark):
+    grid = GridSpec(0, 0, 1, 1, 10, 10)
+    buffers, rows = noted(spark.range(1, 51).select(F.lit(2000).alias("year"), F.lit(1).cast("long").alias("ids"), F.col("id").alias("pixelID"), F.lit(1).alias("buffer")))
+    points = spark.createDataFrame([(1, 2000, 1, 0.5, -0.5), (2, 2000, 1, 0.5, -9.5)], "point_id long, year int, ids long, x double, y double")
+    mask = spark.range(1, 101).select(F.col("id").alias("pixelID"), F.lit(1).alias("flammable"))
+    got = {r.point_id: (r.pixelID, r.moved) for r in N.harmonize_buffer_and_points(points, buffers, mask, grid).collect()}
+    assert got == {1: (1, 0), 2: (42, 1)} and rows.value == 50
+
+
 def test_burn_rates_and_landscapes_are_read_once(spark):
     rates, rows = noted(spark.createDataFrame([("1", 0.1), ("2", 0.12), ("5", 0.6), ("missingForest", 0.5)], "lcc string, coef double"))
     assert len({r.group for r in M.cluster_nonforest(rates, 2).collect()}) == 2 and rows.value == 4
