@@ -56,3 +56,15 @@ def test_burn_rates_and_landscapes_are_read_once(spark):
     landscape, rows = noted(spark.createDataFrame(forest + bare, "pixelID long, year int, lcc int, speciesCode string, B double, burned int"))
     classes, groups, _ = M.assess_fuel_classes(landscape, spark.createDataFrame([("Spec_0", "a"), ("Spec_1", "b")], "speciesCode string, FuelClass string"), [1, 2, 3])
     assert classes.count() == 2 and groups.count() == 3 and rows.value == 90
+
+
+def test_a_long_edge_is_many_tasks_work(spark):
+    """A triangle of 20,000 rows: no task follows more of an edge than a strip or a few, and the cells are all there."""
+    grid = GridSpec(0, 0, 1, 1, 4, 20000)
+    ring = spark.createDataFrame([(1, 0, 0.5, -0.5), (1, 1, 0.5, -19999.5), (1, 2, 2.5, -19999.5)], "zone int, seq int, x double, y double")
+    edges = spatial._edges(ring, ["zone"])
+    most = spatial._by_row(edges, ["zone"], F.lit(0).cast("long"), F.lit(19999).cast("long")).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 3 * 20000
+    got = spatial.cells_touched(ring, grid, ["zone"])
+    per = {r.c: r["count"] for r in got.groupBy(((F.col("pixelID") - 1) % 4).alias("c")).count().collect()}
+    assert got.count() == got.distinct().count() and per == {0: 20000, 1: 15000, 2: 5001}
