@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -68,3 +69,21 @@ def test_a_long_edge_is_many_tasks_work(spark):
     got = spatial.cells_touched(ring, grid, ["zone"])
     per = {r.c: r["count"] for r in got.groupBy(((F.col("pixelID") - 1) % 4).alias("c")).count().collect()}
     assert got.count() == got.distinct().count() and per == {0: 20000, 1: 15000, 2: 5001}
+
+
+def test_a_mask_goes_to_tiles_as_bits(spark):
+    """One row a tile, whatever its cells, and every window gets back the cells it holds, with rims wider than a tile too."""
+    from pyrocell.operators.tiles import Tiling, around, packed
+
+    grid = GridSpec(0, 0, 1, 1, 23, 19)
+    cells = {int(c) for c in np.random.default_rng(4).integers(1, grid.ncell + 1, 150)}
+    parts = packed(spark.createDataFrame([(c,) for c in [*cells, *cells]], "pixelID long"), grid, 4)
+    assert parts.count() <= 5 * 6
+    for rim in (0, 1, 5):
+        tiling, got = Tiling(grid, rim, 4), {}
+        for r in around(parts, tiling).collect():
+            window = tiling.window(r.tile)
+            window.paste(r.part, r.bits, got.setdefault(r.tile, np.zeros((window.h, window.w), bool)))
+        for tile, mask in got.items():
+            window = tiling.window(tile)
+            assert set(window.pixels(np.flatnonzero(mask.ravel())).tolist()) == cells & set(window.pixels(np.arange(window.h * window.w)).tolist())
