@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyrocell.llm.common import as_bytes
+from pyrocell.llm.common import as_bytes, trim
 
 # The byte-level pre-tokenizer's pattern.
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -290,14 +290,31 @@ def model_of(text: _Held) -> Model:
     return _models[text.id]
 
 
+def in_steps(column: pa.Array, f: Callable, kind: pa.DataType, step: int = 256) -> pa.Array:
+    """f of each value, a few at a time: beside the batch only what comes out of it is held, and what it needed goes back
+    to the system when it is done."""
+    parts = [pa.array([f(v) for v in column.slice(at, step).to_pylist()], kind) for at in range(0, len(column), step)]
+    out = pa.concat_arrays(parts) if parts else pa.array([], kind)
+    del parts
+    trim()
+    return out
+
+
+def encode_batch(m: Model, texts: pa.Array) -> pa.Array:
+    return in_steps(texts, lambda t: m.encode(t) if t else b"", pa.binary())
+
+
+def decode_batch(m: Model, rows: pa.Array) -> pa.Array:
+    return in_steps(rows, lambda b: decode(m, b or b""), pa.string())
+
+
 def encode_column(df: DataFrame, text: Column, path: str) -> Column:
     """A text column's ids as binary: little-endian unsigned 32-bit integers, empty for null."""
     held = _Held(df, path)
 
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
-        m = model_of(held)
-        return pa.array([m.encode(t) if t else b"" for t in texts.to_pylist()], pa.binary())
+        return encode_batch(model_of(held), texts)
 
     return encode(text)
 
@@ -308,8 +325,7 @@ def decode_column(df: DataFrame, ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def back(rows: pa.Array) -> pa.Array:
-        m = model_of(held)
-        return pa.array([decode(m, b or b"") for b in rows.to_pylist()], pa.string())
+        return decode_batch(model_of(held), rows)
 
     return back(ids)
 

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyrocell.llm.common import crc_mod, materialise
+from pyrocell.llm.common import crc_mod, materialise, trim
 
 BITS, ORDERS, SCALE, SLICE = 16, (1, 2, 3), 100.0, 1 << 20
 LETTER = regex.compile(r"\p{L}")
@@ -198,6 +198,7 @@ def predict_column(df: DataFrame, model: LanguageModel, text: Column) -> Column:
     def of(texts: pa.Array) -> pa.Array:
         m = sent.value
         got = [m.predict(t.as_py()) for t in texts]
+        trim()
         return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang_pred", "score"])
 
     return of(text)

@@ -56,3 +56,24 @@ def test_operators_that_return_rows_keep_all_columns(spark):
     assert decontaminate.leaks(docs, items).count() == 1  # both copies have one id
     for empty in (substring_dedup.deduplicate(docs.limit(0)), simhash.deduplicate(docs.limit(0)), decontaminate.clean(docs.limit(0), items), decontaminate.leaks(docs, items.limit(0))):
         assert empty.count() == 0
+
+
+def test_a_batch_is_not_held_twice_to_be_encoded():
+    """Of a batch's texts only a few are Python strings at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from pyrocell.llm import bpe
+
+    class Plain:
+        def encode(self, text: str) -> bytes:
+            return text[:1].encode()
+
+    texts = pa.array([chr(97 + i % 26) * 10000 for i in range(2048)] + [None])
+    tracemalloc.start()
+    got = bpe.encode_batch(Plain(), texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[27].as_py() == b"b" and got[2048].as_py() == b"" and len(got) == 2049
+    assert peak < 2048 * 10000 / 4
