@@ -435,6 +435,16 @@ def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", (jaccard(F.col("sa"), F.col("sb")) >= least).alias("near"))
 
 
+def picked(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows whose ``row`` (0 or above) is among the chosen ones. Of ``chosen`` a bit a row is broadcast, 4 KB for each 32,768
+    numbers that are in use, so rows with their texts stay where they are read and none is shuffled."""
+    bucket, at = F.bitmap_bucket_number(F.col("row") + 1), F.bitmap_bit_position(F.col("row") + 1)
+    bits = chosen.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(at).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (at % 8 + 1).cast("int"))) > 0
+    return rows.withColumn("bucket", bucket).join(F.broadcast(bits), "bucket").where(found).drop("bucket", "bits")
+
+
 def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies, the one of least id (null first; ties: the first read); all columns of docs.
 
@@ -463,9 +473,9 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
         low = F.min(F.struct(F.col(f"doc.`{id_col}`").alias("id"), "row")).alias("low")
         nodes = materialise(rows.groupBy("set.key").agg(low, F.first("set").alias("set")).select("set.*", "low"))
         shared = materialise(banded(nodes))
-        wanted = nodes.drop("bands").join(shared.select("key").distinct(), "key", "left_semi").withColumn("row", F.col("low.row")).drop("low")
-        sets = rows.select("row", F.col(f"doc.`{text_col}`").alias("text")).join(wanted, "row").withColumn("set", shingle_sets(F.col("text"), shingle))
-        sets = materialise(sets.select("key", "fp", "w1", "w2", "w3", "set.*"))
+        wanted = nodes.join(shared.select("key").distinct(), "key", "left_semi").select("low.row")
+        sets = picked(rows, wanted).withColumn("sets", shingle_sets(F.col(f"doc.`{text_col}`"), shingle))
+        sets = materialise(sets.select(*(f"set.{c}" for c in ("key", "fp", "w1", "w2", "w3")), "sets.*"))
         sketches, tried = sets.drop("s"), None
         grouped = sets.select("key", F.col("key").alias("grp"))
         while True:
@@ -479,7 +489,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
         heads = nodes.join(grouped, "key", "left").groupBy(F.coalesce("grp", "key").alias("grp")).agg(F.min("low").alias("low"))
     heads = materialise(heads.select(F.col("low.row").alias("row")))
     discard(spark, tables)
-    return rows.join(heads, "row", "left_semi").select("doc.*")
+    return picked(rows, heads).select("doc.*")
 
 
 def _regroup(grouped: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pyrocell.llm import bpe, decontaminate, html_text, quality_rules, simhash, substring_dedup, token_files, zstd_quality
@@ -191,3 +192,20 @@ def test_repeated_lines_and_words_fail(spark):
     got = {r.doc_id: r for r in quality_rules.judge(table).collect()}
     assert not any(r.base_failed for r in got.values())
     assert [i for i in sorted(got) if not got[i].kept] == [60, 61, 62]
+
+
+def test_near_dedup_moves_no_texts(spark):
+    rows = spark.range(0, 200_000, 1, 3).select(F.expr("id + (id div 70000) * 8589934592").alias("row"))
+    chosen = rows.where("row % 7 < 3 OR row IN (0, 32767, 32768, 32769)").select("row")
+    want = sorted(r.row for r in chosen.collect())
+    assert sorted(r.row for r in simhash.picked(rows, chosen).collect()) == want
+    assert simhash.picked(rows, chosen.limit(0)).count() == 0
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = simhash.deduplicate(docs(spark, TEXTS))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert sorted(r.doc_id for r in out.collect()) == [0, 1, 3, 4]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
