@@ -34,7 +34,7 @@ def from_ipc(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+def cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
     """Runs of consecutive rows of about size bytes; one row at least."""
     held, held_bytes = [], 0
     for batch in batches:
@@ -53,16 +53,21 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def ranged(df: DataFrame, order_by: str) -> DataFrame:
+    """The rows range-partitioned and sorted by a column, nulls first."""
+    n = max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartitionByRange(n, order_by).sortWithinPartitions(order_by)
+
+
 def chunked(df: DataFrame, order_by: str | None = None, size: int = CHUNK) -> DataFrame:
     """(chunk, rows, payload): payload is the rows as a compressed Arrow stream. With order_by the rows are
     range-partitioned and sorted by it, nulls first, and chunk numbers ascend with it."""
     if order_by:
-        n = max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        df = df.repartitionByRange(n, order_by).sortWithinPartitions(order_by)
+        df = ranged(df, order_by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 24
-        for k, rows in enumerate(_cut(batches, size)):
+        for k, rows in enumerate(cut(batches, size)):
             whole = rows.combine_chunks().to_batches()[0]
             yield pa.RecordBatch.from_arrays([pa.array([first + k], pa.int64()), pa.array([whole.num_rows], pa.int64()), pa.array([to_ipc(whole)], pa.binary())], ["chunk", "rows", "payload"])
 

@@ -3,18 +3,22 @@
 Files. A table of chunks in ascending id order: the ids of the rows (key and number of tokens of each), and a
 payload of blocks. A block is at most BLOCK tokens: every block starts with an empty model, ends with its own
 coder state and has a crc32 of its ids, so blocks are read alone and damage is noticed and stays in one block.
-Payload: magic, number of blocks, then for each block its number of tokens, crc32, number of 16-bit words; then
+Payload: magic, number of blocks, then for each block its number of tokens, crc32, number of 32-bit words; then
 the words of all blocks.
 
 Model. Two predicted ids per place: the id that last followed the two ids before it (order 2, a hash table) and
 the one that last followed the id before it (order 1), each with a confidence that grows when it was right. A
 three-way symbol says whether the order-2 prediction holds, else whether the order-1 prediction holds, else
-neither; its frequencies mix the adaptive counts kept for the order-2 confidence and those kept for the order-1
-confidence, each weighted by how much it has seen. If neither holds the id is coded by order 0: its high byte
-by adaptive counts of high bytes seen in the block, then its low byte by adaptive counts of low bytes.
+neither; its frequencies mix those seen at the order-2 confidence and those seen at the order-1 confidence. The
+weights of the two follow the bits that each would have taken so far, later bits counting more. If neither
+holds the id is coded by order 0: its high byte by the counts of high bytes seen in the block, then its low byte
+by those of low bytes. Predictions change with each token, frequencies and weights at the places RENEW of a block.
 
-Coder. 48-bit range coder with 16-bit output, carry-free. All blocks of a chunk are coded in step, a numpy
-lane for each, so the work is in array operations.
+Coder. 64-bit range coder with 32-bit output. All blocks of a chunk are coded in step, a numpy lane for each, so
+the work is in array operations; all numbers are integers, so any machine reads what another wrote.
+
+Ids. Texts are split as PIECES does by array operations over their characters; the library encodes each piece that
+a worker doesn't remember, many in a call.
 
 Null text: no ids but the end id. Rows of a null id come first. Repeated ids stay rows of their own. Extra
 columns are ignored. An empty table gives an empty table of chunks.
@@ -22,203 +26,247 @@ columns are ignored. An empty table gives an empty table of chunks.
 
 from __future__ import annotations
 
+import math
+import os
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pyrocell.llm.bpe import PIECES
-from pyrocell.llm.chunks import chunked, from_ipc
+from pyrocell.llm.bpe import byte_alphabet
+from pyrocell.llm.chunks import cut, ranged
+from pyrocell.llm.common import as_bytes, trim
 
-MAGIC = b"TOK1"
+MAGIC = b"TOK2"
 BLOCK = 2048
-SLOTS = 1 << 11
-FULL, TOP, BOTTOM = np.uint64((1 << 48) - 1), np.uint64(1 << 32), np.uint64(1 << 20)
-SHIFT = np.uint32(32 - 11)
-MOST, REFRESH = 1 << 14, 16
-CACHE = 1 << 18
+SLOTS, HASH = 1 << 10, np.uint32(32 - 10)
+#: Steps of a block before which its frequencies are renewed.
+RENEW = (0, 32, 128, 320, 640, 1024, 1536, BLOCK)
+#: Bits of the sums of frequencies: of the three-way symbol, of a byte. One of the first and two of the second fit 32.
+KIND, BYTE = 10, 11
+#: Weight of a byte seen against one not seen.
+SEEN = 16
+UNIT = 1 << 12
+#: Bits, times 16, of a symbol of a share of UNIT, and order 1's weight of 256 by how many bits more it took.
+COST = np.array([16 * 12] + [round(16 * (12 - math.log2(x))) for x in range(1, UNIT + 1)], np.int64)
+WEIGHT = np.array([max(1, min(255, round(256 / (1 + 2 ** (d / 8))))) for d in range(-64, 65)], np.int64)
+LOW, WORD, SIXTEEN, SIZE, ALL = np.uint64(1 << 32), np.uint64(32), np.uint64(16), np.uint64(0xFFFF), np.uint64(1)
+LAST = np.uint64((1 << BYTE) - 1)
+#: Bytes of text in a chunk; half the pieces, and bytes of the longest, that a worker remembers; bytes of text whose
+#: pieces are looked up together, and that are split together.
+TEXT, CACHE, LONG, TOGETHER, SPLIT = 8 << 20, 1 << 18, 64, 8 << 20, 1 << 19
 
 
 class LaneModel:
-    """The adaptive state of n blocks coded in step. Cumulative byte tables are renewed every REFRESH steps."""
+    """The adaptive state of n blocks coded in step."""
 
     def __init__(self, n: int):
-        self.lane = np.arange(n)
-        self.guess1, self.guess2 = np.zeros(n * SLOTS, np.uint16), np.zeros(n * SLOTS, np.uint16)
-        self.sure1, self.sure2 = np.zeros(n * SLOTS, np.uint8), np.zeros(n * SLOTS, np.uint8)
-        self.hit1, self.hit2 = np.ones((n * 4, 3), np.uint32), np.ones((n * 4, 3), np.uint32)
-        self.bytes = [np.ones((n, 256), np.uint32), np.ones((n, 256), np.uint32)]
-        self.ends = [np.zeros((n, 257), np.uint32), np.zeros((n, 257), np.uint32)]
-        self.a, self.b = np.zeros(n, np.uint32), np.zeros(n, np.uint32)  # the last id, and the one before it
+        self.n, self.base = n, np.arange(n) * SLOTS
+        self.lane16 = np.arange(n) * 16
+        self.guess1, self.guess2 = np.zeros(n * SLOTS, np.uint32), np.zeros(n * SLOTS, np.uint32)  # confidence, 16 bits of id
+        self.seen1, self.seen2 = np.ones((n, 4, 3), np.int64), np.ones((n, 4, 3), np.int64)
+        self.cost1, self.cost2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.bytes = [np.zeros((n, 256), np.uint32), np.zeros((n, 256), np.uint32)]
+        self.a, self.of_b = np.zeros(n, np.uint32), np.zeros(n, np.uint32)  # the last id; the one before it, times a constant
 
     def live(self, n: int) -> None:
         """Only the first n lanes still run."""
-        self.lane, self.a, self.b = self.lane[:n], self.a[:n], self.b[:n]
-
-    def refresh(self) -> None:
-        n = len(self.lane)
-        for table, ends in zip(self.bytes, self.ends):
-            np.cumsum(table[:n], axis=1, out=ends[:n, 1:])
-            full = np.flatnonzero(ends[:n, 256] > MOST)
-            if len(full):
-                table[full] = (table[full] + 1) >> 1
-        for hit in (self.hit1, self.hit2):
-            full = np.flatnonzero(hit.sum(1) > MOST)
-            if len(full):
-                hit[full] = (hit[full] + 1) >> 1
-
-    def predict(self) -> np.ndarray:
-        """Cumulative frequencies of the three-way symbol, (n, 4): orders 1 and 2 mixed."""
-        at = self.lane * SLOTS
-        self.s1 = at + ((self.a * np.uint32(0x9E3779B1)) >> SHIFT)
-        self.s2 = at + ((((self.a * np.uint32(0x85EBCA6B)) ^ (self.b * np.uint32(0xC2B2AE35))) * np.uint32(0x9E3779B1)) >> SHIFT)
-        self.p1, self.p2 = self.guess1[self.s1], self.guess2[self.s2]
-        self.c1, self.c2 = self.sure1[self.s1], self.sure2[self.s2]
-        self.h1, self.h2 = self.lane * 4 + self.c1, self.lane * 4 + self.c2
-        ends = np.zeros((len(at), 4), np.uint32)
-        np.cumsum(self.hit1[self.h1] * np.uint32(2) + self.hit2[self.h2] * np.uint32(3), axis=1, out=ends[:, 1:])
-        return ends
-
-    def update(self, kind: np.ndarray, token: np.ndarray) -> None:
-        for hit, h, guess, sure, s, p, c in ((self.hit1, self.h1, self.guess1, self.sure1, self.s1, self.p1, self.c1), (self.hit2, self.h2, self.guess2, self.sure2, self.s2, self.p2, self.c2)):
-            hit[h, kind] += np.uint32(24)
-            right = p == token
-            sure[s] = np.where(right, np.minimum(c + 1, 3), np.where(c > 1, c - 1, 0))
-            guess[s] = np.where(right | (c > 1), p, token)
-        self.b, self.a = self.a, token.astype(np.uint32)
-
-
-class Coder:
-    """n range coders in step, after the carry-free scheme: 48-bit state, 16 bits out or in at a time. Where the
-    range gets small while its ends differ in the top bits, it is cut at the boundary between them."""
-
-    def __init__(self, n: int):
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, FULL)
-
-    def narrow(self, rows: np.ndarray, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        low, range_ = self.low[rows] + unit * start, unit * size.astype(np.uint64)
-        while True:
-            same = (low ^ (low + range_)) < TOP
-            tiny = ~same & (range_ < BOTTOM)
-            if tiny.any():
-                range_ = np.where(tiny, (~low + np.uint64(1)) & (BOTTOM - np.uint64(1)), range_)
-            move = np.flatnonzero(same | tiny)
-            if not len(move):
-                break
-            self.shift(rows[move], low[move])
-            low[move] = (low[move] << np.uint64(16)) & FULL
-            range_[move] <<= np.uint64(16)
-        self.low[rows], self.range[rows] = low, range_
-
-    def shift(self, rows: np.ndarray, low: np.ndarray) -> None:
-        raise NotImplementedError
-
-
-class Encoder(Coder):
-    def __init__(self, n: int, tokens: int):
-        super().__init__(n)
-        self.out, self.n = np.zeros((n, 6 * tokens + 8), np.uint16), np.zeros(n, np.int64)
-
-    def shift(self, rows: np.ndarray, low: np.ndarray) -> None:
-        self.out[rows, self.n[rows]] = (low >> np.uint64(32)).astype(np.uint16)
-        self.n[rows] += 1
-
-    def put(self, rows: np.ndarray, lanes: np.ndarray, ends: np.ndarray, symbol: np.ndarray) -> None:
-        """ends: cumulative frequencies from 0, of which row lanes[i] is that of lane rows[i]."""
-        start = ends[lanes, symbol].astype(np.uint64)
-        self.narrow(rows, self.range[rows] // ends[lanes, -1], start, ends[lanes, symbol + 1] - start)
-
-    def close(self) -> None:
-        for k in (32, 16, 0):
-            self.out[np.arange(len(self.n)), self.n] = (self.low >> np.uint64(k)).astype(np.uint16)
-            self.n += 1
-
-
-class Decoder(Coder):
-    def __init__(self, words: np.ndarray, starts: np.ndarray):
-        super().__init__(len(starts))
-        self.words, self.at = words, starts.copy()
-        self.code = np.zeros(len(starts), np.uint64)
-        for _ in range(3):
-            self.code = (self.code << np.uint64(16)) | self.next(np.arange(len(starts)))
-
-    def next(self, rows: np.ndarray) -> np.ndarray:
-        out = self.words[np.minimum(self.at[rows], len(self.words) - 1)].astype(np.uint64)
-        self.at[rows] += 1
+        self.base, self.lane16, self.a, self.of_b = self.base[:n], self.lane16[:n], self.a[:n], self.of_b[:n]
+
+    def learn(self, coded: list[np.ndarray], tokens: list[np.ndarray]) -> None:
+        """Counts what was coded since the last call: for each step 3 * context + kind, and the ids, of its lanes."""
+        n = self.n
+        kinds = np.bincount(np.concatenate(coded), minlength=n * 48).reshape(n, 4, 4, 3)  # lane, order 2, order 1, kind
+        by1, by2 = kinds.sum(1), kinds.sum(2)
+        self.cost1 = self.cost1 // 2 + (by1 * COST[self.share(self.seen1)]).sum((1, 2))
+        self.cost2 = self.cost2 // 2 + (by2 * COST[self.share(self.seen2)]).sum((1, 2))
+        self.seen1 += by1
+        self.seen2 += by2
+        at, ids = [], []
+        for c, t in zip(coded, tokens):
+            missed = np.flatnonzero(c % 3 == 2)
+            at.append(missed * 256)
+            ids.append(t[missed])
+        at, ids = np.concatenate(at), np.concatenate(ids)
+        for table, byte in zip(self.bytes, (ids >> 8, ids & 255)):
+            table += np.bincount(at + byte, minlength=n * 256).reshape(n, 256).astype(np.uint32)
+
+    @staticmethod
+    def share(seen: np.ndarray) -> np.ndarray:
+        return seen * UNIT // seen.sum(2, keepdims=True)
+
+    def kinds(self) -> tuple[np.ndarray, np.ndarray]:
+        """The three-way symbol's frequencies in each context of each lane, orders 1 and 2 mixed: the two ends inside, 16 bits
+        each, and for each kind start and size, 16 bits each."""
+        w = WEIGHT[np.clip((self.cost1 - self.cost2) // 16, -64, 64) + 64][:, None, None, None]
+        mixed = w * self.share(self.seen1)[:, None] + (256 - w) * self.share(self.seen2)[:, :, None]
+        size = 1 + mixed * ((1 << KIND) - 3) // mixed.sum(3, keepdims=True)
+        a, b = size[..., 0], size[..., 0] + size[..., 1]
+        cells = np.stack([a, a << 16 | (b - a), b << 16 | ((1 << KIND) - b)], 3)
+        return (b << 16 | a).ravel().astype(np.uint64), cells.ravel().astype(np.uint64)
+
+    def order0(self) -> list[np.ndarray]:
+        """The frequencies of high and of low bytes, (lanes, 256): start and size, 16 bits each."""
+        out = []
+        for table in self.bytes:
+            k = np.arange(1, 257, dtype=np.uint32)
+            sums = np.cumsum(table, axis=1, dtype=np.uint32) * np.uint32(SEEN) + k
+            ends = k + sums * np.uint32((1 << BYTE) - 256) // sums[:, -1:]
+            size = np.diff(ends, axis=1, prepend=np.uint32(0))
+            out.append((ends - size) << np.uint32(16) | size)
         return out
 
-    def shift(self, rows: np.ndarray, low: np.ndarray) -> None:
-        self.code[rows] = ((self.code[rows] << np.uint64(16)) & FULL) | self.next(rows)
-
-    def get(self, rows: np.ndarray, lanes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        unit = self.range[rows] // ends[lanes, -1]
-        value = np.minimum(((self.code[rows] - self.low[rows]) & FULL) // unit, ends[lanes, -1] - np.uint64(1)).astype(np.uint32)
-        if ends.shape[1] == 257:  # first the sixteenth of the table, then the place in it
-            big = (ends[lanes, 16:256:16] <= value[:, None]).sum(1) * 16
-            symbol = big + (ends[lanes[:, None], big[:, None] + np.arange(1, 16)] <= value[:, None]).sum(1)
-        else:
-            symbol = (ends[lanes, 1:-1] <= value[:, None]).sum(1)
-        start = ends[lanes, symbol].astype(np.uint64)
-        self.narrow(rows, unit, start, ends[lanes, symbol + 1] - start)
-        return symbol
-
-
-def code(ids: np.ndarray | None, sizes: np.ndarray, coder: Encoder | Decoder) -> np.ndarray:
-    """Runs the model over all blocks in step: codes ids (blocks, BLOCK) or, if None, returns what it decodes.
-    Blocks are ordered by size, longest first, so the ones still running are the first lanes."""
-    n = len(sizes)
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids predicted by orders 1 and 2, and the context of the three-way symbol."""
+        self.s1 = self.base + ((self.a * np.uint32(0x9E3779B1)) >> HASH)
+        self.s2 = self.base + ((((self.a * np.uint32(0x85EBCA6B)) ^ self.of_b) * np.uint32(0x9E3779B1)) >> HASH)
+        self.e1, self.e2 = self.guess1[self.s1], self.guess2[self.s2]
+        self.p1, self.p2 = self.e1 & np.uint32(0xFFFF), self.e2 & np.uint32(0xFFFF)
+        return self.p1, self.p2, self.lane16 + ((self.e2 >> np.uint32(16)) * np.uint32(4) + (self.e1 >> np.uint32(16)))
+
+    def update(self, token: np.ndarray) -> None:
+        one, sure = np.uint32(1 << 16), np.uint32(3 << 16)
+        for guess, s, e, p in ((self.guess1, self.s1, self.e1, self.p1), (self.guess2, self.s2, self.e2, self.p2)):
+            guess[s] = np.where(p == token, np.minimum(e + one, p | sure), token)
+        self.of_b, self.a = self.a * np.uint32(0xC2B2AE35), token
+
+
+def live_at(sizes: np.ndarray, step: int) -> int:
+    """How many of the blocks, longest first, are longer than step."""
+    return int(np.searchsorted(-sizes, -step))
+
+
+def encode(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each block and their number; ids (steps, blocks). A renewal's steps are first predicted, then looked
+    up in its frequencies together, then coded."""
+    n, steps = len(sizes), len(ids)
+    model = LaneModel(n)
+    low, range_ = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+    cap = steps + 2
+    out, count = np.zeros(n * cap, np.uint32), np.arange(n) * cap
+    row = np.arange(n) * 256
+    for a, b in zip(RENEW, RENEW[1:]):
+        tokens, coded, misses = [], [], []
+        for step in range(a, min(b, steps)):
+            token = ids[step, : live_at(sizes, step)]
+            if len(token) < len(model.base):
+                model.live(len(token))
+            p1, p2, at = model.predict()
+            wrong = token != p2
+            missed = wrong & (token != p1)
+            coded.append(at * 3 + wrong + missed)
+            misses.append(missed)
+            tokens.append(token)
+            model.update(token)
+        if not tokens:
+            break
+        cells, tables = model.kinds()[1], [t.ravel().astype(np.uint64) for t in model.order0()]
+        for token, c, missed in zip(tokens, coded, misses):
+            m = len(token)
+            before, cell = low[:m], cells[c]
+            unit = range_[:m] >> np.uint64(KIND)
+            now = before + unit * (cell >> SIXTEEN)
+            wide = unit * (cell & SIZE)
+            shift = missed * np.uint64(BYTE)
+            for table, byte in zip(tables, (token >> np.uint32(8), token & np.uint32(255))):
+                cell = np.where(missed, table[row[:m] + byte], ALL)
+                unit = wide >> shift
+                now += unit * (cell >> SIXTEEN)
+                wide = unit * (cell & SIZE)
+            for lane in (now < before).nonzero()[0].tolist():  # carried into the words that are out
+                k = int(count[lane]) - 1
+                while out[k] == 0xFFFFFFFF:
+                    out[k] = 0
+                    k -= 1
+                out[k] += np.uint32(1)
+            move = (wide < LOW).nonzero()[0]
+            moved = now[move]
+            at = count[move]
+            out[at] = moved >> WORD
+            count[move] = at + 1
+            now[move] = moved << WORD
+            wide[move] <<= WORD
+            low[:m], range_[:m] = now, wide
+        model.learn(coded, tokens)
+    for word in (low >> WORD, low & np.uint64(0xFFFFFFFF)):
+        out[count] = word
+        count += 1
+    return out.reshape(n, cap), count - np.arange(n) * cap
+
+
+def decode(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of each block (steps, blocks), and what is left of its code: 0 unless it is damaged."""
+    n, steps, last = len(sizes), int(sizes.max(initial=0)), np.int64(len(words) - 1)
     model = LaneModel(n)
-    out = np.zeros((n, int(sizes.max(initial=0))), np.uint16) if ids is None else ids
-    for step in range(out.shape[1]):
-        live = int(np.searchsorted(-sizes, -step))  # sizes > step
-        if live < len(model.lane):
-            model.live(live)
-        if step % REFRESH == 0:
-            model.refresh()
-        rows = model.lane
-        ends = model.predict()
-        if ids is None:
-            kind = coder.get(rows, rows, ends)
-            token = np.where(kind == 0, model.p2, model.p1)
-        else:
-            token = ids[:live, step]
-            kind = np.where(token == model.p2, 0, np.where(token == model.p1, 1, 2))
-            coder.put(rows, rows, ends, kind)
-        miss = np.flatnonzero(kind == 2)
-        if len(miss):
-            for k, shift_ in enumerate((8, 0)):
-                if ids is None:
-                    symbol = coder.get(miss, miss, model.ends[k])
-                    token[miss] = symbol if shift_ else (token[miss] << 8) | symbol
-                else:
-                    symbol = ((token[miss] >> shift_) & 255).astype(np.int64)
-                    coder.put(miss, miss, model.ends[k], symbol)
-                model.bytes[k][miss, symbol] += np.uint32(32)
-        model.update(kind, token)
-        if ids is None:
-            out[:live, step] = token
-    return out
+    word = lambda at: words[np.minimum(at, last)].astype(np.uint64)
+    code, range_, place = (word(starts) << WORD) | word(starts + 1), np.full(n, (1 << 64) - 1, np.uint64), starts + 2
+    out = np.zeros((steps, n), np.uint32)
+    for a, b in zip(RENEW, RENEW[1:]):
+        if a >= steps:
+            break
+        tokens, coded = [], []
+        (bounds, kinds), tables = model.kinds(), []
+        for cells in model.order0():
+            tables.append((np.repeat(np.tile(np.arange(256, dtype=np.uint8), n), (cells & np.uint32(0xFFFF)).ravel()), cells.ravel().astype(np.uint64)))
+        for step in range(a, min(b, steps)):
+            m = live_at(sizes, step)
+            if m < len(model.base):
+                model.live(m)
+            p1, p2, at = model.predict()
+            unit, left, bound = range_[:m] >> np.uint64(KIND), code[:m], bounds[at]
+            value = left // unit
+            wrong, missed = value >= (bound & SIZE), value >= (bound >> SIXTEEN)
+            c = at * 3 + wrong + missed
+            cell = kinds[c]
+            left = left - unit * (cell >> SIXTEEN)
+            wide = unit * (cell & SIZE)
+            token = np.where(wrong, p1, p2)
+            missed = missed.nonzero()[0]
+            some, width, made = left[missed], wide[missed], None
+            for symbols, cells in tables:
+                unit = width >> np.uint64(BYTE)
+                value = np.minimum(some // unit, LAST).view(np.int64)
+                value += missed << BYTE
+                symbol = symbols[value]
+                cell = cells[(missed << 8) + symbol]
+                some -= unit * (cell >> SIXTEEN)
+                width = unit * (cell & SIZE)
+                made = symbol.astype(np.uint32) if made is None else made << np.uint32(8) | symbol
+            token[missed], left[missed], wide[missed] = made, some, width
+            move = (wide < LOW).nonzero()[0]
+            at = place[move]
+            left[move] = (left[move] << WORD) | word(at)
+            wide[move] <<= WORD
+            place[move] = at + 1
+            code[:m], range_[:m] = left, wide
+            coded.append(c)
+            tokens.append(token)
+            model.update(token)
+            out[step, :m] = token
+        model.learn(coded, tokens)
+    return out, code
 
 
 def compress(ids: np.ndarray) -> bytes:
     """The payload of a run of 16-bit ids."""
     n = -(-len(ids) // BLOCK)
+    if not n:
+        return MAGIC + struct.pack("<I", 0)
     sizes = np.full(n, BLOCK, np.int64)
-    if n:
-        sizes[-1] = len(ids) - BLOCK * (n - 1)
-    lanes = np.zeros((n, BLOCK), np.uint16)
+    sizes[-1] = len(ids) - BLOCK * (n - 1)
+    lanes = np.zeros((n, BLOCK), np.uint32)
     lanes.ravel()[: len(ids)] = ids
-    coder = Encoder(n, BLOCK)
-    if n:
-        code(lanes[:, : int(sizes.max())], sizes, coder)
-        coder.close()
-    head = [struct.pack("<III", int(k), zlib.crc32(lanes[i, : int(k)].astype("<u4").tobytes()), int(w)) for i, (k, w) in enumerate(zip(sizes, coder.n))]
-    return MAGIC + struct.pack("<I", n) + b"".join(head) + b"".join(coder.out[i, :w].astype("<u2").tobytes() for i, w in enumerate(coder.n))
+    words, count = encode(np.ascontiguousarray(lanes[:, : sizes[0]].T), sizes)
+    head = np.stack([sizes, [zlib.crc32(lanes[i, :k].astype("<u4")) for i, k in enumerate(sizes.tolist())], count], 1).astype("<u4")
+    return b"".join([MAGIC, struct.pack("<I", n), head.tobytes(), *(words[i, :w].astype("<u4").tobytes() for i, w in enumerate(count.tolist()))])
 
 
 def decompress(payload: bytes) -> np.ndarray:
@@ -229,52 +277,178 @@ def decompress(payload: bytes) -> np.ndarray:
     head = np.frombuffer(payload, "<u4", 3 * n, 8).reshape(n, 3).astype(np.int64)
     if not n:
         return np.zeros(0, np.uint16)
-    words = np.frombuffer(payload, "<u2", offset=8 + 12 * n)
+    words = np.frombuffer(payload, "<u4", offset=8 + 12 * n)
     sizes, starts = head[:, 0], np.cumsum(head[:, 2]) - head[:, 2]
-    got = code(None, sizes, Decoder(words, starts))
-    for i in range(n):
-        if zlib.crc32(got[i, : sizes[i]].astype("<u4").tobytes()) != head[i, 1]:
+    got, left = decode(words, starts, sizes)
+    got = np.ascontiguousarray(got.T)
+    for i, k in enumerate(sizes.tolist()):
+        if left[i] or zlib.crc32(got[i, :k].astype("<u4")) != head[i, 1]:
             raise ValueError(f"block {i} of a token file is damaged")
-    return np.concatenate([got[i, : sizes[i]] for i in range(n)])
-
-
-class Ids(dict):
-    """piece -> its ids by the tokenizers library as 16-bit bytes; emptied when full."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u2").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
-_tokenizers: dict[int, tuple[Ids, list[str]]] = {}
-
-
-def tokenizer_of(file: str) -> tuple[Ids, list[str]]:
-    """The library's tokenizer over a byte-level BPE file, which splits text as PIECES does, once in a worker."""
-    if hash(file) not in _tokenizers:
+    return got.ravel()[: sizes.sum()].astype(np.uint16)  # all blocks but the last are as long as the first
+
+
+LETTER, DIGIT, OTHER, SPACE = range(4)
+_classes: list[np.ndarray] = []
+
+
+def class_of() -> np.ndarray:
+    """What PIECES takes each code point for; made once in a worker."""
+    if not _classes:
+        table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+        for first in range(0, len(table), 1 << 16):
+            chars = "".join(map(chr, range(first, first + (1 << 16))))
+            for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+")):
+                for m in regex.finditer(pattern, chars):
+                    table[first + m.start() : first + m.end()] = kind
+        _classes.append(table)
+    return _classes[0]
+
+
+def runs(size: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Consecutive places whose sizes come to about so much; each has one place at least."""
+    cuts = np.unique((np.cumsum(size) - size) // most, return_index=True)[1].tolist()
+    return list(zip(cuts, [*cuts[1:], len(size)]))
+
+
+def pieces_of(data: bytes, begins: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin in their UTF-8 bytes, one text after another."""
+    begins = begins[size > 0]
+    if not data:
+        return begins
+    if data.isascii():
+        chars, place = np.frombuffer(data, np.uint8), None
+    else:
+        raw = np.frombuffer(data, np.uint8)
+        chars, place = np.frombuffer(data.decode().encode("utf-32-le"), "<u4"), np.flatnonzero((raw & 0xC0) != 0x80)
+        begins = np.searchsorted(place, begins)
+    n = len(chars)
+    kind = class_of()[chars]
+    first = np.zeros(n + 1, bool)  # of a text
+    first[begins] = first[n] = True
+    turn = np.ones(n + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=turn[1:n])
+    turn |= first
+    # The last space before other characters is a piece of its own, or if it is a blank the first of theirs.
+    last = np.flatnonzero((kind == SPACE) & turn[1:] & ~first[1:])
+    turn[last] = True
+    turn[last[chars[last] == 32] + 1] = False
+    quote = np.flatnonzero(chars == 39)
+    quote = quote[turn[quote] & ~first[quote + 1]]
+    if len(quote):
+        a = chars[quote + 1]
+        pair = quote + 2 < n
+        b = np.where(pair & ~first[np.minimum(quote + 2, n)], chars[np.minimum(quote + 2, n - 1)], 0)
+        short = np.isin(a, [*b"stmd"])
+        long = ((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108)
+        turn[quote[short | long] + 1] = False
+        turn[quote[short] + 2] = True
+        turn[quote[long] + 3] = True
+    at = np.flatnonzero(turn[:n])
+    return at if place is None else place[at]
+
+
+class Ids:
+    """Ids by the library of texts, 16 bits each, and a bounded memory of the pieces that were encoded."""
+
+    def __init__(self, file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-        t = Tokenizer.from_str(file)
+        self.tokenizer = t = Tokenizer.from_str(file)
         t.no_truncation(), t.no_padding()
         if t.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this tokenizer don't fit 16 bits")
+        self.added = [x.content.encode() for x in t.get_added_tokens_decoder().values()]
+        # The same without its split of text, for bytes that already are the characters of its tokens: none is a blank.
+        self.merges = Tokenizer.from_str(file)
+        self.merges.no_truncation(), self.merges.no_padding()
+        self.merges.pre_tokenizer = CharDelimiterSplit(" ")
+        self.char = np.zeros(256, "<u4")
+        for c, b in byte_alphabet().items():
+            self.char[b] = ord(c)
+        self.length = np.zeros(1 << 16, np.int64)  # a byte is one character of a token
+        for token, i in t.get_vocab(with_added_tokens=False).items():
+            self.length[i] = len(token)
+        self.pieces: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # those of before it was full
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Pieces not met before with their ids, many in a call."""
+        learned: dict[bytes, bytes] = {}
+        for at in range(0, len(pieces), 4096):
+            some = pieces[at : at + 4096]
+            size = np.array([len(p) for p in some])
+            ends = np.cumsum(size)
+            text = np.insert(self.char[np.frombuffer(b"".join(some), np.uint8)], ends[:-1], 32)
+            ids = np.array(self.merges.encode_batch_fast([text.tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, "<u2")
+            upto = np.cumsum(self.length[ids])
+            last = np.searchsorted(upto, ends)
+            if upto[-1:].tolist() != ends[-1:].tolist() or (upto[last] != ends).any():  # a vocabulary without some byte
+                learned.update((p, self.whole(p.decode())) for p in some)
+                continue
+            flat, cut = ids.tobytes(), (2 * last + 2).tolist()
+            learned.update((p, flat[a:b]) for p, a, b in zip(some, [0, *cut[:-1]], cut))
+        return learned
+
+    def of(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each closed by end_id, and how many each has."""
+        special = {k: self.whole(t.decode()) for k, t in enumerate(texts) if any(a in t for a in self.added)}  # the library splits at these first
+        plain = [b"" if k in special else t for k, t in enumerate(texts)]
+        data, size = b"".join(plain), np.array([len(t) for t in plain], np.int64)
+        begins = np.cumsum(size) - size
+        at = np.concatenate([pieces_of(data[begins[a] : begins[b - 1] + size[b - 1]], begins[a:b] - begins[a], size[a:b]) + begins[a] for a, b in runs(size, SPLIT)])
+        met = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        of, (_, offsets, flat) = met.indices, met.dictionary.buffers()
+        held, ends = (flat or pa.py_buffer(b"")).to_pybytes(), np.frombuffer(offsets, np.int64, len(met.dictionary) + 1).tolist()
+        known = [held[a:b] for a, b in zip(ends, ends[1:])]
+        ids = list(map(self.pieces.get, known))
+        missed = [k for k, x in enumerate(ids) if x is None]
+        if len(self.pieces) + len(missed) > CACHE:
+            self.before, self.pieces = self.pieces, {}
+        for k in missed:
+            ids[k] = self.before.get(known[k])
+        self.pieces.update((known[k], ids[k]) for k in missed if ids[k] is not None)
+        missed = [k for k in missed if ids[k] is None]
+        learned = self._learn([known[k] for k in missed])
+        for k in missed:
+            ids[k] = learned[known[k]]
+        self.pieces.update((p, x) for p, x in learned.items() if len(p) <= LONG)
+        each = pa.array(ids, pa.large_binary()).take(of)
+        _, offsets, flat = each.buffers()
+        upto = np.frombuffer(offsets, np.int64, len(at) + 1) // 2
+        tokens = np.frombuffer(flat or b"", "<u2", upto[-1])
+        cut = upto[np.searchsorted(at, begins + size)]
+        sizes = np.diff(cut, prepend=0) + 1
+        tokens = np.insert(tokens, cut, end_id)
+        if special:
+            parts = np.split(tokens, np.cumsum(sizes)[:-1])
+            for k, x in special.items():
+                parts[k] = np.append(np.frombuffer(x, "<u2"), np.uint16(end_id))
+                sizes[k] = len(parts[k])
+            tokens = np.concatenate(parts)
+        return tokens, sizes
+
+
+_tokenizers: dict[int, Ids] = {}
+
+
+def ids_by(file: str) -> Ids:
+    """The library's tokenizer over a byte-level BPE file, which splits text as PIECES does, once in a worker."""
+    if hash(file) not in _tokenizers:
         _tokenizers.clear()
-        _tokenizers[hash(file)] = Ids(t), [x.content for x in t.get_added_tokens_decoder().values()]
+        _tokenizers[hash(file)] = Ids(file)
     return _tokenizers[hash(file)]
 
 
-def ids_of(text: str, cache: Ids, special: list[str]) -> bytes:
-    if any(s in text for s in special):  # the library splits at its added tokens first
-        return np.array(cache.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-    return b"".join(map(cache.__getitem__, PIECES.findall(text)))
+def ids_of(column: pa.Array, ids: Ids, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """As Ids.of, of a column, about TOGETHER bytes at a time."""
+    step = max(1, len(column) * TOGETHER // max(1, column.nbytes))
+    parts = [ids.of([t or b"" for t in as_bytes(column.slice(at, step))], end_id) for at in range(0, len(column), step)]
+    return np.concatenate([t for t, _ in parts]), np.concatenate([n for _, n in parts])
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -283,20 +457,22 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, special = tokenizer_of(sent.value)
-        end = np.array([end_id], "<u2").tobytes()
-        for batch in batches:
-            for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload")):
-                t = from_ipc(payload.as_py())
-                each = [ids_of(x.as_py() or "", cache, special) + end for x in t.column("text").combine_chunks()]
-                sizes = [len(x) // 2 for x in each]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([chunk]), pa.array([t.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([sum(sizes)], pa.int64()),
-                    pa.array([compress(np.frombuffer(b"".join(each), "<u2"))], pa.binary()),
-                ], ["chunk", "doc_ids", "sizes", "n_tokens", "payload"])
+        ids = ids_by(sent.value)
+        first = TaskContext.get().partitionId() << 24
+        for k, t in enumerate(cut(batches, TEXT)):
+            tokens, sizes = ids_of(t.column("text").combine_chunks(), ids, end_id)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([first + k], pa.int64()), lists(t.column("doc_id").combine_chunks()), lists(pa.array(sizes, pa.int64())), pa.array([len(tokens)], pa.int64()), pa.array([compress(tokens)], pa.binary()),
+            ], ["chunk", "doc_ids", "sizes", "n_tokens", "payload"])
+            trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunked(rows, "doc_id").mapInArrow(run, "chunk bigint, doc_ids array<bigint>, sizes array<bigint>, n_tokens bigint, payload binary").write.parquet(path)
+    ranged(rows, "doc_id").mapInArrow(run, "chunk bigint, doc_ids array<bigint>, sizes array<bigint>, n_tokens bigint, payload binary").write.parquet(path)
+
+
+def lists(values: pa.Array) -> pa.Array:
+    """One row: the list of all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def starts(files: DataFrame) -> DataFrame:
@@ -326,5 +502,7 @@ def read(files: DataFrame) -> DataFrame:
                         pa.array(doc_ids[b], pa.int64()), pa.array(start + ends[b] - sizes[b], pa.int64()), pa.array(sizes[b], pa.int64()),
                         pa.array([ids[e - n : e].tobytes() for e, n in zip(ends[b], sizes[b])], pa.binary()),
                     ], ["doc_id", "start", "n_tokens", "ids"])
+                del ids
+                trim()
 
     return starts(files).select("doc_ids", "sizes", "payload", "start").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
